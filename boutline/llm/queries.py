@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutline.llm import simhash
+from boutline.llm import secrets, simhash, toxicity
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +14,58 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {"op3_simhash": op3_simhash}
-ORACLE_SQL: dict[str, str] = {}
+def _of_kind(kind: int):
+    return lambda s: s["kind"] == kind
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = secrets.scan_secrets(spark, docs, owner="source", repo=F.concat_ws("/", "source", "lang"))
+    base = F.filter("spans", lambda s: s["kind"] < len(secrets.BASE))
+    count = lambda test: F.size(F.filter("spans", test)).cast("long")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *(count(_of_kind(k)).alias(f"n_{name}") for k, name in enumerate(secrets.BASE)),
+        F.sha2(secrets.joined_spans(base), 256).alias("base_sha256"),
+        secrets.joined_spans(F.col("spans")).alias("spans"),
+        count(lambda s: s["class"] == "live").alias("n_live"),
+        count(lambda s: s["class"] == "copied").alias("n_copied"),
+    )
+
+
+def _sql_spans(kind: str) -> str:
+    pattern, group, least = secrets.PATTERNS[kind]
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"""SELECT rid, {secrets.KINDS.index(kind)} AS kind,
+      CAST(coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS INT) AS start_at, length(hits[i]) AS n, vals[i] AS v
+    FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (
+      SELECT rid, regexp_extract_all(t, {p}, 0) AS hits, regexp_extract_all(t, {p}, {group}) AS vals, string_split_regex(t, {p}) AS gaps FROM d))
+    WHERE length(vals[i]) >= {least}"""
+
+
+OP2_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repo FROM documents),
+base AS ({" UNION ALL ".join(_sql_spans(k) for k in secrets.BASE)}),
+more AS (SELECT * FROM ({_sql_spans("opaque")}) m WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = m.rid AND b.start_at < m.start_at + m.n AND m.start_at < b.start_at + b.n)),
+spans AS (SELECT * FROM base UNION ALL SELECT * FROM more),
+counts AS (SELECT v, count(DISTINCT owner) AS n_owners FROM spans JOIN d USING (rid) GROUP BY v),
+classed AS (SELECT s.*, CASE WHEN n_owners >= 3 THEN 'copied' WHEN n_owners = 1 AND len(list_distinct(string_split(v, ''))) >= 8 THEN 'live' ELSE 'unclear' END AS class
+  FROM spans s JOIN counts USING (v)),
+kept AS (SELECT *, ['assign', 'access', 'hex', 'opaque'][kind + 1] || ':' || start_at || ':' || (start_at + n) AS name FROM classed WHERE kind < 3 OR class = 'live'),
+listed AS (SELECT rid, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+  string_agg(name, ',' ORDER BY start_at, kind) FILTER (WHERE kind < 3) AS base_spans, string_agg(name, ',' ORDER BY start_at, kind) AS spans,
+  count(*) FILTER (WHERE class = 'live') AS n_live, count(*) FILTER (WHERE class = 'copied') AS n_copied FROM kept GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base_spans, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM d LEFT JOIN listed USING (rid)"""
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.toxicity(spark, docs, labels)
+    return scored.select(F.col("id").alias("doc_id"), toxicity.held_out("id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("clauses").alias("n_clauses"), F.col("top").alias("top_clause"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_secrets": op2_secrets, "op3_simhash": op3_simhash}
+ORACLE_SQL: dict[str, str] = {"op2_secrets": OP2_SQL}
