@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutline.llm import secrets, simhash, toxicity
+from boutline.llm import decontaminate, secrets, simhash, toxicity
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,5 +67,28 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), toxicity.held_out("id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("clauses").alias("n_clauses"), F.col("top").alias("top_clause"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_secrets": op2_secrets, "op3_simhash": op3_simhash}
-ORACLE_SQL: dict[str, str] = {"op2_secrets": OP2_SQL}
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    found = decontaminate.find_leaks(spark, docs, items)
+    return found.groupBy(F.col("id").alias("doc_id"), F.col("item").alias("item_id")).agg(F.max(F.round("similarity", 6)).alias("similarity"))
+
+
+OP9_SQL = """
+WITH d AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS t FROM documents),
+dw AS (SELECT row_number() OVER () AS r, doc_id, string_split(t, ' ') AS w FROM d WHERE t <> ''),
+iw AS (SELECT item_id, string_split(t, ' ') AS w FROM (SELECT item_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS t FROM benchmark) WHERE t <> '' AND item_id IS NOT NULL),
+it AS (SELECT item_id, len(w) AS n, least(5, len(w)) AS k, w FROM iw),
+isx AS (SELECT item_id, n, k, unnest(range(1, n - k + 2)) AS q, w FROM it),
+ish AS (SELECT item_id, n, k, q, array_to_string(w[q:q + k - 1], ' ') AS s FROM isx),
+dp AS (SELECT r, len(w) AS len, k, unnest(range(1, len(w) - k + 2)) AS p, w FROM dw, (SELECT DISTINCT k FROM it) WHERE len(w) >= k),
+dsh AS (SELECT r, len, k, p, array_to_string(w[p:p + k - 1], ' ') AS s FROM dp),
+seeds AS (SELECT DISTINCT r, item_id, n, ish.k AS k, greatest(p - q, 0) AS lo, least(p - q + n, len) AS hi FROM dsh JOIN ish ON dsh.k = ish.k AND dsh.s = ish.s),
+wc AS (SELECT seeds.r, item_id, lo, hi, seeds.k AS k, n, s, count(*) AS c FROM seeds JOIN dsh ON dsh.r = seeds.r AND dsh.k = seeds.k AND dsh.p > lo AND dsh.p + seeds.k - 1 <= hi GROUP BY ALL),
+ic AS (SELECT item_id, s, count(*) AS c FROM ish GROUP BY ALL),
+sh AS (SELECT r, wc.item_id AS item_id, lo, hi, wc.k AS k, n, sum(least(wc.c, coalesce(ic.c, 0))) AS shared FROM wc LEFT JOIN ic ON ic.item_id = wc.item_id AND ic.s = wc.s GROUP BY ALL),
+sim AS (SELECT r, item_id, shared / ((hi - lo - k + 1) + (n - k + 1) - shared) AS similarity FROM sh)
+SELECT doc_id, item_id, max(round(similarity, 6)) AS similarity FROM sim JOIN dw USING (r) WHERE similarity >= 0.8 GROUP BY doc_id, item_id"""
+
+
+QUERIES = {"op9_decontaminate": op9_decontaminate, "op1_toxicity": op1_toxicity, "op2_secrets": op2_secrets, "op3_simhash": op3_simhash}
+ORACLE_SQL: dict[str, str] = {"op2_secrets": OP2_SQL, "op9_decontaminate": OP9_SQL}
