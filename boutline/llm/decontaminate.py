@@ -120,3 +120,9 @@ def find_leaks(
     sure = near.withColumn("similarity", weighted_similarity(F.col("a"), F.col("b"))).where(F.col("similarity") >= similarity)
     best = F.min_by(F.struct("start", (F.col("stop") - F.col("start")).alias("n_words"), F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("hamming"), "similarity"), F.struct(-F.col("similarity"), "start"))
     return sure.groupBy("id", "row_hash", "item").agg(best.alias("x")).select("id", "row_hash", "item", "x.*")
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs`, with all their columns, in which `find_leaks` finds nothing."""
+    leaks = find_leaks(spark, docs, benchmark, id_col=id_col, text_col=text_col, **options).select("row_hash").distinct()
+    return docs.join(leaks, F.xxhash64(docs[id_col], F.coalesce(docs[text_col], F.lit(""))) == leaks.row_hash, "left_anti")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutline.llm import decontaminate, secrets, simhash, toxicity
+from boutline.llm import decontaminate, secrets, sentencepieces, simhash, toxicity
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,5 +91,14 @@ sim AS (SELECT r, item_id, shared / ((hi - lo - k + 1) + (n - k + 1) - shared) A
 SELECT doc_id, item_id, max(round(similarity, 6)) AS similarity FROM sim JOIN dw USING (r) WHERE similarity >= 0.8 GROUP BY doc_id, item_id"""
 
 
-QUERIES = {"op9_decontaminate": op9_decontaminate, "op1_toxicity": op1_toxicity, "op2_secrets": op2_secrets, "op3_simhash": op3_simhash}
+#: File of the SentencePiece model; read by the driver.
+SENTENCEPIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return sentencepieces.id_digest(docs, sentencepieces.load(spark, SENTENCEPIECE_MODEL)).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op8_sentencepiece": op8_sentencepiece, "op9_decontaminate": op9_decontaminate, "op1_toxicity": op1_toxicity, "op2_secrets": op2_secrets, "op3_simhash": op3_simhash}
 ORACLE_SQL: dict[str, str] = {"op2_secrets": OP2_SQL, "op9_decontaminate": OP9_SQL}

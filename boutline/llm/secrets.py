@@ -76,9 +76,9 @@ def scan_secrets(
     owner: str | Column = "source",
     repo: str | Column | None = None,
     copied_owners: int = 3,
-    keep_text: bool = False,
+    carry: Column | None = None,
 ) -> DataFrame:
-    """One row for each row of `docs`: row, id (, text), spans array<struct<start, kind, end, class, n_owners, n_repos>> by start and kind.
+    """One row for each row of `docs`: row, id (, carry: a column to come along), spans array<struct<start, kind, end, class, n_owners, n_repos>> by start and kind.
 
     class: `live` for a value of one owner with 8 distinct characters at least, `copied` for one of `copied_owners` owners or more, else
     `unclear`.  Opaque tokens (letters and digits, 20 characters or more, outside base spans) count as spans only if live.
@@ -89,13 +89,14 @@ def scan_secrets(
     owner = F.col(owner) if isinstance(owner, str) else owner
     repo = owner if repo is None else F.col(repo) if isinstance(repo, str) else repo
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), F.coalesce(repo.cast("string"), F.lit("")).alias("repo"))
+    kept = [] if carry is None else [carry.alias("carry")]
+    rows = docs.select(*kept, F.col(id_col).alias("id"), text.alias("text"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), F.coalesce(repo.cast("string"), F.lit("")).alias("repo"))
     found = rows.select(F.monotonically_increasing_id().alias("row"), "*").withColumn("found", text_spans(F.col("text")))
     spans = F.transform(
         _apart(F.col("found")),
         lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("hash"), (F.size(F.array_distinct(F.split(s["value"], ""))) >= 8).alias("mixed")),
     )
-    found = scratch.table(found.select("row", "id", *(["text"] if keep_text else []), "owner", "repo", spans.alias("spans")), "found")
+    found = scratch.table(found.select("row", "id", *(["carry"] if kept else []), "owner", "repo", spans.alias("spans")), "found")
     used = found.where("size(spans) > 0").select("row", "id", "owner", "repo", F.explode("spans").alias("s"))
     counts = scratch.table(ownership(used.select(F.col("s.hash").alias("hash"), "owner", "repo")), "counts")
     sort = F.when(F.col("n_owners") >= copied_owners, "copied").when((F.col("n_owners") == 1) & F.col("s.mixed"), "live").otherwise("unclear")
@@ -107,6 +108,24 @@ def scan_secrets(
     return some.unionByName(none).withColumn("spans", F.coalesce("got", F.array().cast(listed.schema["got"].dataType))).drop("got")
 
 
+def may_hold_secrets(text: Column) -> Column:
+    """Whether a text matches a pattern at all; false for null."""
+    tests = [text.rlike((MIXED if k == "opaque" else "") + pattern) for k, (pattern, _, _) in PATTERNS.items()]
+    return F.coalesce(tests[0] | tests[1] | tests[2] | tests[3], F.lit(False))
+
+
+def redact_documents(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", **options) -> DataFrame:
+    """`docs`, same rows and columns, with each secret that isn't a widely copied example replaced in its text (and the new length in `length_col`, if
+    there is one).  Texts that hold none are left as they are, null ones too."""
+    hit = may_hold_secrets(F.col(text_col))
+    found = scan_secrets(spark, docs.where(hit), id_col=id_col, text_col=text_col, carry=F.struct("*"), **options)
+    text = redacted(F.col(f"carry.`{text_col}`"), F.filter("spans", lambda s: s["class"] != "copied"))
+    fresh = found.select(text.alias("fresh"), "carry")
+    kind = dict(docs.dtypes).get(length_col)
+    new = {text_col: F.col("fresh")} | ({length_col: F.length("fresh").cast(kind)} if kind else {})
+    return docs.where(~hit).unionByName(fresh.select(*(new.get(c, F.col(f"carry.`{c}`")).alias(c) for c in docs.columns)))
+
+
 def joined_spans(spans: Column) -> Column:
     """`kind:start:end` by start and kind, with commas."""
     names = F.array(*map(F.lit, KINDS))

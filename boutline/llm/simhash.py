@@ -139,5 +139,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
     return prints.join(labels, prints.fp == labels.of, "left").select("id", "fp", "component")
 
 
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = 2) -> DataFrame:
+    """One row of each group of near duplicates, with all its columns: the one with the smallest id (of repeated ids, any one).
+
+    Rows without an id stay only where no row with an id has their fingerprint; equal texts among them stay once."""
+    found = near_duplicates(spark, docs, id_col=id_col, text_col=text_col, shingle=shingle, threshold=threshold)
+    kept = found.where("id = component").select(F.col("id").alias("kept_id")).distinct()
+    one = docs.join(kept, docs[id_col] == kept.kept_id, "left_semi").dropDuplicates([id_col])
+    loose = with_fingerprint(docs.where(docs[id_col].isNull()).select(F.struct("*").alias("doc"), F.col(text_col).alias("text")), "text", "fp", shingle)
+    known = found.where("id IS NOT NULL").select(F.col("fp").alias("known")).distinct()
+    loose = loose.join(known, loose.fp == known.known, "left_anti").dropDuplicates(["text"])
+    return one.unionByName(loose.select("doc.*"))
+
+
 def hex_fingerprint(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

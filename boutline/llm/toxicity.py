@@ -204,17 +204,39 @@ def score_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", te
     return rows.mapInPandas(lambda batches: model.run(batches, out), f"id {kind}, score double, clauses int, top double")
 
 
+def score_column(model: Model, text):
+    """The score of a text column."""
+    weights = np.array(model.weights)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        (x,) = model.run([{"text": texts}], lambda _, found: np.array([[1.0, *features(*f)] for f in found]).reshape(-1, FEATURES + 1))
+        return pd.Series(1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))))
+
+    return score(text)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bound: int = 20_000, limit: float = 0.5) -> DataFrame:
+    """The rows of `docs`, with all their columns, that score less than `limit`."""
+    return docs.where(score_column(fit(training(docs, labels, id_col, text_col, label_col), bound=bound), F.col(text_col)) < limit)
+
+
 def held_out(id_col, folds: int, at: int):
     """Whether crc32 of the id as text leaves `at` modulo `folds`; a null id is held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == at, F.lit(True))
 
 
+def training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(key, text, y) of the labelled documents that aren't held out."""
+    known = labels.select(F.col(id_col).alias("key"), F.col(label_col).alias("y")).where("key IS NOT NULL AND y IN (0, 1)").groupBy("key").agg(F.max("y").alias("y"))
+    rows = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.join(known.where(~held_out("key", 5, 0)), "key")
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bound: int = 20_000) -> DataFrame:
     """Learn from the labelled rows that aren't held out and score every row of `docs`: id, score, clauses, top.
 
     Null texts count as empty.  Labels other than 0 and 1 are ignored; of repeated labels of one id the largest holds.  Repeated rows each come
     back.  Without both labels the seed lexicon with fixed weights is used.  Other columns are never read."""
-    known = labels.select(F.col(id_col).alias("key"), F.col(label_col).alias("y")).where("key IS NOT NULL AND y IN (0, 1)").groupBy("key").agg(F.max("y").alias("y"))
-    known = known.where(~held_out("key", 5, 0))
-    rows = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return score_documents(docs, fit(rows.join(known, "key"), bound=bound), id_col=id_col, text_col=text_col)
+    model = fit(training(docs, labels, id_col, text_col, label_col), bound=bound)
+    return score_documents(docs, model, id_col=id_col, text_col=text_col)
