@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutline.llm import decontaminate, secrets, sentencepieces, simhash, toxicity
+from boutline.llm import decontaminate, embeddings, hilbert, quality, repair, secrets, sentencepieces, simhash, toxicity
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,5 +100,42 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.id_digest(docs, sentencepieces.load(spark, SENTENCEPIECE_MODEL)).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op8_sentencepiece": op8_sentencepiece, "op9_decontaminate": op9_decontaminate, "op1_toxicity": op1_toxicity, "op2_secrets": op2_secrets, "op3_simhash": op3_simhash}
-ORACLE_SQL: dict[str, str] = {"op2_secrets": OP2_SQL, "op9_decontaminate": OP9_SQL}
+#: File of the tokenizer that op4 encodes with; read by the driver.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    tokenizer = sentencepieces.load(spark, TOKENIZER).decode()
+    return repair.encode_corpus(spark, docs, tokenizer).withColumnRenamed("id", "doc_id")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    scored = quality.quality(spark, docs, labels)
+    return scored.select(F.col("id").alias("doc_id"), quality.held_out("id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "distance")
+
+
+def op6_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    placed = hilbert.shard_documents(spark, docs, shards=24)
+    return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embeddings.near_duplicates(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
+OP10_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY a),
+r AS (SELECT vec_id, vec_id AS c FROM v UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.vec_id),
+m AS (SELECT vec_id, min(c) AS c FROM r GROUP BY vec_id)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c AS component_id, v.vec_id = c AS kept FROM v JOIN m ON m.vec_id = v.vec_id LEFT JOIN n ON n.a = v.vec_id"""
+
+
+QUERIES = {"op4_repair": op4_repair, "op5_quality": op5_quality, "op6_hilbert": op6_hilbert, "op10_embeddings": op10_embeddings, "op8_sentencepiece": op8_sentencepiece, "op9_decontaminate": op9_decontaminate, "op1_toxicity": op1_toxicity, "op2_secrets": op2_secrets, "op3_simhash": op3_simhash}
+ORACLE_SQL: dict[str, str] = {"op2_secrets": OP2_SQL, "op9_decontaminate": OP9_SQL, "op10_embeddings": OP10_SQL}
