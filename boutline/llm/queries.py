@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutline.llm import decontaminate, embeddings, hilbert, quality, repair, secrets, sentencepieces, simhash, toxicity
+from boutline.llm import decontaminate, embeddings, hilbert, quality, repair, secrets, sentencepieces, simhash, suffixes, toxicity
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,5 +137,10 @@ m AS (SELECT vec_id, min(c) AS c FROM r GROUP BY vec_id)
 SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c AS component_id, v.vec_id = c AS kept FROM v JOIN m ON m.vec_id = v.vec_id LEFT JOIN n ON n.a = v.vec_id"""
 
 
-QUERIES = {"op4_repair": op4_repair, "op5_quality": op5_quality, "op6_hilbert": op6_hilbert, "op10_embeddings": op10_embeddings, "op8_sentencepiece": op8_sentencepiece, "op9_decontaminate": op9_decontaminate, "op1_toxicity": op1_toxicity, "op2_secrets": op2_secrets, "op3_simhash": op3_simhash}
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return suffixes.remove_repeats(spark, docs).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op7_suffixes": op7_suffixes, "op4_repair": op4_repair, "op5_quality": op5_quality, "op6_hilbert": op6_hilbert, "op10_embeddings": op10_embeddings, "op8_sentencepiece": op8_sentencepiece, "op9_decontaminate": op9_decontaminate, "op1_toxicity": op1_toxicity, "op2_secrets": op2_secrets, "op3_simhash": op3_simhash}
 ORACLE_SQL: dict[str, str] = {"op2_secrets": OP2_SQL, "op9_decontaminate": OP9_SQL, "op10_embeddings": OP10_SQL}
