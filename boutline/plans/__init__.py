@@ -1 +1,6 @@
-"""boutline.plans"""
+"""Named queries on the driver's tables."""
+
+from boutline.plans import cubes, relational, scalars  # noqa: F401
+from boutline.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
