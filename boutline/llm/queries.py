@@ -128,9 +128,8 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = """
-WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-fine AS (SELECT vec_id, label, CASE WHEN len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0 THEN e END AS e FROM v),
-ok AS (SELECT * FROM fine WHERE vec_id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL),
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: coalesce(x, CAST('nan' AS DOUBLE))) AS e FROM embeddings),
+ok AS MATERIALIZED (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
 p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
 n AS (SELECT a, count(*) AS n FROM p GROUP BY a),
 r AS (SELECT vec_id, vec_id AS c FROM v UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.vec_id),
