@@ -87,7 +87,7 @@ def normalize_title(c: Column) -> Column:
 
 def truncate_words(c: Column, most: int) -> Column:
     """Cut at a word's end and mark with an ellipsis."""
-    cut = F.regexp_replace(F.substring(c, 1, most), r"\s+\S*$", "")
+    cut = F.regexp_replace(F.substring(c, 1, most), r"\s+\S*\z", "")
     return F.when(F.length(c) <= most, c).otherwise(F.concat(cut, F.lit("…")))
 
 

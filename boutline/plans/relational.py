@@ -406,7 +406,7 @@ def w11(t):
     return R.latest_per_key(t.lineitem, ["l_orderkey"], [(C("l_returnflag") == "R").desc(), C("l_partkey"), C("l_suppkey")]).select("l_orderkey", "l_partkey")
 
 
-@query("w12_neighbours", "WITH r AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders), m AS (SELECT o_custkey, rn AS at FROM r WHERE o_orderkey % 100 = 0) SELECT DISTINCT o_orderkey FROM r JOIN m USING (o_custkey) WHERE rn BETWEEN at - 2 AND at + 2")
+@query("w12_neighbours", "WITH r AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders), m AS (SELECT o_custkey, rn AS spot FROM r WHERE o_orderkey % 100 = 0) SELECT DISTINCT o_orderkey FROM r JOIN m USING (o_custkey) WHERE rn BETWEEN spot - 2 AND spot + 2")
 def w12(t):
     w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(-2, 2)
     return t.orders.withColumn("near", F.bool_or(C("o_orderkey") % 100 == 0).over(w)).where("near").select("o_orderkey")

@@ -57,9 +57,9 @@ def f05(t):
  WHEN left(a.w[1], 3) = left(b.w[1], 3) AND a.w[-1] = b.w[-1] THEN 4 END AS level FROM (SELECT p_partkey, string_split(lower(p_type), ' ') AS w FROM part WHERE p_partkey < 60) a JOIN (SELECT p_partkey, string_split(lower(p_type), ' ') AS w FROM part WHERE p_partkey BETWEEN 60 AND 120) b ON list_sort(a.w)[1] = list_sort(b.w)[1]""")
 def f06(t):
     p = t.part.select("p_partkey", text.name_words(C("p_type")).alias("w"))
-    a, b = p.where("p_partkey < 60").alias("a"), p.where("p_partkey BETWEEN 60 AND 120").alias("b")
+    a, b = p.where("p_partkey < 60").alias("x"), p.where("p_partkey BETWEEN 60 AND 120").alias("y")
     key = lambda s: F.array_min(f"{s}.w")
-    return a.join(b, key("a") == key("b")).select(C("a.p_partkey").alias("a"), C("b.p_partkey").alias("b"), text.name_level(C("a.w"), C("b.w")).alias("level"))
+    return a.join(b, key("x") == key("y")).select(C("x.p_partkey").alias("a"), C("y.p_partkey").alias("b"), text.name_level(C("x.w"), C("y.w")).alias("level"))
 
 
 ALIASES = {"BUILDING": "construction", "MACHINERY": "machines"}  # an alias map is a parameter of the operator
