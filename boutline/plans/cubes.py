@@ -122,7 +122,7 @@ def a21(t):
     return d.join(o, "l_orderkey").where("result <> _r").groupBy("l_partkey").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("own"), F.round(F.sum("oq"), 2).alias("opponent"))
 
 
-@query("a22_weighted_merge", "SELECT o_custkey, round(sum(CASE WHEN o_orderkey % 3 = 0 THEN 0.35 ELSE 1 END), 4) AS n FROM orders GROUP BY 1")
+@query("a22_weighted_merge", "SELECT o_custkey, CAST(round(sum(CASE WHEN o_orderkey % 3 = 0 THEN 0.35 ELSE 1 END), 4) AS DOUBLE) AS n FROM orders GROUP BY 1")
 def a22(t):
     return t.orders.groupBy("o_custkey").agg(r4(F.sum(F.when(C("o_orderkey") % 3 == 0, 0.35).otherwise(1.0))).alias("n"))
 

@@ -348,7 +348,7 @@ def w02(t):
     return R.page(t.customer.where("c_mktsegment = 'MACHINERY'").select("c_custkey", "c_name"), [C("c_name")], 2, 20)
 
 
-@query("w03_pinned_rank", "SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey = k DESC, p_retailprice DESC, p_partkey) - CAST(bool_or(p_partkey = k) OVER (PARTITION BY p_brand) AS INT) AS rank FROM (SELECT *, min(CASE WHEN p_size = 1 THEN p_partkey END) OVER (PARTITION BY p_brand) AS k FROM part)")
+@query("w03_pinned_rank", "SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY coalesce(p_partkey = k, false) DESC, p_retailprice DESC, p_partkey) - CAST(bool_or(coalesce(p_partkey = k, false)) OVER (PARTITION BY p_brand) AS INT) AS rank FROM (SELECT *, min(CASE WHEN p_size = 1 THEN p_partkey END) OVER (PARTITION BY p_brand) AS k FROM part)")
 def w03(t):
     champion = F.coalesce(C("p_partkey") == F.min(F.when(C("p_size") == 1, C("p_partkey"))).over(W.partitionBy("p_brand")), F.lit(False))
     d = t.part.select("p_partkey", "p_brand", "p_retailprice", champion.alias("champion"))

@@ -139,7 +139,7 @@ def f19(t):
     return t.orders.select("o_orderkey", dates.age_years(d, at).alias("age"), dates.calendar_age(d, at).alias("birthdays"))
 
 
-@query("f20_durations", "SELECT event_id, round(CASE k WHEN 0 THEN 0 WHEN 1 THEN 0 ELSE 5 * r + k + s / 60 END, 4) AS a, round(CASE k WHEN 0 THEN 5 * r + 5 WHEN 1 THEN 5 * r + 5 ELSE greatest(0.5, 5 * r + k + s / 60) END, 4) AS b, CASE WHEN k < 2 THEN NULL ELSE 300.0 * r + 60 * k + s END AS d FROM (SELECT event_id, event_id % 5 AS k, event_id % 3 AS r, event_id % 60 AS s FROM events)")
+@query("f20_durations", "SELECT event_id, round(CASE k WHEN 0 THEN 0 WHEN 1 THEN 0 ELSE 5 * r + k + s / 60 END, 4) AS a, round(CASE k WHEN 0 THEN 5 * r + 5 WHEN 1 THEN 5 * r + 5 ELSE greatest(0.5, 5 * r + k + s / 60) END, 4) AS b, CAST(CASE WHEN k < 2 THEN NULL ELSE 300 * r + 60 * k + s END AS DOUBLE) AS d FROM (SELECT event_id, event_id % 5 AS k, event_id % 3 AS r, event_id % 60 AS s FROM events)")
 def f20(t):
     k, r = C("event_id") % 5, C("event_id") % 3 + 1
     clock = F.when(k == 0, None).when(k == 1, "bad").otherwise(F.concat(k.cast("string"), F.lit(":"), F.lpad((C("event_id") % 60).cast("string"), 2, "0")))
