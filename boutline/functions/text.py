@@ -68,15 +68,17 @@ def is_subsequence(short: Column, long: Column) -> Column:
 
 def name_level(a: Column, b: Column) -> Column:
     """0 to 4, the strictest level at which two word lists match, else null (F06): equal, equal joined, equal sorted, one a subsequence of the other (two words or
-    more), same first three letters of the first and same last word."""
+    more), first words that differ but share three letters, and the same words after them."""
     shorter, longer = F.when(F.size(a) <= F.size(b), a).otherwise(b), F.when(F.size(a) <= F.size(b), b).otherwise(a)
-    first3 = F.substring(F.get(a, F.lit(0)), 1, 3) == F.substring(F.get(b, F.lit(0)), 1, 3)
+    one, other = F.get(a, F.lit(0)), F.get(b, F.lit(0))
+    tail = lambda w: F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0)))
+    shortened = (one != other) & (F.length(one) >= 3) & (F.length(other) >= 3) & (F.substring(one, 1, 3) == F.substring(other, 1, 3)) & (tail(a) == tail(b))
     return (
         F.when(a == b, 0)
         .when(F.array_join(a, "") == F.array_join(b, ""), 1)
         .when(F.array_sort(a) == F.array_sort(b), 2)
         .when((F.size(shorter) >= 2) & is_subsequence(shorter, longer), 3)
-        .when((F.size(a) >= 2) & (F.size(b) >= 2) & first3 & (F.element_at(a, -1) == F.element_at(b, -1)), 4)
+        .when((F.size(a) >= 2) & (F.size(a) == F.size(b)) & shortened, 4)
     )
 
 

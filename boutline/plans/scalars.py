@@ -11,10 +11,6 @@ from boutline.plans.registry import query
 C = F.col
 
 
-def head():
-    return F.substring("text", 1, 60)
-
-
 _ACC = text.ACCENTED.replace("'", "''")
 _NOACC = f"regexp_replace(translate({{}}, '{_ACC}', '{text.PLAIN}'), '[\\x{{{{300}}}}-\\x{{{{36F}}}}]', '', 'g')"
 
@@ -23,13 +19,13 @@ def plain_sql(x: str) -> str:
     return _NOACC.format(x).replace("{{", "{").replace("}}", "}")
 
 
-_SLUG = "trim(regexp_replace(lower(regexp_replace(" + plain_sql("left(text, 60)") + ", '[''‘’`]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-')"
-_NAME = "trim(regexp_replace(regexp_replace(lower(" + plain_sql("left(text, 60)") + "), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+_SLUG = "trim(regexp_replace(lower(regexp_replace(" + plain_sql("text") + ", '[''‘’`]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-')"
+_NAME = "trim(regexp_replace(regexp_replace(lower(" + plain_sql("text") + "), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'))"
 
 
 @query("f01_slug", f"SELECT doc_id, {_SLUG} AS slug FROM documents")
 def f01(t):
-    return t.documents.select("doc_id", text.slugify(head()).alias("slug"))
+    return t.documents.select("doc_id", text.slugify(C("text")).alias("slug"))
 
 
 @query("f02_href", "SELECT p_partkey, '/part/' || CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE lower(replace(p_type, ' ', '-')) END AS href FROM part")
@@ -38,14 +34,14 @@ def f02(t):
     return t.part.select("p_partkey", text.href("part", name, C("p_partkey")).alias("href"))
 
 
-@query("f03_slug_lookup", f"SELECT doc_id FROM documents WHERE left(text, 60) LIKE '%the%and%' AND {_SLUG} LIKE '%-the-%'")
+@query("f03_slug_lookup", f"SELECT doc_id FROM documents WHERE text LIKE '%the%and%' AND {_SLUG} LIKE '%-the-%'")
 def f03(t):
-    return t.documents.where(head().like("%the%and%") & text.slugify(head()).contains("-the-")).select("doc_id")
+    return t.documents.where(C("text").like("%the%and%") & text.slugify(C("text")).contains("-the-")).select("doc_id")
 
 
 @query("f04_name", f"SELECT doc_id, {_NAME} AS name FROM documents")
 def f04(t):
-    return t.documents.select("doc_id", text.normalize_name(head()).alias("name"))
+    return t.documents.select("doc_id", text.normalize_name(C("text")).alias("name"))
 
 
 @query("f05_name_words", "SELECT c_custkey, array_to_string(list_transform(list_filter(string_split('st ' || lower(c_mktsegment) || ' jr ii', ' '), x -> x NOT IN ('jr', 'sr', 'ii', 'iii', 'iv')), x -> CASE WHEN x = 'st' THEN 'saint' ELSE x END), ' ') AS words FROM customer".replace("x -> x NOT", "lambda x: x NOT").replace("x -> CASE", "lambda x: CASE"))
@@ -53,13 +49,13 @@ def f05(t):
     return t.customer.select("c_custkey", F.array_join(text.name_words(F.concat(F.lit("St-"), C("c_mktsegment"), F.lit(" Jr II"))), " ").alias("words"))
 
 
-@query("f06_match_levels", """SELECT a.p_partkey AS a, b.p_partkey AS b, CASE WHEN a.w = b.w THEN 0 WHEN array_to_string(a.w, '') = array_to_string(b.w, '') THEN 1 WHEN list_sort(a.w) = list_sort(b.w) THEN 2
- WHEN left(a.w[1], 3) = left(b.w[1], 3) AND a.w[-1] = b.w[-1] THEN 4 END AS level FROM (SELECT p_partkey, string_split(lower(p_type), ' ') AS w FROM part WHERE p_partkey < 60) a JOIN (SELECT p_partkey, string_split(lower(p_type), ' ') AS w FROM part WHERE p_partkey BETWEEN 60 AND 120) b ON list_sort(a.w)[1] = list_sort(b.w)[1]""")
+@query("f06_match_levels", """WITH w AS (SELECT DISTINCT p_type || ' ' || p_name AS name FROM part), v AS (SELECT name, string_split(lower(name), ' ') AS w FROM w)
+ SELECT a.name AS a, b.name AS b, CASE WHEN a.w = b.w THEN 0 WHEN list_sort(a.w) = list_sort(b.w) THEN 2 WHEN a.w[2:] = b.w[2:] AND a.w[1] <> b.w[1] AND left(a.w[1], 3) = left(b.w[1], 3) THEN 4 END AS level FROM v a JOIN v b ON list_sort(a.w)[-1] = list_sort(b.w)[-1]""")
 def f06(t):
-    p = t.part.select("p_partkey", text.name_words(C("p_type")).alias("w"))
-    a, b = p.where("p_partkey < 60").alias("x"), p.where("p_partkey BETWEEN 60 AND 120").alias("y")
-    key = lambda s: F.array_min(f"{s}.w")
-    return a.join(b, key("x") == key("y")).select(C("x.p_partkey").alias("a"), C("y.p_partkey").alias("b"), text.name_level(C("x.w"), C("y.w")).alias("level"))
+    p = t.part.select(F.concat_ws(" ", "p_type", "p_name").alias("name")).distinct().withColumn("w", text.name_words(C("name")))
+    a, b = p.alias("x"), p.alias("y")
+    key = lambda s: F.array_max(f"{s}.w")
+    return a.join(b, key("x") == key("y")).select(C("x.name").alias("a"), C("y.name").alias("b"), text.name_level(C("x.w"), C("y.w")).alias("level"))
 
 
 ALIASES = {"BUILDING": "construction", "MACHINERY": "machines"}  # an alias map is a parameter of the operator
@@ -71,9 +67,9 @@ def f07(t):
     return t.customer.select("c_custkey", F.coalesce(table[C("c_mktsegment")], C("c_mktsegment")).alias("name"))
 
 
-@query("f08_title", r"SELECT doc_id, trim(regexp_replace(regexp_replace(lower(left(text, 60)), '[^\p{L}\p{N}\s]', ' ', 'g'), '\s+', ' ', 'g')) AS title FROM documents")
+@query("f08_title", r"SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}\s]', ' ', 'g'), '\s+', ' ', 'g')) AS title FROM documents")
 def f08(t):
-    return t.documents.select("doc_id", text.normalize_title(head()).alias("title"))
+    return t.documents.select("doc_id", text.normalize_title(C("text")).alias("title"))
 
 
 @query("f09_truncate", r"SELECT doc_id, CASE WHEN length(text) <= 120 THEN text ELSE regexp_replace(left(text, 120), '\s+\S*$', '') || '…' END AS cut FROM documents")
