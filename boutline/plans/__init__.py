@@ -1,6 +1,6 @@
 """Named queries on the driver's tables."""
 
-from boutline.plans import cubes, entities, ingestion, models, relational, replays, scalars  # noqa: F401
+from boutline.plans import cubes, entities, ingestion, models, profiles, relational, replays, scalars  # noqa: F401
 from boutline.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -9,7 +9,7 @@ import pytest
 
 from boutline.plans import ORACLE_SQL, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("BOUTLINE_SF", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
