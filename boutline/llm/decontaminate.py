@@ -1,16 +1,16 @@
 """Benchmark decontamination by SimHash over item-sized windows, in DataFrame functions only.
 
-1. Words: text lower-cased, everything but letters and digits is a gap.  A window and an item of 0.8 similarity share a shingle,
-   so windows are those of an item's length laid where a shared shingle puts the item's start; no other window can qualify.
-2. Each window gets a 64-bit SimHash of its shingles.  Multi-index Hamming blocks: with more blocks than `radius`, two fingerprints
-   within the radius agree on a block at least, so a join on (item, block, value) finds all of them.
-3. Candidates within the radius are verified by the exact weighted similarity of their shingles: sum of minimum counts over sum
-   of maximum counts.
+1. Words: text lower-cased, everything but letters and digits is a gap.  A window that has any similarity to an item shares a shingle
+   with it, so a join on shingles finds every (document, item) there can be.
+2. All windows of the item's length are compared, wherever they start.  The j-th occurrence of a shingle that the item has c times adds
+   one to the shared count of the windows that hold it but not the occurrence c before it: a range of starts.  A sweep over the ends of
+   these ranges gives the exact weighted similarity (sum of minimum counts over sum of maximum counts) of every start.
+3. The best window gets a 64-bit SimHash of its shingles, and its distance from the item's must be within the radius.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boutline.llm.scratch import Scratch
@@ -40,30 +40,11 @@ def simhash64(hashes: Column) -> Column:
     return F.aggregate(masks, F.lit(0).cast("long"), lambda acc, m: acc.bitwiseOR(m))
 
 
-def block_values(fp: Column, blocks: int) -> Column:
-    """array<struct<block, value>>: the fingerprint cut into `blocks` runs of bits."""
-    cuts = [64 * b // blocks for b in range(blocks + 1)]
-    return F.array(*(F.struct(F.lit(b).alias("block"), F.shiftrightunsigned(fp, cuts[b]).bitwiseAND(F.lit((1 << (cuts[b + 1] - cuts[b])) - 1).cast("long")).alias("value")) for b in range(blocks)))
-
-
-def weighted_similarity(a: Column, b: Column) -> Column:
-    """Sum of minimum over sum of maximum counts of two arrays."""
-    count = lambda xs, v: F.size(F.filter(xs, lambda x: x == v))
-    shared = F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, v: acc + F.least(count(a, v), count(b, v)))
-    return shared / (F.size(a) + F.size(b) - shared)
-
-
 def _bounded(df: DataFrame) -> DataFrame:
     """`df` to be broadcast if it is counted at BROADCAST_ROWS rows or fewer."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _first_agreeing(a: Column, b: Column, blocks: int) -> Column:
-    """Index of the first block that two fingerprints share; so that a pair found in several blocks is kept once."""
-    differ = block_values(a.bitwiseXOR(b), blocks)
-    return F.array_position(F.transform(differ, lambda x: x["value"]), F.lit(0).cast("long")) - 1
-
-
 def find_leaks(
     spark: SparkSession,
     docs: DataFrame,
@@ -87,7 +68,8 @@ def find_leaks(
     """
     scratch = Scratch(spark, "leaks")
     items = benchmark.select(F.col(item_col).alias("item"), words_of(F.coalesce(F.col(item_text), F.lit(""))).alias("w")).where("item IS NOT NULL AND size(w) > 0")
-    items = scratch.table(items.select("item", "w", F.size("w").alias("n"), F.least(F.lit(SHINGLE), F.size("w")).alias("k")), "items")
+    items = items.withColumn("item_hash", F.xxhash64("item", "w")).dropDuplicates(["item_hash"])
+    items = scratch.table(items.select("item", "item_hash", "w", F.size("w").alias("n"), F.least(F.lit(SHINGLE), F.size("w")).alias("k")), "items")
     sizes = [r["k"] for r in items.select("k").distinct().orderBy("k").collect()] or [SHINGLE]  # five values at most
 
     def of_size(words: str, k: Column | None = None) -> Column:
@@ -96,30 +78,38 @@ def find_leaks(
             return F.array(*(F.struct(F.lit(n).alias("k"), shingle_hashes(F.col(words), n).alias("h")) for n in sizes))
         return F.coalesce(*(F.when(k == n, shingle_hashes(F.col(words), n)) for n in sizes))
 
-    items = scratch.table(items.select("item", "n", "k", of_size("w", F.col("k")).alias("b")), "item-shingles")
+    items = scratch.table(items.select("item", "item_hash", "n", "k", of_size("w", F.col("k")).alias("b")), "item-shingles")
     items = scratch.table(items.withColumn("item_fp", simhash64(F.col("b"))), "item-prints")
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row_hash", F.xxhash64("id", "text"))
     words = rows.select("row_hash", words_of(F.col("text")).alias("w"))
     runs = words.select("row_hash", F.size("w").alias("len"), F.explode(of_size("w")).alias("s")).select("row_hash", "len", F.col("s.k").alias("k"), F.posexplode("s.h").alias("p", "h"))
-    shared = runs.join(_bounded(items.select("item", "n", "k", F.posexplode("b").alias("q", "h"))), ["k", "h"])
-    at = F.col("p") - F.col("q")
-    seeds = shared.select("row_hash", "item", F.greatest(at, F.lit(0)).alias("start"), F.least(at + F.col("n"), F.col("len")).alias("stop")).distinct()
-    seeds = scratch.table(seeds, "seeds")
-
-    hit = rows.join(seeds.select(F.col("row_hash").alias("hit")).distinct(), F.col("row_hash") == F.col("hit"), "left_semi").dropDuplicates(["row_hash"])
+    counts = items.select("item_hash", "n", "k", F.explode("b").alias("h")).groupBy("item_hash", "n", "k", "h").agg(F.count("*").cast("int").alias("c"))
+    shared = runs.join(_bounded(counts), ["k", "h"]).groupBy("row_hash", "item_hash", "h", "len", "n", "k", "c").agg(F.sort_array(F.collect_set("p")).alias("ps"))
+
+    def ends(p: Column, j: Column) -> Column:
+        """The starts of the windows in which the occurrence at p counts: +1 at the first, -1 after the last."""
+        first = F.greatest(p - F.col("n") + F.col("k"), F.get("ps", j - F.col("c")) + 1)
+        return F.array(F.struct(first.alias("s"), F.lit(1).alias("d")), F.struct((p + 1).alias("s"), F.lit(-1).alias("d")))
+
+    sweep = shared.select("row_hash", "item_hash", "len", "n", "k", F.explode(F.flatten(F.transform("ps", ends))).alias("e")).select("*", "e.s", "e.d").drop("e")
+    along = Window.partitionBy("row_hash", "item_hash").orderBy("s")
+    spans = sweep.select("*", F.sum("d").over(along).alias("shared"), F.lead("s").over(along).alias("next")).where("shared > 0 AND next > s")
+    # the shared count is the same over a span, and windows are only shorter towards the document's edges: an end of the span is best
+    at, start, stop = F.col("at"), F.greatest(F.col("at"), F.lit(0)), F.least(F.col("at") + F.col("n"), F.col("len"))
+    ranked = spans.withColumn("at", F.explode(F.array("s", F.col("next") - 1))).withColumn("similarity", F.col("shared") / (stop - start + F.col("n") - 2 * (F.col("k") - 1) - F.col("shared")))
+    best = F.min_by(F.struct(start.alias("start"), (stop - start).alias("n_words"), "similarity"), F.struct(-F.col("similarity"), at))
+    sure = ranked.where(F.col("similarity") >= similarity).groupBy("row_hash", "item_hash").agg(best.alias("x")).select("row_hash", "item_hash", "x.*")
+    sure = scratch.table(sure, "sure")
+
+    hit = rows.join(sure.select(F.col("row_hash").alias("hit")).distinct(), F.col("row_hash") == F.col("hit"), "left_semi").dropDuplicates(["row_hash"])
     hit = hit.select("id", "row_hash", words_of(F.col("text")).alias("w"))
-    windows = hit.join(seeds, "row_hash").join(_bounded(items.select("item", "k")), "item").select("id", "row_hash", "item", "k", "start", "stop", F.slice("w", F.col("start") + 1, F.col("stop") - F.col("start")).alias("w"))
-    windows = scratch.table(windows.select("id", "row_hash", "item", "start", "stop", of_size("w", F.col("k")).alias("a")).where("size(a) > 0"), "windows")
-
-    blocks = radius + 1
-    index = _bounded(items.select("item", "b", "item_fp", F.explode(block_values(F.col("item_fp"), blocks)).alias("at")).select("item", "b", "item_fp", "at.block", "at.value"))
-    probes = scratch.table(windows.withColumn("fp", simhash64(F.col("a"))), "probes")
-    probes = probes.withColumn("at", F.explode(block_values(F.col("fp"), blocks))).select("*", "at.block", "at.value").drop("at")
-    near = probes.join(index, ["item", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).where(F.col("block") == _first_agreeing(F.col("fp"), F.col("item_fp"), blocks))
-    sure = near.withColumn("similarity", weighted_similarity(F.col("a"), F.col("b"))).where(F.col("similarity") >= similarity)
-    best = F.min_by(F.struct("start", (F.col("stop") - F.col("start")).alias("n_words"), F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("hamming"), "similarity"), F.struct(-F.col("similarity"), "start"))
-    return sure.groupBy("id", "row_hash", "item").agg(best.alias("x")).select("id", "row_hash", "item", "x.*")
+    windows = hit.join(sure, "row_hash").join(_bounded(items.select("item", "item_hash", "k", "item_fp")), "item_hash").withColumn("w", F.slice("w", F.col("start") + 1, F.col("n_words")))
+    windows = scratch.table(windows, "windows")
+    windows = scratch.table(windows.withColumn("a", of_size("w", F.col("k"))).drop("w"), "window-shingles")
+    windows = windows.withColumn("hamming", F.bit_count(simhash64(F.col("a")).bitwiseXOR(F.col("item_fp"))))
+    found = F.min_by(F.struct("start", "n_words", "hamming", "similarity"), F.struct(-F.col("similarity"), "start"))
+    return windows.where(F.col("hamming") <= radius).groupBy("id", "row_hash", "item").agg(found.alias("x")).select("id", "row_hash", "item", "x.*")
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
