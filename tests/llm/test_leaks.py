@@ -44,3 +44,12 @@ def test_windows_of_random_texts(spark):
     got = found(spark, docs, items)
     assert got and {p for p in got} == plain_leaks(docs, items).keys()
     assert got == plain_leaks(docs, items)
+
+
+def test_repeats_move_many_bits(spark):
+    """A run of one word is another one in the passage: over 0.8 alike by weight, and far apart as SimHashes."""
+    words = [f"w{k}" for k in range(164)]
+    items = {n: " ".join(words + [f"run{n}"] * 18) for n in range(8)}
+    docs = {n: " ".join(["before"] * 9 + words + ["other"] * 18 + ["after"] * 9) for n in range(1)}
+    got = found(spark, docs, items)
+    assert len(got) == 8 and got == plain_leaks(docs, items)
