@@ -130,26 +130,34 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     prints = scratch.table(with_fingerprint(rows, "text", "fp", shingle).select("id", "fp"), "prints")
     classes = scratch.table(prints.groupBy("fp").agg(F.min("id").alias("rep")).where("rep IS NOT NULL"), "classes")
+    labels = scratch.table(_labels(spark, classes, threshold, scratch), "labels")
+    return prints.join(labels, prints.fp == labels.of, "left").select("id", "fp", "component")
+
+
+def _labels(spark: SparkSession, classes: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
+    """(of, component) for each (fp, rep): the smallest rep reachable over links of at most `threshold` bits."""
     spread = classes.mapInPandas(_under_anchors(1 + (threshold + 1) // 2), "anchor long, fp long, rep long")
     groups = spread.groupBy("anchor").agg(F.collect_list(F.struct("fp", "rep")).alias("members")).where("size(members) > 1").select("members")
     edges = groups.mapInPandas(_compare(threshold), "src long, dst long")
     parts = connected_components(spark, edges, scratch)
-    joined = classes.join(parts, classes.rep == parts.node, "left").select(F.col("fp").alias("of"), F.coalesce("component", "rep").alias("component"))
-    labels = scratch.table(joined, "labels")
-    return prints.join(labels, prints.fp == labels.of, "left").select("id", "fp", "component")
+    return classes.join(parts, classes.rep == parts.node, "left").select(F.col("fp").alias("of"), F.coalesce("component", "rep").alias("component"))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = 2) -> DataFrame:
-    """One row of each group of near duplicates, with all its columns: the one with the smallest id (of repeated ids, any one).
-
-    Rows without an id stay only where no row with an id has their fingerprint; equal texts among them stay once."""
-    found = near_duplicates(spark, docs, id_col=id_col, text_col=text_col, shingle=shingle, threshold=threshold)
-    kept = found.where("id = component").select(F.col("id").alias("kept_id")).distinct()
-    one = docs.join(kept, docs[id_col] == kept.kept_id, "left_semi").dropDuplicates([id_col])
-    loose = with_fingerprint(docs.where(docs[id_col].isNull()).select(F.struct("*").alias("doc"), F.col(text_col).alias("text")), "text", "fp", shingle)
-    known = found.where("id IS NOT NULL").select(F.col("fp").alias("known")).distinct()
-    loose = loose.join(known, loose.fp == known.known, "left_anti").dropDuplicates(["text"])
-    return one.unionByName(loose.select("doc.*"))
+    """One row of each group of near duplicates, with all its columns: the one with the smallest id (of equal ids, the smallest hash of id and text).
+
+    Fingerprints are linked, not ids, so texts that share an id are told apart.  Rows without an id link like any other and stay only
+    where their group has no row with an id."""
+    scratch = Scratch(spark, "near")
+    key = F.xxhash64(docs[id_col], docs[text_col])
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), key.alias("key"))
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    prints = with_fingerprint(rows, "text", "fp", shingle).select("fp", first.alias("first"))
+    firsts = scratch.table(prints.groupBy("fp").agg(F.min("first").alias("first")), "firsts")
+    labels = _labels(spark, firsts.select("fp", F.col("fp").alias("rep")), threshold, scratch)
+    kept = firsts.join(labels, firsts.fp == labels.of).groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.key").alias("kept"))
+    kept = scratch.table(kept, "kept")
+    return docs.select(F.struct("*").alias("doc"), key.alias("key")).join(kept, F.col("key") == F.col("kept"), "left_semi").dropDuplicates(["key"]).select("doc.*")
 
 
 def hex_fingerprint(fp) -> F.Column:
