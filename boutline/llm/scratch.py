@@ -5,18 +5,22 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where it is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir.  Where it is unset, a folder of this machine for local masters (tests), else an error."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     made = getattr(shared_dir, "made", None)
     if made is None:
-        made = shared_dir.made = f"file://{tempfile.mkdtemp(prefix='boutline-')}"
+        made = shared_dir.made = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         atexit.register(_remove_local, made)
     return made
 
@@ -27,10 +31,27 @@ def _remove_local(path: str) -> None:
     shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
+#: The lists that `clearing` collects in.
+_OPEN: list[list[Scratch]] = []
+
+
+@contextmanager
+def clearing() -> Iterator[None]:
+    """Deletes the tables of every Scratch that was made inside, on leaving; what is returned must have been written elsewhere by then."""
+    made: list[Scratch] = []
+    _OPEN.append(made)
+    try:
+        yield
+    finally:
+        _OPEN.remove(made)
+        for scratch in made:
+            scratch.clear()
+
+
 class Scratch:
     """Written tables of one call.  `table` writes a frame and reads it back; `drop` deletes what is no longer read.
 
-    A table that a returned frame still reads stays until the shared folder is cleared, as Spark's own
+    A table that a returned frame still reads stays until `clearing` ends or the shared folder is cleared, as Spark's own
     checkpoints do.
     """
 
@@ -38,6 +59,8 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/tables/{label}-{uuid.uuid4().hex}"
         self.count = 0
+        if _OPEN:
+            _OPEN[-1].append(self)
 
     def path(self, name: str) -> str:
         self.count += 1
@@ -51,9 +74,15 @@ class Scratch:
         return kept
 
     def drop(self, *frames: DataFrame) -> None:
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for frame in frames:
             where = getattr(frame, "scratch_path", None)
             if where:
-                path = jvm.org.apache.hadoop.fs.Path(where)
-                path.getFileSystem(conf).delete(path, True)
+                self._delete(where)
+
+    def clear(self) -> None:
+        self._delete(self.root)
+
+    def _delete(self, where: str) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(conf).delete(path, True)

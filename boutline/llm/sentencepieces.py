@@ -15,12 +15,15 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2
 from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
+from boutline.llm.arrows import sliced, texts_of, with_columns
+
 MARK = "▁"
 #: Piece kinds and model kinds of the public protobuf.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
@@ -97,53 +100,63 @@ def parity(model: bytes, texts: list[str]) -> list[int]:
     return bad
 
 
+class Coder:
+    """A worker's tokenizer with what is needed to compare decoded texts."""
+
+    def __init__(self, model: bytes, threads: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
+        os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
+        spec = parse(model).normalizer_spec
+        self.tok, self.squeeze, self.plain = _built(model), spec.remove_extra_whitespaces, not spec.precompiled_charsmap
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def texts(self, ids: list[np.ndarray]) -> list[str]:
+        return self.tok.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+
+    def came_back(self, texts: list[str], decoded: list[str]) -> list[bool]:
+        """Whether each decoded text is the text as the model normalises it."""
+        out = []
+        for want, got in zip(texts, decoded):
+            if self.squeeze:
+                want = " ".join(x for x in want.split(" ") if x)
+            out.append(got == want if self.plain else got == self.tok.normalizer.normalize_str(want).replace(MARK, " ").removeprefix(" "))
+        return out
+
+
 def encode(
     docs: DataFrame,
     model: bytes,
     *,
     text_col: str = "text",
     out: str = "ids",
-    batch: int = 256,
     threads: int = 2,
     decoded: str | None = None,
+    round_trip: str | None = None,
 ) -> DataFrame:
-    """`docs` with `out` array<int>, the ids of the whole text, and `decoded` (if named) the text that they decode to.
+    """`docs` with `out` array<int>, the ids of the whole text; `decoded` (if named) the text that they decode to; `round_trip` (if named) whether that
+    is the text as the model normalises it.
 
     Null texts have no ids, as empty ones do, and decode to "".  All other columns are kept as they are; a column that already has an
-    output's name is replaced.  Texts go to the tokenizer in batches of `batch`, or fewer where they are long."""
-
-    def run(column: pd.Series):
-        os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
-        os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-        tok = _built(model)
-        held, size = [], 0
-        for text in column:
-            held.append(text or "")
-            size += len(held[-1])
-            if len(held) >= batch or size >= 1_000_000:
-                yield from tok.encode_batch_fast(held, add_special_tokens=False)
-                held, size = [], 0
-        if held:
-            yield from tok.encode_batch_fast(held, add_special_tokens=False)
+    output's name is replaced.  Texts go to the tokenizer in batches of about 1 MB, and a batch's ids leave the worker before the next is read."""
+    new = {out: T.ArrayType(T.IntegerType())} | ({decoded: T.StringType()} if decoded else {}) | ({round_trip: T.BooleanType()} if round_trip else {})
+    columns = {f.name: f.dataType for f in docs.schema.fields} | new
 
-    if decoded is None:
-
-        @F.pandas_udf("array<int>")
-        def ids_of(texts: pd.Series) -> pd.Series:
-            return pd.Series([np.array(e.ids, np.int32) for e in run(texts)], dtype=object)
-
-        return docs.withColumn(out, ids_of(F.col(text_col)))
-
-    shape = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("text", T.StringType())])
-
-    @F.pandas_udf(shape)
-    def both_of(texts: pd.Series) -> pd.DataFrame:
-        ids = [e.ids for e in run(texts)]
-        tok = _built(model)
-        return pd.DataFrame({"ids": [np.array(x, np.int32) for x in ids], "text": tok.decode_batch(ids, skip_special_tokens=False)}, columns=["ids", "text"])
+    def run(batches):
+        coder = Coder(model, threads)
+        for batch in sliced(batches, text_col):
+            texts = texts_of(batch, text_col)
+            ids = coder.ids(texts)
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            made = {out: pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))}
+            if decoded or round_trip:
+                back = coder.texts(ids)
+                made |= {decoded: pa.array(back, pa.string())} if decoded else {}
+                made |= {round_trip: pa.array(coder.came_back(texts, back))} if round_trip else {}
+            yield with_columns(batch, made)
 
-    got = docs.withColumn("__pieces", both_of(F.col(text_col)))
-    return got.withColumns({out: F.col("__pieces.ids"), decoded: F.col("__pieces.text")}).drop("__pieces")
+    return docs.mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in columns.items()]))
 
 
 def decode(df: DataFrame, model: bytes, *, ids_col: str = "ids", out: str = "text") -> DataFrame:
@@ -158,32 +171,20 @@ def decode(df: DataFrame, model: bytes, *, ids_col: str = "ids", out: str = "tex
 
 def id_digest(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text_col: str = "text", threads: int = 2) -> DataFrame:
     """(id, n_tokens, ids_crc32, round_trip): per row the number of ids, their crc32 as little-endian unsigned 32-bit integers, and whether the
-    ids decode to the text as the model normalises it.  Whole ids never leave the task.  Null texts are empty."""
-    proto = parse(model)
-    plain = not proto.normalizer_spec.precompiled_charsmap
-    squeeze = proto.normalizer_spec.remove_extra_whitespaces
-    kind = dict(docs.dtypes)[id_col]
+    ids decode to the text as the model normalises it.  Whole ids never leave the task.  Null texts are empty; repeated rows each come back; other columns
+    are never read; an empty table gives no rows."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
-        os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-        tok = _built(model)
-        for b in batches:
-            n, crc, same = [], [], []
-            texts = [t or "" for t in b["text"]]
-            for at in range(0, len(texts), 256):
-                part = texts[at : at + 256]
-                ids = [e.ids for e in tok.encode_batch_fast(part, add_special_tokens=False)]
-                n += map(len, ids)
-                crc += (zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids)
-                for want, got in zip(part, tok.decode_batch(ids, skip_special_tokens=False)):
-                    if squeeze:
-                        want = " ".join(x for x in want.split(" ") if x)
-                    same.append(got == want if plain else got == tok.normalizer.normalize_str(want).replace(MARK, " ").removeprefix(" "))
-            yield pd.DataFrame({"id": b["id"], "n_tokens": n, "ids_crc32": crc, "round_trip": same})
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, n_tokens long, ids_crc32 long, round_trip boolean")
+        coder = Coder(model, threads)
+        for batch in sliced(batches, "text"):
+            texts = texts_of(batch, "text")
+            ids = coder.ids(texts)
+            same = coder.came_back(texts, coder.texts(ids))
+            columns = [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array(same)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "ids_crc32", "round_trip"])
+
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, n_tokens long, ids_crc32 long, round_trip boolean")
 
 
 def load(spark: SparkSession, path: str) -> bytes:

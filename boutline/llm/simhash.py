@@ -13,10 +13,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from boutline.llm.arrows import sliced, texts_of, with_columns
 from boutline.llm.components import connected_components, local_roots
 from boutline.llm.scratch import Scratch
 
@@ -44,13 +47,15 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def with_fingerprint(docs: DataFrame, text: str, name: str, shingle: int = 3) -> DataFrame:
-    """`docs` with a signed long column `name`: the fingerprint of `text`."""
+    """`docs` with a signed long column `name`, the fingerprint of `text`, in place of `text`."""
 
-    @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
+    def run(batches):
+        for batch in sliced(batches, text):
+            made = np.array([fingerprint(t, shingle) for t in texts_of(batch, text)], dtype=np.uint64).view(np.int64)
+            yield with_columns(batch, {name: pa.array(made)}, drop=(text,))
 
-    return docs.withColumn(name, of(F.col(text)))
+    kept = [f for f in docs.schema.fields if f.name != text]
+    return docs.mapInArrow(run, T.StructType([*kept, T.StructField(name, T.LongType())]))
 
 
 def anchor_masks(radius: int) -> list[np.ndarray]:
