@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boutline.llm import decontaminate, queries, secrets, sentencepieces, simhash, toxicity
-from boutline.llm.scratch import Scratch
+from boutline.llm.scratch import Scratch, clearing
 
 #: The stages score against labels and a benchmark model that SQL can't hold.
 ORACLE_SQL = None
@@ -39,8 +39,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, round_trip: whether decoding gives the text back."""
     model = sentencepieces.load(spark, queries.SENTENCEPIECE_MODEL)
-    both = sentencepieces.encode(docs, model, out="ids", decoded="decoded")
-    return both.select("doc_id", "lang", "source", F.size("ids").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    both = sentencepieces.encode(docs.select("doc_id", "lang", "source", "text"), model, out="ids", round_trip="round_trip")
+    return both.select("doc_id", "lang", "source", F.size("ids").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [("toxicity", drop_toxic), ("simhash", drop_near_duplicates), ("decontaminate", drop_leaks), ("secrets", redact_secrets), ("sentencepiece", encode)]
@@ -50,6 +50,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        before, docs = docs, scratch.table(stage(spark, docs, sf_dir), name)
+        before = docs
+        with clearing():  # a stage's own tables go once its rows are written
+            docs = scratch.table(stage(spark, before, sf_dir), name)
         scratch.drop(before)
     return docs
