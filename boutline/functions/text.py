@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 
 
 def _accents() -> tuple[str, str]:
-    """Every Latin letter whose decomposition starts with an ASCII letter, and that letter; lower and upper case, built from Unicode's own rule."""
+    """Every letter of the Latin blocks whose decomposition starts with an ASCII letter, and that letter; lower and upper case, built from Unicode's own rule."""
     pairs = {}
-    for code in range(0xC0, 0x250):
-        c = chr(code)
-        plain = unicodedata.normalize("NFD", c)[0]
-        if plain.isascii() and plain != c:
-            pairs[c] = plain
+    for block in (range(0xC0, 0x250), range(0x1E00, 0x1F00)):
+        for c in map(chr, block):
+            plain = unicodedata.normalize("NFD", c)[0]
+            if plain != c and plain.isascii() and plain.isalpha():
+                pairs[c] = plain
     # Letters without a decomposition.
-    pairs |= {"ł": "l", "Ł": "L", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ı": "i"}
+    pairs |= {"ł": "l", "Ł": "L", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "ı": "i"}
     return "".join(pairs), "".join(pairs.values())
 
 
@@ -30,7 +30,7 @@ def strip_accents(c: Column) -> Column:
 
 def slugify(c: Column) -> Column:
     """Accents off, apostrophes deleted, lower case, other runs to one hyphen, no hyphen at the ends."""
-    plain = F.lower(F.regexp_replace(strip_accents(c), "['‘’`]", ""))
+    plain = F.lower(F.regexp_replace(strip_accents(c), "['‘’`´]", ""))
     return F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 

@@ -9,15 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _checkpointed(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+from boutline.operators.durable import checkpointed
 
 
 def both_ways(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -28,15 +20,15 @@ def both_ways(edges: DataFrame, a: str, b: str) -> DataFrame:
 def spread_labels(seeds: DataFrame, edges: DataFrame, node: str = "node", label: str = "label", a: str = "a", b: str = "b") -> DataFrame:
     """node, label, hops: each node takes the label of its nearest seeds (J25). A node that different labels reach in the same hop stays unknown and passes
     nothing on, and so does what lies only behind it. Of several labels of one seed, the smallest counts."""
-    links = _checkpointed(both_ways(edges, a, b))
+    links = checkpointed(both_ways(edges, a, b))
     front = seeds.where(F.col(node).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(node).alias("node")).agg(F.min(label).alias("label")).withColumn("hops", F.lit(0))
-    front = seen = _checkpointed(front)
+    front = seen = checkpointed(front)
     hops = 0
     while True:
         hops += 1
         reached = front.where("label IS NOT NULL").join(links, F.col("node") == F.col("a")).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("low"), F.max("label").alias("high"))
         fresh = reached.join(seen.select("node"), "node", "left_anti")
-        front = _checkpointed(fresh.select("node", F.when(F.col("low") == F.col("high"), F.col("low")).alias("label"), F.lit(hops).alias("hops")))
+        front = checkpointed(fresh.select("node", F.when(F.col("low") == F.col("high"), F.col("low")).alias("label"), F.lit(hops).alias("hops")))
         if front.isEmpty():
             return seen.where("label IS NOT NULL").select(F.col("node").alias(node), F.col("label").alias(label), "hops")
         seen = seen.unionByName(front)
@@ -45,8 +37,8 @@ def spread_labels(seeds: DataFrame, edges: DataFrame, node: str = "node", label:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component: the smallest node reachable. Nodes point to a smaller neighbour, then to what that one points to, so the number of rounds grows
     with the logarithm of a path's length."""
-    links = _checkpointed(both_ways(edges, a, b))
-    roots = _checkpointed(links.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    links = checkpointed(both_ways(edges, a, b))
+    roots = checkpointed(links.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     while True:
         at = roots.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
         lifted = roots.join(at, F.col("root") == F.col("_n")).select("node", F.col("_r").alias("root"))
@@ -54,7 +46,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         seen = links.join(lifted.withColumnRenamed("node", "_m"), F.col("b") == F.col("_m")).select(F.col("a").alias("node"), "root")
         low = lifted.unionByName(seen).groupBy("node").agg(F.min("root").alias("low"))
         hooked = low.join(lifted, "node").groupBy(F.col("root").alias("node")).agg(F.min("low").alias("low"))
-        new = _checkpointed(low.unionByName(hooked).groupBy("node").agg(F.min("low").alias("root")))
+        new = checkpointed(low.unionByName(hooked).groupBy("node").agg(F.min("low").alias("root")))
         if new.join(roots.withColumnRenamed("root", "_r"), "node").where("root != _r").isEmpty():
             return new.select("node", F.col("root").alias("component"))
         roots = new

@@ -15,14 +15,17 @@ from boutline.functions.text import name_level, name_words, normalize_name
 EXACT, ALIAS = -2, -1
 
 
-def _blocks(words: Column) -> Column:
-    """Keys of which two names that match at any tier share one: the words joined, the words sorted, each word of two or more with its successor's
-    absence (subsequences share words), and first three letters plus all but the first word."""
+def _blocks(words: Column, mine: str, theirs: str) -> Column:
+    """Keys of which two names that match at any tier share one: the words joined, the words sorted, first three letters plus all but the first word, and for
+    subsequences the shorter name's first two words, which stand in this order in the longer one. As the shorter name one has one such key (`mine`), as
+    the longer one a key for each pair of its words (`theirs`); a block of a common single word, which would pair all its names, does not exist."""
     rest = F.array_join(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), " ")
-    return F.array_distinct(F.concat(
-        F.array(F.concat(F.lit("j:"), F.array_join(words, "")), F.concat(F.lit("s:"), F.array_join(F.array_sort(words), " ")), F.concat(F.lit("f:"), F.substring(F.get(words, F.lit(0)), 1, 3), F.lit(" "), rest)),
-        F.transform(words, lambda w: F.concat(F.lit("w:"), w)),
-    ))
+    fixed = F.array(F.concat(F.lit("j:"), F.array_join(words, "")), F.concat(F.lit("s:"), F.array_join(F.array_sort(words), " ")), F.concat(F.lit("f:"), F.substring(F.get(words, F.lit(0)), 1, 3), F.lit(" "), rest))
+    pair = lambda tag, a, b: F.concat(F.lit(f"{tag}:"), a, F.lit(" "), b)
+    after = lambda i: F.slice(words, i + 2, F.greatest(F.size(words) - i - 1, F.lit(0)))
+    longer = F.flatten(F.transform(words, lambda a, i: F.transform(after(i), lambda b: pair(theirs, a, b))))
+    shorter = F.when(F.size(words) >= 2, F.array(pair(mine, F.get(words, F.lit(0)), F.get(words, F.lit(1))))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(fixed, shorter, longer))
 
 
 def tiered_match(names: DataFrame, candidates: DataFrame, name: str, ident: str, candidate: str, aliases: dict[str, str] | None = None) -> DataFrame:
@@ -39,7 +42,7 @@ def tiered_match(names: DataFrame, candidates: DataFrame, name: str, ident: str,
         tiers = tiers.unionByName(wanted.select("name", table[F.col("norm")].alias("norm")).join(by_norm, "norm").where("n = 1").select("name", F.lit(ALIAS).alias("level"), "id", "n"))
     mine = wanted.where(F.size("words") > 0).groupBy("words").agg(F.count("*").alias("_")).select(F.col("words").alias("a"))
     theirs = found.where(F.size("words") > 0).groupBy("words").agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumnRenamed("words", "b")
-    pairs = mine.withColumn("k", F.explode(_blocks(F.col("a")))).join(theirs.withColumn("k", F.explode(_blocks(F.col("b")))), "k").select("a", "b", "id", "n").distinct()
+    pairs = mine.withColumn("k", F.explode(_blocks(F.col("a"), "x", "y"))).join(theirs.withColumn("k", F.explode(_blocks(F.col("b"), "y", "x"))), "k").select("a", "b", "id", "n").distinct()
     level = pairs.withColumn("level", name_level(F.col("a"), F.col("b"))).where("level IS NOT NULL").groupBy("a", "level").agg(F.min("id").alias("id"), F.sum("n").alias("n"))
     tiers = tiers.unionByName(wanted.join(level, F.col("words") == F.col("a")).select("name", "level", "id", "n"))
     best = tiers.groupBy("name").agg(F.min_by(F.struct("level", "id", "n"), "level").alias("_m")).select("name", "_m.*")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from boutline.operators.durable import checkpointed
+
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """DISTINCT ON (A08): the first row of each key in an explicit order.  Ties must be settled by `order`."""
@@ -131,3 +133,23 @@ def changed_only(base: DataFrame, new: DataFrame, keys: list[str], column: str)
     """UPDATE ... FROM that touches only rows that differ."""
     j = base.select(*keys, column).join(new.select(*keys, F.col(column).alias("_n")), keys)
     return j.where(~F.col(column).eqNullSafe(F.col("_n"))).select(*keys, F.col("_n").alias(column))
+
+
+def siblings(df: DataFrame, ident: str, keys: list[str], one: str, other: str) -> DataFrame:
+    """ident, canonical, siblings: how many rows share `keys` and either `one` or `other` (J07), itself included, and the smallest id of them. Both counts less the
+    rows that share all three: three aggregations, so no pair of siblings is formed. A row that lacks a key has none and is its own canonical row."""
+    out = df.select(ident, *keys, one, other)
+    for n, group in enumerate(([*keys, one], [*keys, other], [*keys, one, other])):
+        out = out.join(df.dropna(subset=group).groupBy(*group).agg(F.count("*").alias(f"_n{n}"), F.min(ident).alias(f"_m{n}")), group, "left")
+    zero = lambda n: F.coalesce(f"_n{n}", F.lit(0))
+    return out.select(ident, F.coalesce(F.least("_m0", "_m1"), F.col(ident)).alias("canonical"), (zero(0) + zero(1) - zero(2)).alias("siblings"))
+
+
+def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """`df` with its place, from 1, in a total order (W04): range partitions are sorted each for itself, and start after the rows of those before them,
+    one number a partition. The sorted rows are checkpointed, so that places and counts are of one partitioning."""
+    placed = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
+    starts = F.broadcast(counts.select("_p", (F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).alias("_before")))  # a row a partition
+    return placed.withColumn("_p", part).join(starts, "_p").withColumn(name, at + F.col("_before") + 1).drop("_p", "_at", "_before")

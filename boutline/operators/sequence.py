@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,31 +23,42 @@ def streak_from(recent: Column, win: str = "win", loss: str = "loss", skip: str
 
 
 def greedy_dedup(df: DataFrame, keys: list[str], ts: str, tie: str, hours: float) -> DataFrame:
-    """Rows kept by the rule "the same key within `hours` of anything kept so far is a repeat" (R15), in (ts, tie) order.
+    """keys, tie of the rows kept by the rule "the same key within `hours` of anything kept so far is a repeat" (R15), in (ts, tie) order.
 
-    The state of a key is one number, so a fold over its sorted instants decides; only (ts, tie) is gathered, not the rows."""
+    A pause of more than `hours` ends the dependence, so a key is cut there: rows are counted by (key, window of `hours`), and a run of windows begins
+    where the first instant of one is more than `hours` after the last of the one before. Runs are dealt out and sorted by Spark, and streamed
+    through a state of one number. Only instants and ties move; rows without a key, an instant or a tie are left out."""
     gap = int(hours * 3600 * 1_000_000)
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    lists = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(micros.alias("at"), F.col(tie).alias("tie")))).alias("xs"))
-
-    @F.pandas_udf("array<boolean>")
-    def kept(instants: pd.Series) -> pd.Series:
-        out = []
-        for xs in instants:
-            last, flags = None, []
-            for x in xs:
-                keep = last is None or x - last > gap
-                last = x if keep else last
-                flags.append(keep)
-            out.append(flags)
-        return pd.Series(out)
-
-    flagged = lists.withColumn("keep", kept(F.transform("xs", lambda x: x["at"])))
-    pairs = flagged.select(*keys, F.explode(F.arrays_zip("xs", "keep")).alias("z")).where("z.keep").select(*keys, F.col("z.xs.tie").alias(tie))
-    return pairs
+    rows = df.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("_at"), F.col(tie).alias("_tie")).dropna().withColumn("_w", F.floor(F.col("_at") / gap))
+    along = Window.partitionBy(*keys).orderBy("_w")
+    windows = rows.groupBy(*keys, "_w").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+    begins = F.coalesce(F.col("_first") - F.lag("_last").over(along) > gap, F.lit(True))
+    runs = windows.withColumn("_b", F.when(begins, F.col("_w"))).select(*keys, "_w", F.last("_b", ignorenulls=True).over(along).alias("_run"))
+    dealt = rows.join(runs, [*keys, "_w"]).select(*keys, "_run", "_at", "_tie").repartition(*keys, "_run").sortWithinPartitions(*keys, "_run", "_at", "_tie")
+    types = {f.name: f.dataType.simpleString() for f in dealt.schema}
+    group = [*keys, "_run"]
+
+    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last = None, 0
+        for b in batches:
+            if not len(b):
+                continue
+            head = np.flatnonzero(np.r_[True, (b[group].to_numpy()[1:] != b[group].to_numpy()[:-1]).any(1)])
+            at, stay = b["_at"].to_numpy(), []
+            for x, y in zip(head.tolist(), [*head[1:].tolist(), len(b)]):
+                key = tuple(b[group].iloc[x])
+                if key != now:
+                    now, last = key, int(at[x]) - gap - 1
+                while (x := x + int(np.searchsorted(at[x:y], last + gap, side="right"))) < y:
+                    stay.append(x)
+                    last = int(at[x])
+            yield b.iloc[stay][[*keys, "_tie"]].rename(columns={"_tie": tie})
+
+    return dealt.mapInPandas(kept, ", ".join([*(f"{k} {types[k]}" for k in keys), f"{tie} {types['_tie']}"]))
 
 
 def fold(df: DataFrame, key: str, order: list[str], value: str, start: float, step) -> DataFrame:
-    """A state per key folded over its rows in order (R09): step(state, value) -> state, both Columns."""
+    """A state per key folded over its rows in order (R09): step(state, value) -> state, both Columns.  For keys with few rows, such as a person's bouts:
+    a key's values are one array."""
     items = F.sort_array(F.collect_list(F.struct(*order, value)))
     return df.groupBy(key).agg(items.alias("_x")).select(key, F.aggregate("_x", F.lit(float(start)), lambda s, x: step(s, x[value])).alias("state"))

@@ -50,20 +50,42 @@ def j24(t):
 
 def _trade(t):
     """Customers and suppliers that met in an order, as edges of one graph."""
-    met = t.lineitem.join(t.orders.where("o_orderstatus = 'F'"), C("l_orderkey") == C("o_orderkey"))
-    return met.where("l_quantity = 50").select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b"))
+    met = t.lineitem.join(t.orders, C("l_orderkey") == C("o_orderkey"))
+    return met.select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b"))
 
 
-_EDGES = "SELECT DISTINCT 'c' || o_custkey AS a, 's' || l_suppkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND l_quantity = 50"
+_EDGES = "SELECT DISTINCT 'c' || o_custkey AS a, 's' || l_suppkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
 
 
-@query("j25_labels")
+def _hops(n: int) -> str:
+    """Breadth-first hops as a chain of subqueries: what each reaches that none before it did, without a label where two met."""
+    steps = [f"w AS (SELECT a, b FROM ({_EDGES}) UNION SELECT b, a FROM ({_EDGES})), h0 AS (SELECT 'c' || c_custkey AS node, c_nationkey AS label, 0 AS hops FROM customer WHERE c_nationkey IN (0, 1))"]
+    for k in range(1, n + 1):
+        seen = " UNION ALL ".join(f"SELECT node FROM h{i}" for i in range(k))
+        steps.append(f"h{k} AS (SELECT b AS node, CASE WHEN min(label) = max(label) THEN min(label) END AS label, {k} AS hops FROM h{k - 1} JOIN w ON a = node WHERE label IS NOT NULL AND b NOT IN ({seen}) GROUP BY b)")
+    return f"WITH {', '.join(steps)} " + " UNION ALL ".join(f"SELECT node, label, hops FROM h{k} WHERE label IS NOT NULL" for k in range(n + 1))
+
+
+@query("j25_labels", _hops(5))
 def j25(t):
     seeds = t.customer.where("c_nationkey IN (0, 1)").select(F.concat(F.lit("c"), "c_custkey").alias("node"), C("c_nationkey").alias("label"))
     return graph.spread_labels(seeds, _trade(t))
 
 
-@query("j25_components", f"""WITH RECURSIVE e AS ({_EDGES}), w AS (SELECT * FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a AS node, a AS component FROM w UNION SELECT w.b, r.component FROM r JOIN w ON w.a = r.node)
+_ALIKE = """SELECT 'c' || c_custkey AS a, concat_ws('-', 'x', c_nationkey, CAST(floor(c_acctbal / 50) AS BIGINT)) AS b FROM customer UNION SELECT 'c' || c_custkey, concat_ws('-', 'y', c_nationkey, c_mktsegment, CAST(floor(c_acctbal / 70) AS BIGINT)) FROM customer
+ UNION SELECT 's' || s_suppkey, concat_ws('-', 'x', s_nationkey, CAST(floor(s_acctbal / 50) AS BIGINT)) FROM supplier"""
+
+
+def _alike(t):
+    """Customers and suppliers of a nation with balances in one bracket, as edges to the bracket."""
+    step = lambda c, width: F.floor(C(c) / width).cast("long")
+    c = t.customer.select(F.concat(F.lit("c"), "c_custkey").alias("a"), F.concat_ws("-", F.lit("x"), "c_nationkey", step("c_acctbal", 50)).alias("b"))
+    d = t.customer.select(F.concat(F.lit("c"), "c_custkey").alias("a"), F.concat_ws("-", F.lit("y"), "c_nationkey", "c_mktsegment", step("c_acctbal", 70)).alias("b"))
+    s = t.supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("a"), F.concat_ws("-", F.lit("x"), "s_nationkey", step("s_acctbal", 50)).alias("b"))
+    return c.unionByName(d).unionByName(s)
+
+
+@query("j25_components", f"""WITH RECURSIVE e AS ({_ALIKE}), w AS (SELECT * FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a AS node, a AS component FROM w UNION SELECT w.b, r.component FROM r JOIN w ON w.a = r.node)
  SELECT node, min(component) AS component FROM r GROUP BY node""")
 def j25_components(t):
-    return graph.components(_trade(t))
+    return graph.components(_alike(t))

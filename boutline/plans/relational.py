@@ -19,10 +19,9 @@ def s01(t):
     return t.orders.where("o_orderstatus = 'F' AND o_totalprice > 200000").select("o_orderkey", "o_totalprice")
 
 
-@query("p01_nested_sides", "SELECT o_orderkey, c_name IS NOT NULL AS matched, c_name AS side_name, c_nationkey AS side_nation FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON c_custkey = o_custkey")
+@query("p01_nested_sides", "SELECT o_orderkey, c_name IS NOT NULL AS matched, c_name AS side_name, c_nationkey AS side_nation FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal >= 0")
 def p01(t):
-    c = t.customer.where("c_custkey % 3 <> 0")
-    j = t.orders.join(c, C("o_custkey") == C("c_custkey"), "left")
+    j = t.orders.join(t.customer, (C("o_custkey") == C("c_custkey")) & (C("c_acctbal") >= 0), "left")
     side = F.when(C("c_custkey").isNotNull(), F.struct("c_name", "c_nationkey"))
     return j.select("o_orderkey", side.alias("side")).select("o_orderkey", C("side").isNotNull().alias("matched"), C("side.c_name").alias("side_name"), C("side.c_nationkey").alias("side_nation"))
 
@@ -150,11 +149,11 @@ def j01(t):
     return t.nation.join(t.region, C("n_regionkey") == C("r_regionkey")).select("n_name", "r_name")
 
 
-@query("j02_two_roles", "SELECT l_orderkey, l_linenumber, s.n_name AS supplier_nation, c.n_name AS customer_nation FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN nation s ON s.n_nationkey = s_nationkey LEFT JOIN nation c ON c.n_nationkey = c_nationkey WHERE l_quantity > 45")
+@query("j02_two_roles", "SELECT l_orderkey, l_linenumber, s.n_name AS supplier_nation, c.n_name AS customer_nation FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN nation s ON s.n_nationkey = s_nationkey LEFT JOIN nation c ON c.n_nationkey = c_nationkey")
 def j02(t):
     n = t.nation.select("n_nationkey", "n_name")
     s, c = n.alias("s"), n.alias("c")
-    d = t.lineitem.where("l_quantity > 45").join(t.orders, C("o_orderkey") == C("l_orderkey")).join(t.customer, C("c_custkey") == C("o_custkey")).join(t.supplier, C("s_suppkey") == C("l_suppkey"))
+    d = t.lineitem.join(t.orders, C("o_orderkey") == C("l_orderkey")).join(t.customer, C("c_custkey") == C("o_custkey")).join(t.supplier, C("s_suppkey") == C("l_suppkey"))
     d = d.join(s, C("s.n_nationkey") == C("s_nationkey"), "left").join(c, C("c.n_nationkey") == C("c_nationkey"), "left")
     return d.select("l_orderkey", "l_linenumber", C("s.n_name").alias("supplier_nation"), C("c.n_name").alias("customer_nation"))
 
@@ -188,10 +187,7 @@ def j06(t):
 
 @query("j07_siblings", "SELECT a.p_partkey, coalesce(min(b.p_partkey), a.p_partkey) AS canonical, count(b.p_partkey) AS siblings FROM part a LEFT JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND (a.p_size = b.p_size OR a.p_retailprice = b.p_retailprice) GROUP BY a.p_partkey")
 def j07(t):
-    p = t.part.select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice")
-    a, b = p.alias("a"), p.alias("b")
-    test = (C("a.p_brand") == C("b.p_brand")) & (C("a.p_type") == C("b.p_type")) & ((C("a.p_size") == C("b.p_size")) | (C("a.p_retailprice") == C("b.p_retailprice")))
-    return a.join(b, test, "left").groupBy(C("a.p_partkey").alias("p_partkey")).agg(F.coalesce(F.min("b.p_partkey"), F.first("a.p_partkey")).alias("canonical"), F.count("b.p_partkey").alias("siblings"))
+    return R.siblings(t.part, "p_partkey", ["p_brand", "p_type"], "p_size", "p_retailprice")
 
 
 @query("j08_one_row", "WITH w AS (SELECT max(o_orderdate) AS last FROM orders) SELECT o_orderkey, date_diff('day', o_orderdate, last) AS age FROM orders CROSS JOIN w WHERE date_diff('day', o_orderdate, last) <= 60")
@@ -240,8 +236,9 @@ def j14(t):
 
 @query("j15_exists_inequality", "SELECT o_orderkey FROM orders a WHERE EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderkey < a.o_orderkey AND b.o_totalprice > a.o_totalprice)")
 def j15(t):
-    b = t.orders.select(C("o_custkey").alias("k"), C("o_orderkey").alias("other"), C("o_totalprice").alias("price"))
-    return t.orders.join(b, (C("o_custkey") == C("k")) & (C("other") < C("o_orderkey")) & (C("price") > C("o_totalprice")), "left_semi").select("o_orderkey")
+    # an earlier row is dearer if the dearest of the earlier ones is: one sort, no pairs
+    before = W.partitionBy("o_custkey").orderBy("o_orderkey").rangeBetween(W.unboundedPreceding, -1)
+    return t.orders.select("o_orderkey", "o_totalprice", F.max("o_totalprice").over(before).alias("dearest")).where("dearest > o_totalprice").select("o_orderkey")
 
 
 @query("j16_semi_distinct", "SELECT p_partkey FROM part WHERE p_partkey IN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity >= 49)")
@@ -357,7 +354,7 @@ def w03(t):
 
 @query("w04_global_rank", "SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM supplier")
 def w04(t):
-    return t.supplier.select("s_suppkey", long(F.row_number().over(W.orderBy(C("s_acctbal").desc(), "s_suppkey"))).alias("rank"))
+    return R.global_rank(t.supplier.select("s_suppkey", "s_acctbal"), [C("s_acctbal").desc(), C("s_suppkey")], "rank").select("s_suppkey", "rank")
 
 
 @query("w05_streak", """WITH r AS (SELECT o_custkey, o_orderstatus AS s, row_number() OVER w AS rn, first_value(o_orderstatus) OVER w AS latest FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS FIRST, o_orderkey DESC)),
@@ -473,9 +470,9 @@ def o09(t):
     return d.orderBy((C("c_acctbal") > 5000).desc(), "c_custkey").limit(80).select("c_custkey")
 
 
-@query("o10_best_opponents", "SELECT l_orderkey, c_acctbal FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity = 50) JOIN orders ON o_orderkey = l_orderkey LEFT JOIN customer ON c_custkey = o_custkey ORDER BY c_acctbal DESC NULLS LAST, l_orderkey LIMIT 10")
+@query("o10_best_opponents", "SELECT l_orderkey, c_acctbal FROM (SELECT DISTINCT l_orderkey FROM lineitem) JOIN orders ON o_orderkey = l_orderkey LEFT JOIN customer ON c_custkey = o_custkey ORDER BY c_acctbal DESC NULLS LAST, l_orderkey LIMIT 10")
 def o10(t):
-    d = t.lineitem.where("l_quantity = 50").select("l_orderkey").distinct().join(t.orders, C("o_orderkey") == C("l_orderkey")).join(t.customer, C("c_custkey") == C("o_custkey"), "left")
+    d = t.lineitem.select("l_orderkey").distinct().join(t.orders, C("o_orderkey") == C("l_orderkey")).join(t.customer, C("c_custkey") == C("o_custkey"), "left")
     return d.orderBy(C("c_acctbal").desc_nulls_last(), "l_orderkey").limit(10).select("l_orderkey", "c_acctbal")
 
 
@@ -495,9 +492,9 @@ def u01(t):
     return c.unionByName(t.supplier.select(F.lit("s").alias("src"), C("s_nationkey").alias("n"))).groupBy("src", "n").agg(F.count("*").alias("k"))
 
 
-@query("u02_concat_first_seen", "SELECT 'open' AS part, o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_custkey < 200 UNION ALL SELECT 'past', o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) AS rn FROM orders WHERE o_orderstatus <> 'O' AND o_custkey < 200) WHERE rn = 1")
+@query("u02_concat_first_seen", "SELECT 'open' AS part, o_orderkey FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 'past', o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) AS rn FROM orders WHERE o_orderstatus <> 'O') WHERE rn = 1")
 def u02(t):
-    o = t.orders.where("o_custkey < 200")
+    o = t.orders
     past = R.latest_per_key(o.where("o_orderstatus <> 'O'"), ["o_custkey", "o_orderpriority"], [C("o_orderdate").desc_nulls_last(), C("o_orderkey")])
     return o.where("o_orderstatus = 'O'").select(F.lit("open").alias("part"), "o_orderkey").unionByName(past.select(F.lit("past").alias("part"), "o_orderkey"))
 

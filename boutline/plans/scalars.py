@@ -11,16 +11,10 @@ from boutline.plans.registry import query
 C = F.col
 
 
-_ACC = text.ACCENTED.replace("'", "''")
-_NOACC = f"regexp_replace(translate({{}}, '{_ACC}', '{text.PLAIN}'), '[\\x{{{{300}}}}-\\x{{{{36F}}}}]', '', 'g')"
-
-
-def plain_sql(x: str) -> str:
-    return _NOACC.format(x).replace("{{", "{").replace("}}", "}")
-
-
-_SLUG = "trim(regexp_replace(lower(regexp_replace(" + plain_sql("text") + ", '[''‘’`]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-')"
-_NAME = "trim(regexp_replace(regexp_replace(lower(" + plain_sql("text") + "), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+# DuckDB's own strip_accents does what the table of the operator does; the letters without a decomposition are listed.
+_PLAIN = "translate(strip_accents(text), 'łŁøØđĐðÐı', 'lLoOdDdDi')"
+_SLUG = f"trim(regexp_replace(lower(regexp_replace({_PLAIN}, '[''‘’`´]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-')"
+_NAME = f"trim(regexp_replace(regexp_replace(lower({_PLAIN}), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'))"
 
 
 @query("f01_slug", f"SELECT doc_id, {_SLUG} AS slug FROM documents")

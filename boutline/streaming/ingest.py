@@ -7,10 +7,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -32,18 +35,34 @@ def append_available(stream: DataFrame, out: str, progress: str) -> None:
     stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
 
 
-def insert_available(stream: DataFrame, keys: list[str], order: list[Column], out: str, progress: str) -> None:
-    """Rows by natural key, first seen wins (T04): a batch goes to a folder of its own that a repeat of the batch overwrites, after an anti-join with what the
-    other batches wrote."""
+def insert_available(stream: DataFrame, keys: list[str], order: list[Column], out: str, progress: str, *, buckets: int = 64, compact: int = 16) -> None:
+    """Rows by natural key, first seen wins (T04): a batch goes to a folder of its own that a repeat of the batch overwrites.
 
-    def write(batch: DataFrame, number: int) -> None:
-        from pyspark.sql import Window as W
+    Beside the rows stands a table of their keys, in folders by hash bucket. A batch reads only the buckets of its own keys, and only of the table's last
+    compact form and the batches since, `compact` at most; rows are never read again."""
+    known = f"{out.rstrip('/')}-keys"
 
-        own = batch.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")
-        if number:
-            earlier = batch.sparkSession.read.schema(batch.schema).option("basePath", out).parquet(*(f"{out}/batch={k}" for k in range(number)))
-            own = own.join(earlier.select(*keys).distinct(), keys, "left_anti")
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
+        own = batch.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")
+        base = number // compact * compact  # the compact form holds the batches before this one
+        folders = [*([f"{known}/before={base}"] if base else []), *(f"{known}/batch={k}" for k in range(base, number))]
+        shape = T.StructType([*(batch.schema[k] for k in keys), T.StructField("bucket", T.IntegerType())])
+
+        def held(paths: list[str]) -> DataFrame:
+            found = [spark.read.schema(shape).option("basePath", p).parquet(p) for p in paths]
+            return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], shape)
+
+        if number and number == base:  # time to put what was written since the last compact form together
+            last = base - compact
+            held([*([f"{known}/before={last}"] if last else []), *(f"{known}/batch={k}" for k in range(last, base))]).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{known}/before={base}")
+        if folders:
+            mine = [r["bucket"] for r in own.select(bucket).distinct().collect()]  # `buckets` numbers at most
+            own = own.join(held(folders).where(F.col("bucket").isin(mine)).select(*keys), keys, "left_anti")
         own.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        written = spark.read.schema(batch.schema).parquet(f"{out}/batch={number}")
+        written.select(*keys, bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{known}/batch={number}")
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
 
@@ -64,26 +83,31 @@ def dedup_within(stream: DataFrame, keys: list[str], ts: str, hours: int) -> Dat
     return stream.withWatermark(ts, f"{hours} hours").dropDuplicatesWithinWatermark(keys)
 
 
-def greedy_dedup_stream(stream: DataFrame, keys: list[str], ts: str, tie: str, hours: float) -> DataFrame:
-    """keys, tie of the rows kept by the exact rule (T03): no row of the key within `hours` before it was kept. A key's state is the instant kept last; rows
-    come to the fold in Arrow batches, and instants of one trigger are sorted (two numbers a row)."""
+def greedy_dedup_stream(stream: DataFrame, keys: list[str], ts: str, tie: str, hours: float, late: str = "1 day") -> DataFrame:
+    """keys, tie of the rows kept by the exact rule (T03): no row of the key within `hours` before it was kept. A key's state is the instant kept last, and is
+    dropped once the watermark (`late` behind the newest row) says that no row within `hours` of it can come; later rows are dropped. Rows of
+    one trigger come in Arrow batches, of which only the instants are held to be sorted, two numbers a row."""
     gap = int(hours * 3600 * 1_000_000)
-    d = stream.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("_at"), F.col(tie).alias("_tie")).dropna()
+    stamp = F.col(ts).cast("timestamp")
+    d = stream.select(*keys, stamp.alias("_ts"), F.unix_micros(stamp).alias("_at"), F.col(tie).alias("_tie")).dropna().withWatermark("_ts", late)
     types = {f.name: f.dataType.simpleString() for f in d.schema}
     schema = ", ".join([*(f"{k} {types[k]}" for k in keys), f"{tie} {types['_tie']}"])
 
     def kept(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         ordered = pd.concat([b[["_at", "_tie"]] for b in batches]).sort_values(["_at", "_tie"])
-        out = []
-        for at, tie_ in ordered.itertuples(index=False):
-            if last is None or at - last > gap:
-                last = at
-                out.append((*key, tie_))
+        at, out, x = ordered["_at"].to_numpy(), [], 0
+        while x < len(at) and (last is None or (x := int(np.searchsorted(at, last + gap, side="right"))) < len(at)):
+            last = int(at[x])
+            out.append((*key, ordered["_tie"].iloc[x]))
         state.update((last,))
+        state.setTimeoutTimestamp(max((last + gap) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[*keys, tie])
 
-    return d.groupBy(*keys).applyInPandasWithState(kept, schema, "last long", "append", GroupStateTimeout.NoTimeout)
+    return d.groupBy(*keys).applyInPandasWithState(kept, schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_to_table(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:

@@ -38,3 +38,11 @@ def test_bad_feed(spark):
     rows = [(1, good), (2, "<rss><chan"), (3, good.replace("/1", "/" + "1" * 990)), (4, None)]
     got = pages.feed_items(spark.createDataFrame(rows, "source int, xml string"), "xml").collect()
     assert [(r.source, r.title, r.url) for r in got] == [(1, "a", "http://x/1")]
+
+
+def test_slugs_of_real_names(spark):
+    from boutline.functions import text
+
+    names = {"Nguyễn Trần": "nguyen-tran", "Jiří Procházka": "jiri-prochazka", "Jan Błachowicz": "jan-blachowicz", "Sean O´Malley": "sean-omalley", "Guðmundur Þór": "gudmundur-or", "Ð. Ñandú": "d-nandu", "á b": "a-b"}
+    d = spark.createDataFrame([(n,) for n in names], "n string")
+    assert {r["n"]: r["s"] for r in d.select("n", text.slugify(d.n).alias("s")).collect()} == names
