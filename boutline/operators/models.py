@@ -155,6 +155,18 @@ def fit_scale(df: DataFrame, ratio: str, most: float = 50.0, rounds: int = 100)
     return k
 
 
+def grid_losses(df: DataFrame, losses: dict[float, Column]) -> DataFrame:
+    """parameter, loss of a grid (M14): `losses` are aggregates, one a parameter, and all of them are taken in one pass over the rows."""
+    row = df.agg(*(loss.alias(f"_{i}") for i, loss in enumerate(losses.values())))
+    return row.select(F.explode(F.array(*(F.struct(F.lit(float(k)).alias("parameter"), F.col(f"_{i}").alias("loss")) for i, k in enumerate(losses)))).alias("x")).select("x.*")
+
+
+def rounded_parameters(objective: Callable[[dict[str, float]], float], at: dict[str, float], slack: float = 2e-4, digits: int = 2) -> dict[str, float]:
+    """`at` with two significant digits each, if that costs `slack` of the objective at most (M14); else as it is."""
+    short = {name: float(f"{value:.{digits}g}") for name, value in at.items()}
+    return short if objective(short) <= objective(at) + slack else at
+
+
 @dataclass(frozen=True)
 class Range:
     low: float

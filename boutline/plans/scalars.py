@@ -257,7 +257,8 @@ def f39(t):
     return t.pages.select("page_id", text.strip_tracking(C("url")).alias("url"), F.regexp_extract("url", r"(\d+)/?$", 1).alias("tail"))
 
 
-@query("f40_prng")
+@query("f40_prng", """WITH RECURSIVE g AS (SELECT -1 AS i, 42::HUGEINT AS a UNION ALL SELECT i + 1, (a + 1831565813) & 4294967295 FROM g WHERE i < 99),
+ t AS (SELECT i, (xor(a, a >> 15) * (a | 1)) & 4294967295 AS t FROM g WHERE i >= 0), u AS (SELECT i, xor(t, (t + ((xor(t, t >> 7) * (t | 61)) & 4294967295)) & 4294967295) AS t FROM t) SELECT CAST(i AS INT) AS i, CAST(xor(t, t >> 14) AS DOUBLE) / 4294967296 AS x FROM u""")
 def f40(t):
     from itertools import islice
 

@@ -111,6 +111,29 @@ def feed_items(df: DataFrame, xml: str, most: int = 990) -> DataFrame:
     return items.where(good & date.isNotNull()).select(*rest, F.trim("i.title").alias("title"), F.col("i.link").alias("url"), date.alias("published_at"), plain_text(F.col("i.description")).alias("excerpt"), F.col("i.enclosure._url").alias("image_url"))
 
 
+ATOM = "entry ARRAY<STRUCT<title: STRING, link: ARRAY<STRUCT<_href: STRING, _rel: STRING>>, published: STRING, updated: STRING, summary: STRING, content: STRING>>"
+
+
+def atom_items(df: DataFrame, xml: str, most: int = 990) -> DataFrame:
+    """The same of Atom feeds (S13): the alternate link, else the first; when published, else when updated; the summary, else the content, as excerpt."""
+    rest = [c for c in df.columns if c != xml]
+    items = df.select(*rest, F.explode(F.from_xml(xml, ATOM, {"mode": "PERMISSIVE"})["entry"]).alias("i"))
+    best = F.coalesce(F.get(F.filter("i.link", lambda a: a["_rel"] == "alternate"), F.lit(0)), F.get("i.link", F.lit(0)))["_href"]
+    date = F.coalesce(*(F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSS]XXX")) for c in ("i.published", "i.updated")))
+    d = items.select(*rest, F.trim("i.title").alias("title"), best.alias("url"), date.alias("published_at"), plain_text(F.coalesce("i.summary", "i.content")).alias("excerpt"))
+    return d.where((F.col("title") != "") & F.col("url").rlike("(?i)^https?://") & (F.length("url") <= most) & F.col("published_at").isNotNull())
+
+
+def scraped_result(first: Column, first_result: Column, second: Column, second_result: Column) -> tuple[Column, Column]:
+    """Whether a bout is over, and its winner's name (S20): over once either side's result isn't not_finished."""
+    over = (first_result != "not_finished") | (second_result != "not_finished")
+    return over, F.when(first_result == "win", first).when(second_result == "win", second)
+
+
+def record_string(wins: Column, losses: Column, draws: Column) -> Column:
+    return F.concat_ws("-", *(x.cast("string") for x in (wins, losses, draws)))
+
+
 def collected_items(df: DataFrame, ident: str, sets: list[str], single: list[str]) -> DataFrame:
     """One row an item (S14): the sorted distinct values of `sets`, and the value of each of `single` where there is exactly one."""
     one = [F.when(F.min(c) == F.max(c), F.min(c)).alias(c) for c in single]

@@ -1,11 +1,14 @@
 """Fits against numpy, searches against known minima, labels against a breadth-first walk."""
 
+import datetime
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from boutline.operators import graph, models
+from boutline.operators import boosting, graph, models, outcomes, weekly
+from boutline.sources import sinks
 
 
 def test_logistic_is_at_the_minimum(spark):
@@ -60,3 +63,83 @@ def test_spread_labels(spark, seed):
     seeds = {0: "x", 7: "y", 21: "x", 39: "y"}
     got = graph.spread_labels(spark.createDataFrame(list(seeds.items()), "node int, label string"), spark.createDataFrame([*edges, (None, 3)], "a int, b int"))
     assert {r.node: r.label for r in got.collect()} == walk(seeds, edges)
+
+
+def xor_rows(n, seed):
+    rng = np.random.default_rng(seed)
+    x = rng.uniform(-1, 1, (n, 2))
+    return [(int(k), float(a), float(b), int(a * b > 0)) for k, (a, b) in enumerate(x)]
+
+
+def test_boosting_learns_what_a_line_cannot(spark):
+    shape = "id long, a double, b double, y int"
+    train, test = spark.createDataFrame(xor_rows(1500, 7), shape), spark.createDataFrame(xor_rows(400, 11), shape)
+    model, _ = boosting.fit(train, ["a", "b"], "y", boosting.Boosting(trees=12, rate=0.4, depth=2), key="id")
+    right = model.predict(test).where((F.col("p") > 0.5) == (F.col("y") == 1)).count()
+    assert right / 400 > 0.9 and model.predict(test).columns == ["id", "a", "b", "y", "p"]
+
+
+def test_boosting_stops_at_the_best_loss_and_bins_what_is_missing(spark):
+    rows = [(k, None if k % 4 == 1 else float("nan") if k % 4 == 3 else k / 400, int(k % 2)) for k in range(400)]
+    d = spark.createDataFrame(rows, "id long, a double, y int")
+    model, losses = boosting.fit(d, ["a"], "y", boosting.Boosting(trees=8, rate=0.9, patience=2), valid=d)
+    assert len(model.trees) == losses.index(min(losses)) + 1
+    one = model.predict(spark.createDataFrame([(None,), (float("nan"),), (0.5,)], "a double")).collect()
+    assert one[0]["p"] > 0.9 and one[1]["p"] > 0.9 and one[2]["p"] < 0.1
+
+
+def test_outcome_lines_add_up(spark):
+    sides = "struct<" + ", ".join(f"{c}: double" for c in outcomes.COUNTS) + ">"
+    mix = "struct<ko: double, sub: double, dec: double>"
+    none, striker = (0.0,) * len(outcomes.COUNTS), (9.0, 0.0, 1.0, 0.0, 0.0, 2.0, 9.0, 9.0, 0.0, 0.0)
+    prior = (0.3, 0.2, 0.5)
+    d = spark.createDataFrame([(1, 0.7, none, none, prior), (2, 0.7, striker, none, prior)], f"id int, p double, a {sides}, b {sides}, q {mix}")
+    rounds = {m: F.array(F.lit(0.5), F.lit(0.3), F.lit(0.2)) for m in ("ko", "sub")}
+    rows = d.select("id", outcomes.outcome_lines(F.col("p"), F.col("a"), F.col("b"), F.col("q"), rounds, 1.7).alias("x")).collect()
+    for r in rows:
+        assert abs(sum(line["probability"] for line in r["x"]) - 1) < 1e-12
+        assert all(abs(sum(line["by_round"]) - line["probability"]) < 1e-12 for line in r["x"] if line["method"] != "dec")
+    plain, by_ko = ({(line["corner"], line["method"]): line for line in r["x"]} for r in rows)
+    assert abs(plain["A", "ko"]["probability"] - 0.7 * 0.3) < 1e-12  # an empty record leaves the prior
+    assert by_ko["A", "ko"]["probability"] > plain["A", "ko"]["probability"]
+    assert by_ko["A", "ko"]["by_round"][0] / by_ko["A", "ko"]["probability"] > 0.5  # its finishes came early
+
+
+def test_a_model_of_other_features_is_refused(spark, tmp_path):
+    path = f"file://{tmp_path}/model"
+    with pytest.raises(FileNotFoundError):
+        sinks.load_model(spark, path, ["a"])
+    sinks.save_model(spark, path, {"features": ["a", "b"], "weights": [1, 2], "means": [0, 0], "scales": [1, 1]})
+    assert sinks.load_model(spark, path, ["a", "b"])["weights"] == [1, 2]
+    for wrong in (["b", "a"], ["a"], ["a", "b", "c"]):
+        with pytest.raises(ValueError):
+            sinks.load_model(spark, path, wrong)
+    sinks.save_model(spark, path, {"features": ["a"], "weights": [1, 2], "means": [0], "scales": [1]})
+    with pytest.raises(ValueError):
+        sinks.load_model(spark, path, ["a"])
+
+
+def test_rounded_parameters():
+    loss = lambda at: (at["k"] - 1.234) ** 2 / 10
+    assert models.rounded_parameters(loss, {"k": 1.234}) == {"k": 1.2}
+    assert models.rounded_parameters(lambda at: 100 * loss(at), {"k": 1.234}) == {"k": 1.234}
+
+
+def test_weekly_batch_by_parts(spark, tmp_path):
+    """Two weeks, then the snapshot and the streaks alone, and a dry run: what is published and what isn't."""
+    shape = "k long, bout_id long, day date, kind int, winner int, loser int, division string, dominance double, start_winner double, start_loser double"
+    day = lambda n: datetime.date(2024, 1, 1) + datetime.timedelta(7 * n)
+    rows = [(1, n, day(n), 0, 1 + n % 3, 1 + (n + 1) % 3, "x", 0.5, None, None) for n in range(12)]
+    bouts, out = spark.createDataFrame(rows, shape), f"file://{tmp_path}/out"
+    first = weekly.run(spark, bouts.where("bout_id < 10"), "k", out, today=F.lit("2024-03-06").cast("date"))
+    assert {r["trend"] for r in first["snapshots"].collect()} == {"new"} and first["ratings"].count() == 3
+    second = weekly.run(spark, bouts, "k", out, today=F.lit("2024-03-20").cast("date"))
+    got = second["snapshots"].collect()
+    assert len(got) == 6 and {r["trend"] for r in got if str(r["week"]) == "2024-03-18"} <= {"up", "down", "same"}
+    dry = weekly.run(spark, bouts, "k", out, today=F.lit("2024-03-20").cast("date"), dry_run=f"file://{tmp_path}/dry", results_only_since=F.lit("2024-03-01").cast("date"))
+    version = sinks.Versions(spark, out)
+    assert version.number() == 2 and dry["ratings"].count() == 3
+    again = weekly.run(spark, bouts, "k", out, today=F.lit("2024-03-20").cast("date"), snapshot_only=True)
+    assert sorted(map(str, again["snapshots"].collect())) == sorted(map(str, got)) and version.number() == 3
+    only = weekly.run(spark, bouts, "k", out, today=F.lit("2024-03-20").cast("date"), streaks_only=True)
+    assert {r["participant"]: r["streak"] for r in only["streaks"].collect()} == {r["participant"]: r["streak"] for r in second["streaks"].collect()}
