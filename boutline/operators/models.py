@@ -66,6 +66,25 @@ def fit_logistic(df: DataFrame, features: list[str], label: str, l2: float = 0.0
     return Logistic(tuple(features), tuple(map(float, weights[:k])), float(weights[k]) if intercept else 0.0, means, scales)
 
 
+def slopes(df: DataFrame, model: Logistic, label: str, l2: float = 0.01, prior: list[float] | None = None, per_row: bool = True) -> list[float]:
+    """The slope of the fitted loss in each weight and the bias: zero at the minimum. One aggregation."""
+    d = df.select(*(F.col(f).cast("double").alias(f) for f in model.features), F.col(label).cast("double").alias("_y")).dropna()
+    miss = model.predict() - F.col("_y")
+    x = [(F.col(f) - m) / s for f, m, s in zip(model.features, model.means, model.scales)] + [F.lit(1.0)]
+    total, *sums = d.agg(F.count("*"), *(F.sum(miss * v) for v in x)).first()
+    pull = [(total if per_row else 1) * l2 * (w - b) for w, b in zip(model.weights, prior or [0.0] * len(model.weights))]
+    return [(a + b) / max(1, total) for a, b in zip(sums, [*pull, 0.0])]
+
+
+def compare_runs(one: DataFrame, other: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """How two runs of the same computation differ (M16): rows in both, in one only, moved by over 1e-9, mean and largest move. One row."""
+    a, b = one.select(*keys, F.col(value).alias("_a"), F.lit(True).alias("_in_a")), other.select(*keys, F.col(value).alias("_b"), F.lit(True).alias("_in_b"))
+    d = a.join(b, keys, "full_outer")
+    both = F.col("_in_a").isNotNull() & F.col("_in_b").isNotNull()
+    move = F.when(both, F.abs(F.col("_a") - F.col("_b")))
+    return d.agg(F.count_if(both).alias("both"), F.count_if(F.col("_in_b").isNull()).alias("first_only"), F.count_if(F.col("_in_a").isNull()).alias("second_only"), F.count_if(move > 1e-9).alias("moved"), F.avg(move).alias("mean_move"), F.max(move).alias("largest_move"))
+
+
 def pairwise_odds(rating_a: Column, rd_a: Column, rating_b: Column, rd_b: Column, sure: float = 170, unsure: float = 215) -> Column:
     """struct<win_a, win_b, gap, confidence> of two ratings with their deviations."""
     q = math.log(10) / 400

@@ -247,3 +247,10 @@ def weekly_snapshot(history: DataFrame, key: str, value: str, week: str) -> Data
     ranked = last.withColumn("rank", F.row_number().over(W.partitionBy(key, "week").orderBy(F.col(value).desc(), "participant")))
     before = F.lag("rank").over(W.partitionBy(key, "participant").orderBy("week"))
     return ranked.withColumn("previous", before).withColumn("trend", F.when(before.isNull(), "new").when(F.col("rank") < before, "up").when(F.col("rank") > before, "down").otherwise("same"))
+
+
+def refreshed(history: DataFrame, bouts: DataFrame, fresh: DataFrame, key: str, replay: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A replay's history after `fresh` bouts came in (T06): only the keys that they touch are replayed, over all their `bouts` (fresh ones included, in whatever
+    order they come); the history of the other keys stays. With the opponent graph's component as key, a result costs its component."""
+    touched = fresh.select(key).distinct()
+    return history.join(touched, key, "left_anti").unionByName(replay(bouts.join(touched, key, "left_semi")))

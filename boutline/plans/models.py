@@ -24,6 +24,38 @@ def m01_fit(t):
     return t.spark.createDataFrame([(n, round(w, 5)) for n, w in zip((*model.features, "bias"), (*model.weights, model.bias))], "feature string, weight double")
 
 
+@query("m01_minimum", "SELECT * FROM (VALUES ('size', true), ('spaces', true), ('bias', true)) v(feature, flat)")
+def m01_minimum(t):
+    d = t.documents.join(t.labels, "doc_id").select(F.ln(F.length("text") + 1).alias("size"), (F.size(F.split("text", " ")) / (F.length("text") + 1)).alias("spaces"), "quality")
+    model = models.fit_logistic(d, ["size", "spaces"], "quality")
+    return t.spark.createDataFrame([(n, abs(g) < 1e-6) for n, g in zip((*model.features, "bias"), models.slopes(d, model, "quality"))], "feature string, flat boolean")
+
+
+@query("m06_minimum", "SELECT * FROM (VALUES ('gap', true), ('reach', true)) v(feature, flat)")
+def m06_minimum(t):
+    """The fit that is pulled to prior weights, without a bias: the loss is a sum, and flat where it ends."""
+    d = t.events.select(((C("value") - 50) / 40).alias("gap"), ((C("event_id") % 7 - 3) / 2).alias("reach"), C("event_type").isin("purchase", "signup").cast("int").alias("y"))
+    model = models.fit_logistic(d, ["gap", "reach"], "y", l2=40.0, prior=[1.0, 0.0], intercept=False, standardize=False, per_row=False)
+    found = models.slopes(d, model, "y", l2=40.0, prior=[1.0, 0.0], per_row=False)
+    return t.spark.createDataFrame([(n, abs(g) < 1e-6) for n, g in zip(model.features, found)], "feature string, flat boolean")
+
+
+@query("m10_minimum", "SELECT true AS flat")
+def m10_minimum(t):
+    d = t.events.select(((C("value") - 20) / 100).alias("x"))
+    k = models.fit_scale(d, "x")
+    slope = d.agg(F.avg((1 - models.sigmoid(k * C("x"))) * C("x"))).first()[0]
+    return t.spark.createDataFrame([(k == 50.0 and slope > 0 or abs(slope) < 1e-6,)], "flat boolean")
+
+
+@query("m16_compare", "SELECT count(*) AS both, CAST(0 AS BIGINT) AS first_only, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') AS second_only, count(*) FILTER (WHERE month(o_orderdate) = 6) AS moved, round(avg(CASE WHEN month(o_orderdate) = 6 THEN 5 ELSE 0 END), 6) AS mean_move, 5.0::DOUBLE AS largest_move FROM orders WHERE o_orderstatus <> 'P'")
+def m16(t):
+    one = t.orders.where("o_orderstatus != 'P'").select("o_orderkey", "o_totalprice")
+    other = t.orders.select("o_orderkey", (C("o_totalprice") + F.when(F.month("o_orderdate") == 6, 5.0).otherwise(0.0)).alias("o_totalprice"))
+    d = models.compare_runs(one, other, ["o_orderkey"], "o_totalprice")
+    return d.withColumns({"mean_move": F.round("mean_move", 6), "largest_move": F.round("largest_move", 6)})
+
+
 @query("m03_split", "SELECT o_orderkey, row_number() OVER (ORDER BY CAST(o_orderdate AS DATE), o_orderkey) <= floor((SELECT count(*) FROM orders) * 0.8) AS is_train FROM orders")
 def m03(t):
     return models.chronological_split(t.orders.select("o_orderkey", F.to_date("o_orderdate").alias("day")), "day", "o_orderkey").select("o_orderkey", "is_train")

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from boutline.operators import replay
+from boutline.operators import rating, replay
 from boutline.plans.registry import query
 
 C = F.col
@@ -112,3 +112,30 @@ def r03(t):
 def r14(t):
     h = replay.elo(bouts(t).where("kind = 0"), "o_custkey")
     return replay.weekly_snapshot(h, "o_custkey", "after", "year").select("o_custkey", "participant", "week", "rank", "previous", "trend")
+
+
+@query("t06_incremental", _CAREER)
+def t06(t):
+    """The history without the bouts of the last year, then brought up to date; late bouts among them change what came after."""
+    late = (F.year("day") == 2001) | (F.dayofmonth("day") == 3)
+    run = lambda d: replay.careers(d, "o_custkey")
+    h = replay.refreshed(run(bouts(t).where(~late)), bouts(t), bouts(t).where(late), "o_custkey", run)
+    return h.select("bout_id", "participant", "kind", "moved", *(F.round(c, 4).alias(c) for c in ("rating_at", "rd_at", "rating", "rd")))
+
+
+_SHARE = "CASE WHEN {a} + {b} = 0 THEN 0.5 ELSE ({a}) / ({a} + {b})::DOUBLE END"
+
+
+@query("r01_dominance", f"""WITH x AS (SELECT p_partkey, p_size AS s, CASE p_size % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 ELSE 0.0 END AS fin, CASE WHEN p_size % 3 = 2 THEN 0.1 ELSE 0 END AS pen, CASE WHEN p_size % 5 = 0 THEN 0.1 ELSE 0 END + CASE WHEN p_size % 7 = 0 THEN 0.05 ELSE 0 END AS cred, p_size % 3 + 1 AS fr FROM part),
+ r AS (SELECT *, CASE WHEN fr = 1 THEN 1 WHEN abs(s + 0.5 - 25.25) / greatest(s + 0.5, 25.25) <= 0.05 THEN 0.5 WHEN s + 0.5 > 25.25 THEN 1 ELSE 0 END AS r1, CASE WHEN fr = 2 THEN 1 WHEN abs(25 - s - 1 / 12.0::DOUBLE) / greatest(25, s + 1 / 12.0::DOUBLE) <= 0.05 THEN 0.5 WHEN 25 > s + 1 / 12.0::DOUBLE THEN 1 ELSE 0 END AS r2 FROM x)
+ SELECT p_partkey, s % 4 = 0 AS estimated, round(least(1, greatest(0, CASE WHEN s % 4 = 0 THEN CASE WHEN s % 3 = 2 THEN 0.4 ELSE fin END ELSE 0.3 * fin + 0.35 * (r1 + r2) / 2 + 0.2 * {_SHARE.format(a='s + 10', b='30')} + 0.15 * {_SHARE.format(a='s * 3', b='50')} END - pen + cred)), 6) AS score FROM r""")
+def r01(t):
+    s = C("p_size")
+    one = lambda n, sig, ctrl, kd: F.struct(F.lit(n).alias("round"), sig.cast("int").alias("sig"), ctrl.cast("int").alias("ctrl"), F.lit(kd).alias("kd"))
+    none = F.lit(None).cast("int")
+    method = F.when(s % 3 == 0, "KO/TKO").when(s % 3 == 1, "Submission").otherwise("Decision - Split")
+    side = lambda sig, ctrl, rounds: F.struct(method.alias("method"), (s % 3 + 1).alias("finish_round"), sig.alias("sig_total"), ctrl.alias("ctrl_total"), (s % 5 == 0).alias("bonus_potn"), (s % 7 == 0).alias("bonus_fotn"), F.when(s % 4 != 0, rounds).alias("rounds"))
+    winner = side(s + 10, s * 3, F.array(one(1, s, F.lit(60), 0), one(2, F.lit(20), none, 1)))
+    loser = side(F.lit(30), F.lit(50), F.array(one(1, F.lit(25), F.lit(30), 0), one(2, s, F.lit(10), 0)))
+    d = t.part.select("p_partkey", rating.dominance(winner, loser).alias("d"))
+    return d.select("p_partkey", F.round("d.score", 6).alias("score"), "d.estimated")
