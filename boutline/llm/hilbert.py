@@ -71,25 +71,48 @@ def size_level(size: Column, bits: int) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit((1 << bits) - 1), F.floor(F.log2(size.cast("double")) * 2 - 8))).cast("int")
 
 
-def shard_documents(spark: SparkSession, docs: DataFrame, *, shards: int = 24, bits: int = 5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """(id, size, text_crc32, curve, shard, slot) for every row of `docs`, under the law `rows`: shard counts at most one apart.
-
-    Order: Hilbert index of (lang, source, size), then crc32 of the text, so equal texts stand together and a group of them larger than a shard goes on in
-    the next one, then id and size.  slot counts from 0 in each shard.  size: UTF-8 bytes of the text (null: none) plus 8.  Null dimensions are the
+def shard_documents(
+    spark: SparkSession,
+    docs: DataFrame,
+    *,
+    shards: int = 24,
+    bits: int = 5,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    lang_col: str = "lang",
+    carry: Column | None = None,
+) -> DataFrame:
+    """(id, size, text_crc32, lang_level, source_level, curve, shard, slot (, carry: a column to come along)) for every row of `docs`, under the law `rows`:
+    shard counts at most one apart.
+
+    Equal texts are a group, and a group has one cell: Hilbert index of (lang, source, size) of its row with the smallest id (null ids last, then by lang and
+    source).  Order: the cell, then size, crc32 and hash of the text, then id; so a group is one run of ranks, and is cut only where a shard is full.
+    slot counts from 0 in each shard.  size: UTF-8 bytes of the text (null: none) plus 8; null and empty texts are one group.  Null dimensions are the
     lowest cell of theirs; repeated rows each get their own slot; fewer rows than shards leave shards empty; an empty table gives no rows.
 
-    The rows are range-partitioned by the whole order (a hot cell is split by crc32 and id), a partition's place comes from the counts of
-    those before it, one number a partition, and no row of text is moved.
+    The rows are range-partitioned by the whole order (a hot cell or group is split by id), a partition's place comes from the counts of
+    those before it, one number a partition, and no text is moved unless `carry` holds it.
     """
     scratch = Scratch(spark, "hilbert")
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = (F.octet_length(text) + 8).cast("long")
-    rows = docs.select(F.col(id_col).alias("id"), size.alias("size"), F.crc32(text).alias("text_crc32"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
-    curve = hilbert_index([text_level(F.col("lang"), bits), hash_level(F.col("source"), bits), size_level(F.col("size"), bits)], bits)
-    rows = scratch.table(rows.select("id", "size", "text_crc32", curve.alias("curve")), "rows")
-    order = ["curve", "text_crc32", "id", "size"]
+    kept = [] if carry is None else ["carry"]
+    rows = docs.select(F.col(id_col).alias("id"), size.alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("hash"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), *([carry.alias("carry")] if kept else []))
+    rows = scratch.table(rows, "rows")
+    group = ["size", "text_crc32", "hash"]
+    levels = [text_level(F.col("lang"), bits).alias("lang_level"), hash_level(F.col("source"), bits).alias("source_level")]
+    # copies are counted with partial sums; only groups of two and more are joined, and Spark splits the partition of a hot one
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "lang", "source")).alias("first")
+    groups = rows.groupBy(*group).agg(F.count("*").alias("n"), first).where("n > 1").select(*group, F.col("first.lang").alias("lang"), F.col("first.source").alias("source")).select(*group, F.struct(*levels).alias("of_group"))
+    celled = rows.join(groups, group, "left").withColumn("levels", F.coalesce("of_group", F.struct(*levels)))
+    celled = celled.select("id", *group, "levels.*", *kept)
+    curve = hilbert_index([F.col("lang_level"), F.col("source_level"), size_level(F.col("size"), bits)], bits)
+    order = ["curve", *group, "id"]
+    celled = scratch.table(celled.withColumn("curve", curve), "cells")
     place = F.monotonically_increasing_id()
-    sorted_rows = scratch.table(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", place), "sorted")
+    sorted_rows = scratch.table(celled.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", place), "sorted")
+    scratch.drop(rows, celled)
     part, at = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
     counts = sorted_rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()  # a number a partition
     total, before = sum(r["n"] for r in counts), 0
@@ -101,5 +124,25 @@ def shard_documents(spark: SparkSession, docs: DataFrame, *, shards: int = 24, b
     ranked = sorted_rows.withColumn("part", part).join(offsets, "part").withColumn("rank", at + F.col("before"))
     # integer arithmetic: rank * shards div total, and the first rank of a shard is the ceiling of shard * total / shards
     ranked = ranked.withColumn("shard", F.expr(f"rank * {shards} div {max(total, 1)}"))
-    first = F.expr(f"(shard * {total} + {shards - 1}) div {shards}")
-    return ranked.select("id", "size", "text_crc32", "curve", F.col("shard").cast("int").alias("shard"), (F.col("rank") - first).alias("slot"))
+    first_rank = F.expr(f"(shard * {total} + {shards - 1}) div {shards}")
+    return ranked.select("id", "size", "text_crc32", "lang_level", "source_level", "curve", F.col("shard").cast("int").alias("shard"), (F.col("rank") - first_rank).alias("slot"), *kept)
+
+
+def write_shards(spark: SparkSession, docs: DataFrame, path: str, **options) -> DataFrame:
+    """Write the rows of `docs`, all columns, into folders `shard=k` under `path`, in the order of their slots, and return the manifest.  A column of
+    `docs` named shard is written as it is under the name shard_before."""
+    placed = shard_documents(spark, docs, carry=F.struct("*"), **options)
+    columns = [F.col(f"carry.`{c}`").alias(f"{c}_before" if c == "shard" else c) for c in docs.columns]
+    placed.select(*columns, "shard").write.partitionBy("shard").parquet(path)
+    return manifest(placed)
+
+
+def manifest(placed: DataFrame) -> DataFrame:
+    """Per shard its rows, bytes, and the least and greatest level of each dimension: a reader skips shards whose ranges miss its predicate.  A row a shard."""
+    ranges = [f(c).alias(f"{name}_{c}") for c in ("lang_level", "source_level", "size") for name, f in (("min", F.min), ("max", F.max))]
+    return placed.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), *ranges)
+
+
+def may_hold(shards: DataFrame, dimension: str, low: int, high: int) -> DataFrame:
+    """The shards of a manifest that may hold a row with `low` <= dimension <= `high`."""
+    return shards.where((F.col(f"min_{dimension}") <= high) & (F.col(f"max_{dimension}") >= low))
