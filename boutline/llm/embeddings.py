@@ -7,6 +7,8 @@ tasks return counts and star edges, never pairs.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +27,19 @@ def sign_codes(vectors: np.ndarray, planes: np.ndarray, tables: int, bits: int)
     return signs @ (1 << np.arange(bits))
 
 
+def choose_bits(n: int, cosine: float, miss: float = 1e-6) -> tuple[int, int]:
+    """(bits, tables) for `n` vectors of a label: a code that random vectors share with a quarter of another one on average, and the tables with which a pair at
+    `cosine` escapes all with probability `miss` at most."""
+    bits = min(30, max(8, math.ceil(math.log2(4 * max(n, 1)))))
+    same = (1 - math.acos(cosine) / math.pi) ** bits
+    return bits, math.ceil(math.log(miss) / math.log(1 - same))
+
+
+def scaled(vec: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, which changes no digit of a cosine and keeps squares from overflowing or vanishing."""
+    return np.ldexp(vec, -np.frexp(np.abs(vec).max(1))[1][:, None])
+
+
 def _coder(tables: int, bits: int, seed: int):
     def run(batches):
         planes: dict[int, np.ndarray] = {}
@@ -34,12 +49,45 @@ def _coder(tables: int, bits: int, seed: int):
                 at = np.flatnonzero(dims == dim)
                 if dim not in planes:
                     planes[dim] = hyperplanes(dim, tables, bits, seed)
-                codes = sign_codes(np.stack(b["vec"].to_numpy()[at]).astype(float), planes[dim], tables, bits)
+                codes = sign_codes(scaled(np.stack(b["vec"].to_numpy()[at]).astype(float)), planes[dim], tables, bits)
                 yield b.iloc[at].assign(codes=list(codes.astype(np.int32)))
 
     return run
 
 
+#: Groups up to this size are compared together, pair by pair, in one array operation.
+SMALL = 48
+PAIRS = 1 << 15
+
+
+def compare_small(rep, copies, vec, codes, block, tab, sizes, starts, cosine: float):
+    """Links of many small groups (rows `starts` to `starts` + `sizes`): (row, vectors linked), and the linked rows a, b."""
+    links, a, b = np.zeros(len(rep), np.int64), [], []
+    norm = np.sqrt((vec * vec).sum(1))
+    for size in np.unique(sizes).tolist():
+        x, y = np.triu_indices(size, 1)
+        first = starts[sizes == size]
+        for at in range(0, len(first), max(1, PAIRS // len(x))):
+            part = first[at : at + max(1, PAIRS // len(x)), None]
+            i, j = (part + x).ravel(), (part + y).ravel()
+            i, j = (z[(block[i] != block[j]) | ~_across(block, part, size, len(x))] for z in (i, j))
+            near = np.einsum("ij,ij->i", vec[i], vec[j]) / (norm[i] * norm[j]) >= cosine
+            i, j = i[near], j[near]
+            new = (codes[i] == codes[j]).argmax(1) == tab[i] if len(i) else np.zeros(0, bool)
+            i, j = i[new], j[new]
+            np.add.at(links, i, copies[j])
+            np.add.at(links, j, copies[i])
+            a.append(rep[i])
+            b.append(rep[j])
+    return links, np.concatenate(a), np.concatenate(b)
+
+
+def _across(block: np.ndarray, part: np.ndarray, size: int, pairs: int) -> np.ndarray:
+    """For each pair of the groups, whether the group is one of two blocks (which are compared with each other only)."""
+    rows = block[part + np.arange(size)]
+    return np.repeat((rows != rows[:, :1]).any(1), pairs)
+
+
 def compare(rep: np.ndarray, copies: np.ndarray, vec: np.ndarray, codes: np.ndarray, block: np.ndarray, table: int, cosine: float):
     """Links of a group: per class the vectors linked (of other classes), and the class's root among the group."""
     n, across = len(rep), len(np.unique(block)) > 1
@@ -88,16 +136,29 @@ def _compare(cosine: float):
             yield from groups(rest, [0, len(rest)])
 
     def groups(df, cuts):
-        out = []
-        rep, copies, block = df["rep"].to_numpy(), df["copies"].to_numpy(), df["block"].to_numpy()
-        for x, y in zip(cuts[:-1], cuts[1:]):
-            if y - x > 1:
-                vec, codes = np.stack(df["vec"].to_numpy()[x:y]).astype(float), np.stack(df["codes"].to_numpy()[x:y])
-                links, root = compare(rep[x:y], copies[x:y], vec, codes, block[x:y], int(df["tab"].iloc[x]), cosine)
-                some = links > 0
-                out.append(pd.DataFrame({"rep": rep[x:y][some], "links": links[some], "root": root[some]}))
-        if out:
-            yield pd.concat(out)
+        for dim in np.unique(df["dim"]).tolist():
+            yield from of_one_dimension(df, [(x, y) for x, y in zip(cuts[:-1], cuts[1:]) if y - x > 1 and df["dim"].iat[x] == dim])
+
+    def of_one_dimension(df, spans):
+        if not spans:
+            return
+        rep, copies, block, tab = (df[c].to_numpy() for c in ("rep", "copies", "block", "tab"))
+        starts, sizes = np.array([x for x, _ in spans]), np.array([y - x for x, y in spans])
+        small = sizes <= SMALL
+        if small.any():
+            rows = np.concatenate([np.arange(x, y) for (x, y), s in zip(spans, small) if s])
+            vec, codes = scaled(np.stack(df["vec"].to_numpy()[rows]).astype(float)), np.stack(df["codes"].to_numpy()[rows])
+            begin = np.cumsum(sizes[small]) - sizes[small]
+            links, a, b = compare_small(rep[rows], copies[rows], vec, codes, block[rows], tab[rows], sizes[small], begin, cosine)
+            some = links > 0
+            if some.any():
+                nodes, roots = local_roots(a, b)
+                yield pd.DataFrame({"rep": rep[rows][some], "links": links[some], "root": roots[np.searchsorted(nodes, rep[rows][some])]})
+        for x, y in zip(starts[~small].tolist(), (starts + sizes)[~small].tolist()):
+            vec, codes = scaled(np.stack(df["vec"].to_numpy()[x:y]).astype(float)), np.stack(df["codes"].to_numpy()[x:y])
+            links, root = compare(rep[x:y], copies[x:y], vec, codes, block[x:y], int(tab[x]), cosine)
+            some = links > 0
+            yield pd.DataFrame({"rep": rep[x:y][some], "links": links[some], "root": root[some]})
 
     return run
 
@@ -110,15 +171,16 @@ def near_duplicates(
     vec_col: str = "embedding",
     label_col: str = "label",
     cosine: float = 0.98,
-    tables: int = 28,
-    bits: int = 14,
+    tables: int | None = None,
+    bits: int | None = None,
     block: int = 1024,
     seed: int = 11,
 ) -> DataFrame:
     """(id, n_links, component) for each row: how many other rows link with it directly, and the smallest id reachable over links.
 
-    Two rows link if their labels are equal and not null, their vectors as long as each other, and a table finds them with cosine >= `cosine` in double precision; with
-    the defaults a pair at 0.98 escapes all tables once in a million.  Null, empty and zero vectors, vectors with null or non-finite
+    Two rows link if their labels are equal and not null, their vectors as long as each other, and a table finds them with cosine >= `cosine` in double precision.
+    `bits` and `tables` follow from the largest label (`choose_bits`), so buckets do not grow with the table; a pair at the limit escapes all tables once in a
+    million.  Null, empty and zero vectors, vectors with null or non-finite
     parts, and rows with a null id or label link with nothing.  Copies of a vector link with each other.  Repeated rows each come back and count.
     """
     scratch = Scratch(spark, "embeddings")
@@ -127,6 +189,9 @@ def near_duplicates(
     fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     rows = rows.withColumn("ok", F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & fine, F.lit(False)))
     rows = scratch.table(rows.withColumn("digest", F.when(F.col("ok"), F.xxhash64("vec"))), "rows")
+    if bits is None or tables is None:
+        sizes = rows.where("ok").groupBy("label").agg(F.approx_count_distinct("digest").alias("n")).agg(F.max("n").alias("n"))
+        bits, tables = choose_bits(sizes.first()["n"] or 1, cosine)
     classes = rows.where("ok").groupBy("label", "digest", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     shape = "label long, digest long, vec array<double>, rep long, copies long, codes array<int>"
     classes = scratch.table(classes.mapInPandas(_coder(tables, bits, seed), shape), "classes")
