@@ -242,40 +242,40 @@ def read_run(data: bytes):
 
 
 def _runs(buckets: int, match: int):
-    """(bucket, kind, row, data): front-coded runs (kind 0), and what a task can already tell is removed (kind 1: packed from, to)."""
+    """(bucket, kind, id, row, data): front-coded runs (kind 0), and what a task can already tell is removed (kind 1: packed from, to)."""
 
     def flush(entries, known):
         entries.sort()
-        covers: dict[int, list[int]] = {}
+        covers: dict[tuple[int, int], list[int]] = {}
         out, now, bucket = [], [], None
         last = first_id = None
         rows: set[int] = set()
         for e in entries:
             if e[0] != bucket:
                 if now:
-                    out.append((bucket, 0, 0, write_run(now)))
+                    out.append((bucket, 0, 0, 0, write_run(now)))
                 bucket, now = e[0], []
             same = e[:4]
             if same != last:
                 last, first_id, rows = same, e[4], {e[5]}
             elif e[4] != first_id or e[5] in rows:
                 begin = e[6] - len(e[2])
-                covers.setdefault(e[5], []).extend((begin, begin + e[3] - 1 + match))
+                covers.setdefault(e[4:6], []).extend((begin, begin + e[3] - 1 + match))
                 continue
             else:
                 rows.add(e[5])
             now.append(e[1:])
         if now:
-            out.append((bucket, 0, 0, write_run(now)))
-        for row, x in covers.items():
-            out.append((row % buckets, 1, row, np.array(x, "<i4").tobytes()))
-        return pd.DataFrame(out, columns=["bucket", "kind", "row", "data"])
+            out.append((bucket, 0, 0, 0, write_run(now)))
+        for (ident, row), x in covers.items():
+            out.append((row % buckets, 1, ident, row, np.array(x, "<i4").tobytes()))
+        return pd.DataFrame(out, columns=["bucket", "kind", "id", "row", "data"])
 
     def run(batches):
         entries: list[tuple] = []
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            fresh = [n for n, r in enumerate(batch["row"].tolist()) if not (r in seen or seen.add(r))]
+            fresh = [n for n, r in enumerate(zip(batch["id"].tolist(), batch["row"].tolist())) if not (r in seen or seen.add(r))]
             batch = batch.iloc[fresh]
             if not len(batch):
                 continue
@@ -306,21 +306,31 @@ def _runs(buckets: int, match: int):
     return run
 
 
-def resolve(table: np.ndarray, shared: np.ndarray, lefts: list[bytes], match: int = MATCH) -> list[tuple[int, int, int]]:
-    """What is removed, as (row, from, to), given a bucket's suffixes in order (`shared`: LCP of each with the one before)."""
+def ranks(values: list[bytes]) -> np.ndarray:
+    """The place of each among the distinct values."""
+    at = {v: n for n, v in enumerate(sorted(set(values)))}
+    return np.array([at[v] for v in values], np.uint64)
+
+
+def resolve(table: np.ndarray, shared: np.ndarray, lefts: list[bytes], match: int = MATCH) -> list[tuple[int, int, int, int]]:
+    """What is removed, as (id, row, from, to), given a bucket's suffixes in order (`shared`: LCP of each with the one before)."""
     n = len(table)
     if n < 2:
         return []
     ident, row, place = table["id"], table["row"], table["place"].astype(np.int64)
     left, windows, right = table["left"].astype(np.int64), table["windows"].astype(np.int64), table["right"]
-    out: list[tuple[int, int, int]] = []
+    out: list[tuple[int, int, int, int]] = []
     # equal suffixes with equal left parts are one class: its first stays
     cut = (shared < right) | (np.r_[0, right[:-1]] != right)
     equal = np.cumsum(cut)
-    digest = np.array([xxhash.xxh64_intdigest(x) for x in lefts], np.uint64)
-    order = np.lexsort((place, row, ident, windows, digest, left, equal))
     same = lambda *cols: np.logical_and.reduce([c[order][1:] == c[order][:-1] for c in cols])
-    twin = np.r_[False, same(equal, left, digest, windows)]
+    for digest in (np.array([xxhash.xxh64_intdigest(x) for x in lefts], np.uint64), None):
+        digest = ranks(lefts) if digest is None else digest
+        order = np.lexsort((place, row, ident, windows, digest, left, equal))
+        twin = np.r_[False, same(equal, left, digest, windows)]
+        at = np.flatnonzero(twin)
+        if all(lefts[a] == lefts[b] for a, b in zip(order[at].tolist(), order[at - 1].tolist())):
+            break  # no two left parts had one hash; else once more by the bytes themselves
     again = np.r_[False, same(equal, left, digest, windows, ident, row, place)]
     head = np.maximum.accumulate(np.where(~twin, np.arange(n), 0))
     late = twin & ~again & ((ident[order] != ident[order][head]) | np.r_[False, same(equal, left, digest, windows, ident, row)])
@@ -328,8 +338,8 @@ def resolve(table: np.ndarray, shared: np.ndarray, lefts: list[bytes], match: in
     gone[order[again]] = True
     covered = order[late]
     gone[covered] = True
-    for r, p, x, w in zip(row[covered].tolist(), place[covered].tolist(), left[covered].tolist(), windows[covered].tolist()):
-        out.append((r, p - x, p - x + w - 1 + match))
+    for i, r, p, x, w in zip(ident[covered].tolist(), row[covered].tolist(), place[covered].tolist(), left[covered].tolist(), windows[covered].tolist()):
+        out.append((i, r, p - x, p - x + w - 1 + match))
     # grams with one class are done; of the others, each number of bytes taken from the left is a level of its own
     keep = np.flatnonzero(~gone)
     low = np.minimum.reduceat(shared, np.r_[0, keep[:-1] + 1])[: len(keep)] if len(keep) else shared[:0]
@@ -358,24 +368,30 @@ def resolve(table: np.ndarray, shared: np.ndarray, lefts: list[bytes], match: in
         key = (hashed ^ (hashed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) ^ (group * np.uint64(0xBF58476D1CE4E5B9))
         by = at[np.argsort(key[at], kind="stable")]
         twin = np.r_[False, key[by][1:] == key[by][:-1]]
+        one = np.flatnonzero(twin)
+        if (group[by[one]] != group[by[one - 1]]).any() or (pad[by[one], :r] != pad[by[one - 1], :r]).any():
+            key = np.zeros(len(keep), np.uint64)  # a hash met by chance: by the bytes themselves
+            key[at] = ranks([g.tobytes() + p.tobytes() for g, p in zip(group[at], pad[at, :r])])
+            by = at[np.argsort(key[at], kind="stable")]
+            twin = np.r_[False, key[by][1:] == key[by][:-1]]
         head = np.maximum.accumulate(np.where(~twin, np.arange(len(by)), 0))
         late = by[twin & ((own_id[by] != own_id[by][head]) | np.r_[False, own_row[by][1:] == own_row[by][:-1]])]
         least[late] = np.minimum(least[late], r)
         most[late] = np.maximum(most[late], r)
     for x in np.flatnonzero(most >= 0).tolist():
         p = int(place[keep[x]])
-        out.append((int(own_row[x]), p - int(most[x]), p - int(least[x]) + match))
+        out.append((int(own_id[x]), int(own_row[x]), p - int(most[x]), p - int(least[x]) + match))
     return out
 
 
 def _merge_buckets(match: int):
-    """(row, spans): what each bucket removes, packed; runs arrive sorted by bucket."""
+    """(id, row, spans): what each bucket removes, packed; runs arrive sorted by bucket."""
 
     def solve(runs: list[bytes]) -> pd.DataFrame:
         read = [read_run(x) for x in runs]
         order = list(merge([Run(strings, table["shared"].tolist()) for table, strings, _ in read]))
         if not order:
-            return pd.DataFrame({"row": [], "spans": []})
+            return packed([])
         base = np.cumsum([0] + [len(t) for t, _, _ in read])
         which = np.array([base[x] + i for x, i, _ in order])
         table = np.concatenate([t for t, _, _ in read])[which]
@@ -385,18 +401,18 @@ def _merge_buckets(match: int):
             lefts += [blob[a:b] for a, b in zip([0, *ends[:-1]], ends)]
         return packed(resolve(table, np.array([s for *_, s in order]), [lefts[x] for x in which.tolist()], match))
 
-    def packed(found: list[tuple[int, int, int]]) -> pd.DataFrame:
-        by: dict[int, list[int]] = {}
-        for r, a, b in found:
-            by.setdefault(r, []).extend((a, b))
-        return pd.DataFrame({"row": list(by), "spans": [np.array(x, "<i4").tobytes() for x in by.values()]})
+    def packed(found: list[tuple[int, int, int, int]]) -> pd.DataFrame:
+        by: dict[tuple[int, int], list[int]] = {}
+        for i, r, a, b in found:
+            by.setdefault((i, r), []).extend((a, b))
+        return pd.DataFrame({"id": [i for i, _ in by], "row": [r for _, r in by], "spans": [np.array(x, "<i4").tobytes() for x in by.values()]})
 
     def run(batches):
         bucket, held = None, []
         for batch in batches:
             known = batch["kind"].to_numpy() == 1
             if known.any():
-                yield pd.DataFrame({"row": batch["row"][known], "spans": batch["data"][known]})
+                yield pd.DataFrame({"id": batch["id"][known], "row": batch["row"][known], "spans": batch["data"][known]})
             for b, data in zip(batch["bucket"][~known].tolist(), batch["data"][~known].tolist()):
                 if b != bucket:
                     if held:
@@ -436,25 +452,27 @@ def _digest(batches):
         yield pd.DataFrame({"id": b["id"], **{c: [x[n] for x in out] for n, c in enumerate(("n_bytes", "n_removed", "n_spans", "kept_sha256"))}})
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH) -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH, bucket_bytes: int = 4 << 20) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) for each row of `docs`, without each byte that a `match`-byte string covers which also starts earlier.
 
     Null texts are empty; a null id comes before all others and comes back as null; rows of one id with different texts don't count as earlier than
     each other; repeated rows each come back with one result; texts under `match` bytes lose nothing; other columns are ignored; an
-    empty table gives no rows.  Window contents are compared by bytes to the right of the sample and by a 64-bit hash of those to its left.
+    empty table gives no rows.  Rows are told apart by id and a hash of the text; window contents are compared by their bytes.  There are as many
+    buckets as keep one at about `bucket_bytes` of suffixes, however large the table.
     """
-    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     rows = docs.select(ident.alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", F.xxhash64("id", "text"))
     grams = rows.where(F.octet_length("text") >= match).select("row", "text").mapInPandas(_grams, "gram long, row long, more binary")
     flags = grams.repartition("gram").sortWithinPartitions("gram").mapInPandas(_repeated, "row long, gram long, hot boolean")
     flags = flags.groupBy(F.col("row").alias("of")).agg(F.collect_set("gram").alias("grams"), F.collect_set(F.when(F.col("hot"), F.col("gram"))).alias("hot"))
     flags = Scratch(spark, "suffixes").table(flags, "grams")
+    n, hot = flags.agg(F.sum(F.size("grams")), F.sum(F.size("hot"))).first()  # a suffix has about 160 bytes, a hot gram's windows some thousand
+    buckets = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), (160 * (n or 0) + 4000 * (hot or 0)) // bucket_bytes)
     packed = rows.mapInPandas(_pack, "row long, id long, packed binary")
     with_grams = packed.join(flags, packed.row == flags.of).select("row", "id", "packed", "grams", "hot")
-    runs = with_grams.mapInPandas(_runs(buckets, match), "bucket int, kind int, row long, data binary")
-    spans = runs.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_merge_buckets(match), "row long, spans binary")
-    spans = spans.groupBy(F.col("row").alias("of")).agg(F.collect_list("spans").alias("spans"))
-    joined = packed.join(spans, packed.row == spans.of, "left").select("id", "packed", "spans")
+    runs = with_grams.mapInPandas(_runs(buckets, match), "bucket long, kind int, id long, row long, data binary")
+    spans = runs.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_merge_buckets(match), "id long, row long, spans binary")
+    spans = spans.groupBy(F.col("id").alias("whose"), F.col("row").alias("of")).agg(F.collect_list("spans").alias("spans"))
+    joined = packed.join(spans, (packed.row == spans.of) & (packed.id == spans.whose), "left").select("id", "packed", "spans")
     digest = joined.mapInPandas(_digest, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return digest.withColumn("id", F.nullif("id", F.lit(-(1 << 63))))
