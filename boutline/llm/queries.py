@@ -50,8 +50,8 @@ base AS ({" UNION ALL ".join(_sql_spans(k) for k in secrets.BASE)}),
 more AS (SELECT * FROM ({_sql_spans("opaque")}) m WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
   AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = m.rid AND b.start_at < m.start_at + m.n AND m.start_at < b.start_at + b.n)),
 spans AS (SELECT * FROM base UNION ALL SELECT * FROM more),
-counts AS (SELECT v, count(DISTINCT owner) AS n_owners FROM spans JOIN d USING (rid) GROUP BY v),
-classed AS (SELECT s.*, CASE WHEN n_owners >= 3 THEN 'copied' WHEN n_owners = 1 AND len(list_distinct(string_split(v, ''))) >= 8 THEN 'live' ELSE 'unclear' END AS class
+counts AS (SELECT v, count(DISTINCT owner) AS n_owners, count(DISTINCT (owner, repo)) AS n_repos FROM spans JOIN d USING (rid) GROUP BY v),
+classed AS (SELECT s.*, CASE WHEN n_owners >= 3 OR (n_owners >= 2 AND n_repos >= 5) THEN 'copied' WHEN n_owners = 1 AND len(list_distinct(string_split(v, ''))) >= 8 THEN 'live' ELSE 'unclear' END AS class
   FROM spans s JOIN counts USING (v)),
 kept AS (SELECT *, ['assign', 'access', 'hex', 'opaque'][kind + 1] || ':' || start_at || ':' || (start_at + n) AS name FROM classed WHERE kind < 3 OR class = 'live'),
 listed AS (SELECT rid, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
@@ -75,20 +75,18 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = """
-WITH d AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS t FROM documents),
-dw AS (SELECT row_number() OVER () AS r, doc_id, string_split(t, ' ') AS w FROM d WHERE t <> ''),
-iw AS (SELECT item_id, string_split(t, ' ') AS w FROM (SELECT item_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS t FROM benchmark) WHERE t <> '' AND item_id IS NOT NULL),
-it AS (SELECT item_id, len(w) AS n, least(5, len(w)) AS k, w FROM iw),
-isx AS (SELECT item_id, n, k, unnest(range(1, n - k + 2)) AS q, w FROM it),
-ish AS (SELECT item_id, n, k, q, array_to_string(w[q:q + k - 1], ' ') AS s FROM isx),
-dp AS (SELECT r, len(w) AS len, k, unnest(range(1, len(w) - k + 2)) AS p, w FROM dw, (SELECT DISTINCT k FROM it) WHERE len(w) >= k),
-dsh AS (SELECT r, len, k, p, array_to_string(w[p:p + k - 1], ' ') AS s FROM dp),
-seeds AS (SELECT DISTINCT r, item_id, n, ish.k AS k, greatest(p - q, 0) AS lo, least(p - q + n, len) AS hi FROM dsh JOIN ish ON dsh.k = ish.k AND dsh.s = ish.s),
-wc AS (SELECT seeds.r, item_id, lo, hi, seeds.k AS k, n, s, count(*) AS c FROM seeds JOIN dsh ON dsh.r = seeds.r AND dsh.k = seeds.k AND dsh.p > lo AND dsh.p + seeds.k - 1 <= hi GROUP BY ALL),
-ic AS (SELECT item_id, s, count(*) AS c FROM ish GROUP BY ALL),
-sh AS (SELECT r, wc.item_id AS item_id, lo, hi, wc.k AS k, n, sum(least(wc.c, coalesce(ic.c, 0))) AS shared FROM wc LEFT JOIN ic ON ic.item_id = wc.item_id AND ic.s = wc.s GROUP BY ALL),
-sim AS (SELECT r, item_id, shared / ((hi - lo - k + 1) + (n - k + 1) - shared) AS similarity FROM sh)
-SELECT doc_id, item_id, max(round(similarity, 6)) AS similarity FROM sim JOIN dw USING (r) WHERE similarity >= 0.8 GROUP BY doc_id, item_id"""
+WITH dw AS (SELECT row_number() OVER () AS r, doc_id, string_split(t, ' ') AS w FROM (SELECT doc_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS t FROM documents) WHERE t <> ''),
+it AS (SELECT item_id, len(w) AS n, least(5, len(w)) AS k, w FROM (SELECT item_id, string_split(t, ' ') AS w FROM (SELECT item_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS t FROM benchmark) WHERE t <> '' AND item_id IS NOT NULL)),
+it2 AS (SELECT DISTINCT ON (item_id, w) row_number() OVER () AS it, * FROM it),
+ic AS (SELECT it, n, k, s, count(*) AS c FROM (SELECT it, n, k, unnest(list_transform(range(1, n - k + 2), lambda q: array_to_string(w[q:q + k - 1], ' '))) AS s FROM it2) GROUP BY ALL),
+dsh AS (SELECT r, len, k, x.p AS p, x.s AS s FROM (SELECT r, len(w) AS len, k, unnest(list_transform(range(1, len(w) - k + 2), lambda p: {'p': p - 1, 's': array_to_string(w[p:p + k - 1], ' ')})) AS x
+  FROM dw, (SELECT DISTINCT k FROM it) WHERE len(w) >= k)),
+hit AS (SELECT r, it, len, n, dsh.k AS k, c, dsh.s AS s, p, row_number() OVER (PARTITION BY r, it, dsh.s ORDER BY p) AS j FROM dsh JOIN ic ON ic.k = dsh.k AND ic.s = dsh.s),
+ends AS (SELECT a.r, a.it, a.len, a.n, a.k, greatest(a.p - a.n + a.k, b.p + 1) AS lo, a.p + 1 AS hi FROM hit a LEFT JOIN hit b ON b.r = a.r AND b.it = a.it AND b.s = a.s AND b.j = a.j - a.c),
+sweep AS (SELECT r, it, len, n, k, lo AS s, 1 AS d FROM ends UNION ALL SELECT r, it, len, n, k, hi, -1 FROM ends),
+spans AS (SELECT *, sum(d) OVER z AS shared, lead(s) OVER z AS next FROM sweep WINDOW z AS (PARTITION BY r, it ORDER BY s)),
+sims AS (SELECT r, it, shared / (least(begun + n, len) - greatest(begun, 0) + n - 2 * (k - 1) - shared) AS similarity FROM (SELECT *, unnest([s, next - 1]) AS begun FROM spans WHERE shared > 0 AND next > s))
+SELECT doc_id, item_id, max(round(similarity, 6)) AS similarity FROM sims JOIN dw USING (r) JOIN it2 USING (it) WHERE similarity >= 0.8 GROUP BY doc_id, item_id"""
 
 
 #: File of the SentencePiece model; read by the driver.

@@ -1,7 +1,8 @@
 """Secret scan by corpus-wide ownership frequency, in DataFrame functions only.
 
 Every candidate value is hashed, and each hash is counted by distinct repositories and owners over the whole corpus.  A value
-held by one owner alone looks live; one held by many owners is a widely copied example.  Spans are code point offsets.
+held by one owner alone looks live, in however many of the owner's repositories (forks) it stands; one held by many owners, or by two in many repositories,
+is a widely copied example.  Spans are code point offsets.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ ASSIGN = f"""({"|".join(map(_either_case, ("password", "passwd", "secret", "toke
 #: pattern, group of the value, least length of the value.  For access and hex the quantifier is the least length: their matches are whole runs.
 PATTERNS = {"assign": (ASSIGN, 2, 8), "access": ("(AKIA[A-Z0-9]{12,})", 1, 16), "hex": ("([0-9a-f]{32,})", 1, 32), "opaque": ("([A-Za-z0-9+/_-]{20,})", 1, 20)}
 SPAN_LIST = "array<struct<start:int,kind:int,end:int,value:string>>"
+CHUNK = 64
 MIXED = "(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])"
 
 
@@ -38,8 +40,15 @@ def kind_spans(text: Column, kind: str) -> Column:
         span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), part["value"].alias("value"))
         return F.struct(end.alias("pos"), F.concat(state["found"], F.array(span)).alias("found"))
 
-    begin = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN_LIST).alias("found"))
-    walked = F.aggregate(parts, begin, step, lambda state: state["found"])
+    def chunk(state: Column, some: Column) -> Column:
+        inner = F.aggregate(some, F.struct(state["pos"].alias("pos"), F.array().cast(SPAN_LIST).alias("found")), step)
+        return F.struct(inner["pos"].alias("pos"), F.concat(state["found"], F.array(inner["found"])).alias("found"))
+
+    # a fold copies its list at each step: hits are folded CHUNK at a time, so a text full of them costs little more a hit
+    last = F.floor(F.greatest(F.size(parts) - 1, F.lit(0)) / CHUNK).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(parts, k * CHUNK + 1, F.lit(CHUNK)))
+    begin = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{SPAN_LIST}>").alias("found"))
+    walked = F.aggregate(chunks, begin, chunk, lambda state: F.flatten(state["found"]))
     kept = F.filter(walked, lambda s: F.length(s["value"]) >= least)
     if kind == "opaque":
         kept = F.filter(kept, lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
@@ -76,12 +85,14 @@ def scan_secrets(
     owner: str | Column = "source",
     repo: str | Column | None = None,
     copied_owners: int = 3,
+    copied_repos: int = 5,
     carry: Column | None = None,
 ) -> DataFrame:
     """One row for each row of `docs`: row, id (, carry: a column to come along), spans array<struct<start, kind, end, class, n_owners, n_repos>> by start and kind.
 
-    class: `live` for a value of one owner with 8 distinct characters at least, `copied` for one of `copied_owners` owners or more, else
-    `unclear`.  Opaque tokens (letters and digits, 20 characters or more, outside base spans) count as spans only if live.
+    owner and repo: who holds a document, and in what collection of theirs; on a corpus without repositories the queries take `source` as owner and
+    (source, lang) as its repositories.  class: `live` for a value of one owner with 8 distinct characters at least, `copied` for one of `copied_owners`
+    owners or more, or of two owners or more in `copied_repos` repositories or more, else `unclear`.  Opaque tokens (letters and digits, 20 characters or more, outside base spans) count as spans only if live.
     Null texts are empty; null owners or repositories are one owner or repository; repeated rows each come back; other columns are
     ignored; an empty table gives no rows.
     """
@@ -99,7 +110,7 @@ def scan_secrets(
     found = scratch.table(found.select("row", "id", *(["carry"] if kept else []), "owner", "repo", spans.alias("spans")), "found")
     used = found.where("size(spans) > 0").select("row", "id", "owner", "repo", F.explode("spans").alias("s"))
     counts = scratch.table(ownership(used.select(F.col("s.hash").alias("hash"), "owner", "repo")), "counts")
-    sort = F.when(F.col("n_owners") >= copied_owners, "copied").when((F.col("n_owners") == 1) & F.col("s.mixed"), "live").otherwise("unclear")
+    sort = F.when((F.col("n_owners") >= copied_owners) | ((F.col("n_owners") >= 2) & (F.col("n_repos") >= copied_repos)), "copied").when((F.col("n_owners") == 1) & F.col("s.mixed"), "live").otherwise("unclear")
     classed = used.select("row", "id", "s", F.col("s.hash").alias("hash")).join(counts, "hash").withColumn("class", sort).where((F.col("s.kind") < len(BASE)) | (F.col("class") == "live"))
     item = F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), F.col("class"), F.col("n_owners"), F.col("n_repos"))
     listed = classed.groupBy("row").agg(F.sort_array(F.collect_list(item)).alias("got"))
