@@ -10,6 +10,7 @@ The file is read by the driver and shipped to the tasks as bytes, so executors n
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from functools import lru_cache
 
@@ -48,17 +49,34 @@ def merges(scores: dict[str, float]) -> list[tuple[str, str]]:
     return [(a, b) for *_, a, b in sorted(found)]
 
 
+def spelt_cuts(pieces) -> list[str]:
+    """Patterns after which a text is cut that spells out a control, unknown or byte piece, which a lattice would take for the piece.  The cut is before a
+    character that is a piece of its own (so that no run of unknown ones, which is one id, is cut), and where no piece lies across it."""
+    normal = {p.piece for p in pieces if p.type == NORMAL}
+    across = {x for p in normal for x in zip(p, p[1:])}
+    found = []
+    for p in pieces:
+        if p.type in (CONTROL, UNKNOWN, BYTE):
+            at = next((k for k in range(1, len(p.piece)) if p.piece[k] in normal and tuple(p.piece[k - 1 : k + 1]) not in across), None)
+            if at:
+                found.append(f"{re.escape(p.piece[:at])}(?={re.escape(p.piece[at:])})")
+    return found
+
+
 def build(model: bytes) -> Tokenizer:
-    """The Tokenizer with the behaviour of a SentencePiece model (unigram or BPE)."""
+    """The Tokenizer with the behaviour of a SentencePiece model (unigram or BPE).  Models with user-defined pieces are refused: the library cuts
+    texts at them before anything else, and no part of a Tokenizer does so within one normalised text."""
     proto = parse(model)
     pieces = list(proto.pieces)
+    if any(p.type == USER_DEFINED for p in pieces):
+        raise ValueError("user-defined pieces are not supported")
     fallback = proto.trainer_spec.byte_fallback
     unk = next(n for n, p in enumerate(pieces) if p.type == UNKNOWN)
     if proto.trainer_spec.model_type == UNIGRAM:
         core = models.Unigram([(p.piece, p.score) for p in pieces], unk_id=unk, byte_fallback=fallback)
     elif proto.trainer_spec.model_type == BPE:
         vocab = {p.piece: n for n, p in enumerate(pieces)}
-        usable = {p.piece: p.score for p in pieces if p.type in (NORMAL, USER_DEFINED)}
+        usable = {p.piece: p.score for p in pieces if p.type == NORMAL}
         core = models.BPE(vocab=vocab, merges=merges(usable), unk_token=pieces[unk].piece, fuse_unk=True, byte_fallback=fallback)
     else:
         raise ValueError("only unigram and BPE models are supported")
@@ -76,7 +94,11 @@ def build(model: bytes) -> Tokenizer:
     if not inner and proto.trainer_spec.model_type == BPE:
         # no piece goes on past a marker, so words can be encoded (and cached) one by one
         tok.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+\\z"), "isolated")
-    tok.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if spec.add_dummy_prefix else [])])
+    if proto.trainer_spec.model_type == UNIGRAM:
+        cuts = spelt_cuts(pieces)
+        if cuts:
+            tok.pre_tokenizer = pre_tokenizers.Split(Regex("|".join(cuts)), "merged_with_previous")
+    tok.decoder = decoders.Sequence([decoders.Replace(pieces[unk].piece, proto.trainer_spec.unk_surface), decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if spec.add_dummy_prefix else [])])
     tok.add_special_tokens([AddedToken(p.piece, normalized=False, special=True) for p in pieces if p.type == CONTROL])
     tok.encode_special_tokens = True  # their strings in a text are ordinary text
     return tok

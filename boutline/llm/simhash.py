@@ -129,7 +129,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
 
     Null or wordless texts have fingerprint 0 and link like any other.  Rows with a null id keep their fingerprint, take
     the component of that fingerprint if another row has one, and start no link.  Repeated rows each come back.  Other columns, whatever
-    their names, are ignored.  An empty table gives no rows.
+    their names, are ignored.  An empty table gives no rows.  Thresholds of 1 and 2 bits are supported; others raise, as they would need over 650
+    anchors a fingerprint.
     """
     scratch = Scratch(spark, "simhash")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
