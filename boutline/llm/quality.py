@@ -108,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label
     """Fit on about `bound` labelled rows outside the held-out fold, those with the smallest hashes of the id; None without both labels."""
     known = labels.select(F.col(id_col).alias("key"), F.col(label_col).alias("y")).where("key IS NOT NULL AND y IN (0, 1)").groupBy("key").agg(F.max("y").alias("y")).where(~held_out("key"))
     cut = int(bound / max(1, known.count()) * 1_000_000)
-    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).join(known.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < cut), "key")
+    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).join(F.broadcast(known.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < cut)), "key")  # about `bound` rows, so no text is shuffled
 
     def run(batches):
         for b in batches:

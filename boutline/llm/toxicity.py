@@ -272,7 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     scratch = Scratch(spark, "toxicity")
     known = labels.select(F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("y")).where("key IS NOT NULL AND y IN (0, 1)").groupBy("key").agg(F.max("y").alias("y")).where(~held_out("key", 5, 0))
     cut = int(bound / max(1, known.count()) * 1_000_000)
-    known = known.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < cut)
+    known = F.broadcast(known.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < cut))  # about `bound` rows, so no text is shuffled
     rows = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sample = scratch.table(rows.join(known, "key").select("text", "y"), "sample")
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
