@@ -54,15 +54,9 @@ def _gray(state: Column, v: Column) -> Column:
     return F.struct(now.alias("last"), F.concat(state["out"], F.array(now)).alias("out"))
 
 
-def text_level(value: Column, bits: int) -> Column:
-    """A string's place among strings, by its first two bytes, quantised; null first."""
-    two = F.conv(F.rpad(F.substring(F.hex(F.encode(F.lower(F.coalesce(value.cast("string"), F.lit(""))), "UTF-8")), 1, 4), 4, "0"), 16, 10).cast("long")
-    low, high = 0x6161, 0x7A7B  # "aa" to past "zz": what lies outside goes to the ends
-    return F.greatest(F.lit(0), F.least(F.lit((1 << bits) - 1), F.floor((two - low) * (1 << bits) / (high - low)))).cast("int")
-
-
 def hash_level(value: Column, bits: int) -> Column:
-    """A string's cell by hash: for dimensions that are only asked for by equality."""
+    """A string's cell by hash, for dimensions that are only asked for by equality: a few values spread over all cells, where an order by their letters would
+    crowd them into a few next to each other that the curve tells apart last."""
     return F.pmod(F.crc32(F.coalesce(value.cast("string"), F.lit(""))), F.lit(1 << bits)).cast("int")
 
 
@@ -88,8 +82,8 @@ def shard_documents(
 
     Equal texts are a group, and a group has one cell: Hilbert index of (lang, source, size) of its row with the smallest id (null ids last, then by lang and
     source).  Order: the cell, then size, crc32 and hash of the text, then id; so a group is one run of ranks, and is cut only where a shard is full.
-    slot counts from 0 in each shard.  size: UTF-8 bytes of the text (null: none) plus 8; null and empty texts are one group.  Null dimensions are the
-    lowest cell of theirs; repeated rows each get their own slot; fewer rows than shards leave shards empty; an empty table gives no rows.
+    slot counts from 0 in each shard.  size: UTF-8 bytes of the text (null: none) plus 8; null and empty texts are one group.  Null dimensions count
+    as the empty string; repeated rows each get their own slot; fewer rows than shards leave shards empty; an empty table gives no rows.
 
     The rows are range-partitioned by the whole order (a hot cell or group is split by id), a partition's place comes from the counts of
     those before it, one number a partition, and no text is moved unless `carry` holds it.
@@ -101,7 +95,7 @@ def shard_documents(
     rows = docs.select(F.col(id_col).alias("id"), size.alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("hash"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), *([carry.alias("carry")] if kept else []))
     rows = scratch.table(rows, "rows")
     group = ["size", "text_crc32", "hash"]
-    levels = [text_level(F.col("lang"), bits).alias("lang_level"), hash_level(F.col("source"), bits).alias("source_level")]
+    levels = [hash_level(F.col("lang"), bits).alias("lang_level"), hash_level(F.col("source"), bits).alias("source_level")]
     # copies are counted with partial sums; only groups of two and more are joined, and Spark splits the partition of a hot one
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "lang", "source")).alias("first")
     groups = rows.groupBy(*group).agg(F.count("*").alias("n"), first).where("n > 1").select(*group, F.col("first.lang").alias("lang"), F.col("first.source").alias("source")).select(*group, F.struct(*levels).alias("of_group"))
