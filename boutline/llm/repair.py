@@ -1,12 +1,15 @@
 """Token-id files with Re-Pair grammar compression.
 
-A block holds the ids of a run of documents.  Frequent id pairs are replaced by nonterminals, round after round; the block keeps the rules, each rule's
-expansion length, and where each document's symbols begin, so a document is decoded without the others.  No pair reaches over the end id, so documents
-begin at symbols.  Symbols, terminals included, fit 16 bits where the vocabulary leaves room.
+A block holds the ids of a run of documents.  Frequent id pairs are replaced by nonterminals, round after round until none is frequent; the block keeps
+the rules, each rule's expansion length, and where each document's symbols begin, so a document is decoded without the others.  No pair reaches over the
+end id, so documents begin at symbols.  Symbols, terminals included, take 16 bits where vocabulary and rules fit, else 32.
 """
 
 from __future__ import annotations
 
+import gc
+import json
+import os
 import re
 import struct
 import zlib
@@ -18,8 +21,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, pre_tokenizers
 
+from boutline.llm.arrows import SLICE, cut_at
 from boutline.llm.scratch import Scratch
 
 END = 1
@@ -30,46 +34,126 @@ SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
+#: The pattern of the tokenizers that cut texts at white space, keep runs of letters whole and lower-case first.
+WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Punctuation that ends words: behind a letter or digit a run of it is a token of its own.
+TAIL = ".,;:!?"
+#: What lower-cases in one way only, letter by letter: ASCII and the Latin letters but the dotted capital I.
+PLAIN = re.compile("[\x00-\x7f\u00a1-\u00bf\u00c0-\u012f\u0131-\u017e]*")
 #: A character between words that are encoded together.
 MARK = "\x1e"
 
 
+def joins_no_words(tok: Tokenizer) -> bool:
+    """Whether a tokenizer drops white space, lets nothing reach over it, and cuts letters and punctuation apart, by what its parts say of themselves."""
+    if tok.normalizer is None or tok.pre_tokenizer is None or not isinstance(tok.model, models.BPE):
+        return False
+    normal, cut = (json.loads(part.__getstate__()) for part in (tok.normalizer, tok.pre_tokenizer))
+    split, *rest = cut.get("pretokenizers", [cut])
+    whole = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") and split.get("pattern") == {"Regex": WORD_PATTERN}
+    bytes_only = rest == [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+    steps = [n["type"] for n in normal.get("normalizers", [normal])]
+    return bool(whole and bytes_only and steps == ["NFC", "Replace", "Lowercase"] and tok.model.end_of_word_suffix and not tok.model.dropout)
+
+
 class WordEncoder:
-    """Whole texts to id bytes with a tokenizer that drops white space and never joins over it: each word is encoded once by the library and kept, within
-    a bound. """
+    """Whole texts to id bytes.  With a tokenizer that never joins over white space each word is encoded once by the library and kept, in two generations
+    of BOUND words; any other tokenizer gets whole texts."""
 
-    BOUND = 400_000
+    BOUND = 200_000
 
     def __init__(self, tokenizer: str):
         self.tok = Tokenizer.from_str(tokenizer)
         self.tok.no_truncation()
         self.tok.no_padding()
+        self.by_word = joins_no_words(self.tok)
         self.words: dict[str, bytes] = {}
-        alone = self.tok.encode(MARK, add_special_tokens=False).ids
-        self.mark = alone[0] if len(alone) == 1 else None
+        self.old: dict[str, bytes] = {}
+        if self.by_word:
+            suffix = self.tok.model.end_of_word_suffix
+            self.ends = np.zeros(self.tok.get_vocab_size(with_added_tokens=True), bool)
+            self.ends[[n for t, n in self.tok.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
+            alone = self.tok.encode(MARK, add_special_tokens=False).ids
+            self.mark = alone[0] if len(alone) == 1 else None
+            # lower-case words of letters need no normaliser, and white space is all that cuts them; both tokenizers share one model
+            self.bare = Tokenizer(self.tok.model)
+            self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
+    @staticmethod
+    def split(text: str) -> list[str]:
+        """Words with the same ids as the text: lower-cased where that is safe."""
+        if ODD_SPACE.search(text):
+            return [w for w in SPACE.split(text) if w]
+        if text.isascii() or PLAIN.fullmatch(text):
+            text = text.lower()
+        return text.split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.split() if not ODD_SPACE.search(t) else [w for w in SPACE.split(t) if w] for t in texts]
+        if not self.by_word:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        collects = gc.isenabled()
+        gc.disable()  # what is made here holds no cycles, and the collector would walk the kept words again and again
+        try:
+            return self._by_word(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _by_word(self, texts: list[str]) -> list[bytes]:
+        split = [self.split(t) for t in texts]
         if len(self.words) > self.BOUND:
-            self.words.clear()
+            self.old, self.words = self.words, {}
+        fresh = self._unknown(set().union(*split))
+        ends = []
+        for w in fresh:
+            if w[-1] in TAIL:
+                core = w.rstrip(TAIL)
+                if core and core[-1].isalnum():
+                    ends.append((w, core, w[len(core) :]))
+        fresh.difference_update([w for w, _, _ in ends])
+        fresh |= self._unknown({x for _, *parts in ends for x in parts})
+        plain = [w for w in fresh if w.isalpha() and w.islower() and (w.isascii() or PLAIN.fullmatch(w))]
+        fresh.difference_update(plain)
+        self._others([*fresh, *self._letters(plain)])
         words = self.words
-        fresh = list({w for ws in split for w in ws if w not in words})
-        # many words go in one text, with a mark between them; a word that holds the mark goes alone
-        marked = [w for w in fresh if MARK in w] if self.mark is not None else fresh
-        plain = [w for w in fresh if MARK not in w] if self.mark is not None else []
+        words.update([(w, words[core] + words[tail]) for w, core, tail in ends])
+        return [b"".join(map(words.__getitem__, ws)) for ws in split]
+
+    def _unknown(self, words: set[str]) -> set[str]:
+        """Those of `words` that are new; words of the old generation come over."""
+        fresh = words.difference(self.words)
+        old = self.old
+        known = [w for w in fresh if w in old] if old else []
+        self.words.update([(w, old[w]) for w in known])
+        return fresh.difference(known)
+
+    def _letters(self, fresh: list[str]) -> list[str]:
+        """Encode lower-case words of letters, many in one text: a word's last id is one that ends words.  Returns those that could not be told apart."""
+        runs, left = [fresh[at : at + 128] for at in range(0, len(fresh), 128)], []
+        for run, e in zip(runs, self.bare.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            cut = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cut) != len(run):
+                left += run
+                continue
+            data = ids.tobytes()
+            self.words.update(zip(run, [data[4 * a : 4 * b] for a, b in zip([0, *cut], cut)]))
+        return left
+
+    def _others(self, fresh: list[str]) -> None:
+        """Encode any words, many in one text with a mark between them; a word that holds the mark goes alone."""
+        alone = [w for w in fresh if self.mark is None or MARK in w]
+        plain = [w for w in fresh if self.mark is not None and MARK not in w]
         runs = [plain[at : at + 256] for at in range(0, len(plain), 256)]
         for run, e in zip(runs, self.tok.encode_batch_fast([f" {MARK} ".join(r) for r in runs], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
             cut = np.flatnonzero(ids == self.mark)
             if len(cut) != len(run) - 1:
-                marked += run
+                alone += run
                 continue
-            for w, a, b in zip(run, np.r_[0, cut + 1].tolist(), [*cut.tolist(), len(ids)]):
-                words[w] = ids[a:b].tobytes()
-        for w, e in zip(marked, self.tok.encode_batch_fast(marked, add_special_tokens=False)):
-            words[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(words.__getitem__, ws)) for ws in split]
+            self.words.update((w, ids[a:b].tobytes()) for w, a, b in zip(run, np.r_[0, cut + 1].tolist(), [*cut.tolist(), len(ids)]))
+        self.words.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(alone, self.tok.encode_batch_fast(alone, add_special_tokens=False)))
 
 
 @lru_cache(maxsize=1)
@@ -78,79 +162,96 @@ def encoder_of(tokenizer: str) -> WordEncoder:
     return WordEncoder(tokenizer)
 
 
-def build_grammar(ids: np.ndarray, base: int, *, least: int = 16, a_round: int = 2048, rounds: int = 6, most: int | None = None):
-    """Symbols and rules of an id sequence.  Each round takes the `a_round` most frequent pairs with `least` uses or more, replaces them from left to right
-    without overlaps, and numbers them from `base` up.  Returns symbols (uint32), rules (n, 2), the first rule of each round, and the kept positions."""
-    most = max(0, 65536 - base) if most is None else most
-    s, kept = ids.astype(np.uint32), np.arange(len(ids))
-    wide, half = (np.uint32, 16) if base + most <= 65536 and (not len(s) or s.max() < 65536) else (np.uint64, 32)
+def build_grammar(ids: np.ndarray, base: int, *, least: int = 16, share: int = 64, end: int = END):
+    """Symbols (uint32) and rules (n, 2) of an id sequence.  Until no pair has `least` uses, a round replaces every pair that has them and at least
+    1/`share` of the most frequent pair's, from left to right without overlaps, and numbers the rules from `base` up.  The end id is in no pair.
+
+    A pair under `least` can't come to have more uses, so a round looks only at pairs that were frequent in the one before and at those
+    that its replacements made."""
+    s = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
-    total, begins = 0, []
-    for _ in range(rounds):
-        room = min(a_round, most - total)
-        if len(s) < 2 or room <= 0:
-            break
-        free = (s[:-1] != END) & (s[1:] != END)
-        keys = (s[:-1].astype(wide) << wide(half)) | s[1:].astype(wide)
-        ordered = np.sort(keys[free])
-        if not len(ordered):
+    total = 0
+    free = s != end
+    able = np.zeros(len(s), bool)  # whether the pair that begins here may be frequent
+    able[:-1] = free[:-1] & free[1:]
+    while True:
+        at = np.flatnonzero(able)
+        if not len(at):
             break
-        edge = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        uses = np.diff(np.r_[edge, len(ordered)])
-        able = np.flatnonzero(uses >= least)
-        if not len(able):
+        if base + total <= 1 << 16:
+            code, names = (s[at] << np.uint32(16)) | s[at + 1], None
+        else:
+            names, code = np.unique((s[at].astype(np.uint64) << np.uint64(32)) | s[at + 1], return_inverse=True)
+        # pair and place in one number: sorting it brings a pair's places together
+        ordered = (code.astype(np.uint64) << np.uint64(32)) | at.view(np.uint64)
+        ordered.sort()
+        pair = (ordered >> np.uint64(32)).astype(np.uint32)
+        head = np.flatnonzero(pair[1:] != pair[:-1]) + 1
+        head = np.concatenate([[0], head])
+        uses = np.diff(head, append=len(pair))
+        often = uses >= least
+        if not often.any():
             break
-        best = able[np.lexsort((ordered[edge[able]], -uses[able]))[:room]]
-        chosen = np.sort(ordered[edge[best]])
-        where = np.minimum(np.searchsorted(chosen, keys), len(chosen) - 1)
-        hit = free & (chosen[where] == keys)
-        at = np.flatnonzero(hit)
+        ordered = ordered[np.repeat(often, uses)]  # from here on frequent pairs only
+        place = (ordered & np.uint64(0xFFFFFFFF)).view(np.int64)
+        pair, uses = pair[head[often]], uses[often]
+        able = np.zeros(len(s), bool)
+        able[place] = True
+        chosen = uses >= max(least, int(uses.max()) // share)
+        rank = np.repeat(np.where(chosen, np.cumsum(chosen) - 1, -1).astype(np.int32), uses)
+        put = np.full(len(s), -1, np.int32)
+        put[place] = rank
+        at = np.flatnonzero(put >= 0)
         # of neighbouring hits, the first, third, ... of each run: from left to right
-        head = np.r_[True, np.diff(at) > 1]
-        order = np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
-        at = at[order % 2 == 0]
-        s[at] = (base + total + where[at]).astype(np.uint32)
+        step = np.diff(at, prepend=-2) > 1
+        count = np.arange(len(at))
+        at = at[(count - np.maximum.accumulate(np.where(step, count, 0))) & 1 == 0]
+        s[at] = (base + total + put[at]).astype(np.uint32)
         stay = np.ones(len(s), bool)
         stay[at + 1] = False
-        s, kept = s[stay], kept[stay]
-        rules.append(np.column_stack([chosen >> wide(half), chosen & wide((1 << half) - 1)]).astype(np.uint32))
-        begins.append(total)
-        total += len(chosen)
-    return s, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), begins, kept
+        able[at] = able[np.maximum(at - 1, 0)] = True
+        s, able, free = s[stay], able[stay], free[stay]
+        able[-1] = False
+        able[:-1] &= free[:-1] & free[1:]
+        made = pair[chosen] if names is None else names[pair[chosen]]
+        half, low = (16, 0xFFFF) if names is None else (32, 0xFFFFFFFF)
+        rules.append(np.column_stack([made >> made.dtype.type(half), made & made.dtype.type(low)]).astype(np.uint32))
+        total += len(made)
+    return s, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The ids of a run of symbols."""
-    s = symbols.astype(np.uint32)
-    while True:
-        rule = s >= base
-        if not rule.any():
-            return s
-        end = np.cumsum(1 + rule)
-        out = np.empty(end[-1], np.uint32)
-        first = end - 1 - rule
-        r = rules[s[rule] - base]
-        out[first[~rule]] = s[~rule]
-        out[first[rule]], out[first[rule] + 1] = r[:, 0], r[:, 1]
-        s = out
-
-
-def write_block(ids: list[bytes], base: int) -> bytes:
+@lru_cache(maxsize=2)
+def _terminals(base: int) -> list[bytes]:
+    data = np.arange(base, dtype="<u4").tobytes()
+    return [data[k : k + 4] for k in range(0, 4 * base, 4)]
+
+
+def expansions(rules: np.ndarray, base: int) -> list[bytes]:
+    """The ids of every symbol, little-endian unsigned 32-bit; a rule's two sides come before it."""
+    table = _terminals(base).copy()
+    for a, b in rules.tolist():
+        table.append(table[a] + table[b])
+    return table
+
+
+def write_block(ids: list[bytes], base: int, end: int = END) -> bytes:
     """A block of documents, each with its end id already appended.  base: the vocabulary's size, first nonterminal."""
     flat = np.frombuffer(b"".join(ids), "<u4")
-    starts = np.cumsum([0] + [len(x) // 4 for x in ids])
-    symbols, rules, _, kept = build_grammar(flat, base)
-    lengths = np.ones(base + len(rules), np.uint32)
-    for n, (a, b) in enumerate(rules):
-        lengths[base + n] = lengths[a] + lengths[b]
-    first = np.searchsorted(kept, starts).astype("<u4")  # documents begin at symbols
+    symbols, rules = build_grammar(flat, base, end=end)
+    lengths = [1] * base
+    for a, b in rules.tolist():
+        lengths.append(lengths[a] + lengths[b])
+    # no rule holds an end id, so the n-th of them among the ids is the n-th among the symbols, and documents begin behind theirs
+    last = np.cumsum([len(x) // 4 for x in ids], dtype=np.int64) - 1
+    nth = np.searchsorted(np.flatnonzero(flat == end), last)
+    first = np.concatenate([[0], np.flatnonzero(symbols == end)[nth] + 1]).astype("<u4")
     wide = base + len(rules) > 65536
-    parts = [first, rules.astype("<u4"), lengths[base:].astype("<u4"), symbols.astype("<u4" if wide else "<u2")]
+    parts = [first, rules.astype("<u4"), np.array(lengths[base:], "<u4"), symbols.astype("<u4" if wide else "<u2")]
     return HEADER.pack(MAGIC, len(ids), len(rules), base, len(symbols)) + b"".join(p.tobytes() for p in parts)
 
 
 class Block:
-    """A written block: `document(k)` decodes one document, `start(k)` counts the ids before it, `all()` gives each document's ids."""
+    """A written block: `document(k)` decodes one document, `start(k)` counts the ids before it, `all()` gives each document's ids as bytes."""
 
     def __init__(self, data: bytes):
         magic, self.docs, n, self.base, m = HEADER.unpack_from(data)
@@ -163,6 +264,7 @@ class Block:
         at += self.rules.nbytes
         self.rule_lengths = np.frombuffer(data, "<u4", n, at)
         at += self.rule_lengths.nbytes
+        self.table: list[bytes] | None = None
         self.symbols = np.frombuffer(data, "<u4" if self.base + n > 65536 else "<u2", m, at)
 
     def lengths(self) -> np.ndarray:
@@ -175,11 +277,16 @@ class Block:
         return int(self.lengths()[: self.first[k]].sum())
 
     def document(self, k: int) -> np.ndarray:
-        return expand(self.symbols[self.first[k] : self.first[k + 1]], self.rules, self.base)
+        """Ids of one document: nothing before it is expanded."""
+        return np.frombuffer(self.ids(k), "<u4")
+
+    def ids(self, k: int) -> bytes:
+        if self.table is None:
+            self.table = expansions(self.rules, self.base)
+        return b"".join(map(self.table.__getitem__, self.symbols[self.first[k] : self.first[k + 1]].tolist()))
 
-    def all(self) -> list[np.ndarray]:
-        flat, ends = expand(self.symbols, self.rules, self.base), np.r_[0, np.cumsum(self.lengths())][self.first]
-        return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+    def all(self) -> list[bytes]:
+        return [self.ids(k) for k in range(self.docs)]
 
 
 BLOCK = "part int, seq int, n_docs long, n_ids long, ids array<long>, nulls array<boolean>, payload binary"
@@ -194,20 +301,21 @@ def write_ids(spark: SparkSession, docs: DataFrame, tokenizer: str, path: str, *
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         encoder, part, seq = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
         held, keys, size = [], [], 0
         for b in batches:
-            texts, ids = b["text"].tolist(), b["id"].tolist()
-            for at in range(0, len(texts), 200):
-                for key, data in zip(ids[at : at + 200], encoder.encode([t or "" for t in texts[at : at + 200]])):
+            texts, ids = [t or "" for t in b["text"]], b["id"].tolist()
+            for at, to in cut_at(np.array([len(t) for t in texts], np.int64), 2 * SLICE):
+                for key, data in zip(ids[at:to], encoder.encode(texts[at:to])):
                     held.append(data + tail)
                     keys.append(key)
                     size += len(held[-1]) // 4
                     if size >= block_ids:
-                        yield _block(part, seq, keys, held, size, base)
+                        yield _block(part, seq, keys, held, size, base, end)
                         held, keys, size, seq = [], [], 0, seq + 1
         if held:
-            yield _block(part, seq, keys, held, size, base)
+            yield _block(part, seq, keys, held, size, base, end)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     order = ["id", F.crc32("text"), F.length("text")]
@@ -221,9 +329,9 @@ def _vocabulary(tokenizer: str) -> int:
     return Tokenizer.from_str(tokenizer).get_vocab_size(with_added_tokens=True)
 
 
-def _block(part: int, seq: int, keys: list, held: list[bytes], size: int, base: int) -> pd.DataFrame:
+def _block(part: int, seq: int, keys: list, held: list[bytes], size: int, base: int, end: int) -> pd.DataFrame:
     ids, nulls = [int(k) if k is not None else 0 for k in keys], [k is None for k in keys]
-    return pd.DataFrame({"part": [part], "seq": [seq], "n_docs": [len(held)], "n_ids": [size], "ids": [ids], "nulls": [nulls], "payload": [write_block(held, base)]})
+    return pd.DataFrame({"part": [part], "seq": [seq], "n_docs": [len(held)], "n_ids": [size], "ids": [ids], "nulls": [nulls], "payload": [write_block(held, base, end)]})
 
 
 def read_digest(blocks: DataFrame) -> DataFrame:
@@ -237,8 +345,8 @@ def read_digest(blocks: DataFrame) -> DataFrame:
         for b in batches:
             for data, ids, nulls, start in zip(b["payload"], b["ids"], b["nulls"], b["block_start"]):
                 docs = Block(data).all()
-                n = np.array([len(d) for d in docs], np.int64)
-                yield pd.DataFrame({"id": [None if z else str(i) for i, z in zip(ids, nulls)], "start": start + np.cumsum(n) - n, "n_tokens": n, "ids_crc32": [zlib.crc32(d.astype("<u4").tobytes()) for d in docs]})
+                n = np.array([len(d) // 4 for d in docs], np.int64)
+                yield pd.DataFrame({"id": [None if z else str(i) for i, z in zip(ids, nulls)], "start": start + np.cumsum(n) - n, "n_tokens": n, "ids_crc32": [zlib.crc32(d) for d in docs]})
 
     got = blocks.join(starts, ["part", "seq"]).select("payload", "ids", "nulls", "block_start").mapInPandas(run, "id string, start long, n_tokens long, ids_crc32 long")
     return got.withColumn("id", F.col("id").cast("long"))
