@@ -51,6 +51,45 @@ def test_tables(spark, name):
     assert len(got) == (2 if name == "leaks" else 7)
 
 
+def test_values_of_the_odd_rows(spark):
+    """What each operator returns for the rows of `odd`, by value: the text twice under id 1, and once without an id; null texts twice without an id, once under 2;
+    the empty text under 3."""
+    run = {name: [r.asDict(recursive=True) for r in f(odd(spark)).collect()] for name, f in operators(spark)[0].items()}
+    rows = lambda name, *columns: sorted(((str(r["id"]), *(r[c] for c in columns)) for r in run[name]), key=str)
+    n = len("some words are here now")
+    assert rows("toxicity", "clauses", "top") == sorted([("1", 0, 0.0)] * 2 + [("2", 0, 0.0), ("3", 0, 0.0)] + [("None", 0, 0.0)] * 3, key=str) and len({r["score"] for r in run["toxicity"]}) == 1
+    assert rows("quality", "score", "distance") == sorted([("1", 0.5, 0.0)] * 2 + [("2", 0.5, 0.0), ("3", 0.5, 0.0)] + [("None", 0.5, 0.0)] * 3, key=str)
+    assert rows("secrets", "spans") == sorted([("1", [])] * 2 + [("2", []), ("3", [])] + [("None", [])] * 3, key=str)
+    fp = simhash.fingerprint("some words are here now")
+    fp -= (fp >> 63) << 64
+    assert rows("simhash", "fp", "component") == sorted([("1", fp, 1)] * 2 + [("2", 0, 2), ("3", 0, 2), ("None", fp, 1)] + [("None", 0, 2)] * 2, key=str)
+    tokens = {r["n_tokens"] for r in run["repair"] if r["id"] == 1}.pop()
+    assert rows("repair", "n_tokens") == sorted([("1", tokens)] * 2 + [("2", 1), ("3", 1), ("None", 1), ("None", 1), ("None", tokens)], key=str)
+    assert sorted(r["start"] for r in run["repair"] if r["id"] is not None) == [tokens + 2, 2 * tokens + 2, 3 * tokens + 2, 3 * tokens + 3] and rows("repair", "start")[2][1] == 3 * tokens + 2
+    assert rows("hilbert", "size") == sorted([("1", n + 8)] * 2 + [("2", 8), ("3", 8), ("None", 8), ("None", 8), ("None", n + 8)], key=str)
+    assert all(r["slot"] == 0 for r in run["hilbert"]) and len({r["shard"] for r in run["hilbert"]}) == 7 and len({(r["size"], r["curve"]) for r in run["hilbert"]}) == 2
+    assert rows("suffixes", "n_bytes", "n_removed", "n_spans") == sorted([("1", n, 0, 0)] * 2 + [("2", 0, 0, 0), ("3", 0, 0, 0), ("None", 0, 0, 0), ("None", 0, 0, 0), ("None", n, 0, 0)], key=str)
+    pieces = {r["n_tokens"] for r in run["pieces"] if r["id"] == 1}.pop()
+    assert rows("pieces", "n_tokens", "round_trip") == sorted([("1", pieces, True)] * 2 + [("2", 0, True), ("3", 0, True), ("None", 0, True), ("None", 0, True), ("None", pieces, True)], key=str)
+    assert rows("leaks", "item", "similarity", "start", "hamming") == sorted([("1", 1, 1.0, 0, 0), ("None", 1, 1.0, 0, 0)], key=str)
+
+
+def test_ties_and_rows_that_share_an_id(spark):
+    """Equal windows: the first counts. Equal ids with different texts: each row has the result of its own text, and neither removes the other's bytes."""
+    item = " ".join(f"w{k}" for k in range(30))
+    got = decontaminate.find_leaks(spark, frame(spark, (1, f"a b {item} c d {item}", "en", "s", 1)), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert [(r["start"], r["similarity"]) for r in got] == [(2, 1.0)]
+    one, other = "x" * 150, "y" * 120 + "x" * 130
+    got = suffixes.remove_repeats(spark, frame(spark, (5, one, "en", "s", 1), (5, other, "en", "s", 1), (6, other, "en", "s", 1))).collect()
+    assert sorted((r["id"], r["n_bytes"], r["n_removed"]) for r in got) == [(5, 150, 149), (5, 250, 129 + 119), (6, 250, 250)]
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(40)], LABELS)
+    docs = frame(spark, *((k, "you idiot." if k % 2 else "a plain text.", "en", "s", 1) for k in range(40)), (50, "you idiot.", "en", "s", 1), (50, "a plain text.", "en", "s", 1), (51, "you idiot.", "en", "s", 1))
+    scores = {}
+    for r in toxicity.toxicity(spark, docs, labels).collect():
+        scores.setdefault(r["id"], []).append(r["score"])
+    assert len(set(scores[50])) == 2 and scores[51][0] in scores[50] and max(scores[50]) == scores[51][0]
+
+
 @pytest.mark.parametrize("name, left", [("toxic", 7), ("near", 2), ("leaks", 4), ("redact", 7), ("encode", 7)])
 def test_filters(spark, name, left):
     run = operators(spark)[1][name]

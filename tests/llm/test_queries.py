@@ -15,7 +15,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from boutline.llm import decontaminate, queries, sentencepieces
+from boutline.llm import queries, sentencepieces
 
 DATA = "/root/testdata"
 
@@ -91,8 +91,13 @@ def test_op6(spark, small, documents):
         slots.setdefault(r["shard"], []).append(r["slot"])
     assert set(slots) == set(range(24)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
-    ordered = [r["curve"] for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))]
-    assert ordered == sorted(ordered)
+    ordered = sorted(got, key=lambda r: (r["shard"], r["slot"]))
+    assert [r["curve"] for r in ordered] == sorted(r["curve"] for r in got)
+    # equal texts are one run: only a group at the border of two shards is cut
+    groups = {}
+    for rank, r in enumerate(ordered):
+        groups.setdefault(documents[r["doc_id"]] or "", []).append(rank)
+    assert all(g[-1] - g[0] == len(g) - 1 for g in groups.values()) and max(map(len, groups.values())) > 1
 
 
 def test_op7(spark, small, documents):
@@ -136,7 +141,7 @@ def test_op8(spark, small, documents):
         ids = theirs.encode(documents[r["doc_id"]] or "")
         assert (r["n_tokens"], r["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), r["doc_id"]
     model = open(queries.SENTENCEPIECE_MODEL, "rb").read()
-    assert sentencepieces.parity(model, [t for t in documents.values() if t and len(t) < 20_000][:60]) == []
+    assert sentencepieces.parity(model, [t or "" for t in documents.values()]) == []
 
 
 def plain_leaks(docs, items):
@@ -165,7 +170,7 @@ def plain_leaks(docs, items):
 def test_op9(spark, small, documents):
     got = rows(spark, "op9_decontaminate", small)
     items = {r["item_id"]: r["text"] for r in pq.read_table(f"{small}/benchmark.parquet").to_pylist()}
-    assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in got} == plain_leaks({i: t for i, t in documents.items() if len(t or "") < 50_000}, items)
+    assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in got} == plain_leaks(documents, items)
     same_as_sql(got, "op9_decontaminate", small, "documents", "benchmark")
 
 
@@ -173,7 +178,7 @@ def test_op10(spark, small):
     same_as_sql(rows(spark, "op10_embeddings", small), "op10_embeddings", small, "embeddings")
 
 
-@pytest.mark.parametrize("name, label, held, limit, least", [("op1_toxicity", "toxic", lambda c: c % 5 == 0, 0.5, 0.9), ("op5_quality", "quality", lambda c: c % 4 == 2, 0.7, 0.8)])
+@pytest.mark.parametrize("name, label, held, limit, least", [("op1_toxicity", "toxic", lambda c: c % 5 == 0, 0.5, 0.96), ("op5_quality", "quality", lambda c: c % 4 == 2, 0.7, 0.98)])
 def test_held_out_accuracy(spark, name, label, held, limit, least):
     sf_dir = f"{DATA}/sf0.1"
     got = {r["doc_id"]: r for r in rows(spark, name, sf_dir)}
@@ -205,14 +210,10 @@ def test_pipeline(spark, small, documents):
             assert now.keys() == {i for i in ids if part[i] == i}
         elif name == "decontaminate":
             items = {r["item_id"]: r["text"] for r in pq.read_table(f"{small}/benchmark.parquet").to_pylist()}
-            assert gone == {i for i, _ in plain_leaks({i: t for i, t in before.items() if len(t or "") < 50_000}, items)} and gone
+            assert gone == {i for i, _ in plain_leaks(before, items)} and gone
         elif name == "secrets":
             assert not gone and any(now[i] != before[i] for i in now) and all(now[i] == before[i] or "<SECRET>" in now[i] for i in now)
         before = now
     last = {r["doc_id"]: r for r in corpus_pipeline.run(spark, small).collect()}
     theirs = sentencepiece.SentencePieceProcessor(model_file=queries.SENTENCEPIECE_MODEL)
     assert {i: r["ids"] for i, r in last.items()} == {i: theirs.encode(t or "") for i, t in before.items()}
-
-
-def test_simhash_blocks_agree():
-    assert decontaminate.SHINGLE == 5
