@@ -87,6 +87,14 @@ def r05(t):
     return h.select("bout_id", "participant", "kind", "moved", *(F.round(c, 4).alias(c) for c in ("rating_at", "rd_at", "rating", "rd")))
 
 
+@query("r05_pool", f"SELECT bout_id, o_custkey * 10 + participant AS participant, kind, moved, rating_at, rd_at, rating, rd FROM ({_CAREER}) JOIN orders ON o_orderkey = bout_id")
+def r05_pool(t):
+    """All bouts in one pool, keyed as a single chronological replay: one task, whose state is a participant's. Participants of different customers never meet."""
+    b = bouts(t).withColumns({side: (C("o_custkey") * 10 + C(side)).cast("long") for side in ("winner", "loser")}).withColumn("pool", F.lit(0).cast("long"))
+    h = replay.careers(b, "pool", "long")
+    return h.select("bout_id", "participant", "kind", "moved", *(F.round(c, 4).alias(c) for c in ("rating_at", "rd_at", "rating", "rd")))
+
+
 _ERODE = "CASE WHEN la[{e}] IS NULL OR d - la[{e}] <= 4 * 30.44 THEN p[{e}] ELSE p[{e}] * greatest(pow(0.96, (d - la[{e}]) / 30.44 - 4), 0.65) END"
 _POINTS = f"""WITH RECURSIVE {_BOUTS.format(where="")}, s AS (
  SELECT k, CAST(0 AS BIGINT) AS rn, CAST([NULL, NULL, NULL, NULL, NULL] AS DOUBLE[]) AS p, [0, 0, 0, 0, 0] AS st, CAST([NULL, NULL, NULL, NULL, NULL] AS DATE[]) AS la, CAST(NULL AS BIGINT) AS id, 0 AS kind, 0 AS w, 0 AS l,
