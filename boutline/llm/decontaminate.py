@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from boutline.llm.scratch import Scratch
 
 SHINGLE = 5
-#: Rows of the benchmark's shingle table up to which it is broadcast (24 bytes each); beyond it the join shuffles.
+#: Rows of a benchmark table up to which it is broadcast (five numbers each, about 100 MB as a hash table); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -112,5 +112,7 @@ def find_leaks(
 
 def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs`, with all their columns, in which `find_leaks` finds nothing."""
-    leaks = find_leaks(spark, docs, benchmark, id_col=id_col, text_col=text_col, **options).select("row_hash").distinct()
-    return docs.join(leaks, F.xxhash64(docs[id_col], F.coalesce(docs[text_col], F.lit(""))) == leaks.row_hash, "left_anti")
+    found = find_leaks(spark, docs, benchmark, id_col=id_col, text_col=text_col, **options)
+    leaks = found.select(F.col("id").alias("leak_id"), F.col("row_hash").alias("leak_hash")).distinct()
+    # by id and hash: a hash that another document shares by chance drops nothing
+    return docs.join(leaks, (F.xxhash64(docs[id_col], F.coalesce(docs[text_col], F.lit(""))) == leaks.leak_hash) & docs[id_col].eqNullSafe(leaks.leak_id), "left_anti")

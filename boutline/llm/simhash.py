@@ -161,9 +161,11 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str
     prints = with_fingerprint(rows, "text", "fp", shingle).select("fp", first.alias("first"))
     firsts = scratch.table(prints.groupBy("fp").agg(F.min("first").alias("first")), "firsts")
     labels = _labels(spark, firsts.select("fp", F.col("fp").alias("rep")), threshold, scratch)
-    kept = firsts.join(labels, firsts.fp == labels.of).groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.key").alias("kept"))
+    kept = firsts.join(labels, firsts.fp == labels.of).groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.id").alias("kept_id"), F.col("first.key").alias("kept_key"))
     kept = scratch.table(kept, "kept")
-    return docs.select(F.struct("*").alias("doc"), key.alias("key")).join(kept, F.col("key") == F.col("kept"), "left_semi").dropDuplicates(["key"]).select("doc.*")
+    # by id and hash: a hash that another row shares by chance keeps and drops nothing
+    rows = docs.select(F.struct("*").alias("doc"), docs[id_col].cast("long").alias("id"), key.alias("key"))
+    return rows.join(kept, (F.col("key") == F.col("kept_key")) & F.col("id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["id", "key"]).select("doc.*")
 
 
 def hex_fingerprint(fp) -> F.Column:
