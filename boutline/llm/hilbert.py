@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from boutline.llm.scratch import Scratch
 
 
+#: Groups of equal texts that hold 1/HOT of all rows or more are broadcast.
+HOT = 10_000
+
+
 def hilbert_index(axes: list[Column], bits: int) -> Column:
     """Index on the Hilbert curve of a cell with `bits`-bit coordinates (Skilling's transform: undo the rotations from the top bit down, then
     Gray-code).  A fold over (bit, axis) keeps the expression small however many bits there are."""
@@ -96,17 +100,22 @@ def shard_documents(
     rows = scratch.table(rows, "rows")
     group = ["size", "text_crc32", "hash"]
     levels = [hash_level(F.col("lang"), bits).alias("lang_level"), hash_level(F.col("source"), bits).alias("source_level")]
-    # copies are counted with partial sums; only groups of two and more are joined, and Spark splits the partition of a hot one
+    # copies are counted with partial sums, and only groups of two and more are joined.  A group of 1/HOT of all rows or more is hot: there are HOT of them
+    # at most, so they are broadcast, and no task gets a hot group's rows by its key; the others are small
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "lang", "source")).alias("first")
-    groups = rows.groupBy(*group).agg(F.count("*").alias("n"), first).where("n > 1").select(*group, F.col("first.lang").alias("lang"), F.col("first.source").alias("source")).select(*group, F.struct(*levels).alias("of_group"))
-    celled = rows.join(groups, group, "left").withColumn("levels", F.coalesce("of_group", F.struct(*levels)))
+    groups = rows.groupBy(*group).agg(F.count("*").alias("n"), first).where("n > 1").select(*group, "n", F.col("first.lang").alias("lang"), F.col("first.source").alias("source"))
+    groups = scratch.table(groups.select(*group, "n", F.struct(*levels).alias("of_group")), "groups")
+    is_hot = F.col("n") * HOT >= rows.count()
+    hot, other = F.broadcast(groups.where(is_hot).drop("n")), groups.where(~is_hot).drop("n")
+    joined = rows.join(hot, group).unionByName(rows.join(hot, group, "left_anti").join(other, group, "left"))
+    celled = joined.withColumn("levels", F.coalesce("of_group", F.struct(*levels)))
     celled = celled.select("id", *group, "levels.*", *kept)
     curve = hilbert_index([F.col("lang_level"), F.col("source_level"), size_level(F.col("size"), bits)], bits)
     order = ["curve", *group, "id"]
     celled = scratch.table(celled.withColumn("curve", curve), "cells")
     place = F.monotonically_increasing_id()
     sorted_rows = scratch.table(celled.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", place), "sorted")
-    scratch.drop(rows, celled)
+    scratch.drop(rows, groups, celled)
     part, at = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
     counts = sorted_rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()  # a number a partition
     total, before = sum(r["n"] for r in counts), 0
