@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutline.llm import decontaminate, embeddings, hilbert, quality, repair, secrets, sentencepieces, simhash, suffixes, toxicity
+from boutline.llm import bytebpe, decontaminate, embeddings, hilbert, quality, repair, secrets, sentencepieces, simhash, suffixes, toxicity
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,5 +140,15 @@ def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(spark, docs).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op7_suffixes": op7_suffixes, "op4_repair": op4_repair, "op5_quality": op5_quality, "op6_hilbert": op6_hilbert, "op10_embeddings": op10_embeddings, "op8_sentencepiece": op8_sentencepiece, "op9_decontaminate": op9_decontaminate, "op1_toxicity": op1_toxicity, "op2_secrets": op2_secrets, "op3_simhash": op3_simhash}
+#: Rank file of the byte-level tokenizer; read by the driver.
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op11_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    made = bytebpe.rebuild(sentencepieces.load(spark, BYTE_RANKS), public_tokenizers.PATTERN)
+    return bytebpe.id_digest(docs, made).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op11_bytebpe": op11_bytebpe, "op7_suffixes": op7_suffixes, "op4_repair": op4_repair, "op5_quality": op5_quality, "op6_hilbert": op6_hilbert, "op10_embeddings": op10_embeddings, "op8_sentencepiece": op8_sentencepiece, "op9_decontaminate": op9_decontaminate, "op1_toxicity": op1_toxicity, "op2_secrets": op2_secrets, "op3_simhash": op3_simhash}
 ORACLE_SQL: dict[str, str] = {"op2_secrets": OP2_SQL, "op9_decontaminate": OP9_SQL, "op10_embeddings": OP10_SQL}
