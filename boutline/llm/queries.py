@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutline.llm import bytebpe, decontaminate, embeddings, hilbert, quality, repair, secrets, sentencepieces, simhash, suffixes, toxicity
+from boutline.llm import bytebpe, decontaminate, embeddings, hilbert, quality, ranked, repair, secrets, sentencepieces, simhash, suffixes, toxicity
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,5 +150,22 @@ def op11_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.id_digest(docs, made).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op11_bytebpe": op11_bytebpe, "op7_suffixes": op7_suffixes, "op4_repair": op4_repair, "op5_quality": op5_quality, "op6_hilbert": op6_hilbert, "op10_embeddings": op10_embeddings, "op8_sentencepiece": op8_sentencepiece, "op9_decontaminate": op9_decontaminate, "op1_toxicity": op1_toxicity, "op2_secrets": op2_secrets, "op3_simhash": op3_simhash}
-ORACLE_SQL: dict[str, str] = {"op2_secrets": OP2_SQL, "op9_decontaminate": OP9_SQL, "op10_embeddings": OP10_SQL}
+def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return ranked.top_documents(spark, docs, items, k=10).withColumnsRenamed({"item": "item_id", "id": "doc_id"}).drop("looked_up")
+
+
+_TERMS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT q, item_id, t, count(*) AS c FROM (SELECT q, item_id, unnest(w) AS t FROM (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS w FROM benchmark)) GROUP BY ALL),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_all FROM d WHERE len(w) > 0),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM i) GROUP BY r, t),
+wt AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, s GROUP BY t, n_docs),
+m AS (SELECT r, doc_id, 100 - 75 + (75 * len(w) * n_docs) // n_all AS m FROM d, s WHERE len(w) > 0),
+scored AS (SELECT q, item_id, doc_id, r, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM i JOIN wt USING (t) JOIN tf USING (t) JOIN m USING (r) GROUP BY q, item_id, doc_id, r)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0) WHERE rank <= 10"""
+
+
+QUERIES = {"op12_ranked": op12_ranked, "op11_bytebpe": op11_bytebpe, "op7_suffixes": op7_suffixes, "op4_repair": op4_repair, "op5_quality": op5_quality, "op6_hilbert": op6_hilbert, "op10_embeddings": op10_embeddings, "op8_sentencepiece": op8_sentencepiece, "op9_decontaminate": op9_decontaminate, "op1_toxicity": op1_toxicity, "op2_secrets": op2_secrets, "op3_simhash": op3_simhash}
+ORACLE_SQL: dict[str, str] = {"op12_ranked": OP12_SQL, "op2_secrets": OP2_SQL, "op9_decontaminate": OP9_SQL, "op10_embeddings": OP10_SQL}
