@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutline.llm import bytebpe, decontaminate, embeddings, hilbert, quality, ranked, repair, secrets, sentencepieces, simhash, suffixes, toxicity
+from boutline.llm import bytebpe, decontaminate, embeddings, hilbert, quality, ranked, repair, secrets, sentencepieces, simhash, spelling, suffixes, toxicity
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,5 +167,26 @@ scored AS (SELECT q, item_id, doc_id, r, CAST(sum(c * w * ((1000000000 * tf) //
 SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0) WHERE rank <= 10"""
 
 
-QUERIES = {"op12_ranked": op12_ranked, "op11_bytebpe": op11_bytebpe, "op7_suffixes": op7_suffixes, "op4_repair": op4_repair, "op5_quality": op5_quality, "op6_hilbert": op6_hilbert, "op10_embeddings": op10_embeddings, "op8_sentencepiece": op8_sentencepiece, "op9_decontaminate": op9_decontaminate, "op1_toxicity": op1_toxicity, "op2_secrets": op2_secrets, "op3_simhash": op3_simhash}
-ORACLE_SQL: dict[str, str] = {"op12_ranked": OP12_SQL, "op2_secrets": OP2_SQL, "op9_decontaminate": OP9_SQL, "op10_embeddings": OP10_SQL}
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spelling.variants(spark, spelling.word_counts(docs, slip_every=199))
+
+
+OP13_SQL = """
+WITH RECURSIVE tab AS MATERIALIZED (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+runs AS (SELECT doc_id, r, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{C0}-\\x{FF}]+')) AS r FROM documents) WHERE length(r) >= 6 GROUP BY doc_id, r),
+spelt AS (SELECT r, k, hex(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r) AS x FROM runs),
+coded AS (SELECT r, k, list_transform(range(0, len(x) // 2), lambda j: 16 * (strpos('0123456789ABCDEF', x[2 * j + 1]) - 1) + strpos('0123456789ABCDEF', x[2 * j + 2]) - 1) AS b FROM spelt),
+hashed AS (SELECT r, k, xor(list_reduce(list_prepend(4294967295, b), lambda c, v: xor(c >> 8, t[1 + (xor(c, v) & 255)])), 4294967295) AS h FROM coded, tab),
+words AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, k FROM hashed) WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+cuts AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+one AS (SELECT DISTINCT c.word AS a, w.word AS b FROM cuts c JOIN words w ON w.word = c.d),
+near AS (SELECT a, b FROM one UNION SELECT b, a FROM one UNION SELECT x.word, y.word FROM cuts x JOIN cuts y ON x.i = y.i AND x.d = y.d AND x.word <> y.word),
+best AS (SELECT a, count(*) AS n_near, max(n) AS top, min(b) FILTER (WHERE n = m) AS form FROM (SELECT a, b, n, max(n) OVER (PARTITION BY a) AS m FROM near JOIN words ON word = b) GROUP BY a),
+forms AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * n THEN form END AS form, CASE WHEN top >= 5 * n THEN top END AS form_n FROM words LEFT JOIN best ON a = word),
+chain AS (SELECT word, word AS last, form AS next FROM forms UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN forms f ON f.word = c.next)
+SELECT word, form, last AS root, n, n_near, form_n FROM forms JOIN (SELECT word, last FROM chain WHERE next IS NULL) USING (word)"""
+
+
+QUERIES = {"op13_spelling": op13_spelling, "op12_ranked": op12_ranked, "op11_bytebpe": op11_bytebpe, "op7_suffixes": op7_suffixes, "op4_repair": op4_repair, "op5_quality": op5_quality, "op6_hilbert": op6_hilbert, "op10_embeddings": op10_embeddings, "op8_sentencepiece": op8_sentencepiece, "op9_decontaminate": op9_decontaminate, "op1_toxicity": op1_toxicity, "op2_secrets": op2_secrets, "op3_simhash": op3_simhash}
+ORACLE_SQL: dict[str, str] = {"op13_spelling": OP13_SQL, "op12_ranked": OP12_SQL, "op2_secrets": OP2_SQL, "op9_decontaminate": OP9_SQL, "op10_embeddings": OP10_SQL}
