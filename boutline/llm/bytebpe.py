@@ -3,7 +3,7 @@
 A rank file holds byte strings and their ranks.  The library merges pairs of characters by a list, so every byte gets a printable character, and
 the list is recovered from the ranks: the merge that makes a token is the last one left when its own bytes are merged by the lower ranks alone.  No other pair
 can ever make it: two neighbours are only joined once no lower rank is left inside them, and then they are what their bytes alone give.
-Ids are therefore those of the rank file's own library.
+Ids are therefore those of the rank file's own library.  Texts are cut by the pattern outside the library, whose own cutting takes most of its time.
 
 Offsets go from bytes to characters: an id that holds some bytes of a character covers that character.  Decoding reverses the byte table, joins the bytes
 and only then reads characters, so a character split over ids comes back whole.
@@ -14,12 +14,14 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
+import json
 import os
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +30,10 @@ from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 from boutline.llm.arrows import SLICE, cut_at, sliced, texts_of, with_columns
 
 
+#: Different matches whose ids a worker keeps, and characters from which on a match isn't kept.
+KEPT, LONG = 200_000, 100
+
+
 def byte_table() -> list[str]:
     """The character of each byte: itself if it is printable in Latin-1, else the next free one from U+0100 up."""
     table, free = [], 256
@@ -69,19 +75,56 @@ def rebuild(file: bytes, pattern: str) -> str:
 
 
 class Coder:
-    """A worker's tokenizer and the bytes of each id."""
+    """A worker's tokenizer and the bytes of each id.
+
+    A match of the pattern is merged by itself, so each different match goes through the library once, spelt by the byte table, and its ids are kept."""
 
     def __init__(self, made: str):
         self.tok = Tokenizer.from_str(made)
-        back = {c: b for b, c in enumerate(byte_table())}
+        self.cut = regex.compile(json.loads(made)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.tok.pre_tokenizer = None  # texts are cut and spelt before
+        table = byte_table()
+        self.spelt = dict(enumerate(table))
+        back = {c: b for b, c in enumerate(table)}
         vocab = self.tok.get_vocab()
         self.bytes = [b""] * (max(vocab.values()) + 1)
         for token, n in vocab.items():
             self.bytes[n] = bytes(back[c] for c in token)
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
+        self.known: dict[str, bytes] = {}
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        cuts = [self.cut(t) for t in texts]
+        new = {w for words in cuts for w in words if w not in self.known}
+        if len(self.known) + len(new) > KEPT:
+            self.known = {}
+            new = {w for words in cuts for w in words}
+        self.known |= self._merged(list(new))
+        known = self.known
+        out = [b"".join([known[w] for w in words]) for words in cuts]
+        for w in new:
+            if len(w) > LONG:
+                del known[w]
+        return out
+
+    def _merged(self, words: list[str]) -> dict[str, bytes]:
+        """The packed ids of each word, from the library, which takes them by the thousand."""
+        spelt = [w.encode().decode("latin-1").translate(self.spelt) for w in words]
+        found = {}
+        at = range(0, len(words), 1000)
+        for a, e in zip(at, self.tok.encode_batch_fast([spelt[k : k + 1000] for k in at], is_pretokenized=True, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            word_ends = np.cumsum([len(w) for w in spelt[a : a + 1000]])  # in bytes, as the ids' own ends
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), word_ends) + 1
+            data, start = ids.tobytes(), 0
+            for w, end in zip(words[a : a + 1000], (ends * 4).tolist()):
+                found[w] = data[start:end]
+                start = end
+        return found
 
     def ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.frombuffer(p, "<u4").tolist() for p in self.packed(texts)]
 
     def joined(self, ids: Iterable[int]) -> bytes:
         """The bytes of a run of ids.  Ids that aren't in the vocabulary have none."""
@@ -184,11 +227,12 @@ def id_digest(docs: DataFrame, made: str, *, id_col: str = "doc_id", text_col: s
         for batch in sliced(batches, "text"):
             found = []
             texts = texts_of(batch, "text")
-            for text, ids in zip(texts, c.ids(texts)):
-                packed, data = np.array(ids, "<u4"), c.joined(ids)
-                ends = np.cumsum(c.lengths[packed])[:-1]
+            for text, packed in zip(texts, c.packed(texts)):
+                ids = np.frombuffer(packed, "<u4")
+                data = c.joined(ids.tolist())
+                ends = np.cumsum(c.lengths[ids])[:-1]
                 inside = int(((np.frombuffer(data, np.uint8)[ends] & 0xC0) == 0x80).sum()) if len(ends) else 0
-                found.append((len(ids), hashlib.sha256(packed.tobytes()).hexdigest(), hashlib.sha256(data).hexdigest(), data == text.encode(), inside))
+                found.append((len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(data).hexdigest(), data == text.encode(), inside))
             kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int64())
             names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip", "split_chars"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, kind) for x, kind in zip(zip(*found), kinds))], names=names)
