@@ -205,20 +205,35 @@ class Range:
         return math.sqrt(step) if self.log else max(1, round(step / 2)) if self.whole else step / 2
 
 
-def pattern_search(objective: Callable[[dict[str, float]], float], start: dict[str, float], space: dict[str, Range], refinements: int = 4, evaluations: int = 2000, gain: float = 1e-7) -> tuple[dict[str, float], float, int]:
-    """(parameters, objective, evaluations) of a search by single steps that grow finer when none helps (M11). `objective` is usually one Spark
-    aggregation, so a step costs a job."""
+def pattern_search(
+    objective: Callable, start: dict[str, float], space: dict[str, Range], refinements: int = 4, evaluations: int = 2000, gain: float = 1e-7, many: bool = False
+) -> tuple[dict[str, float], float, int]:
+    """(parameters, objective, evaluations) of a search by single steps that grow finer when none helps.
+
+    With `many`, `objective` takes a list of choices and returns their values: all neighbours of a choice that aren't known yet are asked for together, so that
+    a move costs one call (one Spark job, such as `grid_losses` or a replay of many sets), and the search goes the same way as one choice at a time."""
     at = start | {name: spec.inside(start[name]) for name, spec in space.items()}
-    best, used = objective(at), 1
     steps = {name: spec.step for name, spec in space.items()}
+    known: dict[tuple, float] = {}
+
+    def value(trial: dict[str, float]) -> float:
+        if not many:
+            return objective(trial)
+        if tuple(trial.items()) not in known:
+            around = [trial, *(at | {name: v} for name, spec in space.items() for v in spec.near(at[name], steps[name]))]
+            new = {tuple(t.items()): t for t in around if tuple(t.items()) not in known}
+            known.update(zip(new, objective(list(new.values()))))
+        return known[tuple(trial.items())]
+
+    best, used = value(at), 1
 
     def improve(name: str) -> bool:
         nonlocal at, best, used
-        for value in space[name].near(at[name], steps[name]):
+        for v in space[name].near(at[name], steps[name]):
             if used >= evaluations:
                 break
-            trial = at | {name: value}
-            found, used = objective(trial), used + 1
+            trial = at | {name: v}
+            found, used = value(trial), used + 1
             if found < best - gain:
                 at, best = trial, found
                 return True

@@ -156,8 +156,13 @@ def r15(t):
 
 @query("m11_search", "SELECT CAST(arg_min(k, (loss, k)) AS DOUBLE) AS best FROM (SELECT k, avg(abs(value - k)) AS loss FROM events, range(0, 201) r(k) GROUP BY k)")
 def m11(t):
-    loss = lambda at: t.events.agg(F.avg(F.abs(C("value") - at["k"]))).first()[0]
-    best, _, _ = models.pattern_search(loss, {"k": 100.0}, {"k": models.Range(0, 200, 32, whole=True)}, refinements=6, gain=0.0)
+    def losses(choices):
+        """All choices of a step in one aggregation."""
+        found = models.grid_losses(t.events, {at["k"]: F.avg(F.abs(C("value") - at["k"])) for at in choices})
+        by = {r["parameter"]: r["loss"] for r in found.collect()}
+        return [by[float(at["k"])] for at in choices]
+
+    best, _, _ = models.pattern_search(losses, {"k": 100.0}, {"k": models.Range(0, 200, 32, whole=True)}, refinements=6, gain=0.0, many=True)
     return t.spark.createDataFrame([(float(best["k"]),)], "best double")
 
 
