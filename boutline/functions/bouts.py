@@ -102,9 +102,8 @@ def score_against(rating: Column, reference: Column) -> Column:
 
 
 def result_of(css: Column) -> Column:
-    """win, loss, draw, nc or not_finished of a result cell's classes."""
-    c = F.lower(css)
-    return F.when(c.contains("win"), "win").when(c.contains("loss"), "loss").when(c.contains("draw"), "draw").when(c.rlike("no_?contest|nc"), "nc").otherwise("not_finished")
+    """win, loss, draw, nc or not_finished of a result badge's classes: the first of win, loss, draw and no_contest that they hold."""
+    return F.when(css.contains("win"), "win").when(css.contains("loss"), "loss").when(css.contains("draw"), "draw").when(css.contains("no_contest"), "nc").otherwise("not_finished")
 
 
 def repaired_finished(finished: Column, method: Column) -> Column:
