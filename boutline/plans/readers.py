@@ -17,10 +17,10 @@ BASE = "https://site.example"
   CAST(len(regexp_extract_all(a, '<p[ >]')) AS INT) AS paragraphs, CAST(len(regexp_extract_all(html, '<a [^>]*href=')) AS INT) AS links, array_to_string(regexp_extract_all(nav, '<li><a href="([^"]*)"', 1), ' ') AS navigation, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang FROM p""")
 def s04_tree(t):
     """What the trees of the whole table of pages hold: title, paragraphs of the article, links, the navigation's addresses, language."""
-    d = html.with_nodes(t.pages.select("page_id", "html"), "html")
-    n = C("nodes")
-    nav = F.array_join(F.transform(html.find(n, "nav li a[href]"), lambda a: a["attrs"]["href"]), " ")
-    return d.select("page_id", html.text(n, html.nth(html.find(n, "head title"))).alias("title"), F.size(html.find(n, "article p")).alias("paragraphs"), F.size(html.find(n, "a[href]")).alias("links"), nav.alias("navigation"), html.attribute(html.nth(html.find(n, "html")), "lang").alias("lang"))
+    at = lambda selector, **what: html.Field(((selector, 0),), **what)
+    fields = {"title": at("head title"), "paragraphs": at("article p", count=True), "links": at("a[href]", count=True), "navigation": at("nav li a[href]", attr="href", every=True), "lang": at("html", attr="lang")}
+    d = html.extract(t.pages.select("page_id", "html"), "html", {"page": html.Rows(None, fields)})
+    return d.select("page_id", "title", "paragraphs", "links", F.array_join("navigation", " ").alias("navigation"), "lang")
 
 
 def _sides(order: str):
@@ -53,12 +53,12 @@ def event_pages(t):
         F.lit('<!DOCTYPE html><html><head><script>var a = "</td><h1>";</script></head><body><h1><span itemprop="name"> '), C("c_name"), F.lit(' &#8211; Night</span></h1><div class="info"><meta itemprop="startDate" content="'), start,
         F.lit('"><span itemprop="location">Hall,\n  City</span></div>'), card, F.lit('<table class="new_table result"><tbody><tr class="table_head"><td>Match</td></tr>'), F.array_join(rest, ""), F.lit("</table></body></html>"),
     )
-    return html.with_nodes(first.select("c_custkey", page.alias("page")), "page")
+    return first.select("c_custkey", page.alias("page"))
 
 
 @query("s04_events", "SELECT DISTINCT c_custkey, c_name || ' – Night' AS name, CASE WHEN c_custkey % 4 <> 0 THEN '2024-0' || (c_custkey % 9 + 1) || '-05' END AS date, CASE WHEN c_custkey % 4 <> 0 THEN '2024-0' || (c_custkey % 9 + 1) || '-05T22:00:00-04:00' END AS start_time, 'Hall, City' AS location FROM customer JOIN orders ON c_custkey = o_custkey")
 def s04_events(t):
-    return readers.events(event_pages(t), "c_custkey")
+    return readers.events(event_pages(t), "page")
 
 
 @query("s04_bouts", """WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1 AS main FROM orders)
@@ -68,7 +68,7 @@ def s04_events(t):
   CASE WHEN main THEN 'KO (Punch)' ELSE 'Decision (Split)' END AS method, CAST(CASE WHEN main THEN o_orderkey % 5 ELSE o_orderkey % 4 END AS INT) AS round, CASE WHEN NOT main THEN '5:00' WHEN o_orderkey % 3 = 0 THEN '4:33' ELSE 'n/a' END AS time, main AS is_main, main AND o_orderkey % 2 = 0 AS is_title
  FROM o WHERE main OR o_orderkey % 7 <> 0""")
 def s04_bouts(t):
-    b = readers.bouts(event_pages(t), "c_custkey", BASE)
+    b = readers.bouts(event_pages(t), "page", BASE)
     return b.select("c_custkey", "weight_class", *(C(f"{s}.{c}").alias(f"{s}_{c}") for s in ("first", "second") for c in ("name", "url", "result")), "method", "round", "time", "is_main", "is_title")
 
 
@@ -85,20 +85,20 @@ def fighter_pages(t):
         F.when(k % 3 == 0, "N/A").otherwise(F.concat(F.lit("Jul "), (k % 28 + 1).cast("string"), F.lit(", 1987"))), F.lit("</span><tr><td>Height<td><b itemprop=\"height\">6'4&quot;</b> / "), F.when(k % 4 == 0, "0").otherwise((k % 30 + 170.6).cast("string")), F.lit(' cm</table><div class="module fight_history">'),
         table, F.lit('</div><div class="module fight_history">'), table, F.lit("</div>"),
     )
-    return html.with_nodes(t.supplier.select("s_suppkey", page.alias("page")), "page")
+    return t.supplier.select("s_suppkey", page.alias("page"))
 
 
 @query("s06_fighters", """SELECT s_suppkey, s_name || ' "X"' AS name, 'https://site.example/img/' || s_suppkey || '.jpg' AS image_url, 'Middleweight' AS weight_class, CAST(s_suppkey % 40 AS INT) AS wins, CAST(CASE WHEN s_suppkey % 5 = 0 THEN 0 ELSE s_suppkey % 9 END AS INT) AS losses, 0 AS draws,
  CAST(CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey % 30 + 171 END AS INT) AS height_cm, CASE WHEN s_suppkey % 3 <> 0 THEN '1987-07-' || lpad(CAST(s_suppkey % 28 + 1 AS VARCHAR), 2, '0') END AS birth_date FROM supplier""")
 def s06_fighters(t):
-    return readers.fighters(fighter_pages(t), "s_suppkey", BASE)
+    return readers.fighters(fighter_pages(t), "page", BASE)
 
 
 @query("s06_histories", """SELECT s_suppkey, 'Opponent ' || n AS opponent_name, CASE n WHEN 1 THEN 'https://site.example/fighter/1' ELSE '' END AS opponent_url, 'Event ' || n || ' Finals' AS event_name, 'https://site.example/events/' || n AS event_url, '' AS date, 'win' AS result,
  'KO (Punch)' AS method, 'N/A' AS referee, CAST(n AS INT) AS round, CASE WHEN s_suppkey % 2 = 0 THEN '4:33' ELSE '' END AS time FROM supplier, range(1, 3) r(n)""")
 def s06_histories(t):
     """The first of two dates of a cell counts; here it stands inside the event's link and is none."""
-    return readers.histories(fighter_pages(t), "s_suppkey", BASE).drop("position")
+    return readers.histories(fighter_pages(t), "page", BASE).drop("position")
 
 
 def fight_pages(t):
@@ -116,7 +116,7 @@ def fight_pages(t):
         (s % 3 + 1).cast("string"), F.lit("<i> Time: </i>0:39 <i>Time format:</i> 3 Rnd (5-5-5) <i>Referee:</i> R<p class=\"b-fight-details__text\">Details: Time: 9:99</div><table><thead><tr><th>x</thead><tbody>"), line(s), F.lit('</table><table class="b-fight-details__table js-fight-table">'), rounds,
         F.lit("</table>"), F.when(k % 6 == 0, "").otherwise(F.concat(F.lit("<table><tbody>"), strikes, F.lit("</table>"))), F.lit('<table class="js-fight-table"><tbody>'), line(s), F.lit("</table>"),
     )
-    return html.with_nodes(t.part.select("p_partkey", "p_size", page.alias("page")), "page")
+    return t.part.select("p_partkey", page.alias("page"))
 
 
 _STRIKES = ", ".join(f"CAST(CASE WHEN p_partkey % 6 = 0 THEN 0 WHEN side = 0 THEN p_size + {n} ELSE {n} END AS INT) AS {name}_landed, CAST(CASE WHEN p_partkey % 6 = 0 THEN 0 WHEN side = 0 THEN p_size + {2 * n} ELSE 9 END AS INT) AS {name}_attempted" for n, name in enumerate(readers.STRIKES))
@@ -132,18 +132,18 @@ def _flat(df, *names):
 
 @query("s07_sides", f"SELECT p_partkey, CAST(side AS INT) AS side, CASE side WHEN 0 THEN 'A ' ELSE 'B ' END || p_partkey AS name, CASE side WHEN 0 THEN 'http://stats/A' ELSE 'http://stats/B' END AS url, CASE WHEN side = 0 THEN CASE WHEN p_size % 2 = 0 THEN 'win' ELSE 'nc' END WHEN p_size % 2 = 0 THEN 'loss' END AS result, {_TOTALS}, {_STRIKES} FROM (SELECT *, p_size AS x FROM part), range(0, 2) r(side)")
 def s07_sides(t):
-    d = readers.fight_sides(fight_pages(t), "p_partkey")
+    d = readers.fight_sides(fight_pages(t), "page")
     return _flat(d, *readers.TOTALS, *readers.STRIKES)
 
 
 @query("s07_rounds", f"SELECT p_partkey, CAST(side AS INT) AS side, CAST(x AS INT) AS round, {_TOTALS} FROM part, range(0, 2) r(side), range(1, 4) q(x) WHERE x <= p_size % 3 + 1")
 def s07_rounds(t):
-    return _flat(readers.fight_rounds(fight_pages(t), "p_partkey"), *readers.TOTALS)
+    return _flat(readers.fight_rounds(fight_pages(t), "page"), *readers.TOTALS)
 
 
 @query("s07_meta", "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'Welterweight' ELSE 'Lightweight' END AS weight_class, p_size % 5 = 0 AS is_title, 'KO/TKO' AS method, CAST(p_size % 3 + 1 AS INT) AS round, '0:39' AS time, 3 AS scheduled FROM part")
 def s07_meta(t):
-    return readers.fight_meta(fight_pages(t), "p_partkey")
+    return readers.fight_meta(fight_pages(t), "page")
 
 
 def event_lists(t):
@@ -155,22 +155,22 @@ def event_lists(t):
     d = t.supplier.withColumns({"row": row, "listed": listed}).groupBy("s_nationkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", "row"))), lambda x: x["row"]), "").alias("rows"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", "listed"))), lambda x: x["listed"]), "").alias("lists"))
     n = C("s_nationkey")
     page = F.concat(F.lit('<h2><span class="b-content__title"> Night '), n, F.lit('</span></h2><ul class="b-list__box-list"><li><i>Date:</i>\n'), F.when(n % 3 == 0, "soon").otherwise("August 15, 2026"), F.lit("<li><i>Location:</i> City,\n State</ul><p>legend <img src='fight.png'><table><tr class='b-fight-details__table-row'><th>head"), C("rows"), F.lit('</table><table class="b-statistics__table-events"><tbody>'), C("lists"), F.lit("</table>"))
-    return html.with_nodes(d.select("s_nationkey", page.alias("page")), "page")
+    return d.select("s_nationkey", page.alias("page"))
 
 
 @query("s08_meta", "SELECT DISTINCT s_nationkey, 'Night ' || s_nationkey AS name, CASE WHEN s_nationkey % 3 = 0 THEN '' ELSE '2026-08-15' END AS date, 'City, State' AS location FROM supplier")
 def s08_meta(t):
-    return readers.event_meta(event_lists(t), "s_nationkey")
+    return readers.event_meta(event_lists(t), "page")
 
 
 @query("s08_fights", "SELECT s_nationkey, 'http://stats/' || (s_suppkey % 50) AS url, bool_or(s_suppkey % 5 = 1) AS fight_of_the_night, bool_or(s_suppkey % 5 IN (2, 3)) AS performance FROM supplier GROUP BY ALL")
 def s08_fights(t):
-    return readers.fight_links(event_lists(t), "s_nationkey")
+    return readers.fight_links(event_lists(t), "page")
 
 
 @query("s08_completed", "SELECT s_nationkey, 'http://stats/event/' || s_suppkey AS url, 'Event & ' || s_suppkey AS name FROM supplier WHERE s_suppkey % 4 <> 0")
 def s08_completed(t):
-    return readers.completed_events(event_lists(t), "s_nationkey").drop("position")
+    return readers.completed_events(event_lists(t), "page").drop("position")
 
 
 @query("s09_physiques", "SELECT p_partkey, CASE WHEN p_size % 4 <> 0 THEN CAST(round((60 + p_size % 12) * 2.54) AS INT) END AS height_cm, CASE WHEN p_size % 3 <> 0 THEN CAST(round((60 + p_size % 20 + 0.5) * 2.54) AS INT) END AS reach_cm, CASE WHEN p_size % 5 <> 0 THEN '1996-12-' || lpad(CAST(p_size % 28 + 1 AS VARCHAR), 2, '0') END AS birth_date FROM part")
@@ -179,4 +179,4 @@ def s09_physiques(t):
     box = lambda label, value: F.concat(F.lit(f'<li class="b-list__box-list-item"><i>\n {label}:</i>\n '), value)
     page = F.concat(F.lit('<div><ul><li><i>Height:</i> 9\' 9"</ul></div><div class="b-list__info-box b-list__info-box_style_small-width"><ul>'), box("Height", F.when(s % 4 == 0, "--").otherwise(F.concat(F.lit("5' "), s % 12, F.lit('"')))),
                     box("Reach", F.when(s % 3 == 0, "n/a 70\"").otherwise(F.concat((60.5 + s % 20).cast("string"), F.lit("&quot;")))), box("DOB", F.when(s % 5 == 0, "--").otherwise(F.concat(F.lit("Dec "), s % 28 + 1, F.lit(",\n1996")))))
-    return readers.physiques(html.with_nodes(t.part.select("p_partkey", page.alias("page")), "page"), "p_partkey")
+    return readers.physiques(t.part.select("p_partkey", page.alias("page")), "page")

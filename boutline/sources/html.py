@@ -1,30 +1,32 @@
-"""HTML pages as arrays of nodes, and selectors over them.
+"""HTML pages read by rules: a tree builder, a selector matcher, and `extract`, which gives a row for each match with the fields it holds.
 
-`with_nodes` reads each page once, in Arrow batches, and gives its tree as an array of nodes in document order.  A node's descendants are the nodes after it up to its
-`last`, so that all further work is on that array, in built-in expressions: `find` matches a selector, `text` and `attribute` read what it found, and a
-reader explodes the rows of a table and reads each of them.
+`extract` parses each page once, in Arrow batches, and only the fields asked for leave the worker; what they mean (dates, numbers, addresses, results) is left to built-in
+expressions over the rows.
 
 The tree builder is a state machine over tags.  Void elements have no content; a start tag ends the elements that it implies the end of (a paragraph before a block,
 an item, cell, row or section before the next) within the nearest list or table; rows and cells get the sections and rows that they leave out; an end
 tag that nothing matches is dropped, and one that matches further up ends what is open in between, but not across a table's cell.  Script, style, title and
 textarea hold text alone.  What browsers mend beyond that (formatting reopened in the next block, text moved out of tables) is left as it is written.
+
+Nodes are numbered in document order, and a node's descendants are those after it up to its `last`, so that "inside" is a comparison of numbers.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-NODE = "struct<at: int, last: int, tag: string, classes: array<string>, attrs: map<string, string>, text: string>"
-#: Characters of markup that a worker holds as nodes at once; a longer page goes alone.
-SLICE = 1 << 18
+#: Pages whose rows a worker holds at once.
+PAGES = 64
 
 # Elements without content; elements that hold text alone (True: with character references); blocks that end a paragraph.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -58,6 +60,7 @@ class Tree:
         self.tags: list[str] = []
         self.attrs: list[dict[str, str] | None] = []
         self.texts: list[str | None] = []
+        self.index: dict[str, list[int]] = {}  # nodes by tag, .class, #id and [attribute
         self.open: list[int] = []
         self.n_open: Counter[str] = Counter()
         at, n = 0, len(markup)
@@ -75,7 +78,12 @@ class Tree:
         self.tags.append(tag)
         self.attrs.append(attrs)
         self.texts.append(text)
-        return len(self.last) - 1
+        node = len(self.last) - 1
+        if attrs is not None:
+            keys = {tag, *(f"[{a}" for a in attrs), *(f".{c}" for c in attrs.get("class", "").split()), *([f"#{attrs['id']}"] if "id" in attrs else [])}
+            for key in keys:
+                self.index.setdefault(key, []).append(node)
+        return node
 
     def _text(self, text: str) -> None:
         if text:
@@ -163,122 +171,167 @@ class Tree:
             if here == "table" or here in _TABLE_PARTS and tag not in _TABLE_PARTS:
                 return
 
-    def rows(self) -> list[dict]:
-        return [{"at": k, "last": self.last[k], "tag": t, "classes": (a.get("class", "").split() if a else []), "attrs": list((a or {}).items()), "text": x} for k, (t, a, x) in enumerate(zip(self.tags, self.attrs, self.texts))]
-
-
-def with_nodes(df: DataFrame, html: str, out: str = "nodes") -> DataFrame:
-    """`df` with its column `html` replaced by `out`, the page's nodes in document order (tag "#text": a run of text).  Null and empty pages have none; any
-    other markup, broken or not, gives what it holds.  Other columns and repeated rows are kept."""
-    shape = T.StructType([f for f in df.schema.fields if f.name not in (html, out)]).add(out, T._parse_datatype_string(f"array<{NODE}>"))
-    kind = pa.list_(pa.struct([("at", pa.int32()), ("last", pa.int32()), ("tag", pa.string()), ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string())]))
-    kept = [f.name for f in shape.fields[:-1]]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pages, start = batch.column(batch.schema.get_field_index(html)), 0
-            while start < batch.num_rows:
-                size, stop, made = 0, start, []
-                while stop < batch.num_rows and (stop == start or size < SLICE):
-                    markup = pages[stop].as_py() or ""
-                    made.append(Tree(markup).rows())
-                    size, stop = size + len(markup), stop + 1
-                part = batch.slice(start, stop - start)
-                columns = [part.column(part.schema.get_field_index(c)) for c in kept]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(made, kind)], names=[*kept, out])
-                start = stop
-
-    return df.mapInArrow(run, shape)
+    def classes(self, node: int) -> list[str]:
+        return self.attrs[node].get("class", "").split()
+
+    def find(self, selector: str, within: int | None = None) -> list[int]:
+        """The nodes that match, in document order: compounds joined by spaces (inside) and lists of such by commas.  `within`: only among the descendants of
+        that node, the outer compounds included."""
+        low, high = (0, len(self.last) - 1) if within is None else (within + 1, self.last[within])
+        found: set[int] = set()
+        for chain in compiled(selector):
+            level = self._matching(chain[0], low, high)
+            for compound in chain[1:]:
+                inside, end = [], -1
+                for outer in level:  # an outer node inside the last one adds nothing
+                    if outer > end:
+                        end = self.last[outer]
+                        inside += self._matching(compound, outer + 1, end)
+                level = inside
+            found.update(level)
+        return sorted(found)
+
+    def _matching(self, compound: Compound, low: int, high: int) -> list[int]:
+        lists = [self.index.get(key, ()) for key in compound.keys]
+        some = min(lists, key=len) if lists else [k for k in range(low, high + 1) if self.attrs[k] is not None]
+        return [k for k in some[bisect_left(some, low) : bisect_right(some, high)] if compound.test(self, k)]
+
+    def text(self, node: int, without: str | None = None, breaks: bool = False) -> str:
+        """The text inside a node, white space collapsed and trimmed.  `without`: what is inside matching nodes is left out; `breaks`: a line break counts as a
+        space."""
+        gone = [(k, self.last[k]) for k in self.find(without, node)] if without else []
+        parts = []
+        for k in range(node + 1, self.last[node] + 1):
+            if self.texts[k] is not None:
+                if not any(a < k <= b for a, b in gone):
+                    parts.append(self.texts[k])
+            elif breaks and self.tags[k] == "br":
+                parts.append(" ")
+        return " ".join("".join(parts).split())
+
+    def parent(self, node: int) -> int | None:
+        return next((k for k in range(node - 1, -1, -1) if self.texts[k] is None and self.last[k] >= node), None)
 
 
 # ---- selectors
 
-_PART = re.compile(r"([a-zA-Z][\w-]*)|\.([\w-]+)|#([\w-]+)|\[([\w-]+)(?:([\^*~$]?=)\"([^\"]*)\")?\]")
-
-
-def _test(node: Column, compound: str) -> Column:
-    """Whether a node matches tag, .class, #id, [name], [name="v"], [name^="v"], [name$="v"], [name*="v"] or [name~="v"], one after another."""
-    found, at = F.lit(True), 0
-    for part in _PART.finditer(compound):
-        if part.start() != at:
-            break
-        at = part.end()
-        tag, cls, ident, name, how, value = part.groups()
-        own = node["attrs"][name] if name else None
-        found = found & (
-            node["tag"] == tag.lower() if tag
-            else F.array_contains(node["classes"], cls) if cls
-            else F.coalesce(node["attrs"]["id"] == ident, F.lit(False)) if ident
-            else own.isNotNull() if not how
-            else F.coalesce({"=": lambda: own == value, "^=": lambda: own.startswith(value), "$=": lambda: own.endswith(value), "*=": lambda: own.contains(value), "~=": lambda: F.array_contains(F.split(own, r"\s+"), value)}[how](), F.lit(False))
-        )
-    if at != len(compound) or not compound:
-        raise ValueError(f"not a selector: {compound}")
-    return found
-
-
-def _inside(node: Column, outer: Column) -> Column:
-    return (node["at"] > outer["at"]) & (node["at"] <= outer["last"])
-
+_PART = re.compile(r"(:not\()?(?:([a-zA-Z][\w-]*)|\.([\w-]+)|#([\w-]+)|\[([\w-]+)(?:([\^*~$]?=)\"([^\"]*)\")?\])(\))?")
+_TESTS: dict[str, Callable[[str, str], bool]] = {"=": str.__eq__, "^=": str.startswith, "$=": str.endswith, "*=": str.__contains__, "~=": lambda own, value: value in own.split()}
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """`then` of a value that is worked out once, however often a lambda inside reads it."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
 
+@dataclass(frozen=True)
+class Compound:
+    """Tests of one node: `keys` of the index that must hold it, `others` that must not, and attribute tests (name, how, value)."""
 
-def find(nodes: Column | str, selector: str, within: Column | None = None) -> Column:
-    """The nodes that match, in document order, each once: compounds joined by spaces (inside) and lists of such by commas.  `within`: only among the
-    descendants of that node, the outer compounds included; null finds nothing."""
-    if within is not None:
-        return F.coalesce(_let(within, lambda w: _found(nodes, selector, w)), _none())
-    return F.coalesce(_found(nodes, selector, None), _none())
+    keys: tuple[str, ...]
+    others: tuple[str, ...]
+    tests: tuple[tuple[str, str, str], ...]
 
+    def test(self, tree: Tree, node: int) -> bool:
+        attrs, classes = tree.attrs[node], tree.classes(node)
+        has = lambda key: key[1:] in classes if key[0] == "." else attrs.get("id") == key[1:] if key[0] == "#" else key[1:] in attrs if key[0] == "[" else tree.tags[node] == key
+        return all(map(has, self.keys)) and not any(map(has, self.others)) and all(_TESTS[how](attrs[name], value) for name, how, value in self.tests)
 
-def _none() -> Column:
-    return F.array().cast(f"array<{NODE}>")
 
+@lru_cache(maxsize=1024)
+def compiled(selector: str) -> tuple[tuple[Compound, ...], ...]:
+    """A selector's chains of compounds: tag, .class, #id, [name], [name="v"] (also ^=, $=, *= and ~=) one after another, and :not(..) of one of the first four."""
+    return tuple(tuple(_compound(part) for part in chain.split() or [""]) for chain in re.split(r",(?![^\[]*\])", selector))
 
-def _found(nodes: Column | str, selector: str, within: Column | None) -> Column:
-    def chain(steps: list[str]) -> Column:
-        level = F.filter(nodes, lambda n: F.coalesce(_test(n, steps[0]) & _inside(n, within), F.lit(False)) if within is not None else _test(n, steps[0]))
-        for step in steps[1:]:
-            level = below(level, step)
-        return level
 
-    def below(level: Column, step: str) -> Column:
-        return _let(level, lambda outer: F.filter(nodes, lambda n: _test(n, step) & F.exists(outer, lambda m: _inside(n, m))))
-
-    parts = [chain(s.split() or [""]) for s in re.split(r",(?![^\[]*\])", selector)]
-    if len(parts) == 1:
-        return parts[0]
-    at = F.array_distinct(F.concat(*(F.transform(found, lambda n: n["at"]) for found in parts)))
-    return _let(at, lambda wanted: F.filter(nodes, lambda n: F.array_contains(wanted, n["at"])))
-
-
-def nth(found: Column, k: int = 0) -> Column:
-    """The k-th node found (from 0; negative: from the end), or null."""
-    return F.get(found, F.lit(k)) if k >= 0 else F.when(F.size(found) >= -k, F.element_at(found, k))
-
-
-def text(nodes: Column | str, node: Column, without: str | None = None, breaks: bool = False) -> Column:
-    """The text inside a node, white space collapsed and trimmed; null for no node.  `without`: what is inside matching nodes is left out; `breaks`: a line
-    break counts as a space."""
-    kinds = ["#text", "br"] if breaks else ["#text"]
-
-    def inner(outer: Column) -> Column:
-        runs = F.filter(nodes, lambda n: n["tag"].isin(*kinds) & _inside(n, outer))
-        if without is None:
-            return runs
-        return _let(find(nodes, without, outer), lambda gone: F.filter(runs, lambda n: ~F.exists(gone, lambda m: _inside(n, m))))
-
-    joined = _let(node, lambda outer: F.when(outer.isNotNull(), F.array_join(F.transform(inner(outer), lambda n: F.coalesce(n["text"], F.lit(" "))), "")))
-    return F.trim(F.regexp_replace(joined, r"[\s\u00A0\uFEFF]+", " "))
-
-
-def attribute(node: Column, name: str) -> Column:
-    return node["attrs"][name]
+def _compound(part: str) -> Compound:
+    keys, others, tests, at = [], [], [], 0
+    for found in _PART.finditer(part):
+        if found.start() != at:
+            break
+        negated, tag, cls, ident, name, how, value, closed = found.groups()
+        if bool(negated) != bool(closed) or negated and how:
+            break
+        at = found.end()
+        (others if negated else keys).append(tag.lower() if tag else f".{cls}" if cls else f"#{ident}" if ident else f"[{name}")
+        if how:
+            tests.append((name, how, value))
+    if at != len(part) or not part:
+        raise ValueError(f"not a selector: {part!r}")
+    return Compound(tuple(keys), tuple(others), tuple(tests))
+
+
+# ---- rows
+
+@dataclass(frozen=True)
+class Field:
+    """What a row takes: `path` leads from the row's node by (selector, which match from 0, negative from the end); "/" before a selector begins at the page, and ".." goes
+    to the parent.  The value is the text there, or the attribute `attr`; with `every`, the values of all matches of the last step; with `count`, their number."""
+
+    path: tuple[tuple[str, int], ...] = ()
+    attr: str | None = None
+    without: str | None = None
+    breaks: bool = False
+    every: bool = False
+    count: bool = False
+
+    @property
+    def kind(self) -> T.DataType:
+        return T.ArrayType(T.StringType()) if self.every else T.IntegerType() if self.count else T.StringType()
+
+    def of(self, tree: Tree, node: int | None) -> str | int | list | None:
+        last = len(self.path) - 1
+        for at, (selector, nth) in enumerate(self.path):
+            if selector == "..":
+                node = tree.parent(node)
+            else:
+                matches = tree.find(selector.removeprefix("/"), None if selector[0] == "/" else node)
+                if at == last and self.count:
+                    return len(matches)
+                if at == last and self.every:
+                    return [self._value(tree, k) for k in matches]
+                node = matches[nth] if -len(matches) <= nth < len(matches) else None
+            if node is None:
+                return 0 if self.count else [] if self.every else None
+        return None if node is None else self._value(tree, node)
+
+    def _value(self, tree: Tree, node: int) -> str | None:
+        return tree.attrs[node].get(self.attr) if self.attr else tree.text(node, self.without, self.breaks)
+
+
+@dataclass(frozen=True)
+class Rows:
+    """A row for each node that matches `selector` (None: one for the page), or for the first alone, with its fields."""
+
+    selector: str | None
+    fields: dict[str, Field]
+    first: bool = False
+
+
+def extract(df: DataFrame, html: str, rules: dict[str, Rows]) -> DataFrame:
+    """`df` without its column `html`, with `rule` (the name of the rule), `position` (from 0, within page and rule) and the rules' fields, which are the same in each.
+
+    Null and empty pages give the rows of rules without a selector, all null; so does any markup that lacks what a field asks for.  Repeated rows
+    each give their rows; a column with the name of a field, `rule` or `position` is replaced."""
+    fields = next(iter(rules.values())).fields
+    if any({n: f.kind for n, f in r.fields.items()} != {n: f.kind for n, f in fields.items()} for r in rules.values()):
+        raise ValueError("the rules must have the same fields")
+    new = {"rule": T.StringType(), "position": T.IntegerType(), **{n: f.kind for n, f in fields.items()}}
+    kept = [f for f in df.schema.fields if f.name != html and f.name not in new]
+    shape = T.StructType(kept + [T.StructField(n, t) for n, t in new.items()])
+    kinds = {n: pa.list_(pa.string()) if isinstance(t, T.ArrayType) else pa.int32() if isinstance(t, T.IntegerType) else pa.string() for n, t in new.items()}
+
+    def rows_of(markup: str) -> Iterator[tuple]:
+        tree = Tree(markup)
+        for name, rule in rules.items():
+            found = [None] if rule.selector is None else tree.find(rule.selector)
+            for position, node in enumerate(found[:1] if rule.first else found):
+                yield (name, position, *(f.of(tree, node) for f in rule.fields.values()))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, PAGES):
+                batch = whole.slice(start, PAGES)
+                made = [list(rows_of(markup or "")) for markup in batch.column(batch.schema.get_field_index(html)).to_pylist()]
+                at = pa.array([k for k, rows in enumerate(made) for _ in rows], pa.int32())
+                columns = [batch.column(batch.schema.get_field_index(f.name)).take(at) for f in kept]
+                values = list(zip(*(row for rows in made for row in rows))) or [()] * len(kinds)
+                columns += [pa.array(v, kind) for v, kind in zip(values, kinds.values())]
+                yield pa.RecordBatch.from_arrays(columns, names=shape.names)
 
-def subtree(nodes: Column | str, node: Column) -> Column:
-    """A node's own nodes, itself first: a reader of table rows searches these in place of the whole page's."""
-    return _let(node, lambda n: F.when(n.isNotNull(), F.slice(nodes, n["at"] + 1 - F.get(nodes, F.lit(0))["at"], n["last"] - n["at"] + 1)))
+    return df.mapInArrow(run, shape)

@@ -142,70 +142,86 @@ def test_deep_and_long_pages():
     assert len(Tree("<a b='" * 20_000).tags) <= 20_000 and len(Tree("<" * 100_000).tags) == 100_000 and len(Tree("</b>" * 100_000).tags) == 0
 
 
-def test_selectors_against_a_plain_matcher(spark):
-    rng = random.Random(2)
-    pages = [(n, "".join(written(rng, made(rng), n % 2 == 0) for _ in range(6))) for n in range(100)] + [(160, None), (161, "")]
-    pages += [(162, '<div class="a b" id="v"><span class="b" href="/x/1"><em>t</em></span><span class="a">u</span></div><span class="b">w</span>'), (162, "again")]
-    d = html.with_nodes(spark.createDataFrame([(*p, "kept", 1) for p in pages], "page long, markup string, extra string, nodes int"), "markup").cache()
-    assert d.columns == ["page", "extra", "nodes"] and d.count() == len(pages) and html.with_nodes(spark.createDataFrame([], "page long, markup string"), "markup").count() == 0
-
-    def matches(node, part):
-        tag, test = part
-        return (not tag or node["tag"] == tag) and test(node["attrs"], node["classes"])
-
-    plain = {
-        "div": [[("div", lambda a, c: True)]],
-        ".a": [[("", lambda a, c: "a" in c)]],
-        'div[class="v"], span[id], #v': [[("div", lambda a, c: a.get("class") == "v")], [("span", lambda a, c: "id" in a)], [("", lambda a, c: a.get("id") == "v")]],
-        "div div span": [[("div", lambda a, c: True), ("div", lambda a, c: True), ("span", lambda a, c: True)]],
-        'table td[data-x], li .b, div [href^="/x"]': [[("table", lambda a, c: True), ("td", lambda a, c: "data-x" in a)], [("li", lambda a, c: True), ("", lambda a, c: "b" in c)], [("div", lambda a, c: True), ("", lambda a, c: a.get("href", "").startswith("/x"))]],
-        '[href*="&"], [class$="b"], [class~="b"]': [[("", lambda a, c: "&" in a.get("href", ""))], [("", lambda a, c: a.get("class", "").endswith("b"))], [("", lambda a, c: "b" in c)]],
-    }
-
-    def plain_find(nodes, chains):
-        found = set()
-        for chain in chains:
-            level = [n for n in nodes if n["attrs"] is not None and matches(n, chain[0])]
-            for part in chain[1:]:
-                level = [n for n in nodes if n["attrs"] is not None and matches(n, part) and any(m["at"] < n["at"] <= m["last"] for m in level)]
-            found |= {n["at"] for n in level}
-        return sorted(found)
-
-    ats = lambda found: F.transform(found, lambda n: n["at"])
-    got = d.select("page", "nodes", *(ats(html.find("nodes", s)).alias(f"s{k}") for k, s in enumerate(plain)), ats(html.find("nodes", "span", html.nth(html.find("nodes", "div")))).alias("within"), html.text("nodes", html.nth(html.find("nodes", "div")), without="em", breaks=True).alias("text")).collect()
-    hits = 0
-    for r in got:
-        nodes = [n.asDict() for n in r["nodes"] or []]
-        for n in nodes:
-            n["attrs"] = dict(n["attrs"] or {})
-        for k, chains in enumerate(plain.values()):
-            assert list(r[f"s{k}"]) == plain_find(nodes, chains)
-            hits += len(r[f"s{k}"])
-        div = next((n for n in nodes if n["tag"] == "div"), None)
-        assert list(r["within"]) == ([n["at"] for n in nodes if n["tag"] == "span" and div["at"] < n["at"] <= div["last"]] if div else [])
-        assert (r["text"] is None) == (div is None)
-    assert hits > 200
-    assert [r["text"] for r in got if r["page"] == 162 and r["text"]] == ["u"]
-    for bad in ("div >", "", "a:hover"):
+PLAIN = {
+    "div": [[("div", lambda a, c: True)]],
+    ".a": [[("", lambda a, c: "a" in c)]],
+    'div[class="v"], span[id], #v': [[("div", lambda a, c: a.get("class") == "v")], [("span", lambda a, c: "id" in a)], [("", lambda a, c: a.get("id") == "v")]],
+    "div div span": [[("div", lambda a, c: True), ("div", lambda a, c: True), ("span", lambda a, c: True)]],
+    'table td[data-x], li .b, div [href^="<"]': [[("table", lambda a, c: True), ("td", lambda a, c: "data-x" in a)], [("li", lambda a, c: True), ("", lambda a, c: "b" in c)], [("div", lambda a, c: True), ("", lambda a, c: a.get("href", "").startswith("<"))]],
+    '[href*="&"], [class$="b"], [class~="b"]': [[("", lambda a, c: "&" in a.get("href", ""))], [("", lambda a, c: a.get("class", "").endswith("b"))], [("", lambda a, c: "b" in c)]],
+    "div:not(.a):not([id]) ul, table:not(#v)": [[("div", lambda a, c: "a" not in c and "id" not in a), ("ul", lambda a, c: True)], [("table", lambda a, c: a.get("id") != "v")]],
+}
+
+
+def plain_find(tree, chains, low=0, high=None):
+    found, nodes = set(), [k for k in range(low, len(tree.tags) if high is None else high + 1) if tree.attrs[k] is not None]
+    fits = lambda k, part: (not part[0] or tree.tags[k] == part[0]) and part[1](tree.attrs[k], tree.attrs[k].get("class", "").split())
+    for chain in chains:
+        level = [k for k in nodes if fits(k, chain[0])]
+        for part in chain[1:]:
+            level = [k for k in nodes if fits(k, part) and any(m < k <= tree.last[m] for m in level)]
+        found |= set(level)
+    return sorted(found)
+
+
+def test_selectors_against_a_plain_matcher():
+    rng, hits = random.Random(2), 0
+    for n in range(300):
+        tree = Tree("".join(written(rng, made(rng), n % 2 == 0) for _ in range(6)))
+        for selector, chains in PLAIN.items():
+            found = tree.find(selector)
+            assert found == plain_find(tree, chains)
+            hits += len(found)
+            for outer in tree.find("div, td")[:3]:
+                assert tree.find(selector, outer) == plain_find(tree, chains, outer + 1, tree.last[outer])
+    assert hits > 1000
+    for bad in ("div >", "", "a:hover", ':not([a="b"])', "a,"):
         with pytest.raises(ValueError):
-            html.find("nodes", bad)
+            Tree("").find(bad)
+
+
+def test_fields():
+    page = '<div class="a" id="v"><span class="b" href="/x/1">o<br>ne<em>t</em></span><span class="b">two</span></div><p title="t">x</p>'
+    tree = Tree(page)
+    take = lambda path, node=None, **what: html.Field(tuple(path), **what).of(tree, node)
+    div = tree.find("div")[0]
+    assert [take([("span", k)], div) for k in (0, 1, 2, -1, -2, -3)] == ["onet", "two", None, "two", "onet", None]
+    assert take([("span", 0)], div, breaks=True, without="em") == "o ne" and take([("/p", 0)], div) == "x" and take([("em", 0), ("..", 0)], div, attr="href") == "/x/1"
+    assert take([("span", 0)], div, count=True) == 2 and take([("i", 0), ("b", 0)], div, count=True) == 0 and take([("span", 0)], div, every=True, attr="href") == ["/x/1", None]
+    assert take([("i", 0), ("b", 0)], every=True) == [] and take([], div, attr="id") == "v" and take([]) is None and take([("p", 0)], div) is None and take([("p", 0)]) == "x"
+
+
+def test_extract(spark):
+    pages = [(1, "<li>a<li class=x>b", "kept", 5), (1, "<li>a<li class=x>b", "kept", 5), (2, None, None, None), (3, "", "k", 1), (4, "<p>none", "k", 1)]
+    d = spark.createDataFrame(pages, "page long, markup string, extra string, position int")
+    fields = {"text": html.Field(), "all": html.Field((("/li", 0),), every=True), "n": html.Field((("/li", 0),), count=True)}
+    rules = {"item": html.Rows("li", fields), "marked": html.Rows("li.x", fields), "page": html.Rows(None, {**fields, "text": html.Field((("li", 1),))}), "first": html.Rows("li, p", fields, first=True)}
+    rows = html.extract(d, "markup", rules)
+    assert rows.columns == ["page", "extra", "rule", "position", "text", "all", "n"]
+    got = sorted((r["page"], r["rule"], r["position"], r["text"], tuple(r["all"]), r["n"], r["extra"]) for r in rows.collect())
+    own = [(1, "first", 0, "a"), (1, "item", 0, "a"), (1, "item", 1, "b"), (1, "marked", 0, "b"), (1, "page", 0, "b")]
+    want = [(*r, ("a", "b"), 2, "kept") for r in own for _ in range(2)] + [(2, "page", 0, None, (), 0, None), (3, "page", 0, None, (), 0, "k"), (4, "first", 0, "none", (), 0, "k"), (4, "page", 0, None, (), 0, "k")]
+    assert got == sorted(want, key=lambda r: r[:3])
+    assert html.extract(d.limit(0), "markup", rules).count() == 0
+    with pytest.raises(ValueError):
+        html.extract(d, "markup", {"a": html.Rows(None, fields), "b": html.Rows(None, {"text": html.Field()})})
 
 
 def one(spark, markup):
-    return html.with_nodes(spark.createDataFrame([(1, markup)], "page long, html string"), "html")
+    return spark.createDataFrame([(1, markup)], "page long, html string")
 
 
 def test_readers_of_other_pages(spark):
     """A page of another kind, an empty one and a missing one: no bouts, or a row without values."""
-    d = html.with_nodes(spark.createDataFrame([(1, "<p>nothing</p>"), (2, ""), (3, None)], "page long, html string"), "html")
+    d = spark.createDataFrame([(1, "<p>nothing</p>"), (2, ""), (3, None)], "page long, html string")
     base = "https://s.example"
-    for rows in (readers.bouts(d, "page", base), readers.histories(d, "page", base), readers.fight_sides(d, "page"), readers.fight_rounds(d, "page"), readers.completed_events(d, "page"), readers.fight_links(d, "page")):
+    for rows in (readers.bouts(d, "html", base), readers.histories(d, "html", base), readers.fight_sides(d, "html"), readers.fight_rounds(d, "html"), readers.completed_events(d, "html"), readers.fight_links(d, "html")):
         assert rows.count() == 0
-    assert {(r["name"], r["date"], r["start_time"], r["location"]) for r in readers.events(d, "page").collect()} == {("", None, None, "")}
-    assert {tuple(r)[1:] for r in readers.fighters(d, "page", base).collect()} == {("", "", "", 0, 0, 0, None, None)}
-    assert {tuple(r)[1:] for r in readers.fight_meta(d, "page").collect()} == {("", False, "", 0, "", 0)}
-    assert {tuple(r)[1:] for r in readers.physiques(d, "page").collect()} == {(None, None, None)}
-    assert {tuple(r)[1:] for r in readers.event_meta(d, "page").collect()} == {("", "", "")}
+    assert {(r["name"], r["date"], r["start_time"], r["location"]) for r in readers.events(d, "html").collect()} == {("", None, None, "")}
+    assert {tuple(r)[1:] for r in readers.fighters(d, "html", base).collect()} == {("", "", "", 0, 0, 0, None, None)}
+    assert {tuple(r)[1:] for r in readers.fight_meta(d, "html").collect()} == {("", False, "", 0, "", 0)}
+    assert {tuple(r)[1:] for r in readers.physiques(d, "html").collect()} == {(None, None, None)}
+    assert {tuple(r)[1:] for r in readers.event_meta(d, "html").collect()} == {("", "", "")}
 
 
 def test_reader_rules(spark):
@@ -214,7 +230,7 @@ def test_reader_rules(spark):
     <tr><td><span class="final_result win">Win</span></td><td><a href="/fighter/B-1">B One</a></td><td><a href="/events/E-2"><span itemprop="award">E 2</span></a><br><span class="sub_line">Sep / 20 / 2013</span></td><td class="winby"><b>KO (Kick)</b><br><span class="sub_line"><a>Ref</a></span></td><td>2</td><td>4:33</td></tr>
     <tr><td><span class="final_result draw">Draw</span></td><td><a href="javascript:void();">C Two</a></td><td><a href="http://o.example/E">E 3</a><span class="sub_line">sometime</span></td><td></td><td>N/A</td><td></td></tr>
     <tr><td></td><td><a></a></td><td><a>E 4</a></td><td></td><td></td><td></td></tr></tbody></table></div>"""
-    got = [tuple(r)[2:] for r in readers.histories(one(spark, history), "page", "https://s.example/").orderBy("position").collect()]
+    got = [tuple(r)[2:] for r in readers.histories(one(spark, history), "html", "https://s.example/").orderBy("position").collect()]
     assert got == [
         ("B One", "https://s.example/fighter/B-1", "E 2", "https://s.example/events/E-2", "2013-09-20", "win", "KO (Kick)", "Ref", 2, "4:33"),
         ("C Two", "", "E 3", "http://o.example/E", "", "draw", "", "", 0, ""),
