@@ -10,10 +10,13 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boutline.llm.arrows import sliced, texts_of
+from boutline.llm.samples import labelled_sample
+
 NAMES = ("words", "word_len", "symbols", "punct", "digits", "upper", "distinct", "lines", "line_repeat", "top_word", "stretch", "bars", "short", "sentence", "odd_words")
 #: Frequent short words of the corpus's four languages.
 COMMON = frozenset("the of and to in is it for that on as with was be by are this from at or an der die das und ist ein eine zu mit auf von den sie es le la les de et un une est que en pour pas dans sur par au avec el los las y del se por con para una no su al lo como".split())
@@ -105,16 +108,16 @@ def held_out(id_col: str | Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, bound: int = 20_000) -> Discriminant | None:
-    """Fit on about `bound` labelled rows outside the held-out fold, those with the smallest hashes of the id; None without both labels."""
+    """Fit on at most `bound` labelled ids outside the held-out fold, those with the smallest hashes, with one row each; None without both labels."""
     known = labels.select(F.col(id_col).alias("key"), F.col(label_col).alias("y")).where("key IS NOT NULL AND y IN (0, 1)").groupBy("key").agg(F.max("y").alias("y")).where(~held_out("key"))
-    cut = int(bound / max(1, known.count()) * 1_000_000)
-    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).join(F.broadcast(known.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < cut)), "key")  # about `bound` rows, so no text is shuffled
+    rows = labelled_sample(docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), known, bound)
 
     def run(batches):
-        for b in batches:
-            yield pd.DataFrame({"x": [statistics(t) for t in b["text"]], "y": b["y"].astype("int32")})
+        for batch in sliced(batches, "text"):
+            x = [statistics(t) for t in texts_of(batch, "text")]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("y").cast(pa.int32())], names=["x", "y"])
 
-    got = rows.select("text", "y").mapInPandas(run, "x array<double>, y int").collect()
+    got = rows.select("text", "y").mapInArrow(run, "x array<double>, y int").collect()  # numbers of a bounded sample
     if len({r["y"] for r in got}) < 2:
         return None
     return Discriminant(np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float))
@@ -128,10 +131,10 @@ def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col:
     model = fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, bound=bound)
 
     def run(batches):
-        for b in batches:
-            x = np.array([statistics(t) for t in b["text"]]).reshape(-1, len(NAMES))
+        for batch in sliced(batches, "text"):
+            x = np.array([statistics(t) for t in texts_of(batch, "text")]).reshape(-1, len(NAMES))
             score, distance = (model.score(x), model.difference(x)) if model else (np.full(len(x), 0.5), np.zeros(len(x)))
-            yield pd.DataFrame({"id": b["id"], "score": score, "distance": distance})
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(distance)], names=["id", "score", "distance"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, score double, distance double")
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, score double, distance double")

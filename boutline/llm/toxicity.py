@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boutline.llm.arrows import sliced, texts_of
+from boutline.llm.samples import labelled_sample
 from boutline.llm.scratch import Scratch
 
 # The grammar's own words, in the four languages of the corpus.
@@ -267,14 +268,13 @@ def choose_terms(terms: list[tuple[str, int, int]], toxic_docs: int, clean_docs:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bound: int = 20_000, least_odds: float = 2.2, least_evidence: float = 15.0) -> Model:
-    """Learn lexicon and path weights from labelled rows that aren't held out.  `bound`: about so many labelled ids, those with the smallest hashes, are used."""
+    """Learn lexicon and path weights from labelled rows that aren't held out.  `bound`: at most so many labelled ids, those with the smallest hashes, are
+    used, with one row each."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
     known = labels.select(F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("y")).where("key IS NOT NULL AND y IN (0, 1)").groupBy("key").agg(F.max("y").alias("y")).where(~held_out("key", 5, 0))
-    cut = int(bound / max(1, known.count()) * 1_000_000)
-    known = F.broadcast(known.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < cut))  # about `bound` rows, so no text is shuffled
     rows = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sample = scratch.table(rows.join(known, "key").select("text", "y"), "sample")
+    sample = scratch.table(labelled_sample(rows, known, bound), "sample")
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n0 or not n1:

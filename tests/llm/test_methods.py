@@ -173,7 +173,7 @@ def unigram_model(byte_fallback):
 @pytest.mark.parametrize("byte_fallback", [True, False])
 def test_unigram_scores_against_the_library(documents, byte_fallback):
     model = unigram_model(byte_fallback)
-    texts = [(t or "")[:3000] for t in documents.values()] + ["", " ", "  the  end ", "<s> the </s>", "東京 tower", "\x00\x01", "a" * 5000, "the " * 20_000]
+    texts = [t or "" for t in documents.values()] + ["", " ", "  the  end ", "<s> the </s>", "東京 tower", "\x00\x01", "a" * 5000, "the " * 20_000]
     assert sentencepieces.parity(model, texts) == []
     theirs = sentencepiece.SentencePieceProcessor(model_proto=model)
     assert any(len(theirs.encode(t)) > 1 for t in texts)

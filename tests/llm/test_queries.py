@@ -203,7 +203,11 @@ def test_pipeline(spark, small, documents):
         now = {r["doc_id"]: r["text"] for r in docs.collect()}
         assert now.keys() <= before.keys()
         gone = before.keys() - now.keys()
-        if name == "simhash":
+        if name == "toxicity":
+            scores = {r["doc_id"]: r["score"] for r in queries.QUERIES["op1_toxicity"](spark, small).collect()}
+            assert gone == {i for i, s in scores.items() if s >= 0.5} and gone
+            assert all(now[i] == before[i] for i in now)
+        elif name == "simhash":
             fp = {i: plain_fingerprint(t) for i, t in before.items()}
             ids = list(fp)
             part = smallest_reachable(ids, [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if (fp[a] ^ fp[b]).bit_count() <= 2])
