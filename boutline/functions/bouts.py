@@ -9,17 +9,21 @@ from pyspark.sql import functions as F
 DIVISIONS = {"Strawweight": 115, "Flyweight": 125, "Bantamweight": 135, "Featherweight": 145, "Lightweight": 155, "Welterweight": 170, "Middleweight": 185, "Light Heavyweight": 205, "Heavyweight": 265}
 WOMEN = ("Strawweight", "Flyweight", "Bantamweight", "Featherweight")
 MEN = tuple(d for d in DIVISIONS if d != "Strawweight")
+# The divisions of result lists, lightest first; women have the first seven.
+RESULT_DIVISIONS = ("Atomweight", *DIVISIONS)
+SHARED_DIVISIONS = RESULT_DIVISIONS[:7]
 
 
 def method_category(method: Column) -> Column:
-    """ko_tko, submission, decision or other, by prefix."""
+    """ko_tko, submission, decision or other, by how the label starts, whatever its case."""
     m = F.lower(F.trim(method))
-    return F.when(m.rlike("^(ko|tko)"), "ko_tko").when(m.rlike("^submis+ion"), "submission").when(m.startswith("decision"), "decision").otherwise("other")
+    return F.when(m.rlike("^t?ko"), "ko_tko").when(m.rlike("^(submission|submision|technical submission)"), "submission").when(m.rlike("^(technical )?decision"), "decision").otherwise("other")
 
 
 def corner_method(method: Column) -> Column:
-    """ko, sub or dec of the detailed source's labels, else null."""
-    return F.when(method.rlike("^(KO/TKO|TKO)"), "ko").when(method.startswith("Submission"), "sub").when(method.startswith("Decision"), "dec")
+    """ko, sub, dec or other of the detailed source's labels (F21); null is other."""
+    m = F.lower(F.trim(method))
+    return F.when(m.rlike("^t?ko"), "ko").when(m.startswith("submission"), "sub").when(m.startswith("decision"), "dec").otherwise("other")
 
 
 def classify_method(method: Column) -> Column:
@@ -34,19 +38,27 @@ def sql_method(method: Column) -> Column:
 
 
 def weight_class(label: Column) -> Column:
-    """A known division, without "Interim"; else null."""
-    plain = F.regexp_replace(label, "(?i)^interim ", "")
+    """One of the twelve ranked divisions, trimmed and without "Interim"; else null."""
     known = [*MEN, *(f"Women's {d}" for d in WOMEN)]
-    return F.when(plain.isin(known), plain)
+    plain = F.trim(label)
+    bare = F.regexp_replace(plain, r"(?i)^interim\s+", "")
+    return F.when(plain.isin(known), plain).when(bare.isin(known), bare)
 
 
 def display_weight_class(label: Column, is_women: Column) -> Column:
-    return F.when(is_women & label.isin(*WOMEN), F.concat(F.lit("Women's "), label)).otherwise(label)
+    """The label, with "Women's" before a division that both have, where a woman fights."""
+    return F.when(F.coalesce(is_women, F.lit(False)) & label.isin(*SHARED_DIVISIONS), F.concat(F.lit("Women's "), label)).otherwise(label)
+
+
+def results_division(label: Column) -> Column:
+    """One of the 17 divisions of result lists, trimmed; else null."""
+    plain = F.trim(label)
+    return F.when(plain.isin(*RESULT_DIVISIONS, *(f"Women's {d}" for d in SHARED_DIVISIONS)), plain)
 
 
 def nearest_division(label: Column, is_women: Column) -> Column:
-    """"157lb Catchweight" to the nearest limit, the lighter of two."""
-    pounds = F.regexp_extract(label, r"(\d{2,3})\s*lbs?", 1).try_cast("int")
+    """"157lb Catchweight" to the nearest limit, the lighter of two; null for a label that is anything else."""
+    pounds = F.regexp_extract(F.regexp_replace(F.trim(label), r"\s+", " "), r"(?i)^(\d{3})\s*lb\s*catch\s*weight$", 1).try_cast("int")
 
     def nearest(names):
         options = F.array(*(F.struct(F.abs(pounds - DIVISIONS[n]).alias("gap"), F.lit(k).alias("k"), F.lit(n).alias("name")) for k, n in enumerate(names)))
@@ -55,6 +67,13 @@ def nearest_division(label: Column, is_women: Column) -> Column:
     return F.when(pounds.isNotNull(), F.when(is_women, F.concat(F.lit("Women's "), nearest(WOMEN))).otherwise(nearest(MEN)))
 
 
+def results_only_division(label: Column, is_women: Column) -> Column:
+    """The ranked division of a bout known by its result alone: the label, as "Women's" for a women's bout, else the nearest of a catchweight."""
+    plain, women = F.trim(F.coalesce(label, F.lit(""))), F.coalesce(is_women, F.lit(False))
+    labelled = F.when(women & ~plain.rlike("(?i)^women"), F.concat(F.lit("Women's "), plain)).otherwise(plain)
+    return F.coalesce(weight_class(labelled), nearest_division(plain, women))
+
+
 def scheduled_rounds(is_main: Column, is_title: Column) -> Column:
     return F.when(F.coalesce(is_main, F.lit(False)) | F.coalesce(is_title, F.lit(False)), 5).otherwise(3)
 
@@ -73,14 +92,17 @@ def is_locked(now: Column, prelims: Column, start: Column, day: Column) -> Colum
     return now >= F.coalesce(prelims, start, F.to_timestamp(day))
 
 
-def pick_fault(method: Column, round_: Column, locked: Column) -> Column:
-    """Why a pick isn't accepted, else null."""
-    return (
-        F.when(locked, "locked")
-        .when(~method.isin("ko_tko", "submission", "decision"), "method")
-        .when((method == "decision") & round_.isNotNull(), "round of a decision")
-        .when(round_.isNotNull() & ~round_.between(1, 5), "round")
-    )
+def pick_fault(method: Column, round_: Column, scheduled: Column, locked: Column) -> Column:
+    """Why a pick isn't accepted, else null (F28): an unknown method, a finish without a round of those scheduled, an event that has begun.  A decision needs no
+    round, and one given with it isn't looked at."""
+    known = F.coalesce(method.isin("ko_tko", "submission", "decision"), F.lit(False))
+    in_time = F.coalesce(round_.between(F.lit(1), scheduled), F.lit(False))
+    return F.when(~known, "method").when((method != "decision") & ~in_time, "round").when(locked, "locked")
+
+
+def picked_round(method: Column, round_: Column) -> Column:
+    """The round that is kept of an accepted pick."""
+    return F.when(method != "decision", round_)
 
 
 def rank_trend(now: Column, before: Column, had_week: Column) -> Column:
@@ -92,6 +114,17 @@ def months_eligible(months: Column, champion: Column, cutoff: float = 18.0) -> C
     return champion | (months <= cutoff)
 
 
+def home_division(official: Column, official_months: Column, last: Column, cutoff: float = 18.0) -> Column:
+    """The one division that someone is ranked in (F30): the official one, if the last bout there is at most `cutoff` months ago, else the division of the last
+    bout.  official_months: months since the last bout in the official division, null for none."""
+    return F.when(official.isNotNull() & F.coalesce(official_months <= cutoff, F.lit(False)), official).otherwise(last)
+
+
+def eligible_in_division(champion: Column, home: Column, months: Column, cutoff: float = 18.0) -> Column:
+    """Whether a row is in its division's ranking (F30): champions are, others where it is their home and their last bout there isn't too long ago."""
+    return F.coalesce(champion, F.lit(False)) | (F.coalesce(home, F.lit(False)) & F.coalesce(months <= cutoff, F.lit(False)))
+
+
 def conservative(rating: Column, rd: Column, k: float = 2.0) -> Column:
     return rating - k * rd
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# French month names.
+# French month names; a month is 30.44 days and a year 365.25.
 FRENCH_MONTHS = ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre")
 
 
@@ -92,6 +92,23 @@ def next_event(df, date: Column, as_of: Column):
     return best.select(F.coalesce("next", "last").alias("e")).select("e.*")
 
 
+def next_events_by(df, key: str, date: str, tie: str, as_of: Column):
+    """key, event (the next dated row of the key, else its last), is_upcoming, events: how many rows it has (F16).  Of one day the smallest `tie` comes first, and the
+    largest is last; rows without a date only count."""
+    row, order = F.struct("*"), F.struct(date, tie)
+    ahead = F.col(date) >= as_of
+    best = df.groupBy(key).agg(F.min_by(row, F.when(ahead, order)).alias("_next"), F.max_by(row, F.when(~ahead, order)).alias("_last"), F.count("*").alias("events"))
+    return best.select(key, F.coalesce("_next", "_last").alias("event"), F.col("_next").isNotNull().alias("is_upcoming"), "events")
+
+
+def next_event_for_home(df, first_of: Column, date: str, tie: str, as_of: Column):
+    """event, is_upcoming: the next dated row among those of `first_of`; if it has none to come, the next of all, else the last of all (F16).  One row."""
+    row, order = F.struct("*"), F.struct(date, tie)
+    ahead = F.col(date) >= as_of
+    best = df.agg(F.min_by(row, F.when(ahead & first_of, order)).alias("_own"), F.min_by(row, F.when(ahead, order)).alias("_next"), F.max_by(row, F.when(~ahead, order)).alias("_last"))
+    return best.select(F.coalesce("_own", "_next", "_last").alias("event"), F.col("_next").isNotNull().alias("is_upcoming"))
+
+
 def live_dates(now: Column) -> Column:
     """Today, and yesterday before noon UTC."""
     day = F.to_date(now)

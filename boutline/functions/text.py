@@ -53,9 +53,23 @@ def normalize_name(c: Column) -> Column:
 SUFFIXES = ("jr", "sr", "ii", "iii", "iv")
 
 
+# Ring names whose bearers are listed under another name.
+ALIASES = {
+    "renato moicano": "renato carneiro", "patricio pitbull": "patricio freire", "loopy godinez": "lupita godinez", "shara magomedov": "sharabutdin magomedov", "jacare souza": "ronaldo souza",
+    "bia mesquita": "beatriz mesquita", "daria zhelezniakova": "darya zheleznyakova", "viktoriia dudakova": "victoria dudakova", "chepe mariscal": "jose mariscal", "tuco tokkos": "george tokkos",
+    "ozzy diaz": "osman diaz", "ollie schmid": "oliver schmid", "tommy gantt": "thomas gantt", "gigi canuto": "giovanna canuto", "timmy cuamba": "timothy cuamba", "maheshate": "maheshate hayisaer", "mizuki": "mizuki inoue",
+}
+
+
+def alias(c: Column, aliases: dict[str, str] = ALIASES) -> Column:
+    """The normalised name, or the one it stands for."""
+    plain = normalize_name(c)
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair))[plain], plain)
+
+
 def name_words(c: Column) -> Column:
-    """Words of a name: hyphens are spaces, suffixes dropped, st is saint."""
-    words = F.split(normalize_name(F.regexp_replace(c, "-", " ")), " ")
+    """Words of a name: hyphens and dashes are spaces, suffixes dropped, st is saint."""
+    words = F.split(normalize_name(F.regexp_replace(c, "[-\u2010\u2011\u2013]", " ")), " ")
     kept = F.filter(words, lambda w: (w != "") & ~w.isin(*SUFFIXES))
     return F.transform(kept, lambda w: F.when(w == "st", "saint").otherwise(w))
 
@@ -121,11 +135,33 @@ def country_flag(code: Column) -> Column:
 
 
 def display_event_name(name: Column) -> Column:
-    """Drop a leading "<promotion> - " that says nothing new: the rest holds " vs. ", or the promotion's words start it."""
-    head, rest = F.substring_index(name, " - ", 1), F.expr("1")
-    rest = F.regexp_replace(name, r"^.*? - ", "")
-    redundant = name.contains(" - ") & (rest.contains(" vs. ") | rest.startswith(head) | (head.rlike(r"\d") & rest.rlike(r"^\d")))
-    return F.when(redundant & (rest != ""), rest).otherwise(name)
+    """A name without a leading "<promotion> - " that says nothing new (F10): one with a number goes if the rest repeats the number as a word, one without goes unless the rest
+    is a bare matchup (" vs. " without a ":" before it)."""
+    clean = F.trim(F.regexp_replace(name, r"\s+", " "))
+    head, rest = F.substring_index(clean, " - ", 1), F.regexp_replace(clean, "^.*? - ", "")
+    number, versus, colon = F.regexp_extract(head, r"\d+", 0), F.instr(rest, " vs. "), F.instr(rest, ":")
+    repeats = F.regexp_like(rest, F.concat(F.lit(r"\b"), number, F.lit(r"\b")))
+    goes = F.when(number != "", repeats).otherwise((versus == 0) | (colon > 0) & (colon < versus))
+    return F.when(clean.contains(" - ") & goes, rest).otherwise(clean)
+
+
+def physique(height_cm: Column, reach_cm: Column) -> Column:
+    """"1,93 m \u00b7 Allonge 215 cm", what is missing left out; null for neither."""
+    height = F.when(height_cm > 0, F.replace(F.format_string("%.2f m", height_cm / 100), F.lit("."), F.lit(",")))
+    both = F.concat_ws(" \u00b7 ", height, F.when(reach_cm > 0, F.concat(F.lit("Allonge "), reach_cm.cast("string"), F.lit(" cm"))))
+    return F.nullif(both, F.lit(""))
+
+
+def sharper_image(url: Column, width: int = 400, height: int = 600) -> Column:
+    """An image address that asks for a larger crop, where its path names one."""
+    return F.regexp_replace(url, r"^(.*?)/image_crop/\d+/\d+/", f"$1/image_crop/{width}/{height}/")
+
+
+def listing_path(path: str, org: Column, page: Column) -> Column:
+    """The canonical address of a list (F33): a numeric organisation and a page past the first are kept, all else is dropped."""
+    number = F.when(page.rlike(r"^\s*\d+\s*$"), F.trim(page).try_cast("int"))
+    query = F.concat_ws("&", F.when(org.rlike(r"^\d+$"), F.concat(F.lit("org="), org)), F.when(number > 1, F.concat(F.lit("page="), number.cast("string"))))
+    return F.when(query == "", F.lit(path)).otherwise(F.concat(F.lit(path + "?"), query))
 
 
 def from_entities(c: Column) -> Column:
