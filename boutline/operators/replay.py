@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boutline.operators.standings import Standing
+
 MONTH = 30.44
 Q = math.log(10) / 400
 
@@ -118,6 +120,7 @@ class Careers:
     states: dict = field(default_factory=dict)
     known: float = 0.0
     n_known: int = 0
+    standing: Standing = field(default_factory=Standing)  # ratings of those with a bout
 
 
 @dataclass
@@ -148,11 +151,6 @@ def glicko_update(p: Glicko, own: tuple[float, float], other: tuple[float, float
     return own[0] + Q * variance * g * (score - e), max(p.least_rd, math.sqrt(variance))
 
 
-def _place(all_: Careers, own: Career) -> int | None:
-    """The place by rating among those with a bout; null for a debutant."""
-    return 1 + sum(s.bouts > 0 and s.rating > own.rating for s in all_.states.values()) if own.bouts else None
-
-
 def _career_step(p: Glicko, places: bool, all_: Careers, row) -> list[tuple]:
     sides = ((row.winner, row.start_winner), (row.loser, row.start_loser))
     if row.kind == 0:
@@ -165,23 +163,31 @@ def _career_step(p: Glicko, places: bool, all_: Careers, row) -> list[tuple]:
                     begin = all_.known / all_.n_known
                 all_.states[who] = Career(begin, p.rd)
     rated = [(who, all_.states[who]) for who, _ in sides if who in all_.states]
+    if places:
+        for _, s in rated:  # ratings that may change leave the standing, and come back below
+            if s.bouts:
+                all_.standing.remove(s.rating)
     moved = [_arrive(p, s, row.division, row.day) for _, s in rated]
     before = [(s.rating, s.rd) for _, s in rated]
-    place = [_place(all_, s) if places else None for _, s in rated]
+    # the place by rating among those with a bout, the other side included; null for a debutant
+    beside = lambda s: sum(o.bouts > 0 and o.rating > s.rating for _, o in rated)
+    place = [1 + all_.standing.above(s.rating) + beside(s) if places and s.bouts else None for _, s in rated]
     if row.kind == 0:
         score = p.win_floor + (1 - p.win_floor) * min(1.0, max(0.0, row.dominance))
         for (_, s), own, other, mine in zip(rated, before, before[::-1], (score, 1 - score)):
             s.rating, s.rd = glicko_update(p, own, other, mine)
-    out = [(row.key, row.day, row.kind, row.bout_id, who, None if row.kind else i == 0, *before[i], s.rating, s.rd, moved[i], s.bouts, place[i]) for i, (who, s) in enumerate(rated)]
+    out = [(row.key, row.day, row.kind, row.bout_id, who, None if row.kind else i == 0, *before[i], s.rating, s.rd, moved[i], s.bouts, place[i], row.division) for i, (who, s) in enumerate(rated)]
     for _, s in rated:
         s.bouts += row.kind == 0
+        if places and s.bouts:
+            all_.standing.add(s.rating)
     return out
 
 
 def careers(bouts: DataFrame, key: str, kind: str = "int", params: Glicko = Glicko(), places: bool = False) -> DataFrame:
     """Rating and deviation of each side at and after each bout, over all divisions (R05). A no-result moves no rating but counts as activity for those
-    already rated. `places`: also each side's place by rating before the bout, at a look at all participants of the key a bout. Columns besides the bouts': division, dominance (0 to 1), start_winner, start_loser (null: unknown, see `Glicko.unknown`)."""
-    schema = f"key long, day int, kind int, bout_id long, participant {kind}, won boolean, rating_at double, rd_at double, rating double, rd double, moved boolean, bouts_before long, place_at int"
+    already rated. `places`: also each side's place by rating before the bout. Columns besides the bouts': division, dominance (0 to 1), start_winner, start_loser (null: unknown, see `Glicko.unknown`)."""
+    schema = f"key long, day int, kind int, bout_id long, participant {kind}, won boolean, rating_at double, rd_at double, rating double, rd double, moved boolean, bouts_before long, place_at int, division string"
     columns = ["day", "kind", "bout_id", "winner", "loser", "division", "dominance", "start_winner", "start_loser"]
     return ordered_replay(bouts, key, ["day", "kind", "bout_id"], columns, Careers, partial(_career_step, params, places), schema)
 
@@ -239,12 +245,6 @@ def point_flow(bouts: DataFrame, key: str, kind: str = "int", params: PointFlow
     return ordered_replay(bouts, key, ["day", "kind", "bout_id"], columns, Division, partial(_points_step, params), schema)
 
 
-def wins_over_best(history: DataFrame, key: str, best: int = 10) -> DataFrame:
-    """key, participant, wins: how many bouts each participant won against one of the `best` by rating at the time (R13), of a history with places."""
-    beaten = history.where((F.col("won") == F.lit(False)) & (F.col("place_at") <= best)).select(key, "bout_id")
-    return history.where("won").join(beaten, [key, "bout_id"]).groupBy(key, "participant").agg(F.count("*").alias("wins"))
-
-
 def final_states(history: DataFrame, key: str, values: list[str]) -> DataFrame:
     """The last row of each participant of a replay's history."""
     order = F.struct("day", *(c for c in ("kind",) if c in history.columns), "bout_id")

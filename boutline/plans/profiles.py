@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from boutline.operators import models, styles
+from boutline.operators import models, replay, standings, styles
+from boutline.operators.durable import checkpointed
+from boutline.plans import replays
 from boutline.plans.registry import query
 
 C = F.col
@@ -62,6 +64,53 @@ def r13(t):
     return one.unionByName(styles.check("all rich", t.customer, C("c_acctbal") < 0, C("c_custkey"))).select("name", "passed", "n")
 
 
+_ENDS = f"""{replays._CAREER.split(chr(10) + "SELECT id AS bout_id")[0]}, x AS (SELECT s.k, b.div, b.d, s.rn, s.id, s.w, s.l, s.mw, s.ml, s.rw, s.rl, s.dl, s.rwa, s.rla, s.dwa, s.dla, b.title FROM s JOIN b ON b.id = s.id WHERE s.kind = 0),
+ e AS (SELECT k, div, d, rn, id, w AS p, true AS won, mw AS moved, rw AS pre, rwa - 2 * dwa AS c, title FROM x UNION ALL SELECT k, div, d, rn, id, l, false, ml, rl, rla - 2 * dla, title FROM x)"""
+_TOP_WINS = """SELECT x.k, x.div, x.w AS p, count(*) AS wins FROM x LEFT JOIN (SELECT x.id, count(*) AS above FROM (SELECT x.id, x.d, x.rl - 2 * x.dl AS own, e.p, arg_max(e.c, e.rn) AS c, max(e.d) AS last FROM x JOIN e ON e.k = x.k AND e.div = x.div AND e.rn < x.rn AND e.p <> x.w AND e.p <> x.l GROUP BY ALL) x WHERE c > own AND d - last <= 547 GROUP BY x.id) a USING (id)
+  WHERE coalesce(above, 0) < 2 AND EXISTS (SELECT 1 FROM e WHERE e.k = x.k AND e.p = x.l AND e.rn < x.rn) GROUP BY ALL"""
+
+
+def _histories(t):
+    """Career histories of the customers' leagues, and their title bouts."""
+    b = replays.bouts(t)
+    return replay.careers(b, "o_custkey"), b.where("is_title").select("bout_id")
+
+
+@query("r13_top_wins", f"{_ENDS} SELECT k AS o_custkey, div AS division, p AS participant, wins FROM ({_TOP_WINS})")
+def r13_top_wins(t):
+    """Wins over one of the two best of a league's division at the time."""
+    h, _ = _histories(t)
+    return standings.wins_over_best(h, ["o_custkey", "division"], best=2)
+
+
+@query("r13_places", f"{_ENDS} SELECT y.id AS bout_id, y.p AS participant, CAST(CASE WHEN n > 0 THEN 1 + coalesce(above, 0) END AS INT) AS place FROM (SELECT e.*, (SELECT count(*) FROM e o WHERE o.k = e.k AND o.p = e.p AND o.rn < e.rn) AS n FROM e) y LEFT JOIN (SELECT id, p, count(*) AS above FROM (SELECT e.id, e.p, e.pre, o.p AS other, CASE WHEN o.p = z.w THEN z.rw WHEN o.p = z.l THEN z.rl ELSE arg_max(o.after, o.rn) END AS r FROM e JOIN x z ON z.id = e.id JOIN (SELECT k, rn, w AS p, rwa AS after FROM s WHERE kw AND rn > 0 UNION ALL SELECT k, rn, l, rla FROM s WHERE kl AND rn > 0) o ON o.k = e.k AND o.rn < e.rn AND o.p <> e.p AND EXISTS (SELECT 1 FROM e f WHERE f.k = o.k AND f.p = o.p AND f.rn < e.rn) GROUP BY e.id, e.p, e.pre, o.p, z.w, z.l, z.rw, z.rl) WHERE r > pre GROUP BY ALL) a ON a.id = y.id AND a.p = y.p")
+def r13_places(t):
+    """The place by rating of each side of a decided bout, before it."""
+    h = replay.careers(replays.bouts(t), "o_custkey", places=True)
+    return h.where("kind = 0").select("bout_id", "participant", C("place_at").alias("place"))
+
+
+@query("r13_rating_checks", f"""{_ENDS}, tw AS ({_TOP_WINS}), ti AS (SELECT k, div, p, count(*) AS titles FROM e WHERE won AND title GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY k, div ORDER BY c DESC, p) AS place FROM (SELECT k, div, p, arg_max(c, rn) AS c, count(*) AS bouts FROM e GROUP BY ALL))
+ SELECT 'no reset on a change of division' AS name, count(*) = 0 AS passed, count(*) AS n FROM e WHERE moved AND pre = 1500 AND EXISTS (SELECT 1 FROM e f WHERE f.k = e.k AND f.p = e.p AND f.rn < e.rn)
+ UNION ALL SELECT 'no leader with a thin record', count(*) = 0, count(*) FROM r WHERE place = 1 AND bouts <= 6 AND NOT EXISTS (SELECT 1 FROM tw WHERE tw.k = r.k AND tw.div = r.div AND tw.p = r.p)
+ UNION ALL SELECT 'defending champions lead', count(*) = 0, count(*) FROM r JOIN ti USING (k, div, p) WHERE p = 1 AND titles >= 2 AND place > 1
+ UNION ALL SELECT 'the first of all has won a title', count(*) = 0, count(*) FROM (SELECT * FROM (SELECT k * 10 + p AS p, c FROM r ORDER BY c DESC, k * 10 + p LIMIT 1) f WHERE NOT EXISTS (SELECT 1 FROM ti WHERE ti.k * 10 + ti.p = f.p))""")
+def r13_rating_checks(t):
+    """Everybody is eligible, and the first of a league's five is its champion, who should be the best where the title was defended."""
+    h, titles = _histories(t)
+    keys = ["o_custkey", "division"]
+    h = checkpointed(h)
+    decided = h.where("kind = 0")
+    ranked = decided.groupBy(*keys, "participant").agg(F.max_by(C("rating") - 2 * C("rd"), F.struct("day", "bout_id")).alias("conservative"), F.count("*").alias("bouts")).withColumn("is_champion", C("participant") == 1)
+    won = standings.title_wins(h, titles, keys)
+    one = lambda d: d.withColumn("participant", C("o_custkey") * 10 + C("participant"))
+    checks = [standings.check_carry_over(decided), standings.check_thin_leaders(ranked, standings.wins_over_best(h, keys, best=2), keys), standings.check_defending_champions(ranked, won, keys, within=1), standings.check_first_of_all(one(ranked), one(won))]
+    every = checks[0]
+    for c in checks[1:]:
+        every = every.unionByName(c)
+    return every.select("name", "passed", F.size("details").cast("long").alias("n"))
+
+
 def _side(k: str):
     fields = {"age": f"CASE WHEN {k}_size > 40 THEN NULL ELSE 20 + {k}_size * 0.5 END", "reach_cm": f"150 + {k}_size", "months_since": f"CAST({k}_size AS DOUBLE)", "minutes": f"{k}_size * 3.0", "landed": f"{k}_size * 9.0", "absorbed": "100.0", "control": f"{k}_size * 20.0", "controlled": "300.0", "kd_absorbed": "1.0"}
     return F.struct(*(F.expr(v).cast("double").alias(n) for n, v in fields.items()))

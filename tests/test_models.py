@@ -143,21 +143,3 @@ def test_weekly_batch_by_parts(spark, tmp_path):
     assert sorted(map(str, again["snapshots"].collect())) == sorted(map(str, got)) and version.number() == 3
     only = weekly.run(spark, bouts, "k", out, today=F.lit("2024-03-20").cast("date"), streaks_only=True)
     assert {r["participant"]: r["streak"] for r in only["streaks"].collect()} == {r["participant"]: r["streak"] for r in second["streaks"].collect()}
-
-
-def test_wins_over_the_best_at_the_time(spark):
-    rng = np.random.default_rng(5)
-    pairs = [tuple(int(x) for x in rng.choice(9, 2, replace=False)) for _ in range(120)]
-    shape = "k long, bout_id long, day date, kind int, winner int, loser int, division string, dominance double, start_winner double, start_loser double"
-    rows = [(1, n, datetime.date(2020, 1, 1) + datetime.timedelta(3 * n), int(n % 11 == 0), a, b, "x", 0.4, None, None) for n, (a, b) in enumerate(pairs)]
-    history = replay.careers(spark.createDataFrame(rows, shape), "k", places=True).cache()
-    ratings, want = {}, defaultdict(int)
-    by_bout = defaultdict(list)
-    for r in history.collect():
-        by_bout[r["bout_id"]].append(r)
-    for n in sorted(by_bout):
-        for r in by_bout[n]:
-            if r["won"] is False and r["participant"] in ratings and 1 + sum(v > ratings[r["participant"]] for v in ratings.values()) <= 3:
-                want[next(x["participant"] for x in by_bout[n] if x["won"])] += 1
-        ratings |= {r["participant"]: r["rating"] for r in by_bout[n]}
-    assert want and {r["participant"]: r["wins"] for r in replay.wins_over_best(history, "k", 3).collect()} == want
