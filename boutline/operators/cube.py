@@ -62,10 +62,3 @@ def spine_histogram(df: DataFrame, value: str, low: int, high: int) -> DataFrame
     counts = spine.join(df.groupBy(value).agg(F.count("*").alias("n")), value, "left").select(value, F.coalesce("n", F.lit(0)).alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     return counts.crossJoin(F.broadcast(total)).select(value, "n", F.coalesce(ratio(F.col("n"), F.col("total")), F.lit(0.0)).alias("share"))
-
-
-def nearest_percentile(df: DataFrame, value: str, p: float) -> DataFrame:
-    """The value at index floor(p * n) of the sorted values (A26): by rank, without gathering them in one list."""
-    n = df.where(F.col(value).isNotNull()).agg(F.count("*").alias("n")).first()["n"]
-    at = min(max(n - 1, 0), int(p * n))
-    return df.where(F.col(value).isNotNull()).select(value).orderBy(value).offset(at).limit(1)

@@ -19,11 +19,12 @@ def display_scores(df: DataFrame, division: str, rating: str, champion: Column,
     return df.withColumn("display_score", F.when(champion, F.lit(100.0)).otherwise(capped))
 
 
-def capped_below_champion(df: DataFrame, division: str, score: str, champion: Column, tie: str) -> DataFrame:
-    """`capped`: challengers at or over the champion's score go 0.1 a place below it, in their order (equal ones by `tie`), never under 0 (F32)."""
+def capped_below_champion(df: DataFrame, division: str, score: str, champion: Column, tie: str, among: Column | None = None) -> DataFrame:
+    """`capped`: challengers at or over the champion's score go 0.1 a place below it, in their order (equal ones by `tie`), never under 0 (F32).  `among`: whom the cap
+    concerns, all if None."""
     w = W.partitionBy(division)
     top = F.max(F.when(champion, F.col(score))).over(w)
-    over = ~champion & top.isNotNull() & (F.col(score) >= top)
+    over = ~champion & top.isNotNull() & (F.col(score) >= top) & (F.lit(True) if among is None else among)
     place = F.row_number().over(W.partitionBy(division, over).orderBy(F.col(score).desc(), tie))
     return df.withColumn("capped", F.when(over, F.greatest(F.lit(0.0), top - 0.1 * place)).otherwise(F.col(score)))
 

@@ -17,18 +17,9 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataF
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
-def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, pinned: Column | None = None) -> DataFrame:
-    """Top n of each key (W01), and pinned rows whatever their rank."""
-    keep = F.col("rn") <= n
-    if pinned is not None:
-        keep = keep | pinned
-    return df.withColumn("rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(keep)
-
-
-def pinned_rank(keys: list[str], pinned: Column, order: list[Column]) -> Column:
-    """Rank on a list where a pinned row stands first and counts as 0."""
-    part = W.partitionBy(*keys)
-    return F.row_number().over(part.orderBy(pinned.desc(), *order)) - F.max(pinned.cast("int")).over(part)
+def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
+    """Top n of each key (W01) with their place `rn`: rows beyond are dropped before the shuffle."""
+    return df.withColumn("rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rn") <= n)
 
 
 def unpivot_sides(df: DataFrame, first: str, second: str, name: str) -> DataFrame:
@@ -64,14 +55,6 @@ def prefix_asof(df: DataFrame, key: str, day: Column, measures: dict[str, Column
     return df.select("*", *(m.over(before).alias(name) for name, m in measures.items()))
 
 
-def eligible_rank(df: DataFrame, keys: list[str], score: str, eligible: Column) -> DataFrame:
-    """1 + number of eligible rows of the key with a higher score (J13), for ineligible rows too."""
-    above = W.partitionBy(*keys).orderBy(F.col(score).desc()).rangeBetween(W.unboundedPreceding, W.currentRow)
-    same = W.partitionBy(*keys, score)
-    flag = F.when(eligible, 1).otherwise(0)
-    return df.withColumn("rank", 1 + F.sum(flag).over(above) - F.sum(flag).over(same))
-
-
 def current_streak(df: DataFrame, key: str, order: list[Column], result: str, positive: str, negative: str) -> DataFrame:
     """Signed length of the latest run of one result (W05); any other result counts 0."""
     w = W.partitionBy(key).orderBy(*order)

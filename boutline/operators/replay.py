@@ -255,8 +255,10 @@ def weekly_snapshot(history: DataFrame, key: str, value: str, week: str) -> Data
     """Rank by `value` within each (key, week), the rank of the participant's week before, if any, and the trend between."""
     from pyspark.sql import Window as W
 
+    from boutline.operators.ordered import keyed_rank
+
     last = history.groupBy(key, "participant", F.date_trunc(week, "day").cast("date").alias("week")).agg(F.max_by(value, F.struct("day", "bout_id")).alias(value))
-    ranked = last.withColumn("rank", F.row_number().over(W.partitionBy(key, "week").orderBy(F.col(value).desc(), "participant")))
+    ranked = keyed_rank(last, [key, "week"], [F.col(value).desc(), F.col("participant")], "rank").withColumn("rank", F.col("rank").cast("int"))
     before = F.lag("rank").over(W.partitionBy(key, "participant").orderBy("week"))
     return ranked.withColumn("previous", before).withColumn("trend", F.when(before.isNull(), "new").when(F.col("rank") < before, "up").when(F.col("rank") > before, "down").otherwise("same"))
 

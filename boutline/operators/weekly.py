@@ -5,17 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutline.operators import rating, relational, replay
+from boutline.functions.bouts import conservative, score_against
+from boutline.operators import ordered, rating, relational, replay
 from boutline.sources import sinks
 
 
-def ratings(history: DataFrame, key: str, today: Column, *, least_bouts: int = 3, most_idle: int = 548, champion: Column | None = None) -> DataFrame:
-    """key, participant, day, rating, rd, bouts, eligible, display_score: the last state of each participant, scored against the best eligible one of the key."""
+def ratings(history: DataFrame, key: str, today: Column, *, least_bouts: int = 0, most_idle: int = 547, champion: Column | None = None) -> DataFrame:
+    """key, participant, day, rating, rd, bouts, conservative (rating - 2 rd), eligible, display_score: the last state of each participant, scored against the best eligible one of
+    the key by the conservative rating.  Eligible are champions, and whoever had a bout within 18 months (`most_idle` days)."""
     last = replay.final_states(history, key, ["rating", "rd"])
     bouts = history.where("kind = 0").groupBy(key, "participant").agg(F.count("*").alias("bouts"))
-    d = last.join(bouts, [key, "participant"], "left").withColumn("bouts", F.coalesce("bouts", F.lit(0)))
-    d = d.withColumn("eligible", (F.col("bouts") >= least_bouts) & (F.datediff(today, "day") <= most_idle))
-    return rating.display_scores(d, key, "rating", F.lit(False) if champion is None else champion, F.col("eligible"))
+    d = last.join(bouts, [key, "participant"], "left").withColumn("bouts", F.coalesce("bouts", F.lit(0))).withColumn("conservative", conservative(F.col("rating"), F.col("rd")))
+    leads = F.lit(False) if champion is None else F.coalesce(champion, F.lit(False))
+    d = d.withColumn("eligible", leads | (F.col("bouts") >= least_bouts) & (F.datediff(today, "day") <= most_idle))
+    return rating.display_scores(d, key, "conservative", leads, F.col("eligible"))
+
+
+def pound_for_pound(table: DataFrame, scale: str, division: str, champion: Column, tie: str) -> DataFrame:
+    """`table` with p4p_score: conservative ratings of all divisions on one scale (a gender's), against its best eligible one; an eligible challenger at or over the
+    champion of the own division goes just below (R12)."""
+    leads = F.coalesce(champion, F.lit(False))
+    best = table.groupBy(F.col(scale).alias("_scale")).agg(F.coalesce(F.max(F.when(F.col("eligible"), F.col("conservative"))), F.max("conservative")).alias("_best"))  # a row a scale
+    against = table.join(best, F.col(scale).eqNullSafe(F.col("_scale"))).drop("_scale")
+    scored = against.withColumn("_score", score_against(F.col("conservative"), F.col("_best"))).withColumn("_in", leads | F.col("eligible"))
+    capped = rating.capped_below_champion(scored.withColumn("_leads", leads), division, "_score", F.col("_leads"), tie, among=F.col("_in"))
+    return capped.withColumn("p4p_score", F.col("capped")).drop("_best", "_score", "_in", "_leads", "capped")
 
 
 def streaks(history: DataFrame, key: str) -> DataFrame:
@@ -28,7 +42,7 @@ def streaks(history: DataFrame, key: str) -> DataFrame:
 
 def snapshot(table: DataFrame, key: str, week: Column, before: DataFrame | None) -> DataFrame:
     """week, key, participant, rating, rank, previous, trend: the eligible ones' places, against those of the newest earlier week of `before`."""
-    place = relational.eligible_rank(table.where("eligible"), [key], "rating", F.lit(True)).select(week.alias("week"), key, "participant", "rating", F.col("rank").cast("int").alias("rank"))
+    place = ordered.keyed_eligible_rank(table.where("eligible").select(key, "participant", "rating"), [key], "rating", F.lit(True)).select(week.alias("week"), key, "participant", "rating", F.col("rank").cast("int").alias("rank"))
     if before is None:
         return place.select("*", F.lit(None).cast("int").alias("previous"), F.lit("new").alias("trend"))
     older = before.where(F.col("week") < week)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from boutline.functions import bouts
 from boutline.operators import cube as Q
+from boutline.operators import ordered
 from boutline.operators import relational as R
 from boutline.plans.registry import query
 from boutline.plans.relational import _SIDES, corners
@@ -148,14 +149,22 @@ def a25(t):
 
 @query("a26_percentile", "SELECT (SELECT c_acctbal FROM customer ORDER BY 1 LIMIT 1 OFFSET (SELECT CAST(floor(count(*) * 0.9) AS BIGINT) FROM customer)) AS c_acctbal")
 def a26(t):
-    return Q.nearest_percentile(t.customer, "c_acctbal", 0.9)
+    found = ordered.nearest_percentiles(t.customer, "c_acctbal", [0.9])
+    return t.spark.createDataFrame([(v,) for v in found.values()], t.customer.select("c_acctbal").schema)
+
+
+@query("a26_several", "WITH n AS (SELECT count(*) AS n FROM lineitem), r AS (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_extendedprice) - 1 AS at FROM lineitem) SELECT p AS share, v AS value FROM r, n, (VALUES (0.0::DOUBLE), (0.1), (0.5), (0.9), (0.99), (1.0)) s(p) WHERE r.at = least(n - 1, CAST(floor(p * n) AS BIGINT))")
+def a26_several(t):
+    """Six percentiles of all line prices in the same passes."""
+    found = ordered.nearest_percentiles(t.lineitem, "l_extendedprice", [0.0, 0.1, 0.5, 0.9, 0.99, 1.0], small=1000)
+    return t.spark.createDataFrame([(p, float(v)) for p, v in found.items()], "share double, value double")
 
 
 @query("a27_record_text", "SELECT o_custkey, CASE WHEN count(*) >= 12 THEN count(*) FILTER (WHERE o_orderstatus = 'F') || '-' || count(*) FILTER (WHERE o_orderstatus = 'O') || '-' || count(*) FILTER (WHERE o_orderstatus = 'P') ELSE '10-1-1' END AS record FROM orders GROUP BY 1")
 def a27(t):
-    named = F.replace(F.replace(F.replace(C("o_orderstatus"), F.lit("F"), F.lit("win")), F.lit("O"), F.lit("loss")), F.lit("P"), F.lit("draw"))
-    d = t.orders.groupBy("o_custkey").agg(F.collect_list(named).alias("x"))
-    return d.select("o_custkey", bouts.scraped_or_counted(F.lit("10-1-1"), C("x")).alias("record"))
+    n = lambda status: F.count_if(C("o_orderstatus") == status)
+    d = t.orders.groupBy("o_custkey").agg(n("F").alias("w"), n("O").alias("l"), n("P").alias("d"))
+    return d.select("o_custkey", bouts.scraped_or_counts(F.lit("10-1-1"), C("w"), C("l"), C("d")).alias("record"))
 
 
 @query("a28_then_vs_now", f"SELECT division, CAST(sum(fights) FILTER (WHERE year <= 1997) AS BIGINT) AS before, CAST(sum(fights) FILTER (WHERE year >= 1999) AS BIGINT) AS now FROM ({_CUBE}) GROUP BY 1 HAVING sum(fights) FILTER (WHERE year <= 1997) >= 30 AND sum(fights) FILTER (WHERE year >= 1999) >= 100")

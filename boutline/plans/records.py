@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from boutline.functions.bouts import sigmoid
-from boutline.operators import models, sequence, weekly
+from boutline.operators import models, replay, sequence, weekly
 from boutline.plans import replays
 from boutline.plans.models import odds
 from boutline.plans.registry import query
@@ -188,13 +188,27 @@ def t05(t):
 
 # ---- the batch
 
-_WEEKLY = f"""WITH c AS (SELECT x.*, o_custkey AS k, CAST(o_orderdate AS DATE) AS d FROM ({replays._CAREER.replace("round(rwa, 4)", "rwa").replace("round(rla, 4)", "rla")}) x JOIN orders ON o_orderkey = bout_id),
- s AS (SELECT k, participant, arg_max(rating, (d, kind, bout_id)) AS rating, count(*) FILTER (WHERE kind = 0) >= 3 AND max(d) >= DATE '2001-06-01' - 548 AS eligible FROM c GROUP BY ALL),
- r AS (SELECT *, coalesce(max(rating) FILTER (WHERE eligible) OVER (PARTITION BY k), max(rating) OVER (PARTITION BY k)) AS ref FROM s), g AS (SELECT *, least(100, 200 / (1 + pow(10, (ref - rating) / 400))) AS score FROM r)
- SELECT k AS o_custkey, participant, round(rating, 2) AS rating, eligible, round(CASE WHEN eligible THEN score ELSE least(score, 99.9) END, 2) AS display_score FROM g"""
+_EXACT = replays._CAREER
+for _c in ("rwa", "rla", "dwa", "dla"):
+    _EXACT = _EXACT.replace(f"round({_c}, 4)", _c)
+_STATES = f"""c AS (SELECT x.*, o_custkey AS k, CAST(o_orderdate AS DATE) AS d FROM ({_EXACT}) x JOIN orders ON o_orderkey = bout_id),
+ s AS (SELECT k, participant, arg_max(rating, (d, kind, bout_id)) AS rating, arg_max(rating - 2 * rd, (d, kind, bout_id)) AS con, max(d) >= DATE '2001-06-01' - 547 AS idle_ok FROM c GROUP BY ALL)"""
+_WEEKLY = f"""WITH {_STATES}, r AS (SELECT *, coalesce(max(con) FILTER (WHERE idle_ok) OVER (PARTITION BY k), max(con) OVER (PARTITION BY k)) AS ref FROM s), g AS (SELECT *, least(100, 200 / (1 + pow(10, (ref - con) / 400))) AS score FROM r)
+ SELECT k AS o_custkey, participant, round(rating, 2) AS rating, idle_ok AS eligible, round(CASE WHEN idle_ok THEN score ELSE least(score, 99.9) END, 2) AS display_score FROM g"""
 
 
 @query("r12_weekly", _WEEKLY)
 def r12(t):
     made = weekly.run(t.spark, replays.bouts(t), "o_custkey", folder(t, "r12"), today=F.lit("2001-06-01").cast("date"))
     return made["ratings"].select("o_custkey", "participant", F.round("rating", 2).alias("rating"), "eligible", F.round("display_score", 2).alias("display_score"))
+
+
+@query("r12_pound_for_pound", f"""WITH {_STATES}, e AS (SELECT *, k % 2 AS g, participant = 1 AS champion, idle_ok OR participant = 1 AS eligible FROM s), r AS (SELECT *, least(100, 200 / (1 + pow(10, (coalesce(max(con) FILTER (WHERE eligible) OVER (PARTITION BY g), max(con) OVER (PARTITION BY g)) - con) / 400))) AS score FROM e),
+ t AS (SELECT *, max(CASE WHEN champion THEN score END) OVER (PARTITION BY k) AS top FROM r), o AS (SELECT *, coalesce(NOT champion AND eligible AND score >= top, false) AS above FROM t)
+ SELECT k AS o_custkey, participant, eligible, round(CASE WHEN above THEN greatest(0, top - 0.1 * row_number() OVER (PARTITION BY k, above ORDER BY score DESC, participant)) ELSE score END, 3) AS p4p_score FROM o""")
+def r12_p4p(t):
+    """Leagues are divisions of two scales; the first of a league's five is its champion."""
+    champion = C("participant") == 1
+    table = weekly.ratings(replay.careers(replays.bouts(t), "o_custkey"), "o_custkey", F.lit("2001-06-01").cast("date"), champion=champion).withColumn("scale", C("o_custkey") % 2)
+    scored = weekly.pound_for_pound(table, "scale", "o_custkey", champion, "participant")
+    return scored.select("o_custkey", "participant", "eligible", F.round("p4p_score", 3).alias("p4p_score"))

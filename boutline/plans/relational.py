@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from boutline.operators import ordered
 from boutline.operators import relational as R
 from boutline.plans.registry import query
 
@@ -91,16 +92,16 @@ def p10(t):
     return t.orders.groupBy(C("o_orderpriority").startswith("1-").alias("urgent")).agg(F.count("*").alias("n"))
 
 
-_PREV = "(SELECT c_custkey, c_nationkey, c_mktsegment, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS bal FROM customer WHERE c_custkey % 5 <> 0)"
-_CURR = "(SELECT c_custkey, c_nationkey, c_mktsegment, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 4 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS bal FROM customer WHERE c_custkey % 6 <> 0)"
+_PREV = "(SELECT c_custkey, c_nationkey, c_mktsegment, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS bal FROM customer WHERE c_mktsegment <> 'BUILDING' OR c_acctbal > 0)"
+_CURR = "(SELECT c_custkey, c_nationkey, c_mktsegment, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 4 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS bal FROM customer WHERE c_mktsegment <> 'MACHINERY' OR c_acctbal > 0)"
 
 
 def snapshots(t):
     """Two snapshots of customers: before and after a change."""
     c = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
     gone = C("c_custkey") % 7 == 0
-    prev = c.where("c_custkey % 5 <> 0").withColumn("bal", F.when(~gone, C("c_acctbal"))).drop("c_acctbal")
-    curr = c.where("c_custkey % 6 <> 0").withColumn("bal", F.when(gone, None).when(C("c_custkey") % 4 == 0, C("c_acctbal") + 1).otherwise(C("c_acctbal"))).drop("c_acctbal")
+    prev = c.where("c_mktsegment <> 'BUILDING' OR c_acctbal > 0").withColumn("bal", F.when(~gone, C("c_acctbal"))).drop("c_acctbal")
+    curr = c.where("c_mktsegment <> 'MACHINERY' OR c_acctbal > 0").withColumn("bal", F.when(gone, None).when(C("c_custkey") % 4 == 0, C("c_acctbal") + 1).otherwise(C("c_acctbal"))).drop("c_acctbal")
     return prev, curr
 
 
@@ -225,7 +226,7 @@ def j12(t):
 
 @query("j13_eligible_rank", "SELECT a.c_custkey, 1 + count(b.c_custkey) AS rank FROM customer a LEFT JOIN customer b ON b.c_nationkey = a.c_nationkey AND b.c_acctbal > a.c_acctbal AND b.c_mktsegment = 'BUILDING' GROUP BY a.c_custkey")
 def j13(t):
-    return R.eligible_rank(t.customer, ["c_nationkey"], "c_acctbal", C("c_mktsegment") == "BUILDING").select("c_custkey", C("rank").cast("long").alias("rank"))
+    return ordered.keyed_eligible_rank(t.customer.select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"), ["c_nationkey"], "c_acctbal", C("c_mktsegment") == "BUILDING").select("c_custkey", C("rank").cast("long").alias("rank"))
 
 
 @query("j14_order_by_flags", "SELECT c_custkey FROM customer c ORDER BY EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') DESC, (SELECT max(o_orderdate) FROM orders WHERE o_custkey = c_custkey) DESC NULLS LAST, c_custkey LIMIT 25")
@@ -313,9 +314,8 @@ def a04(t):
 
 @query("a05_recent_list", "SELECT o_custkey, array_to_string(list(o_orderstatus ORDER BY o_orderdate DESC, o_orderkey DESC)[1:12], '') AS recent FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY 1")
 def a05(t):
-    item = F.struct("o_orderdate", "o_orderkey", "o_orderstatus")
-    recent = F.slice(F.sort_array(F.collect_list(item), False), 1, 12)
-    return t.orders.where("o_orderpriority <> '5-LOW'").groupBy("o_custkey").agg(F.array_join(F.transform(recent, lambda x: x["o_orderstatus"]), "").alias("recent"))
+    recent = ordered.newest(t.orders.where("o_orderpriority <> '5-LOW'"), ["o_custkey"], [C("o_orderdate").desc(), C("o_orderkey").desc()], 12, C("o_orderstatus"), "recent")
+    return recent.select("o_custkey", F.array_join("recent", "").alias("recent"))
 
 
 @query("a06_duplicate_groups", "SELECT l_orderkey, l_linenumber, count(*) AS n, min(l_partkey) AS keep FROM lineitem GROUP BY ALL HAVING count(*) > 1".replace("GROUP BY ALL", "GROUP BY l_orderkey, l_linenumber"))
@@ -337,7 +337,7 @@ def a08(t):
 
 @query("w01_top_or_pinned", "SELECT p_partkey, p_brand, rn FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rn FROM part) WHERE rn <= 3 OR p_size = 1")
 def w01(t):
-    return R.top_per_key(t.part, ["p_brand"], [C("p_retailprice").desc(), C("p_partkey")], 3, C("p_size") == 1).select("p_partkey", "p_brand", long("rn").alias("rn"))
+    return ordered.top_per_key(t.part.select("p_partkey", "p_brand", "p_retailprice", "p_size"), ["p_brand"], [C("p_retailprice").desc(), C("p_partkey")], 3, C("p_size") == 1).select("p_partkey", "p_brand", long("rn").alias("rn"))
 
 
 @query("w02_total_over", "SELECT c_custkey, c_name, (SELECT count(*) FROM customer WHERE c_mktsegment = 'MACHINERY') AS total_count FROM customer WHERE c_mktsegment = 'MACHINERY' ORDER BY c_name LIMIT 20 OFFSET 20")
@@ -347,9 +347,9 @@ def w02(t):
 
 @query("w03_pinned_rank", "SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY coalesce(p_partkey = k, false) DESC, p_retailprice DESC, p_partkey) - CAST(bool_or(coalesce(p_partkey = k, false)) OVER (PARTITION BY p_brand) AS INT) AS rank FROM (SELECT *, min(CASE WHEN p_size = 1 THEN p_partkey END) OVER (PARTITION BY p_brand) AS k FROM part)")
 def w03(t):
-    champion = F.coalesce(C("p_partkey") == F.min(F.when(C("p_size") == 1, C("p_partkey"))).over(W.partitionBy("p_brand")), F.lit(False))
-    d = t.part.select("p_partkey", "p_brand", "p_retailprice", champion.alias("champion"))
-    return d.select("p_partkey", long(R.pinned_rank(["p_brand"], C("champion"), [C("p_retailprice").desc(), C("p_partkey")])).alias("rank"))
+    first = t.part.where("p_size = 1").groupBy("p_brand").agg(F.min("p_partkey").alias("champion"))  # one a brand
+    d = t.part.select("p_partkey", "p_brand", "p_retailprice").join(first, "p_brand", "left")
+    return ordered.keyed_pinned_rank(d, ["p_brand"], C("p_partkey") == C("champion"), [C("p_retailprice").desc(), C("p_partkey")], "rank").select("p_partkey", "rank")
 
 
 @query("w04_global_rank", "SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM supplier")
@@ -381,9 +381,8 @@ x AS (SELECT o_custkey, any_value(l) AS l, coalesce(min(i) FILTER (WHERE s <> l)
 def w08(t):
     from boutline.operators.sequence import streak_from
 
-    item = F.struct("o_orderdate", "o_orderkey", "o_orderstatus")
-    recent = t.orders.groupBy("o_custkey").agg(F.slice(F.sort_array(F.collect_list(item), False), 1, 12).alias("x"))
-    return recent.select("o_custkey", long(streak_from(F.transform("x", lambda x: x["o_orderstatus"]), win="F", loss="O", skip="P")).alias("streak"))
+    recent = ordered.newest(t.orders, ["o_custkey"], [C("o_orderdate").desc(), C("o_orderkey").desc()], 12, C("o_orderstatus"), "x")
+    return recent.select("o_custkey", long(streak_from(C("x"), win="F", loss="O", skip="P")).alias("streak"))
 
 
 @query("w09_last_n_state", "SELECT event_id, round(coalesce(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 0), 4) AS last5, round(coalesce(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 0.5), 4) AS last3 FROM events")
@@ -505,10 +504,10 @@ def u03(t):
     return R.sync_plan(p, c, ["c_custkey"], ["bal"]).select("c_custkey", "action")
 
 
-@query("u04_stale", f"SELECT c_custkey FROM {_PREV} WHERE c_custkey > 100 AND c_custkey NOT IN (SELECT c_custkey FROM {_CURR})")
+@query("u04_stale", f"SELECT c_custkey FROM {_PREV} WHERE bal > -900 AND c_custkey NOT IN (SELECT c_custkey FROM {_CURR})")
 def u04(t):
     p, c = snapshots(t)
-    return p.where("c_custkey > 100").join(c, "c_custkey", "left_anti").select("c_custkey")
+    return p.where("bal > -900").join(c, "c_custkey", "left_anti").select("c_custkey")
 
 
 @query("u05_merge_by_date", "WITH fresh AS (SELECT * FROM orders WHERE o_totalprice > 450000) SELECT o_orderkey, false AS is_fresh FROM orders WHERE CAST(o_orderdate AS DATE) NOT IN (SELECT CAST(o_orderdate AS DATE) FROM fresh) UNION ALL SELECT o_orderkey, true FROM fresh")
@@ -518,10 +517,10 @@ def u05(t):
     return o.join(fresh.select("d").distinct(), "d", "left_anti").select("o_orderkey", F.lit(False).alias("is_fresh")).unionByName(fresh.select("o_orderkey", F.lit(True).alias("is_fresh")))
 
 
-@query("u06_new_only", f"SELECT DISTINCT c_nationkey, c_mktsegment FROM {_CURR} c WHERE c_custkey NOT IN (SELECT c_custkey FROM {_PREV}) AND (c_nationkey, c_mktsegment) NOT IN (SELECT c_nationkey, c_mktsegment FROM {_PREV} WHERE c_custkey < 300)")
+@query("u06_new_only", f"SELECT DISTINCT c_nationkey, c_mktsegment FROM {_CURR} c WHERE c_custkey NOT IN (SELECT c_custkey FROM {_PREV}) AND (c_nationkey, c_mktsegment) NOT IN (SELECT c_nationkey, c_mktsegment FROM {_PREV} WHERE bal > 9000)")
 def u06(t):
     p, c = snapshots(t)
-    return c.join(p, "c_custkey", "left_anti").join(p.where("c_custkey < 300"), ["c_nationkey", "c_mktsegment"], "left_anti").select("c_nationkey", "c_mktsegment").distinct()
+    return c.join(p, "c_custkey", "left_anti").join(p.where("bal > 9000"), ["c_nationkey", "c_mktsegment"], "left_anti").select("c_nationkey", "c_mktsegment").distinct()
 
 
 @query("u07_needs_refresh", f"SELECT c_custkey, c_mktsegment FROM {_CURR} EXCEPT SELECT c_custkey, c_mktsegment FROM {_PREV}")
