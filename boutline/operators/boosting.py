@@ -1,7 +1,7 @@
 """Gradient-boosted trees with quantile bins (M15): a yardstick for the linear models.
 
-Rows stay in Spark, binned once. Each level of a tree is one aggregation of gradient sums by (node, feature, bin), so the driver gets a number of sums that
-depends on depth, features and bins, never on rows. Null and NaN have a bin of their own, below every value. Sampling is by a hash of the row, so a
+Rows stay in Spark, binned once. Each level of a tree is one aggregation of gradient sums by (node, feature, bin) over the smaller children's rows, half at most, so
+the driver gets a number of sums that depends on depth, features and bins, never on rows. Null and NaN have a bin of their own, below every value. Sampling is by a hash of the row, so a
 lost executor's rows are drawn again alike.
 """
 
@@ -73,45 +73,68 @@ def quantile_edges(df: DataFrame, features: list[str], bins: int, error: float =
     return {f: sorted(set(cuts)) for f, cuts in zip(features, found)}
 
 
+def _histograms(d: DataFrame, nodes: list[int], features: list[str]) -> dict[int, dict]:
+    """For each node its sums of gradient and hessian by (feature, bin), one aggregation for all of them."""
+    cells = d.where(F.col("_node").isin(nodes)).select("_node", "_g", "_h", F.posexplode(F.array(*(f"_b_{f}" for f in features))).alias("f", "b"))
+    sums = {n: {} for n in nodes}
+    for r in cells.groupBy("_node", "f", "b").agg(F.sum("_g").alias("g"), F.sum("_h").alias("h")).collect():  # nodes x features x bins
+        sums[r["_node"]][r["f"], r["b"]] = (r["g"], r["h"])
+    return sums
+
+
+def _best_split(cells: dict, features: list[str], p: Boosting) -> tuple | None:
+    """(feature's number, bin, hessian up to it, hessian beyond) of the split with the largest gain, or None."""
+    best, most = None, 1e-9
+    for f in range(len(features)):
+        bins = sorted((b, g, h) for (of, b), (g, h) in cells.items() if of == f)
+        total_g, total_h = math.fsum(g for _, g, _ in bins), math.fsum(h for *_, h in bins)
+        if total_h < 2 * p.least_hessian:
+            return None
+        g = h = 0.0
+        for b, gb, hb in bins[:-1]:
+            g, h = g + gb, h + hb
+            if min(h, total_h - h) >= p.least_hessian:
+                gain = g * g / (h + p.l2) + (total_g - g) ** 2 / (total_h - h + p.l2) - total_g**2 / (total_h + p.l2)
+                if gain > most:
+                    best, most = (f, b, h, total_h - h), gain
+    return best
+
+
+def _value(cells: dict, p: Boosting) -> float:
+    one = [(g, h) for (of, _), (g, h) in cells.items() if of == 0]
+    return -math.fsum(g for g, _ in one) / (math.fsum(h for _, h in one) + p.l2)
+
+
 def _grow(d: DataFrame, features: list[str], p: Boosting):
-    """One tree over the rows of `d` (bins, _g, _h): level by level, every open node at once."""
-    root: dict = {"path": F.lit(True), "depth": 0}
-    open_, first = {0: root}, root
-    while open_:
-        at = F.coalesce(*(F.when(n["path"], F.lit(k)) for k, n in open_.items()))
-        cells = d.select(at.alias("_n"), "_g", "_h", F.explode(F.array(*(F.struct(F.lit(i).alias("f"), F.col(f"_b_{f}").alias("b")) for i, f in enumerate(features)))).alias("_c")).where("_n IS NOT NULL")
-        sums: dict = {}
-        for r in cells.groupBy("_n", "_c.f", "_c.b").agg(F.sum("_g").alias("g"), F.sum("_h").alias("h")).collect():  # nodes x features x bins
-            sums.setdefault(r["_n"], {}).setdefault(r["f"], []).append((r["b"], r["g"], r["h"]))
-        following: dict = {}
-        for k, node in open_.items():
-            by = sums.get(k, {})
-            one = next(iter(by.values()), [])
-            total_g, total_h = math.fsum(g for _, g, _ in one), math.fsum(h for *_, h in one)
-            node["value"] = -total_g / (total_h + p.l2)
-            best, gain = None, 1e-9
-            if node["depth"] < p.depth and total_h >= 2 * p.least_hessian:
-                for f in sorted(by):
-                    g = h = 0.0
-                    for b, gb, hb in sorted(by[f])[:-1]:
-                        g, h = g + gb, h + hb
-                        if min(h, total_h - h) >= p.least_hessian:
-                            new = g * g / (h + p.l2) + (total_g - g) ** 2 / (total_h - h + p.l2) - total_g**2 / (total_h + p.l2)
-                            if new > gain:
-                                best, gain = (f, b), new
-            if best:
-                name, cut = features[best[0]], best[1]
-                low = F.col(f"_b_{name}") <= cut
-                node["split"] = (name, cut)
-                node["kids"] = [{"path": node["path"] & test, "depth": node["depth"] + 1} for test in (low, ~low)]
-                for kid in node["kids"]:
-                    following[len(following)] = kid
-        open_ = following
-
-    def plain(node):
-        return (*node["split"], *map(plain, node["kids"])) if "split" in node else p.rate * node["value"]
-
-    return plain(first)
+    """One tree over the rows of `d` (bins, _g, _h).  A row's node is a column; the children of node k are 2 k + 1 and 2 k + 2.  Each level is one aggregation, over the
+    rows of the smaller child of each split alone: the other's sums are its parent's less these."""
+    d = d.withColumn("_node", F.lit(0))
+    sums = _histograms(d, [0], features)
+    splits: dict[int, tuple] = {}
+    level = [0]
+    for _ in range(p.depth):
+        found = {k: split for k in level if (split := _best_split(sums[k], features, p))}
+        if not found:
+            break
+        splits |= found
+        moved = F.col("_node")
+        for k, (f, b, *_) in found.items():
+            moved = F.when(F.col("_node") == k, F.when(F.col(f"_b_{features[f]}") <= b, 2 * k + 1).otherwise(2 * k + 2)).otherwise(moved)
+        d = d.withColumn("_node", moved)
+        smaller = [2 * k + 1 if low <= high else 2 * k + 2 for k, (_, _, low, high) in found.items()]
+        sums |= _histograms(d, smaller, features)
+        for k, small in zip(found, smaller):
+            other = 4 * k + 3 - small
+            sums[other] = {cell: (g - sums[small].get(cell, (0.0, 0.0))[0], h - sums[small].get(cell, (0.0, 0.0))[1]) for cell, (g, h) in sums[k].items()}
+        level = [c for k in found for c in (2 * k + 1, 2 * k + 2)]
+
+    def plain(k: int):
+        if k not in splits:
+            return p.rate * _value(sums[k], p)
+        f, b, *_ = splits[k]
+        return features[f], b, plain(2 * k + 1), plain(2 * k + 2)
+
+    return plain(0)
 
 
 def fit(df: DataFrame, features: list[str], label: str, params: Boosting = Boosting(), valid: DataFrame | None = None, key: str | None = None) -> tuple[Trees, list[float]]:

@@ -6,16 +6,19 @@ null label or feature are left out; a fit over no rows gives the prior.
 
 from __future__ import annotations
 
+import datetime
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boutline.functions.bouts import sigmoid
+from boutline.operators.durable import checkpointed
 
 
 @dataclass(frozen=True)
@@ -37,33 +40,115 @@ class Logistic:
         return sigmoid(self.score())
 
 
-def fit_logistic(df: DataFrame, features: list[str], label: str, l2: float = 0.01, prior: list[float] | None = None, intercept: bool = True, standardize: bool = True, per_row: bool = True, rounds: int = 50) -> Logistic:
-    """The minimum of log-loss + l2/2 |weights - prior|^2 by Newton steps (M01, M06); the bias is free. `per_row`: the loss is a mean, else a sum."""
-    d = df.select(*(F.col(f).cast("double").alias(f) for f in features), F.col(label).cast("double").alias("_y")).dropna()
-    n, *moments = d.agg(F.count("*"), *(F.avg(f) for f in features), *(F.stddev_pop(f) for f in features)).first()
-    k = len(features)
-    start = np.array(prior or [0.0] * k)
-    blank = (0.0,) * k, (1.0,) * k
-    means, scales = (tuple(moments[:k]), tuple(s or 1.0 for s in moments[k:])) if standardize and n else blank
-    if not n:
-        return Logistic(tuple(features), tuple(start), 0.0, *blank)
-    weights = np.append(start, 0.0)
-    pull = np.diag([l2 * (n if per_row else 1)] * k + [0.0 if intercept else 1.0])
-    target = np.append(start, 0.0)
+#: Rows of a batch that a task multiplies at once.
+ROWS = 65_536
+
+
+def _sums_by_window(rows: DataFrame, starts: list[int | None], width: int, of: Callable[[int, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """For each window the sum over its training rows (day before the start; None: all rows) of `of(window, x, y)`, a vector of `width` numbers from a batch's matrix and labels.
+    Tasks add up their own rows, and the vectors' parts are summed by Spark."""
+
+    def run(batches):
+        total = np.zeros((len(starts), width))
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                x = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
+                y, day = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+                for w, start in enumerate(starts):
+                    inside = slice(None) if start is None else day < start
+                    total[w] += of(w, x[inside], y[inside])
+        window, part = np.indices(total.shape).reshape(2, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(window, pa.int32()), pa.array(part, pa.int32()), pa.array(total.ravel())], names=["window", "part", "value"])
+
+    out = np.zeros((len(starts), width))
+    for r in rows.mapInArrow(run, "window int, part int, value double").groupBy("window", "part").agg(F.sum("value").alias("value")).collect():  # width numbers a window
+        out[r["window"], r["part"]] = r["value"]
+    return out
+
+
+def _logistic(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    z = x @ weights
+    e = np.exp(-np.abs(z))
+    return np.where(z >= 0, 1 / (1 + e), e / (1 + e))
+
+
+def prepared(df: DataFrame, features: list[str], label: str, day: str | None = None) -> DataFrame:
+    """x (array of the features), y, day (a number) of the rows that have them all, written once: what a fit reads in each of its rounds."""
+    number = F.lit(0) if day is None else F.unix_date(day)
+    d = df.select(*(F.col(f).cast("double").alias(f"_x{k}") for k, f in enumerate(features)), F.col(label).cast("double").alias("y"), number.alias("day")).dropna()
+    return checkpointed(d.select(F.array(*(f"_x{k}" for k in range(len(features)))).alias("x"), "y", "day"))
+
+
+def fit_windows(
+    rows: DataFrame,
+    features: list[str],
+    windows: list[tuple[str, str]] | None,
+    l2: float = 0.01,
+    prior: list[float] | None = None,
+    intercept: bool = True,
+    standardize: bool = True,
+    per_row: bool = True,
+    rounds: int = 50,
+) -> list[Logistic]:
+    """For each window the minimum, over the rows before its start, of log-loss + l2/2 |weights - prior|^2 by Newton steps (M06, M13); the bias is free.
+
+    rows: of `prepared`.  All windows take a step in one aggregation, and one that has come to rest keeps its weights.  windows: (start, end) days, or None for one fit
+    over all rows.  `per_row`: the loss is a mean, else a sum.  A window without rows gets the prior."""
+    starts = [None] if windows is None else [(datetime.date.fromisoformat(a) - datetime.date(1970, 1, 1)).days for a, _ in windows]
+    k, n_windows = len(features), len(starts)
+    base = np.array(prior or [0.0] * k, float)
+    moments = _sums_by_window(rows, starts, 1 + 2 * k, lambda w, x, y: np.concatenate([[len(y)], x.sum(0), (x * x).sum(0)]))
+    n = moments[:, 0]
+    means, scales = np.zeros((n_windows, k)), np.ones((n_windows, k))
+    if standardize:
+        some = np.maximum(n, 1)[:, None]
+        means = moments[:, 1 : k + 1] / some
+        spread = _sums_by_window(rows, starts, k, lambda w, x, y: ((x - means[w]) ** 2).sum(0))
+        scales = np.where(spread > 0, np.sqrt(spread / some), 1.0)
+    weights = np.tile(np.append(base, 0.0), (n_windows, 1))
+    target = weights.copy()
+    moving = n > 0
     for _ in range(rounds):
-        model = Logistic(tuple(features), tuple(map(float, weights[:k])), float(weights[k]), means, scales)
-        x = [(F.col(f) - m) / s for f, m, s in zip(features, means, scales)] + [F.lit(1.0 if intercept else 0.0)]
-        p = F.col("_p")
-        sums = d.withColumn("_p", model.predict()).agg(*(F.sum((p - F.col("_y")) * v) for v in x), *(F.sum(p * (1 - p) * x[i] * x[j]) for i in range(k + 1) for j in range(i + 1))).first()
-        gradient = np.array(sums[: k + 1]) + pull @ (weights - target)
-        hessian = np.zeros((k + 1, k + 1))
-        hessian[np.tril_indices(k + 1)] = sums[k + 1 :]
-        hessian = hessian + np.tril(hessian, -1).T + pull
-        move = np.linalg.lstsq(hessian, gradient, rcond=None)[0]
-        weights = weights - move
-        if np.abs(move).max() < 1e-9:
+        if not moving.any():
             break
-    return Logistic(tuple(features), tuple(map(float, weights[:k])), float(weights[k]) if intercept else 0.0, means, scales)
+
+        def step(w: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            if not moving[w]:  # noqa: B023
+                return np.zeros((k + 1) * (k + 2))
+            z = np.column_stack([(x - means[w]) / scales[w], np.full(len(x), float(intercept))])
+            p = _logistic(z, weights[w])  # noqa: B023
+            return np.concatenate([z.T @ (p - y), ((z * (p * (1 - p))[:, None]).T @ z).ravel()])
+
+        sums = _sums_by_window(rows, starts, (k + 1) * (k + 2), step)
+        for w in np.flatnonzero(moving):
+            pull = np.diag([l2 * (n[w] if per_row else 1)] * k + [0.0 if intercept else 1.0])
+            gradient = sums[w, : k + 1] + pull @ (weights[w] - target[w])
+            hessian = sums[w, k + 1 :].reshape(k + 1, k + 1) + pull
+            move = np.linalg.lstsq(hessian, gradient, rcond=None)[0]
+            weights[w] = weights[w] - move
+            moving[w] = np.abs(move).max() >= 1e-9
+    return [Logistic(tuple(features), tuple(map(float, v[:k])), float(v[k]) if intercept else 0.0, tuple(map(float, m)), tuple(map(float, s))) for v, m, s in zip(weights, means, scales)]
+
+
+def window_metrics(rows: DataFrame, models: list[Logistic], windows: list[tuple[str, str]]) -> DataFrame:
+    """window, part (train or test), log_loss, accuracy (half for even odds), n: each window's model on the rows before its start and on those inside it (M13), in one
+    aggregation; null for a part without rows."""
+    x = lambda m: [(F.get("x", F.lit(k)) - a) / s for k, (a, s) in enumerate(zip(m.means, m.scales))]
+    odds = [sigmoid(sum((w * v for w, v in zip(m.weights, x(m))), F.lit(m.bias))) for m in models]
+    day = lambda d: F.lit((datetime.date.fromisoformat(d) - datetime.date(1970, 1, 1)).days)
+    parts = [
+        F.struct(F.lit(w).alias("window"), F.when(F.col("day") < day(a), "train").when(F.col("day") < day(b), "test").alias("part"), p.alias("p"))
+        for w, ((a, b), p) in enumerate(zip(windows, odds))
+    ]
+    scored = rows.select("y", F.explode(F.array(*parts)).alias("w")).select("y", "w.*").where("part IS NOT NULL")
+    loss, right, n = metrics(F.col("p"), F.col("y") == 1)
+    return scored.groupBy("window", "part").agg(loss, right, n)
+
+
+def fit_logistic(df: DataFrame, features: list[str], label: str, l2: float = 0.01, prior: list[float] | None = None, intercept: bool = True, standardize: bool = True, per_row: bool = True, rounds: int = 50) -> Logistic:
+    """`fit_windows` over all rows of `df` at once (M01, M06); without rows the prior."""
+    return fit_windows(prepared(df, features, label), features, None, l2, prior, intercept, standardize, per_row, rounds)[0]
 
 
 def slopes(df: DataFrame, model: Logistic, label: str, l2: float = 0.01, prior: list[float] | None = None, per_row: bool = True) -> list[float]:

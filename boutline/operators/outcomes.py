@@ -69,43 +69,47 @@ def context_mix(mixes: list[Column], everywhere: Column, five_rounds: Column, fa
     return F.struct(*(F.when(five_rounds, long[m]).otherwise(mean[m]).alias(m) for m in METHODS))
 
 
-def predict_method(winner: Column, loser: Column, prior: Column, p: OutcomeParams = OutcomeParams()) -> Column:
-    """struct<ko, sub, dec>: how `winner` beats `loser`. Each record moves the prior by the log of its shrunk share over the prior's."""
-    ways = ((p.winner, {m: winner[f"win_{m}"] for m in METHODS}), (p.loser, {m: loser[f"loss_{m}"] for m in METHODS}), (p.cross, {m: winner[f"loss_{m}"] + loser[f"win_{m}"] for m in METHODS}))
-
-    def moved(m: str) -> Column:
-        z = F.lit(0.0)
-        for weight, tally in ways:
-            share = (tally[m] + p.shrinkage * prior[m]) / (sum(tally.values(), F.lit(0.0)) + p.shrinkage)
-            z = z + weight * F.ln(share / prior[m])
-        return prior[m] * F.exp(z)
-
-    return F.struct(*(x.alias(m) for m, x in _shares({m: moved(m) for m in METHODS}).items()))
-
-
-def predict_round(winner: Column, loser: Column, base: Column, mean_round: float, p: OutcomeParams = OutcomeParams()) -> Column:
-    """Shares of the rounds in which a finish comes: `base` tilted by how much later than `mean_round` both sides' finishes came."""
-    n, rounds = winner["won_n"] + loser["lost_n"], winner["won_rounds"] + loser["lost_rounds"]
-    late = (rounds + p.round_shrinkage * mean_round) / (n + p.round_shrinkage) - mean_round
-    tilted = F.transform(base, lambda share, k: share * F.exp(p.round_tilt * late * k))
-    return F.transform(tilted, lambda x: x / F.aggregate(tilted, F.lit(0.0), lambda s, y: s + y))
-
-
-def _times(shares: Column, by: Column) -> Column:
-    return F.transform(shares, lambda s: s * by)
-
-
-def outcome_lines(win_a: Column, a: Column, b: Column, prior: Column, rounds: dict[str, Column], mean_round: float, p: OutcomeParams = OutcomeParams()) -> Column:
-    """array<struct<corner, method, probability, by_round>>: the six ways a bout can end, which add up to 1 (M07). `rounds`: base shares by method; a
-    decision has no rounds."""
-    lines = []
-    for corner, winner, loser, win in (("A", a, b, win_a), ("B", b, a, 1 - win_a)):
-        ways = predict_method(winner, loser, prior, p)
+def with_outcome_lines(df: DataFrame, name: str, win_a: str, a: str, b: str, prior: str, rounds: dict[str, Column], mean_round: float, p: OutcomeParams = OutcomeParams()) -> DataFrame:
+    """`df` with `name`: array<struct<corner, method, probability, by_round>>, the six ways a bout can end, which add up to 1 (M07).  win_a: the odds of corner A; a, b: the corners'
+    records; prior: struct<ko, sub, dec>; `rounds`: base shares by method, as arrays; a decision has no rounds.
+
+    Each step (moved shares, their total, tilts, their totals) is a column that the next one reads, so no step is worked out or spelt out twice."""
+    corners = (("A", a, b, F.col(win_a)), ("B", b, a, 1 - F.col(win_a)))
+    q = {m: F.col(f"{prior}.{m}") for m in METHODS}
+    tallies, moved, late = {}, {}, {}
+    for corner, winner, loser, _ in corners:
+        w, x = F.col(winner), F.col(loser)
+        ways = {"winner": {m: w[f"win_{m}"] for m in METHODS}, "loser": {m: x[f"loss_{m}"] for m in METHODS}, "cross": {m: w[f"loss_{m}"] + x[f"win_{m}"] for m in METHODS}}
+        for way, tally in ways.items():
+            tallies |= {f"_{corner}_{way}_{m}": tally[m] for m in METHODS} | {f"_{corner}_{way}": sum(tally.values(), F.lit(0.0))}
+        share = lambda way, m, corner=corner: (F.col(f"_{corner}_{way}_{m}") + p.shrinkage * q[m]) / (F.col(f"_{corner}_{way}") + p.shrinkage)
         for m in METHODS:
-            chance = win * ways[m]
-            share = predict_round(winner, loser, rounds[m], mean_round, p) if m in rounds else F.array().cast("array<double>")
-            lines.append(F.struct(F.lit(corner).alias("corner"), F.lit(m).alias("method"), chance.alias("probability"), _times(share, chance).alias("by_round")))
-    return F.array(*lines)
+            moved[f"_{corner}_{m}"] = q[m] * F.exp(sum((getattr(p, way) * F.ln(share(way, m) / q[m]) for way in ways), F.lit(0.0)))
+        n, total = w["won_n"] + x["lost_n"], w["won_rounds"] + x["lost_rounds"]
+        late[f"_{corner}_late"] = (total + p.round_shrinkage * mean_round) / (n + p.round_shrinkage) - mean_round
+    totals = {f"_{corner}_all": sum((F.col(f"_{corner}_{m}") for m in METHODS), F.lit(0.0)) for corner, *_ in corners}
+    tilted = {}
+    for corner, *_ in corners:
+        for m, base in rounds.items():
+            tilted[f"_{corner}_{m}_tilt"] = _tilted(base, F.col(f"_{corner}_late"), p.round_tilt)
+    chances = {f"_{corner}_{m}_chance": win * F.col(f"_{corner}_{m}") / F.col(f"_{corner}_all") for corner, _, _, win in corners for m in METHODS}
+    sums = {f"{t}_sum": F.aggregate(t, F.lit(0.0), lambda s, y: s + y) for t in tilted}
+    steps = [tallies, moved | late, totals | tilted, chances | sums]
+    d = df
+    for step in steps:
+        d = d.withColumns(step)
+
+    def line(corner: str, m: str) -> Column:
+        chance, tilt = F.col(f"_{corner}_{m}_chance"), f"_{corner}_{m}_tilt"
+        by_round = F.transform(tilt, lambda x: chance * x / F.col(f"{tilt}_sum")) if m in rounds else F.array().cast("array<double>")
+        return F.struct(F.lit(corner).alias("corner"), F.lit(m).alias("method"), chance.alias("probability"), by_round.alias("by_round"))
+
+    lines = F.array(*(line(corner, m) for corner, *_ in corners for m in METHODS))
+    return d.select(*df.columns, lines.alias(name))
+
+
+def _tilted(base: Column, late: Column, tilt: float) -> Column:
+    return F.transform(base, lambda share, k: share * F.exp(tilt * late * k))
 
 
 def sided(df: DataFrame, ident: str, features: list[str], seed: int = 7) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from boutline.operators import models
+from boutline.operators import boosting, models
+from boutline.operators.durable import checkpointed
 from boutline.plans.registry import query
 
 C = F.col
@@ -17,30 +18,78 @@ def m01_predict(t):
     return t.events.withColumn("k", C("event_id") % 7).select("event_id", F.round(model.predict(), 6).alias("p"))
 
 
-@query("m01_fit")
+def _solved(k: int) -> list[str]:
+    """SQL: the solution of h m = g for a symmetric h of k rows (at most three), by Cramer's rule."""
+    h = [[f"h{min(i, j)}{max(i, j)}" for j in range(k)] for i in range(k)]
+
+    def det(m: list[list[str]]) -> str:
+        if len(m) == 1:
+            return m[0][0]
+        return "(" + " + ".join(f"({'-' if c % 2 else ''}1) * {m[0][c]} * {det([row[:c] + row[c + 1:] for row in m[1:]])}" for c in range(len(m))) + ")"
+
+    return [f"{det([[f'g{i}' if c == j else h[i][c] for c in range(k)] for i in range(k)])} / {det(h)}" for j in range(k)]
+
+
+def _newton(rows: str, k: int, start: list[float], pull: list[str], steps: int = 12) -> str:
+    """SQL: weights a0.. by win of the logistic fit to `rows` (win, y, x0..), with `pull` towards `start` in each weight (an expression of n, the number of rows)."""
+    names, z = ", ".join(f"a{j}" for j in range(k)), " + ".join(f"a{j} * x{j}" for j in range(k))
+    sums = [f"sum((p - y) * x{j}) + ({pull[j]}) * (a{j} - {start[j]}) AS g{j}" for j in range(k)] + [f"sum(p * (1 - p) * x{i} * x{j}){f' + ({pull[i]})' if i == j else ''} AS h{i}{j}" for i in range(k) for j in range(i, k)]
+    moved = ", ".join(f"a{j} - {m} AS a{j}" for j, m in enumerate(_solved(k)))
+    return f"""r AS MATERIALIZED ({rows}), n AS (SELECT win, CAST(count(*) AS DOUBLE) AS n FROM r GROUP BY win), w AS (SELECT win, 0 AS i, {", ".join(f"{v}::DOUBLE AS a{j}" for j, v in enumerate(start))} FROM n
+ UNION ALL SELECT win, i + 1, {moved} FROM (SELECT win, i, {names}, n, {", ".join(sums)} FROM (SELECT w.*, n.n, r.y, {", ".join(f"r.x{j}" for j in range(k))}, 1 / (1 + exp(-({z}))) AS p FROM w JOIN r ON r.win = w.win JOIN n ON n.win = w.win) GROUP BY win, i, {names}, n) WHERE i < {steps}),
+ fitted AS (SELECT * FROM w WHERE i = {steps})"""
+
+
+_TEXTS = "SELECT ln(length(text) + 1) AS size, len(string_split(text, ' ')) / (length(text) + 1)::DOUBLE AS spaces, quality AS y FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL AND quality IS NOT NULL"
+_TEXT_ROWS = f"SELECT 0 AS win, y, (size - avg(size) OVER ()) / stddev_pop(size) OVER () AS x0, (spaces - avg(spaces) OVER ()) / stddev_pop(spaces) OVER () AS x1, 1.0::DOUBLE AS x2 FROM ({_TEXTS})"
+_TEXT_FIT = _newton(_TEXT_ROWS, 3, [0.0, 0.0, 0.0], ["0.01 * n", "0.01 * n", "0"])
+_GAPS = "SELECT CAST(ts AS DATE) AS d, (value - 50) / 40 AS x0, (event_id % 7 - 3) / 2.0::DOUBLE AS x1, CAST(event_type IN ('purchase', 'signup') AS INT) AS y FROM events"
+_GAP_FIT = _newton(f"SELECT 0 AS win, y, x0, x1 FROM ({_GAPS})", 2, [1.0, 0.0], ["40", "40"])
+
+
+def texts(t):
+    """Log of the size and share of spaces of labelled documents; a batch's numbers are all that a fit keeps of a text."""
+    return t.documents.join(t.labels, "doc_id").select(F.ln(F.length("text") + 1).alias("size"), (F.size(F.split("text", " ")) / (F.length("text") + 1)).alias("spaces"), "quality")
+
+
+def gaps(t):
+    return t.events.select(F.to_date("ts").alias("day"), ((C("value") - 50) / 40).alias("gap"), ((C("event_id") % 7 - 3) / 2).alias("reach"), C("event_type").isin("purchase", "signup").cast("int").alias("y"))
+
+
+@query("m01_fit", f"WITH RECURSIVE {_TEXT_FIT} SELECT unnest(['size', 'spaces', 'bias']) AS feature, round(unnest([a0, a1, a2]), 5) AS weight FROM fitted")
 def m01_fit(t):
-    d = t.documents.join(t.labels, "doc_id").select(F.ln(F.length("text") + 1).alias("size"), (F.size(F.split("text", " ")) / (F.length("text") + 1)).alias("spaces"), "quality")
-    model = models.fit_logistic(d, ["size", "spaces"], "quality")
+    model = models.fit_logistic(texts(t), ["size", "spaces"], "quality")
     return t.spark.createDataFrame([(n, round(w, 5)) for n, w in zip((*model.features, "bias"), (*model.weights, model.bias))], "feature string, weight double")
 
 
-@query("m01_minimum", "SELECT * FROM (VALUES ('size', true), ('spaces', true), ('bias', true)) v(feature, flat)")
+@query("m01_minimum", f"WITH RECURSIVE {_TEXT_FIT}, s AS (SELECT r.*, 1 / (1 + exp(-(a0 * x0 + a1 * x1 + a2 * x2))) AS p, a0, a1, a2 FROM r JOIN fitted USING (win)) SELECT unnest(['size', 'spaces', 'bias']) AS feature, unnest([abs(avg((p - y) * x0) + 0.01 * any_value(a0)) < 1e-6, abs(avg((p - y) * x1) + 0.01 * any_value(a1)) < 1e-6, abs(avg((p - y) * x2)) < 1e-6]) AS flat FROM s")
 def m01_minimum(t):
-    d = t.documents.join(t.labels, "doc_id").select(F.ln(F.length("text") + 1).alias("size"), (F.size(F.split("text", " ")) / (F.length("text") + 1)).alias("spaces"), "quality")
+    """Whether the loss is flat where the fit ends; the twin asks the same of its own fit."""
+    d = checkpointed(texts(t))
     model = models.fit_logistic(d, ["size", "spaces"], "quality")
     return t.spark.createDataFrame([(n, abs(g) < 1e-6) for n, g in zip((*model.features, "bias"), models.slopes(d, model, "quality"))], "feature string, flat boolean")
 
 
-@query("m06_minimum", "SELECT * FROM (VALUES ('gap', true), ('reach', true)) v(feature, flat)")
+@query("m06_fit", f"WITH RECURSIVE {_GAP_FIT} SELECT unnest(['gap', 'reach']) AS feature, round(unnest([a0, a1]), 6) AS weight FROM fitted")
+def m06_fit(t):
+    """The fit that is pulled to prior weights, without a bias."""
+    model = models.fit_logistic(gaps(t), ["gap", "reach"], "y", l2=40.0, prior=[1.0, 0.0], intercept=False, standardize=False, per_row=False)
+    return t.spark.createDataFrame([(n, round(w, 6)) for n, w in zip(model.features, model.weights)], "feature string, weight double")
+
+
+@query("m06_minimum", f"WITH RECURSIVE {_GAP_FIT}, s AS (SELECT r.*, 1 / (1 + exp(-(a0 * x0 + a1 * x1))) AS p, a0, a1 FROM r JOIN fitted USING (win)) SELECT unnest(['gap', 'reach']) AS feature, unnest([abs(sum((p - y) * x0) + 40 * (any_value(a0) - 1)) / count(*) < 1e-6, abs(sum((p - y) * x1) + 40 * any_value(a1)) / count(*) < 1e-6]) AS flat FROM s")
 def m06_minimum(t):
-    """The fit that is pulled to prior weights, without a bias: the loss is a sum, and flat where it ends."""
-    d = t.events.select(((C("value") - 50) / 40).alias("gap"), ((C("event_id") % 7 - 3) / 2).alias("reach"), C("event_type").isin("purchase", "signup").cast("int").alias("y"))
+    """The loss of that fit is a sum, and flat where it ends."""
+    d = gaps(t)
     model = models.fit_logistic(d, ["gap", "reach"], "y", l2=40.0, prior=[1.0, 0.0], intercept=False, standardize=False, per_row=False)
     found = models.slopes(d, model, "y", l2=40.0, prior=[1.0, 0.0], per_row=False)
     return t.spark.createDataFrame([(n, abs(g) < 1e-6) for n, g in zip(model.features, found)], "feature string, flat boolean")
 
 
-@query("m10_minimum", "SELECT true AS flat")
+_SCALE = """x AS MATERIALIZED (SELECT list((value - 20) / 100) AS xs FROM events), k AS (SELECT list_reduce(list_prepend(1.0::DOUBLE, range(30)), lambda k, i: greatest(0, least(50, k + list_sum(list_transform(xs, lambda x: x / (1 + exp(k * x)))) / list_sum(list_transform(xs, lambda x: x * x / (1 + exp(k * x)) / (1 + exp(-k * x))))))) AS k FROM x)"""
+
+
+@query("m10_minimum", f"WITH {_SCALE} SELECT k = 50 AND g > 0 OR abs(g) < 1e-6 AS flat FROM (SELECT k, list_avg(list_transform(xs, lambda x: x / (1 + exp(k * x)))) AS g FROM x, k)")
 def m10_minimum(t):
     d = t.events.select(((C("value") - 20) / 100).alias("x"))
     k = models.fit_scale(d, "x")
@@ -109,7 +158,7 @@ def m09_calibration(t):
     return models.calibration(odds(t), C("p"), C("y")).withColumn("predicted", F.round("predicted", 6)).withColumn("observed", F.round("observed", 6))
 
 
-@query("m10_scale")
+@query("m10_scale", f"WITH {_SCALE} SELECT round(k, 5) AS scale FROM k")
 def m10(t):
     k = models.fit_scale(t.events.select(((C("value") - 20) / 100).alias("x")), "x")
     return t.spark.createDataFrame([(round(k, 5),)], "scale double")
@@ -122,3 +171,28 @@ WINDOWS = [("1997-01-01", "1998-01-01"), ("1998-01-01", "1999-06-01"), ("1999-06
 def m13(t):
     d = models.walk_forward(t.orders.select(F.to_date("o_orderdate").alias("day"), "o_totalprice"), "day", WINDOWS)
     return d.groupBy("window", "part").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+REFITS = [("2024-01-05", "2024-01-12"), ("2024-01-12", "2024-01-20"), ("2024-01-20", "9999-12-31")]
+_REFIT = _newton(f"SELECT win, y, x0, x1 FROM ({_GAPS}) JOIN (VALUES (0, DATE '2024-01-05'), (1, DATE '2024-01-12'), (2, DATE '2024-01-20')) v(win, a) ON d < a", 2, [1.0, 0.0], ["40", "40"])
+
+
+@query("m13_refits", f"""WITH RECURSIVE {_REFIT}, v(win, a, z) AS (VALUES {", ".join(f"({n}, DATE '{a}', DATE '{z}')" for n, (a, z) in enumerate(REFITS))}), e AS ({_GAPS}),
+ s AS (SELECT v.win, CASE WHEN d < v.a THEN 'train' ELSE 'test' END AS part, a0, a1, CASE WHEN y = 1 THEN 1 ELSE -1 END * (a0 * x0 + a1 * x1) AS z FROM e JOIN v ON d < v.z JOIN fitted ON fitted.win = v.win)
+ SELECT CAST(win AS INT) AS "window", part, round(a0, 6) AS gap, round(a1, 6) AS reach, round(avg(ln(1 + exp(-z))), 6) AS log_loss, round(avg(CASE WHEN z > 0 THEN 1 WHEN z = 0 THEN 0.5 ELSE 0 END), 6) AS accuracy, count(*) AS n FROM s GROUP BY win, part, a0, a1""")
+def m13_refits(t):
+    """Three windows, each fitted on the rows before it in one common loop and judged on both parts."""
+    rows = models.prepared(gaps(t), ["gap", "reach"], "y", "day")
+    fits = models.fit_windows(rows, ["gap", "reach"], REFITS, l2=40.0, prior=[1.0, 0.0], intercept=False, standardize=False, per_row=False)
+    weights = t.spark.createDataFrame([(w, round(m.weights[0], 6), round(m.weights[1], 6)) for w, m in enumerate(fits)], "window int, gap double, reach double")
+    found = models.window_metrics(rows, fits, REFITS).join(weights, "window")
+    return found.select("window", "part", "gap", "reach", F.round("log_loss", 6).alias("log_loss"), F.round("accuracy", 6).alias("accuracy"), "n")
+
+
+@query("m15_boosting")
+def m15(t):
+    """Odds of an event's kind by boosted trees on its value, hour and user, against which the linear fit is measured; fitted and stopped on two halves by hash."""
+    d = t.events.select("event_id", "value", F.hour("ts").cast("double").alias("hour"), (C("user_id") % 10).cast("double").alias("user"), C("event_type").isin("purchase", "signup").cast("int").alias("y"))
+    half = F.pmod(F.xxhash64("event_id"), F.lit(2)) == 0
+    model, _ = boosting.fit(d.where(half), ["value", "hour", "user"], "y", boosting.Boosting(trees=8, rate=0.3, depth=2, patience=3), d.where(~half), "event_id")
+    return model.predict(d).select("event_id", F.round("p", 6).alias("p"))

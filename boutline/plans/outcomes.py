@@ -73,8 +73,8 @@ def m07(t):
     prior = outcomes.context_mix([own], mix(EVERYWHERE), C("five"), mix(FIVE))
     d = d.select("bout_id", "p", "winner_profile", "loser_profile", prior.alias("prior"))
     rounds = {m: F.array(*map(F.lit, s)) for m, s in SHARES.items()}
-    lines = outcomes.outcome_lines(C("p"), C("winner_profile"), C("loser_profile"), C("prior"), rounds, MEAN_ROUND)
-    d = d.select("bout_id", F.explode(lines).alias("x")).select("bout_id", "x.*")
+    d = outcomes.with_outcome_lines(d, "lines", "p", "winner_profile", "loser_profile", "prior", rounds, MEAN_ROUND)
+    d = d.select("bout_id", F.explode("lines").alias("x")).select("bout_id", "x.*")
     return d.select("bout_id", "corner", "method", F.round("probability", 6).alias("probability"), F.round(F.get("by_round", F.lit(0)), 6).alias("first_round"))
 
 

@@ -1,6 +1,7 @@
 """Fits against numpy, searches against known minima, labels against a breadth-first walk."""
 
 import datetime
+import math
 from collections import defaultdict
 
 import numpy as np
@@ -25,6 +26,35 @@ def test_logistic_is_at_the_minimum(spark):
     assert empty.weights == (1.0,)
 
 
+def test_windows_are_single_fits(spark):
+    """All windows' fits in one loop are the fits of their rows alone, and so are the losses."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(500, 2)) * [1, 30] + [0, 5]
+    y = (rng.random(500) < 1 / (1 + np.exp(-(x @ [0.8, -0.02])))).astype(int)
+    days = [datetime.date(2020, 1, 1) + datetime.timedelta(days=int(d)) for d in rng.integers(0, 900, 500)]
+    rows = [(float(a), float(b), int(c), d) for (a, b), c, d in zip(x, y, days)] + [(1.0, None, 1, days[0]), (1.0, 1.0, None, days[0]), (1.0, 1.0, 1, None)]
+    df = spark.createDataFrame(rows, "a double, b double, y int, day date")
+    windows = [("2020-06-01", "2021-01-01"), ("2021-01-01", "2021-09-01"), ("2022-01-01", "9999-12-31"), ("2019-01-01", "2019-06-01")]
+    for options in ({}, {"l2": 5.0, "prior": [1.0, 0.0], "intercept": False, "standardize": False, "per_row": False}):
+        ready = models.prepared(df, ["a", "b"], "y", "day")
+        fits = models.fit_windows(ready, ["a", "b"], windows, **options)
+        found = {(r["window"], r["part"]): r for r in models.window_metrics(ready, fits, windows).collect()}
+        for w, (start, end) in enumerate(windows):
+            train = df.where(F.col("day") < start)
+            one = models.fit_logistic(train, ["a", "b"], "y", **options)
+            assert np.allclose(one.weights, fits[w].weights, atol=1e-7) and abs(one.bias - fits[w].bias) < 1e-7
+            if train.count():
+                assert all(abs(g) < 1e-6 for g in models.slopes(train, fits[w], "y", options.get("l2", 0.01), options.get("prior"), options.get("per_row", True))[: 2 if options else 3])
+            for part, of in (("train", train), ("test", df.where((F.col("day") >= start) & (F.col("day") < end)))):
+                p = of.dropna().select(fits[w].predict().alias("p"), "y").collect()
+                if p:
+                    own = [r["p"] if r["y"] else 1 - r["p"] for r in p]
+                    assert found[w, part]["n"] == len(p) and abs(found[w, part]["log_loss"] + np.mean(np.log(own))) < 1e-9
+                    assert abs(found[w, part]["accuracy"] - np.mean([q > 0.5 for q in own])) < 1e-9
+                else:
+                    assert (w, part) not in found
+
+
 def test_scale(spark):
     df = lambda xs: spark.createDataFrame([(x,) for x in xs], "x double")
     assert models.fit_scale(df([0.0, 0.0]), "x") == 0
@@ -79,6 +109,62 @@ def test_boosting_learns_what_a_line_cannot(spark):
     assert right / 400 > 0.9 and model.predict(test).columns == ["id", "a", "b", "y", "p"]
 
 
+def plain_boost(rows, trees, p):
+    """The same trees by sums over plain lists: cells from every row of both children."""
+    edges = [sorted(set(float(np.quantile([r[f] for r in rows], k / p.bins, method="inverted_cdf")) for k in range(1, p.bins))) for f in range(2)]
+    binned = [[1 + sum(e <= r[f] for e in edges[f]) for f in range(2)] for r in rows]
+    z, made = [0.0] * len(rows), []
+
+    def grow(members, depth):
+        g = {k: 1 / (1 + math.exp(-z[k])) - rows[k][2] for k in members}
+        h = {k: (q := 1 / (1 + math.exp(-z[k]))) * (1 - q) for k in members}
+        G, H = sum(g.values()), sum(h.values())
+        best, most = None, 1e-9
+        if depth and H >= 2 * p.least_hessian:
+            for f in range(2):
+                for b in sorted({binned[k][f] for k in members})[:-1]:
+                    low = [k for k in members if binned[k][f] <= b]
+                    gl, hl = sum(g[k] for k in low), sum(h[k] for k in low)
+                    if min(hl, H - hl) >= p.least_hessian:
+                        gain = gl * gl / (hl + p.l2) + (G - gl) ** 2 / (H - hl + p.l2) - G * G / (H + p.l2)
+                        if gain > most + 1e-12:
+                            best, most = (f, b), gain
+        if not best:
+            return p.rate * -G / (H + p.l2)
+        f, b = best
+        return ("ab"[f], b, *(grow([k for k in members if (binned[k][f] <= b) == side], depth - 1) for side in (True, False)))
+
+    def value(node, k):
+        while isinstance(node, tuple):
+            node = node[2] if binned[k]["ab".index(node[0])] <= node[1] else node[3]
+        return node
+
+    for _ in range(trees):
+        tree = grow(range(len(rows)), p.depth)
+        made.append(tree)
+        z = [x + value(tree, k) for k, x in enumerate(z)]
+    return edges, made
+
+
+def flat(tree):
+    return [x for part in tree for x in flat(part)] if isinstance(tree, tuple) else [tree]
+
+
+def test_boosting_equals_plain_trees(spark):
+    """Splits and leaves of three trees of depth 2, every row drawn: the sums of the larger children by subtraction are those of their rows."""
+    rows = [(a, b, y) for _, a, b, y in xor_rows(300, 3)]
+    p = boosting.Boosting(trees=3, rate=0.5, depth=2, bins=6, subsample=1.0, least_hessian=2.0)
+    d = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "id long, a double, b double, y int")
+    edges, want = plain_boost(rows, 3, p)
+    model, _ = boosting.fit(d, ["a", "b"], "y", p, key="id")
+    if [model.edges["a"], model.edges["b"]] != edges:  # the sketch may pick a neighbouring cut
+        model_edges = model.edges
+        assert all(abs(sum(r[f] <= e for r in rows) - sum(r[f] <= w for r in rows)) <= 1 for f, name in enumerate("ab") for e, w in zip(model_edges[name], edges[f]))
+        return
+    for own, plain_tree in zip(model.trees, want):
+        assert [x if isinstance(x, (str, int)) else pytest.approx(x, abs=1e-9) for x in flat(plain_tree)] == flat(own)
+
+
 def test_boosting_stops_at_the_best_loss_and_bins_what_is_missing(spark):
     rows = [(k, None if k % 4 == 1 else float("nan") if k % 4 == 3 else k / 400, int(k % 2)) for k in range(400)]
     d = spark.createDataFrame(rows, "id long, a double, y int")
@@ -95,7 +181,7 @@ def test_outcome_lines_add_up(spark):
     prior = (0.3, 0.2, 0.5)
     d = spark.createDataFrame([(1, 0.7, none, none, prior), (2, 0.7, striker, none, prior)], f"id int, p double, a {sides}, b {sides}, q {mix}")
     rounds = {m: F.array(F.lit(0.5), F.lit(0.3), F.lit(0.2)) for m in ("ko", "sub")}
-    rows = d.select("id", outcomes.outcome_lines(F.col("p"), F.col("a"), F.col("b"), F.col("q"), rounds, 1.7).alias("x")).collect()
+    rows = outcomes.with_outcome_lines(d, "x", "p", "a", "b", "q", rounds, 1.7).collect()
     for r in rows:
         assert abs(sum(line["probability"] for line in r["x"]) - 1) < 1e-12
         assert all(abs(sum(line["by_round"]) - line["probability"]) < 1e-12 for line in r["x"] if line["method"] != "dec")
