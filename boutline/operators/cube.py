@@ -62,3 +62,32 @@ def spine_histogram(df: DataFrame, value: str, low: int, high: int) -> DataFrame
     counts = spine.join(df.groupBy(value).agg(F.count("*").alias("n")), value, "left").select(value, F.coalesce("n", F.lit(0)).alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     return counts.crossJoin(F.broadcast(total)).select(value, "n", F.coalesce(ratio(F.col("n"), F.col("total")), F.lit(0.0)).alias("share"))
+
+
+#: Division of what has none of its own.
+OTHER = "Autres"
+
+
+def in_group(group: str) -> Column:
+    """Whether a cell's division belongs to a group (A29): all, men (no women's division, nor the rest), women, or a division by name."""
+    women = F.col("division").startswith("Women's")
+    return {"all": F.lit(True), "men": ~women & (F.col("division") != OTHER), "women": women}.get(group, F.col("division") == group)
+
+
+def explorer_points(cube: DataFrame, name: str, view: str, first: int, last: int, group: str = "all", rolling: bool = False, least: int = 30) -> DataFrame:
+    """label, value, fights of a cube's chart (A29): metric `name` by year or by division over the years `first` to `last`.
+
+    `rolling`: the first year counts from the cutoff on, which with the rows before the last year's cutoff makes whole years.  A point of under `least` bouts has no
+    value.  By year, the cube's years stay on the axis from the first one with a bout on; by division, those of the group."""
+    measures = [c for c in cube.columns if c not in ("year", "division", "after_cutoff")]
+    inside = F.col("year").between(first, last) & in_group(group)
+    if rolling:
+        inside = inside & ((F.col("year") != first) | F.col("after_cutoff"))
+    by = "year" if view == "year" else "division"
+    axis = cube.where(F.col("year").between(first, last) if view == "year" else in_group(group)).select(by).distinct()
+    sums = axis.join(slice_cube(cube, measures, inside, [by]), by, "left").withColumn("fights", F.coalesce("fights", F.lit(0)))
+    points = sums.select(F.col(by).cast("string").alias("label"), F.when(F.col("fights") >= least, metric(name)).alias("value"), F.col("fights").cast("long").alias("fights"))
+    if view != "year":
+        return points
+    begin = points.where("fights > 0").agg(F.min("label").alias("_begin"))  # one row; null where there is no bout
+    return points.join(F.broadcast(begin), F.col("label") >= F.col("_begin")).drop("_begin")

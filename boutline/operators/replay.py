@@ -101,9 +101,12 @@ def elo(bouts: DataFrame, key: str, kind: str = "int", k: float = 96.0, base: fl
     return ordered_replay(bouts, key, ["day", "bout_id"], ["day", "bout_id", "winner", "loser"], dict, partial(_elo_step, k, base), schema)
 
 
-def external_bouts(rows: DataFrame) -> DataFrame:
-    """Decided bouts of owner, opponent, day, result once each, though both sides list them; of rows that disagree, the smallest (owner, result) counts."""
+def external_bouts(rows: DataFrame, promotion: str | None = None) -> DataFrame:
+    """Decided bouts of owner, opponent, day, result once each, though both sides list them; of rows that disagree, the smallest (owner, result) counts (R06).  `promotion`: bouts whose
+    `event` begins with that word are its own, and left out."""
     kept = rows.where(F.col("result").isin("win", "loss") & F.col("day").isNotNull() & (F.col("owner") != F.col("opponent")))
+    if promotion is not None:
+        kept = kept.where(~F.coalesce(F.trim("event").rlike(rf"(?i)^{promotion}\b"), F.lit(False)))
     won = F.when(F.col("result") == "win", F.struct(F.col("owner").alias("winner"), F.col("opponent").alias("loser"))).otherwise(F.struct(F.col("opponent").alias("winner"), F.col("owner").alias("loser")))
     return kept.groupBy(F.least("owner", "opponent").alias("a"), F.greatest("owner", "opponent").alias("b"), "day").agg(F.min_by(won, F.struct("owner", "result")).alias("o")).select("day", "o.*")
 

@@ -74,16 +74,17 @@ def profile_diff(pairs: DataFrame, a: str, b: str, fields: list[str]) -> DataFra
 
 
 def results_only(rows: DataFrame, division: Column) -> tuple[DataFrame, DataFrame]:
-    """(bouts for a replay, counts of what was left out) of rows with first, second, winner_id, method, is_title, is_main (R08): without a winner a draw or
-    no contest is a no-result, anything else is incomplete and skipped."""
+    """(bouts for a replay, counts of what was left out) of rows with first, second, winner_id, method, round, is_title, is_main (R08): without a winner a draw or
+    no contest is a no-result, anything else is incomplete and skipped.  `finish_round` is null for a decision, whose last round isn't where it was won."""
     method = F.trim(F.coalesce("method", F.lit("")))
-    fate = F.when(division.isNull(), "division").when(F.col("winner_id").isNotNull(), "bout").when(method.rlike("(?i)^(draw|no contest|nc\\b)"), "none").otherwise("result")
+    fate = F.when(division.isNull(), "division").when(F.col("winner_id").isNotNull(), "bout").when(method.rlike(r"(?i)^(draw|no contest|nc)\b"), "none").otherwise("result")
     d = rows.withColumns({"division": division, "_fate": fate})
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     won = F.col("_fate") == "bout"
     bouts = d.where("_fate IN ('bout', 'none')").withColumns({
         "kind": F.when(won, 0).otherwise(1), "winner": F.when(won, F.col("winner_id")).otherwise(F.col("first")),
         "loser": F.when(won & (F.col("winner_id") == F.col("second")), F.col("first")).otherwise(F.col("second")),
+        "finish_round": F.when(~F.lower(method).startswith("decision"), F.col("round")),
         "is_draw": ~won & method.rlike("(?i)^draw"), "is_five": flag("is_title") | flag("is_main"), "is_title": flag("is_title"),
     }).drop("_fate", "winner_id")
     skipped = d.where("_fate IN ('division', 'result')").groupBy(F.col("_fate").alias("missing")).agg(F.count("*").alias("n"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from boutline.functions import bouts
+from boutline.functions import bouts, dates
 from boutline.operators import cube as Q
-from boutline.operators import ordered
+from boutline.operators import factors, ordered
 from boutline.operators import relational as R
+from boutline.plans import replays
 from boutline.plans.registry import query
 from boutline.plans.relational import _SIDES, corners
 
@@ -82,6 +83,35 @@ def a15(t):
     return side.unionByName(parity).groupBy("factor", "bucket").agg(F.count("*").alias("n"), F.count_if("a_won").alias("wins"))
 
 
+_BODY = "CASE WHEN {p} % 11 = 0 THEN NULL ELSE round(date_diff('day', DATE '1960-01-01' + CAST({p} * 37 % 9000 AS INT), o.d) / 365.25, 2) END AS {s}_age, CASE WHEN {p} % 7 = 0 THEN NULL ELSE 150 + {p} % 50 END AS {s}_cm"
+_FACTORS_SQL = f"""WITH o AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS d, o_custkey * 10 + CAST(left(o_orderpriority, 1) AS INT) AS w, o_custkey * 10 + CAST((CAST(left(o_orderpriority, 1) AS INT) + day(o_orderdate) % 4) % 5 + 1 AS INT) AS l, month(o_orderdate) = 6 AS none, day(o_orderdate) % 2 = 0 AS draw FROM orders),
+ h AS (SELECT id, d, w AS p, CASE WHEN NOT none THEN 'win' WHEN draw THEN 'draw' ELSE 'nc' END AS r FROM o WHERE w % 13 <> 0 UNION ALL SELECT id, d, l, CASE WHEN NOT none THEN 'loss' WHEN draw THEN 'draw' ELSE 'nc' END FROM o WHERE l % 13 <> 0),
+ s AS (SELECT id, d, true AS won, w AS p FROM o WHERE NOT none UNION ALL SELECT id, d, false, l FROM o WHERE NOT none),
+ q AS (SELECT s.id, s.won, s.p, s.d, count(h.id) AS n, max(h.d) AS last, list(h.r ORDER BY h.d DESC, h.id DESC) FILTER (WHERE h.id IS NOT NULL)[1:12] AS rs, s.p % 13 <> 0 AS known FROM s LEFT JOIN h ON h.p = s.p AND h.d < s.d GROUP BY s.id, s.won, s.p, s.d),
+ k AS (SELECT *, list_filter(coalesce(rs, []), lambda x: x <> 'nc') AS xs FROM q),
+ t AS (SELECT id, won, p, d, CASE WHEN known THEN n END AS fights, CASE WHEN known THEN date_diff('day', last, d) END AS days, CASE WHEN NOT known THEN NULL WHEN len(xs) = 0 OR xs[1] = 'draw' THEN 0 ELSE CASE xs[1] WHEN 'win' THEN 1 ELSE -1 END * (coalesce(list_min(list_filter(range(1, len(xs) + 1), lambda i: xs[i] <> xs[1])), len(xs) + 1) - 1) END AS streak FROM k),
+ b AS (SELECT o.id, {_BODY.format(p="o.w", s="w")}, {_BODY.format(p="o.l", s="l")}, x.fights AS w_n, y.fights AS l_n FROM o JOIN t x ON x.id = o.id AND x.won JOIN t y ON y.id = o.id AND NOT y.won WHERE NOT none),
+ v AS (SELECT 'age' AS factor, abs(w_age - l_age) AS v, w_age < l_age AS won FROM b WHERE w_age <> l_age UNION ALL SELECT 'height', abs(w_cm - l_cm), w_cm > l_cm FROM b WHERE w_cm <> l_cm UNION ALL SELECT 'experience', abs(w_n - l_n), w_n > l_n FROM b WHERE w_n <> l_n
+  UNION ALL SELECT 'streak', streak, won FROM t WHERE streak <> 0 UNION ALL SELECT 'layoff', days / 30.44, won FROM t WHERE days IS NOT NULL),
+ e(factor, bucket, place, low, high) AS (VALUES {", ".join(f"('{n}', '{label}', {k}, {'-1e300' if low == -factors.LONG else low}::DOUBLE, {'1e300' if high == factors.LONG else high}::DOUBLE)" for n, spans in (("age", factors.AGE), ("height", factors.CENTIMETRES), ("experience", factors.EXPERIENCE), ("streak", factors.STREAK), ("layoff", factors.LAYOFF)) for k, (label, low, high) in enumerate(spans))})
+ SELECT e.factor, e.bucket, e.place, count(*) FILTER (WHERE won) AS wins, count(v.v) AS total FROM e LEFT JOIN v ON v.factor = e.factor AND v.v > low AND v.v <= high GROUP BY ALL"""
+
+
+@query("a15_win_factors", _FACTORS_SQL)
+def a15_win_factors(t):
+    """Age, height, experience, streak and layoff of the leagues' bouts; some people have no history, some no age or height."""
+    b = replays.bouts(t).withColumns({s: (C("o_custkey") * 10 + C(s)).cast("long") for s in ("winner", "loser")})
+    result = lambda won: F.when(C("kind") == 0, "win" if won else "loss").when(C("is_draw"), "draw").otherwise("nc")
+    side = lambda s, won: F.struct(C(s).alias("person"), F.lit(won).alias("won"), result(won).alias("result"))
+    sides = b.select("bout_id", "day", "kind", F.explode(F.array(side("winner", True), side("loser", False))).alias("s")).select("bout_id", "day", "kind", "s.*")
+    history = sides.where(C("person") % 13 != 0).select("person", "day", C("bout_id").alias("tie"), "result")
+    asked = factors.prior_records(sides.where("kind = 0").select("person", "day", "bout_id", "won"), history)
+    p, born = C("person"), F.date_add(F.lit("1960-01-01").cast("date"), (C("person") * 37 % 9000).cast("int"))
+    value = F.struct(F.when(p % 11 != 0, dates.age_years(born, C("day"))).alias("age"), F.when(p % 7 != 0, 150 + p % 50).alias("height_cm"), "prior")
+    pairs = asked.withColumn("v", value).groupBy("bout_id").agg(F.max_by("v", F.when(C("won"), 1)).alias("winner"), F.max_by("v", F.when(~C("won"), 1)).alias("loser"))
+    return factors.win_factors(pairs)
+
+
 @query("a16_reach_factor", f"SELECT bucket, count(edge) AS n, count(*) FILTER (WHERE edge > 0) AS wins FROM {_SPINE} LEFT JOIN (SELECT w.l_suppkey - l.l_suppkey AS edge FROM ({_SIDES}) w JOIN ({_SIDES}) l ON w.l_orderkey = l.l_orderkey WHERE w.n = 2 AND w.rn = 1 AND l.rn = 2) ON edge <> 0 AND abs(edge) > low AND abs(edge) <= high GROUP BY bucket")
 def a16(t):
     pairs, _ = R.winner_loser(corners(t), "l_orderkey", "result")
@@ -180,6 +210,34 @@ def a29(t):
     return years.join(cells, "year", "left").select("year", F.when(C("fights") >= 12, r4(C("ko") / C("fights"))).alias("rate"))
 
 
+_GROUPS = "CASE o_orderpriority WHEN '1-URGENT' THEN 'Women''s Flyweight' WHEN '2-HIGH' THEN 'Women''s Bantamweight' WHEN '3-MEDIUM' THEN 'Autres' ELSE o_orderpriority END"
+
+
+def _points_sql(chart: str, view: str, first: int, last: int, group: str, rolling: bool, least: int) -> str:
+    inside = {"all": "true", "men": "div NOT LIKE 'Women%' AND div <> 'Autres'", "women": "div LIKE 'Women%'"}.get(group, f"div = '{group}'")
+    start = f"AND (y <> {first} OR after)" if rolling else ""
+    value = f"count(o.id) FILTER (WHERE {inside} {start}) AS fights, count(o.id) FILTER (WHERE ({inside}) {start} AND status IN ('F', 'P')) AS finished"
+    one = f"SELECT CAST({'y' if view == 'year' else 'div'} AS VARCHAR) AS label, {value} FROM o WHERE {f'y BETWEEN {first} AND {last}' if view == 'year' else inside} GROUP BY 1"
+    if view != "year":
+        one = f"SELECT CAST(div AS VARCHAR) AS label, count(o.id) FILTER (WHERE y BETWEEN {first} AND {last} {start}) AS fights, count(o.id) FILTER (WHERE y BETWEEN {first} AND {last} {start} AND status IN ('F', 'P')) AS finished FROM o WHERE {inside} GROUP BY 1"
+    trimmed = f"SELECT * FROM ({one}) WHERE label >= (SELECT min(label) FROM ({one}) WHERE fights > 0)" if view == "year" else one
+    return f"SELECT '{chart}' AS chart, label, CASE WHEN fights >= {least} THEN round(finished / fights, 6) END AS value, fights FROM ({trimmed})"
+
+
+CHARTS = {"years of all": ("year", 1992, 2001, "all", False, 1), "women by year": ("year", 1994, 2000, "women", True, 40), "men by year": ("year", 1996, 2001, "men", False, 60), "one division": ("year", 1995, 1999, "5-LOW", True, 30), "men's divisions": ("division", 1996, 2000, "men", True, 100), "divisions": ("division", 1993, 1997, "all", False, 10), "nobody": ("year", 1995, 1999, "none", False, 1)}
+
+
+@query("a29_points", f"WITH o AS (SELECT o_orderkey AS id, year(o_orderdate) AS y, strftime(o_orderdate, '%m-%d') >= '06-15' AS after, o_orderstatus AS status, {_GROUPS} AS div FROM orders) " + " UNION ALL ".join(_points_sql(n.replace("'", "''"), *c) for n, c in CHARTS.items()))
+def a29_points(t):
+    """The points of seven charts, by year and by division, of groups and single divisions, rolling and whole."""
+    cube = Q.build_cube(t.orders, "o_orderdate", F.expr(_GROUPS.replace("''s", "\\'s")), "06-15", measures())
+    charts = [Q.explorer_points(cube, "finish_rate", view, first, last, group, rolling, least).select(F.lit(n).alias("chart"), "label", F.round("value", 6).alias("value"), "fights") for n, (view, first, last, group, rolling, least) in CHARTS.items()]
+    every = charts[0]
+    for c in charts[1:]:
+        every = every.unionByName(c)
+    return every
+
+
 @query("a30_strongest_bucket", f"SELECT arg_max(bucket, (abs(rate - 0.5), bucket)) AS bucket FROM (SELECT bucket, count(edge) AS n, count(*) FILTER (WHERE edge > 0) / nullif(count(edge), 0) AS rate FROM {_SPINE} LEFT JOIN ({_BOUTS}) ON edge <> 0 AND abs(edge) > low AND abs(edge) <= high GROUP BY bucket) WHERE n >= 100")
 def a30(t):
     d = Q.bucketed_advantage(bout_edges(t), C("edge"), C("a_won"), BUCKETS).where("n >= 100")

@@ -19,7 +19,7 @@ def r08(t):
     day = F.dayofmonth("o_orderdate")
     rows = t.orders.select(
         C("o_custkey").alias("first"), C("o_orderkey").alias("second"), F.when(C("o_orderstatus") == "F", C("o_custkey")).when(C("o_orderstatus") == "O", C("o_orderkey")).alias("winner_id"), "o_orderpriority",
-        F.when(day % 3 == 1, "Draw (majority)").when(day % 3 == 2, "No Contest").otherwise("Decision").alias("method"), (day == 1).alias("is_title"), F.lit(None).cast("boolean").alias("is_main"),
+        F.when(day % 3 == 1, "Draw (majority)").when(day % 3 == 2, "No Contest").otherwise("Decision").alias("method"), (day % 5).alias("round"), (day == 1).alias("is_title"), F.lit(None).cast("boolean").alias("is_main"),
     )
     bouts, skipped = styles.results_only(rows, F.when(~C("o_orderpriority").startswith("5"), C("o_orderpriority")))
     kinds = bouts.groupBy(F.when(C("kind") == 0, "bout").when(C("is_draw"), "draw").otherwise("nc").alias("missing")).agg(F.count("*").alias("n"))

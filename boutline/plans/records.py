@@ -141,6 +141,16 @@ def s35(t):
     return pages.feed_items(t.events.select("event_id", cut.alias("xml")), "xml").select("event_id", "title")
 
 
+@query("s35_report", """SELECT event_id, CASE event_type WHEN 'error' THEN 0 WHEN 'click' THEN 0 ELSE 1 END AS items, CASE WHEN event_type = 'click' THEN 0 WHEN event_type = 'error' THEN 0 ELSE event_id % 2 END AS dropped, CASE event_type WHEN 'error' THEN 'malformed feed' WHEN 'click' THEN 'empty feed' END AS error FROM events""")
+def s35_report(t):
+    """A row for each source: how many items it gave, how many were dropped, and its error."""
+    item = lambda link: F.concat(F.lit("<item><title>"), "event_type", F.lit(f"</title><link>{link}</link><pubDate>2024-01-02T03:04:05Z</pubDate></item>"))
+    xml = F.concat(F.lit("<rss><channel>"), item("http://x/1"), F.when(C("event_id") % 2 == 1, item("javascript:go()")).otherwise(""), F.lit("</channel></rss>"))
+    feed = F.when(C("event_type") == "error", F.substring(xml, 1, 40)).when(C("event_type") == "click", " ").otherwise(xml)
+    items, report = pages.feeds(t.events.select("event_id", feed.alias("xml")), "xml")
+    return report.select("event_id", "items", C("dropped").cast("long").alias("dropped"), "error")
+
+
 # ---- folds, dedup, searches
 
 @query("r09_fold", "SELECT user_id, round(list_reduce(list_prepend(0.0::DOUBLE, list(value ORDER BY ts, event_id)), lambda s, x: s * 0.5 + x), 6) AS state FROM events GROUP BY 1")

@@ -114,6 +114,20 @@ def r03(t):
     return h.select("bout_id", "participant", "kind", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"), "streak")
 
 
+@query("r06_external", """WITH b AS (SELECT CAST(o_orderdate AS DATE) AS day, o_custkey % 40 AS x, o_orderkey % 40 AS y, o_orderstatus AS s, CASE o_orderkey % 4 WHEN 0 THEN ' ufc 12' WHEN 1 THEN 'UFCX Night' WHEN 2 THEN 'Night of UFC' END AS event FROM orders),
+ r AS (SELECT day, x AS owner, y AS opponent, CASE s WHEN 'F' THEN 'win' WHEN 'O' THEN 'loss' ELSE 'draw' END AS result, event FROM b UNION ALL SELECT day, y, x, CASE s WHEN 'F' THEN 'loss' WHEN 'O' THEN 'win' ELSE 'nc' END, event FROM b),
+ k AS (SELECT *, row_number() OVER (PARTITION BY day, least(owner, opponent), greatest(owner, opponent) ORDER BY owner, result) AS n FROM r WHERE result IN ('win', 'loss') AND owner <> opponent AND coalesce(event, '') NOT LIKE '%ufc 12')
+ SELECT day, CASE result WHEN 'win' THEN owner ELSE opponent END AS winner, CASE result WHEN 'win' THEN opponent ELSE owner END AS loser FROM k WHERE n = 1""")
+def r06_external(t):
+    """Bouts that both sides' histories list, once each, without the promotion's own events; on some days two people meet twice, and the rows disagree."""
+    x, y, s = (C("o_custkey") % 40).alias("owner"), (C("o_orderkey") % 40).alias("opponent"), C("o_orderstatus")
+    event = F.when(C("o_orderkey") % 4 == 0, " ufc 12").when(C("o_orderkey") % 4 == 1, "UFCX Night").when(C("o_orderkey") % 4 == 2, "Night of UFC")
+    one = F.struct(x, y, F.when(s == "F", "win").when(s == "O", "loss").otherwise("draw").alias("result"))
+    two = F.struct(y.alias("owner"), x.alias("opponent"), F.when(s == "F", "loss").when(s == "O", "win").otherwise("nc").alias("result"))
+    rows = t.orders.select(F.to_date("o_orderdate").alias("day"), event.alias("event"), F.explode(F.array(one, two)).alias("r")).select("day", "event", "r.*")
+    return replay.external_bouts(rows, "UFC")
+
+
 @query("r14_weekly", f"""{_ELO}, h AS (SELECT s.k, s.w AS p, b.d, b.id, s.wa AS v FROM s JOIN b USING (id) UNION ALL SELECT s.k, s.l, b.d, b.id, s.la FROM s JOIN b USING (id)),
  x AS (SELECT k, p, CAST(date_trunc('year', d) AS DATE) AS week, arg_max(v, (d, id)) AS v FROM h GROUP BY ALL), y AS (SELECT *, row_number() OVER (PARTITION BY k, week ORDER BY v DESC, p) AS rank FROM x), z AS (SELECT *, lag(rank) OVER (PARTITION BY k, p ORDER BY week) AS previous FROM y)
  SELECT k AS o_custkey, p AS participant, week, rank, previous, CASE WHEN previous IS NULL THEN 'new' WHEN rank < previous THEN 'up' WHEN rank > previous THEN 'down' ELSE 'same' END AS trend FROM z""")

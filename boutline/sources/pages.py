@@ -103,12 +103,27 @@ FEED = "channel STRUCT<item: ARRAY<STRUCT<title: STRING, link: STRING, pubDate:
 
 def feed_items(df: DataFrame, xml: str, most: int = 990) -> DataFrame:
     """title, url, published_at, excerpt, image_url of a feed's items that have title, http(s) link of `most` characters at most, and date (S13); malformed
-    feeds give no items, and long links drop the item, as a cut link leads elsewhere. S35: one bad source doesn't stop the rest."""
+    feeds give no items, and long links drop the item, as a cut link leads elsewhere."""
+    return feeds(df, xml, most)[0]
+
+
+def feeds(df: DataFrame, xml: str, most: int = 990) -> tuple[DataFrame, DataFrame]:
+    """(items, report) of a column of feeds (S35): the items of `feed_items` from all feeds that can be read, and for each feed its other columns with `items`, how many were
+    taken, `dropped`, how many lack a part, and `error`: null, or why it gave nothing.  One bad feed doesn't stop the rest, and says so in its own row."""
     rest = [c for c in df.columns if c != xml]
-    items = df.select(*rest, F.explode(F.from_xml(xml, FEED, {"mode": "PERMISSIVE"})["channel"]["item"]).alias("i"))
-    good = (F.trim("i.title") != "") & F.col("i.link").rlike("(?i)^https?://") & (F.length("i.link") <= most)
-    date = F.coalesce(F.try_to_timestamp("i.pubDate", F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")), F.try_to_timestamp(F.regexp_replace("i.pubDate", r"^[A-Za-z]{3},\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z")))
-    return items.where(good & date.isNotNull()).select(*rest, F.trim("i.title").alias("title"), F.col("i.link").alias("url"), date.alias("published_at"), plain_text(F.col("i.description")).alias("excerpt"), F.col("i.enclosure._url").alias("image_url"))
+    read = df.select(*rest, F.from_xml(xml, f"{FEED}, _bad STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("f"), F.coalesce(F.trim(xml), F.lit("")).alias("_text"))
+    good = lambda i: F.coalesce((F.trim(i["title"]) != "") & i["link"].rlike("(?i)^https?://") & (F.length(i["link"]) <= most) & _published(i).isNotNull(), F.lit(False))
+    listed = F.coalesce("f.channel.item", F.array())
+    read = read.withColumn("i", F.filter(listed, good))
+    items = read.select(*rest, F.explode("i").alias("i")).select(*rest, F.trim("i.title").alias("title"), F.col("i.link").alias("url"), _published(F.col("i")).alias("published_at"), plain_text(F.col("i.description")).alias("excerpt"), F.col("i.enclosure._url").alias("image_url"))
+    error = F.when(F.col("_text") == "", "empty feed").when(F.col("f._bad").isNotNull() | F.col("f").isNull(), "malformed feed").when(F.col("f.channel").isNull(), "no channel")
+    report = read.select(*rest, F.when(error.isNull(), F.size("i")).otherwise(0).alias("items"), F.when(error.isNull(), F.size(listed) - F.size("i")).otherwise(0).alias("dropped"), error.alias("error"))
+    return items, report
+
+
+def _published(item: Column) -> Column:
+    day = F.regexp_replace(item["pubDate"], r"^[A-Za-z]{3},\s*", "")
+    return F.coalesce(F.try_to_timestamp(item["pubDate"], F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")), F.try_to_timestamp(day, F.lit("d MMM yyyy HH:mm:ss Z")))
 
 
 ATOM = "entry ARRAY<STRUCT<title: STRING, link: ARRAY<STRUCT<_href: STRING, _rel: STRING>>, published: STRING, updated: STRING, summary: STRING, content: STRING>>"
