@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from boutline.operators.standings import Standing
 
 MONTH = 30.44
+#: Kind of a row that isn't a bout but a state that a replay goes on from (see `seeds`).
+SEED = -1
 Q = math.log(10) / 400
 
 
@@ -155,6 +157,11 @@ def glicko_update(p: Glicko, own: tuple[float, float], other: tuple[float, float
 
 
 def _career_step(p: Glicko, places: bool, all_: Careers, row) -> list[tuple]:
+    if row.kind == SEED:
+        all_.states[row.winner] = Career(row.start_winner, row.start_loser, row.day, row.division, int(row.dominance))
+        if places and row.dominance:
+            all_.standing.add(row.start_winner)
+        return []
     sides = ((row.winner, row.start_winner), (row.loser, row.start_loser))
     if row.kind == 0:
         for who, given in sides:
@@ -266,6 +273,37 @@ def weekly_snapshot(history: DataFrame, key: str, value: str, week: str) -> Data
     return ranked.withColumn("previous", before).withColumn("trend", F.when(before.isNull(), "new").when(F.col("rank") < before, "up").when(F.col("rank") > before, "down").otherwise("same"))
 
 
+def seeds(states: DataFrame, key: str) -> DataFrame:
+    """Rows for `careers` that set a participant's state before the bouts of later days: key, participant, rating, rd, day, division, bouts.  They take the columns of
+    bouts: the rating stands in start_winner, the deviation in start_loser, the number of bouts in dominance."""
+    return states.select(key, "day", F.lit(SEED).alias("kind"), F.lit(0).cast("long").alias("bout_id"), F.col("participant").alias("winner"), F.col("participant").alias("loser"), "division", F.col("bouts").cast("double").alias("dominance"), F.col("rating").alias("start_winner"), F.col("rd").alias("start_loser"))
+
+
+def states_of(history: DataFrame, key: str) -> DataFrame:
+    """key, participant, rating, rd, day, division, bouts: where each participant stands after the last row of a career history."""
+    last = F.max_by(F.struct("rating", "rd", "day", "division", (F.col("bouts_before") + (F.col("kind") == 0).cast("long")).alias("bouts")), F.struct("day", "kind", "bout_id"))
+    return history.groupBy(key, "participant").agg(last.alias("_s")).select(key, "participant", "_s.*")
+
+
+def resumed(history: DataFrame, bouts: DataFrame, fresh: DataFrame, key: str, kind: str = "int", params: Glicko = Glicko(), places: bool = False) -> DataFrame:
+    """A career history after `fresh` bouts came in (T06): each key that they touch goes on from where it stood before the earliest of their days, over its bouts from that day
+    on; its earlier rows, and the other keys, stay.
+
+    bouts: all of them, fresh ones included, with their keys of now: where a bout has joined two components, rows of the history take the new key by their bout.  The history
+    is the state, so a late bout costs its key's bouts from its day on and one aggregation of the rows before.  For parameters whose unknown participants start at the
+    base: the mean of known starts is no part of the history."""
+    if params.unknown != "base":
+        raise ValueError("only parameters that start unknown participants at the base can be resumed")
+    columns = ["day", "kind", "bout_id", "winner", "loser", "division", "dominance", "start_winner", "start_loser"]
+    now = history.drop(key).join(bouts.select("bout_id", key), "bout_id").select(*history.columns)
+    first = fresh.groupBy(F.col(key).alias("_key")).agg(F.min("day").alias("_from"))
+    old = now.join(first, F.col(key) == F.col("_key"), "left").where("_from IS NULL OR day < _from")
+    touched = old.where("_from IS NOT NULL").select(*history.columns)
+    suffix = bouts.join(first, F.col(key) == F.col("_key")).where("day >= _from").select(key, *columns)
+    again = careers(suffix.unionByName(seeds(states_of(touched, key), key).select(key, *columns)), key, kind, params, places)
+    return old.select(*history.columns).unionByName(again.select(*history.columns))
+
+
 def refreshed(history: DataFrame, bouts: DataFrame, fresh: DataFrame, key: str, replay: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """A replay's history after `fresh` bouts came in (T06): only the keys that they touch are replayed, over all their `bouts` (fresh ones included, in whatever
     order they come); the history of the other keys stays. With the opponent graph's component as key, a result costs its component."""

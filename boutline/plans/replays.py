@@ -6,7 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from boutline.operators import rating, replay
+from boutline.operators import rating, replay, waves
+from boutline.operators.durable import checkpointed
 from boutline.plans.registry import query
 
 C = F.col
@@ -95,6 +96,14 @@ def r05_pool(t):
     return h.select("bout_id", "participant", "kind", "moved", *(F.round(c, 4).alias(c) for c in ("rating_at", "rd_at", "rating", "rd")))
 
 
+@query("r05_waves", f"SELECT bout_id, o_custkey * 10 + participant AS participant, kind, moved, rating_at, rd_at, rating, rd FROM ({_CAREER}) JOIN orders ON o_orderkey = bout_id")
+def r05_waves(t):
+    """The same pool in waves: each applies all bouts whose participants' earlier ones are done, until few are left, which are folded."""
+    b = bouts(t).withColumns({side: (C("o_custkey") * 10 + C(side)).cast("long") for side in ("winner", "loser")})
+    h = waves.careers(b.drop("o_custkey"), "long", fold_below=max(1000, t.orders.count() // 4))
+    return h.select("bout_id", "participant", "kind", "moved", *(F.round(c, 4).alias(c) for c in ("rating_at", "rd_at", "rating", "rd")))
+
+
 _ERODE = "CASE WHEN la[{e}] IS NULL OR d - la[{e}] <= 4 * 30.44 THEN p[{e}] ELSE p[{e}] * greatest(pow(0.96, (d - la[{e}]) / 30.44 - 4), 0.65) END"
 _POINTS = f"""WITH RECURSIVE {_BOUTS.format(where="")}, s AS (
  SELECT k, CAST(0 AS BIGINT) AS rn, CAST([NULL, NULL, NULL, NULL, NULL] AS DOUBLE[]) AS p, [0, 0, 0, 0, 0] AS st, CAST([NULL, NULL, NULL, NULL, NULL] AS DATE[]) AS la, CAST(NULL AS BIGINT) AS id, 0 AS kind, 0 AS w, 0 AS l,
@@ -145,6 +154,14 @@ def t06(t):
     return h.select("bout_id", "participant", "kind", "moved", *(F.round(c, 4).alias(c) for c in ("rating_at", "rd_at", "rating", "rd")))
 
 
+@query("t06_resumed", _CAREER)
+def t06_resumed(t):
+    """The same late bouts, each league going on from where it stood before the first of them."""
+    late = (F.year("day") == 2001) | (F.dayofmonth("day") == 3) & (F.year("day") >= 1998)
+    h = replay.resumed(checkpointed(replay.careers(bouts(t).where(~late), "o_custkey")), bouts(t), bouts(t).where(late), "o_custkey")
+    return h.select("bout_id", "participant", "kind", "moved", *(F.round(c, 4).alias(c) for c in ("rating_at", "rd_at", "rating", "rd")))
+
+
 _SHARE = "CASE WHEN {a} + {b} = 0 THEN 0.5 ELSE ({a}) / ({a} + {b})::DOUBLE END"
 
 
