@@ -318,9 +318,11 @@ def write_ids(spark: SparkSession, docs: DataFrame, tokenizer: str, path: str, *
             yield _block(part, seq, keys, held, size, base, end)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    order = ["id", F.crc32("text"), F.length("text")]
+    # the range goes by the whole order: rows that share an id, or have none, are spread by their texts
+    order = ["id", "crc", "length"]
+    ordered = rows.withColumns({"crc": F.crc32("text"), "length": F.length("text")}).repartitionByRange(*order).sortWithinPartitions(*order)
     # an id is a string on its way through pandas: null ids would make the others floats
-    ranged = rows.repartitionByRange("id").sortWithinPartitions(*order).select(F.col("id").cast("string").alias("id"), "text")
+    ranged = ordered.select(F.col("id").cast("string").alias("id"), "text")
     ranged.mapInPandas(run, BLOCK).write.parquet(path)
     return spark.read.schema(BLOCK).parquet(path)
 
