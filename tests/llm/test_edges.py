@@ -133,7 +133,11 @@ def test_rows_that_share_an_id_are_spread_over_blocks(spark, tmp_path):
     """A third of the rows without an id, a third under one: no task writes them all, and the digests are those of their texts, in order."""
     tok = sentencepieces.load(spark, queries.TOKENIZER).decode()
     docs = spark.range(900).select(F.when(F.col("id") % 3 == 0, F.col("id")).when(F.col("id") % 3 == 1, 5_000).alias("doc_id"), F.concat(F.lit("text number "), "id").alias("text")).repartition(4)
-    blocks = repair.write_ids(spark, docs, tok, f"file://{tmp_path}/blocks")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # parts as small as these would be put together
+    try:
+        blocks = repair.write_ids(spark, docs, tok, f"file://{tmp_path}/blocks")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     parts = [r["n"] for r in blocks.groupBy("part").agg(F.sum("n_docs").alias("n")).collect()]
     assert sum(parts) == 900 and len(parts) >= 6 and max(parts) < 250
     got = repair.read_digest(blocks).orderBy("start").collect()
