@@ -43,10 +43,13 @@ def s09(t):
     return t.part.select("p_partkey", pages.imperial_cm(F.concat(F.lit("5' "), C("p_size") % 12, F.lit('"'))).alias("cm"))
 
 
-@query("s11_times", "SELECT user_id, min(to_timestamp(CAST(floor(epoch(ts)) AS BIGINT))::TIMESTAMP) AS first, max(to_timestamp(CAST(floor(epoch(ts)) AS BIGINT))::TIMESTAMP) AS last FROM events GROUP BY 1")
+@query("s11_times", """WITH x AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, min((event_id * 7919) % 10007 * 100000 + event_id) AS place FROM events GROUP BY ALL)
+ SELECT user_id, to_timestamp(arg_min(s, place))::TIMESTAMP AS first, to_timestamp(arg_max(s, place))::TIMESTAMP AS last FROM x GROUP BY 1""")
 def s11(t):
+    """The times stand on the page in an order of their own, some of them twice: the first and the last of those not seen before count, not the earliest and the latest."""
+    place = (C("event_id") * 7919) % 10007 * 100000 + C("event_id")
     tag = F.concat(F.lit('<div data-timestamp="'), F.unix_seconds("ts"), F.lit('"></div>'))
-    html = t.events.withColumn("ts", C("ts").cast("timestamp")).groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ts", tag.alias("tag")))), lambda x: x["tag"]), "").alias("html"))
+    html = t.events.withColumn("ts", C("ts").cast("timestamp")).groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(place.alias("place"), tag.alias("tag")))), lambda x: x["tag"]), "").alias("html"))
     return html.select("user_id", pages.broadcast_times(C("html")).alias("t")).select("user_id", C("t.first").cast("timestamp_ntz").alias("first"), C("t.last").cast("timestamp_ntz").alias("last"))
 
 

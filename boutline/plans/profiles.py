@@ -51,6 +51,19 @@ _STYLE = f"""WITH t AS (SELECT o_custkey, CAST(count(*) AS INT) AS bouts, 300.0:
  m AS (SELECT *, greatest(v1, v2, v3, v4, v5) AS best FROM v) SELECT o_custkey, CASE WHEN NOT e OR n < 10 THEN NULL WHEN best IS NULL THEN 'balanced' WHEN v1 = best THEN 'grappling' WHEN v2 = best THEN 'submission' WHEN v3 = best THEN 'distance' WHEN v4 = best THEN 'power' ELSE 'clinch' END AS style FROM m"""
 
 
+@query("r10_difference", """WITH p AS (SELECT event_id, user_id, ts, coalesce(15 * sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER w / nullif(sum(value) OVER w, 0), 0) AS buys, coalesce(15 * sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER w / nullif(sum(value) OVER w, 0), 0) AS clicks, coalesce(avg(CASE WHEN value > 40 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 0.5) AS hit FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))
+ SELECT a.event_id AS a, b.event_id AS b, round(a.buys - b.buys, 5) AS buys_rate_diff, round(a.clicks - b.clicks, 5) AS clicks_rate_diff, round(a.hit - b.hit, 5) AS recent_hit_diff FROM p a JOIN p b ON b.event_id = a.event_id + 1""")
+def r10_difference(t):
+    """Each event against the next one by number: the differences of their users' recent rates, field by field."""
+    is_ = lambda kind: (C("event_type") == kind).cast("int")
+    d = t.events.withColumns({"buys": is_("purchase"), "clicks": is_("click"), "hit": (C("value") > 40).cast("int")})
+    rated = styles.recent_rates(d, "user_id", ["ts", "event_id"], "value", ["buys", "clicks"], score="hit")
+    fields = ["buys_rate", "clicks_rate", "recent_hit"]
+    one = rated.select(C("event_id").alias("a"), F.struct(*fields).alias("x"))
+    other = rated.select((C("event_id") - 1).alias("a"), C("event_id").alias("b"), F.struct(*fields).alias("y"))
+    return styles.profile_diff(one.join(other, "a"), "x", "y", fields).select("a", "b", *(F.round(f"{f}_diff", 5).alias(f"{f}_diff") for f in fields))
+
+
 @query("r11_styles", _STYLE)
 def r11(t):
     totals = t.orders.groupBy("o_custkey").agg(F.count("*").alias("bouts"), *(F.sum(F.expr(v)).alias(k) for k, v in _RATES.items())).withColumn("seconds", 300.0 * C("bouts"))
