@@ -111,7 +111,8 @@ def find_leaks(
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs`, with all their columns, in which `find_leaks` finds nothing."""
+    """The rows of `docs`, with all their columns, in which `find_leaks` finds nothing.  Null and empty texts stay, as do all rows if there are no items; repeated rows go or stay
+    together, and rows that share an id by their own text, null ids included."""
     found = find_leaks(spark, docs, benchmark, id_col=id_col, text_col=text_col, **options)
     leaks = found.select(F.col("id").alias("leak_id"), F.col("row_hash").alias("leak_hash")).distinct()
     # by id and hash: a hash that another document shares by chance drops nothing

@@ -326,7 +326,8 @@ def score_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", te
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bound: int = 20_000, limit: float = 0.5) -> DataFrame:
-    """The rows of `docs`, with all their columns, that score less than `limit`."""
+    """The rows of `docs`, with all their columns, that score less than `limit`.  Null texts score as empty ones, the model's base rate; repeated rows, null ids and rows that share an id are
+    each judged by their own text; an empty table gives no rows."""
     model = fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, bound=bound)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
