@@ -8,6 +8,8 @@ from boutline.operators import graph, matching
 from boutline.plans.registry import query
 
 C = F.col
+#: Customers a task pairs with suppliers.
+CLAIMANTS = 2000
 
 # Part names are variants of a catalogue of brands: the words in another order, joined, with a suffix, with a shortened first word, or with a word more.
 _LIST = "SELECT min(p_partkey) AS id, p_name AS cand FROM part GROUP BY p_name"
@@ -41,11 +43,18 @@ _FUZZY = "SELECT DISTINCT c_custkey AS a, s_suppkey AS b FROM customer JOIN supp
 @query("j24_claims", f"""WITH e AS ({_EXACT}), f AS (SELECT * FROM ({_FUZZY}) x WHERE b NOT IN (SELECT b FROM e) AND a NOT IN (SELECT a FROM e)) SELECT a AS c_custkey, b AS s_suppkey, 'exact' AS by FROM e
  UNION ALL SELECT min(a), b, 'fuzzy' FROM f GROUP BY b HAVING count(*) = 1""")
 def j24(t):
-    def near(width):
-        on = (C("c_nationkey") == C("s_nationkey")) & (F.floor(C("c_acctbal") / width) == F.floor(C("s_acctbal") / width))
-        return t.customer.join(t.supplier, on).select("c_custkey", "s_suppkey")
-
-    return matching.resolve_claims(near(100), near(500), "c_custkey", "s_suppkey")
+    """Customers and suppliers without an exact claim are found by brackets, before fuzzy pairs are made: the pairs of the wide brackets that exact claims would drop are most of them.
+    Pairs grow faster than the rows, so the customers are dealt out by bracket, some thousands a task."""
+    tasks = max(1, -(-t.customer.count() // CLAIMANTS))
+    bracket = lambda c, width: F.floor(C(c) / width).alias("bracket")
+    claimants = lambda width: t.customer.select("c_custkey", C("c_nationkey").alias("nation"), bracket("c_acctbal", width))
+    targets = lambda width: t.supplier.select("s_suppkey", C("s_nationkey").alias("nation"), bracket("s_acctbal", width))
+    place = ["nation", "bracket"]
+    pairs = lambda c, s: c.repartition(tasks, *place).join(s, place).select("c_custkey", "s_suppkey")
+    held_c = claimants(100).join(targets(100).select(*place).distinct(), place, "left_semi").select("c_custkey").distinct()
+    held_s = targets(100).join(claimants(100).select(*place).distinct(), place, "left_semi").select("s_suppkey").distinct()
+    free = pairs(claimants(500).join(held_c, "c_custkey", "left_anti"), targets(500).join(held_s, "s_suppkey", "left_anti"))
+    return matching.resolve_claims(pairs(claimants(100), targets(100)), free, "c_custkey", "s_suppkey")
 
 
 def _trade(t):

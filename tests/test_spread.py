@@ -2,7 +2,9 @@
 
 from types import SimpleNamespace
 
-from boutline.plans import readers
+from boutline.operators import matching
+from boutline.plans import entities, readers
+from boutline.plans.registry import QUERIES
 from boutline.sources import html
 
 
@@ -13,6 +15,18 @@ def test_pages_are_spread(spark):
     assert pages.rdd.getNumPartitions() == 3 and pages.count() == 3 * readers.ROWS
 
 
+def test_claims_pair_only_what_is_free(spark, monkeypatch):
+    """Fuzzy pairs of customers or suppliers with an exact claim aren't made."""
+    customer = spark.createDataFrame([(1, 7, 110.0), (2, 7, 190.0), (3, 7, 320.0), (4, 8, 10.0)], "c_custkey long, c_nationkey int, c_acctbal double")
+    supplier = spark.createDataFrame([(1, 7, 150.0), (2, 7, 450.0), (3, 9, 10.0)], "s_suppkey long, s_nationkey int, s_acctbal double")
+    asked = []
+    real = matching.resolve_claims
+    monkeypatch.setattr(matching, "resolve_claims", lambda exact, fuzzy, *names: asked.append(sorted(map(tuple, fuzzy.collect()))) or real(exact, fuzzy, *names))
+    got = entities.j24(SimpleNamespace(customer=customer, supplier=supplier))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, "exact"), (2, 1, "exact"), (3, 2, "fuzzy")]
+    assert asked == [[(3, 2)]] and "j24_claims" in QUERIES
+
+
 def test_plain_tags_as_others(monkeypatch):
     """Tags read whole, and kept for later pages, give what reading them attribute by attribute gives."""
     markup = "<p class='a  b' ID=x>t &lt; u<br><A href=/q/r?s&amp;t title=\"1 > 0\">v</A ><td a b=c>w<input disabled><p class=\"a\">x</p></td>" * 2
