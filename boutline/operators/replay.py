@@ -82,7 +82,8 @@ def ordered_replay(df: DataFrame, key: str, order: list[str], columns: list[str]
 
     needed = df.dropna(subset=[key, *order, "winner", "loser"])
     dealt = needed.select(F.col(key).alias("key"), *(F.unix_date("day").alias("day") if c == "day" else c for c in columns))
-    return dealt.repartition("key").sortWithinPartitions("key", *order).mapInPandas(fold, schema).withColumnRenamed("key", key).withColumn("day", F.date_from_unix_date("day"))
+    # By a hash of the key, since Spark drops a repartition by the key itself over a union of frames that stand by the key, whose partitions may hold different keys once they are merged.
+    return dealt.repartition(F.xxhash64("key")).sortWithinPartitions("key", *order).mapInPandas(fold, schema).withColumnRenamed("key", key).withColumn("day", F.date_from_unix_date("day"))
 
 
 def months(since: int | None, day: int) -> float:

@@ -89,3 +89,19 @@ def test_waves_are_the_longest_chain(spark, monkeypatch):
     monkeypatch.setattr(waves, "checkpointed", lambda df: made.append(1) or real(df))
     waves.careers(spark.createDataFrame(rows, SHAPE), fold_below=0)
     assert (len(made) - 1) / 3 == chain(rows)
+
+
+def test_resumed_with_large_joins(spark):
+    """Where the bouts and the states come from shuffled joins on the key, the two sides' partitions aren't the same keys: the fold deals them anew."""
+    every = bouts(5, n=40, people=6)
+    late = [b for b in every if b[1] % 7 == 0]
+    frame = lambda rows: spark.createDataFrame(rows, SHAPE)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        before = waves.checkpointed(replay.careers(frame([b for b in every if b not in late]), "k"))
+        got = replay.resumed(before, frame(every), frame(late), "k")
+        assert "REPARTITION_BY_COL" in got._jdf.queryExecution().executedPlan().toString()
+        assert plain(got) == plain(replay.careers(frame(every), "k"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
