@@ -43,15 +43,20 @@ def greedy_dedup(df: DataFrame, keys: list[str], ts: str, tie: str, hours: float
         for b in batches:
             if not len(b):
                 continue
-            head = np.flatnonzero(np.r_[True, (b[group].to_numpy()[1:] != b[group].to_numpy()[:-1]).any(1)])
+            columns = [b[c].to_numpy() for c in group]
+            new = np.zeros(len(b), bool)
+            new[0] = tuple(c[0] for c in columns) != now
+            for c in columns:
+                new[1:] |= c[1:] != c[:-1]
+            head = np.flatnonzero(new).tolist()
             at, stay = b["_at"].to_numpy(), []
-            for x, y in zip(head.tolist(), [*head[1:].tolist(), len(b)]):
-                key = tuple(b[group].iloc[x])
-                if key != now:
-                    now, last = key, int(at[x]) - gap - 1
+            for x, y in zip([0, *head] if not new[0] else head, [*head, len(b)] if not new[0] else [*head[1:], len(b)]):
+                if new[x]:
+                    last = int(at[x]) - gap - 1
                 while (x := x + int(np.searchsorted(at[x:y], last + gap, side="right"))) < y:
                     stay.append(x)
                     last = int(at[x])
+            now = tuple(c[-1] for c in columns)
             yield b.iloc[stay][[*keys, "_tie"]].rename(columns={"_tie": tie})
 
     return dealt.mapInPandas(kept, ", ".join([*(f"{k} {types[k]}" for k in keys), f"{tie} {types['_tie']}"]))

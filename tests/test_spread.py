@@ -1,8 +1,12 @@
 """Rows that are dealt out before they grow, and parser shortcuts against the plain way."""
 
+import random
+from datetime import datetime, timedelta
 from types import SimpleNamespace
 
-from boutline.operators import matching
+from pyspark.sql import functions as F
+
+from boutline.operators import matching, sequence
 from boutline.plans import entities, readers
 from boutline.plans.registry import QUERIES
 from boutline.sources import html
@@ -43,3 +47,23 @@ def test_title_as_written(spark):
     assert html.Field((("title", 0),)).of(html.Tree(page), None) == 'a "b< &amp; c&'
     got = readers.s04_tree(SimpleNamespace(pages=spark.createDataFrame([(1, page)], "page_id long, html string"))).first()
     assert got["title"] == "a &quot;b< &amp; c&amp"
+
+
+def test_greedy_across_batches(spark):
+    """Keys and runs that go on in the next batch, and text ties, against the rule row by row."""
+    rng = random.Random(6)
+    rows = [(rng.randrange(3), rng.choice("ab"), datetime(2024, 1, 1) + timedelta(hours=rng.randrange(900)), n) for n in range(160)]
+    want, last = set(), {}
+    for key, kind, ts, n in sorted(rows, key=lambda r: (*r[:2], r[2], r[3])):
+        if (key, kind) not in last or ts - last[key, kind] > timedelta(hours=48):
+            last[key, kind] = ts
+            want.add((key, kind, n))
+    df = spark.createDataFrame(rows, "key int, kind string, ts timestamp, n int")
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        got = [tuple(r) for r in sequence.greedy_dedup(df, ["key", "kind"], "ts", "n", 48).collect()]
+        text = [(r[0], r[1], int(r[2])) for r in sequence.greedy_dedup(df.withColumn("n", F.format_string("%05d", "n")), ["key", "kind"], "ts", "n", 48).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert len(got) == len(text) == len(want) and set(got) == set(text) == want
