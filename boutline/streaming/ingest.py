@@ -135,11 +135,14 @@ def greedy_dedup_stream(stream: DataFrame, keys: list[str], ts: str, tie: str, h
             state.remove()
             return
         last = state.get[0] if state.exists else None
-        ordered = pd.concat([b[["_at", "_tie"]] for b in batches]).sort_values(["_at", "_tie"])
-        at, out, x = ordered["_at"].to_numpy(), [], 0
+        # Arrays, not frames: a key has few rows, and a frame's own costs would be most of its time.
+        parts = [(b["_at"].to_numpy(), b["_tie"].to_numpy()) for b in batches]
+        at, ties = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((ties, at)) if ties.dtype != object else np.array(sorted(range(len(at)), key=lambda k: (at[k], ties[k])))
+        at, ties, out, x = at[order], ties[order], [], 0
         while x < len(at) and (last is None or (x := int(np.searchsorted(at, last + gap, side="right"))) < len(at)):
             last = int(at[x])
-            out.append((*key, ordered["_tie"].iloc[x]))
+            out.append((*key, ties[x]))
         state.update((last,))
         state.setTimeoutTimestamp(max((last + gap) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[*keys, tie])
