@@ -42,8 +42,8 @@ def result_rows(bouts: DataFrame, external: float) -> DataFrame:
     return of(True).unionByName(of(False)).where("person IS NOT NULL AND day IS NOT NULL")
 
 
-def profiles_before(bouts: DataFrame, external: float = 0.5) -> DataFrame:
-    """bout_id, winner_profile, loser_profile for the bouts of source `own` (M17): what each side had done strictly before the day, all sources counted.
+def profiles_before(bouts: DataFrame, external: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """bout_id, the columns in `keep`, winner_profile, loser_profile for the bouts of source `own` (M17): what each side had done strictly before the day, all sources counted.
 
     Results are summed by participant and day first, so a participant's window has a row a day; bouts with a method outside ko, sub and dec count
     for nothing and get no row, as do rows without an id, a day or a side."""
@@ -51,10 +51,10 @@ def profiles_before(bouts: DataFrame, external: float = 0.5) -> DataFrame:
     days = result_rows(fine, external).groupBy("person", "day").agg(*(F.sum(c).alias(c) for c in COUNTS))
     before = W.partitionBy("person").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
     had = days.select("person", "day", F.struct(*(F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(c) for c in COUNTS)).alias("profile"))
-    own = fine.where("source = 'own'")
-    sides = own.select("bout_id", "day", F.col("winner").alias("person"), F.lit(True).alias("won")).unionByName(own.select("bout_id", "day", F.col("loser").alias("person"), F.lit(False).alias("won")))
-    both = sides.join(had, ["person", "day"]).groupBy("bout_id")
-    return both.agg(*(F.max(F.when(F.col("won") == won, F.col("profile"))).alias(name) for won, name in ((True, "winner_profile"), (False, "loser_profile"))))
+    own = fine.where("source = 'own'").select("bout_id", "day", "winner", "loser", *keep)
+    for side in ("winner", "loser"):
+        own = own.join(had.select(F.col("person").alias(side), "day", F.col("profile").alias(f"{side}_profile")), [side, "day"])
+    return own.select("bout_id", *keep, "winner_profile", "loser_profile")
 
 
 def _shares(of: dict[str, Column]) -> dict[str, Column]:
@@ -73,39 +73,55 @@ def with_outcome_lines(df: DataFrame, name: str, win_a: str, a: str, b: str, pri
     """`df` with `name`: array<struct<corner, method, probability, by_round>>, the six ways a bout can end, which add up to 1 (M07).  win_a: the odds of corner A; a, b: the corners'
     records; prior: struct<ko, sub, dec>; `rounds`: base shares by method, as arrays; a decision has no rounds.
 
-    Each step (moved shares, their total, tilts, their totals) is a column that the next one reads, so no step is worked out or spelt out twice."""
-    corners = (("A", a, b, F.col(win_a)), ("B", b, a, 1 - F.col(win_a)))
-    q = {m: F.col(f"{prior}.{m}") for m in METHODS}
-    tallies, moved, late = {}, {}, {}
-    for corner, winner, loser, _ in corners:
-        w, x = F.col(winner), F.col(loser)
-        ways = {"winner": {m: w[f"win_{m}"] for m in METHODS}, "loser": {m: x[f"loss_{m}"] for m in METHODS}, "cross": {m: w[f"loss_{m}"] + x[f"win_{m}"] for m in METHODS}}
-        for way, tally in ways.items():
-            tallies |= {f"_{corner}_{way}_{m}": tally[m] for m in METHODS} | {f"_{corner}_{way}": sum(tally.values(), F.lit(0.0))}
-        share = lambda way, m, corner=corner: (F.col(f"_{corner}_{way}_{m}") + p.shrinkage * q[m]) / (F.col(f"_{corner}_{way}") + p.shrinkage)
-        for m in METHODS:
-            moved[f"_{corner}_{m}"] = q[m] * F.exp(sum((getattr(p, way) * F.ln(share(way, m) / q[m]) for way in ways), F.lit(0.0)))
-        n, total = w["won_n"] + x["lost_n"], w["won_rounds"] + x["lost_rounds"]
-        late[f"_{corner}_late"] = (total + p.round_shrinkage * mean_round) / (n + p.round_shrinkage) - mean_round
-    totals = {f"_{corner}_all": sum((F.col(f"_{corner}_{m}") for m in METHODS), F.lit(0.0)) for corner, *_ in corners}
-    tilted = {}
-    for corner, *_ in corners:
-        for m, base in rounds.items():
-            tilted[f"_{corner}_{m}_tilt"] = _tilted(base, F.col(f"_{corner}_late"), p.round_tilt)
-    chances = {f"_{corner}_{m}_chance": win * F.col(f"_{corner}_{m}") / F.col(f"_{corner}_all") for corner, _, _, win in corners for m in METHODS}
-    sums = {f"{t}_sum": F.aggregate(t, F.lit(0.0), lambda s, y: s + y) for t in tilted}
-    steps = [tallies, moved | late, totals | tilted, chances | sums]
-    d = df
-    for step in steps:
-        d = d.withColumns(step)
-
-    def line(corner: str, m: str) -> Column:
-        chance, tilt = F.col(f"_{corner}_{m}_chance"), f"_{corner}_{m}_tilt"
-        by_round = F.transform(tilt, lambda x: chance * x / F.col(f"{tilt}_sum")) if m in rounds else F.array().cast("array<double>")
-        return F.struct(F.lit(corner).alias("corner"), F.lit(m).alias("method"), chance.alias("probability"), by_round.alias("by_round"))
-
-    lines = F.array(*(line(corner, m) for corner, *_ in corners for m in METHODS))
-    return d.select(*df.columns, lines.alias(name))
+    Each step (tallies, moved shares, their total, tilts, their totals) is bound to a variable that the next one reads (`_let`): columns would be put into each other again by the
+    optimizer, wherever they are read, and worked out anew each time."""
+    corners = ("A", "B")
+
+    def tallies(v: Column) -> Column:
+        found = []
+        for corner, w, x in (("A", v["a"], v["b"]), ("B", v["b"], v["a"])):
+            ways = {"winner": {m: w[f"win_{m}"] for m in METHODS}, "loser": {m: x[f"loss_{m}"] for m in METHODS}, "cross": {m: w[f"loss_{m}"] + x[f"win_{m}"] for m in METHODS}}
+            for way, tally in ways.items():
+                found += [tally[m].alias(f"{corner}_{way}_{m}") for m in METHODS] + [sum(tally.values(), F.lit(0.0)).alias(f"{corner}_{way}")]
+            n, total = w["won_n"] + x["lost_n"], w["won_rounds"] + x["lost_rounds"]
+            found.append(((total + p.round_shrinkage * mean_round) / (n + p.round_shrinkage) - mean_round).alias(f"{corner}_late"))
+        return F.struct(*found, *(v["q"][m].alias(f"q_{m}") for m in METHODS), v["win"].alias("A_win"), (1 - v["win"]).alias("B_win"))
+
+    def moved(v: Column) -> Column:
+        share = lambda corner, way, m: (v[f"{corner}_{way}_{m}"] + p.shrinkage * v[f"q_{m}"]) / (v[f"{corner}_{way}"] + p.shrinkage)
+        lift = lambda corner, m: sum((getattr(p, way) * F.ln(share(corner, way, m) / v[f"q_{m}"]) for way in ("winner", "loser", "cross")), F.lit(0.0))
+        found = [(v[f"q_{m}"] * F.exp(lift(corner, m))).alias(f"{corner}_{m}") for corner in corners for m in METHODS]
+        tilts = [_tilted(base, v[f"{corner}_late"], p.round_tilt).alias(f"{corner}_{m}_tilt") for corner in corners for m, base in rounds.items()]
+        return F.struct(*found, *tilts, *(v[f"{corner}_win"].alias(f"{corner}_win") for corner in corners))
+
+    def totals(v: Column) -> Column:
+        found = []
+        for corner in corners:
+            found.append(sum((v[f"{corner}_{m}"] for m in METHODS), F.lit(0.0)).alias(f"{corner}_all"))
+            found += [F.aggregate(v[f"{corner}_{m}_tilt"], F.lit(0.0), lambda s, y: s + y).alias(f"{corner}_{m}_sum") for m in rounds]
+        return F.struct(v.alias("v"), *found)
+
+    def chances(t: Column) -> Column:
+        v = t["v"]
+        found = [(v[f"{corner}_win"] * v[f"{corner}_{m}"] / t[f"{corner}_all"]).alias(f"{corner}_{m}") for corner in corners for m in METHODS]
+        return F.struct(t.alias("t"), *found)
+
+    def lines(c: Column) -> Column:
+        def line(corner: str, m: str) -> Column:
+            by_round = F.array().cast("array<double>")
+            if m in rounds:
+                by_round = F.transform(c["t"]["v"][f"{corner}_{m}_tilt"], lambda x: c[f"{corner}_{m}"] * x / c["t"][f"{corner}_{m}_sum"])
+            return F.struct(F.lit(corner).alias("corner"), F.lit(m).alias("method"), c[f"{corner}_{m}"].alias("probability"), by_round.alias("by_round"))
+
+        return F.array(*(line(corner, m) for corner in corners for m in METHODS))
+
+    given = F.struct(F.col(win_a).alias("win"), F.col(a).alias("a"), F.col(b).alias("b"), F.col(prior).alias("q"))
+    return df.select("*", _let(_let(_let(_let(_let(given, tallies), moved), totals), chances), lines).alias(name))
+
+
+def _let(value: Column, body) -> Column:
+    """`body(value)`, for which the value is worked out once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _tilted(base: Column, late: Column, tilt: float) -> Column:

@@ -69,12 +69,13 @@ def _lines_sql() -> str:
 def m07(t):
     mix = lambda x: F.struct(*(F.lit(v).alias(m) for m, v in zip(outcomes.METHODS, x)))
     own = F.coalesce(*(F.when(C("division") == d, mix(x)) for d, x in MIXES.items()))
-    d = bouts(t).join(outcomes.profiles_before(bouts(t)), "bout_id")
+    d = outcomes.profiles_before(bouts(t), keep=("p", "division", "five"))
     prior = outcomes.context_mix([own], mix(EVERYWHERE), C("five"), mix(FIVE))
     d = d.select("bout_id", "p", "winner_profile", "loser_profile", prior.alias("prior"))
     rounds = {m: F.array(*map(F.lit, s)) for m, s in SHARES.items()}
     d = outcomes.with_outcome_lines(d, "lines", "p", "winner_profile", "loser_profile", "prior", rounds, MEAN_ROUND)
-    d = d.select("bout_id", F.explode("lines").alias("x")).select("bout_id", "x.*")
+    # outer, as Spark would work out the lines of an inner one three times: for the rows, and for filters that it infers (not null, not empty), which always hold here
+    d = d.select("bout_id", F.explode_outer("lines").alias("x")).select("bout_id", "x.*")
     return d.select("bout_id", "corner", "method", F.round("probability", 6).alias("probability"), F.round(F.get("by_round", F.lit(0)), 6).alias("first_round"))
 
 
