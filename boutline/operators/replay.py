@@ -5,6 +5,8 @@ the key, sorted within partitions by Spark, and folded as they stream past in Ar
 its bouts. The recurrence is sequential within a key; keys run side by side. Rows with a null key, day or participant are left out; an empty table gives
 an empty result.
 
+Career ratings without places are stepped many bouts at once (`levels`).
+
 Bouts: key, day (date), kind (0 a decided bout, 1 no result), bout_id, winner, loser; on a day, bouts come before no-results, then by id.
 """
 
@@ -19,14 +21,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boutline.operators import levels
+from boutline.operators.levels import MONTH, SEED, Q
 from boutline.operators.standings import Standing
 
-MONTH = 30.44
-#: Kind of a row that isn't a bout but a state that a replay goes on from (see `seeds`).
-SEED = -1
-Q = math.log(10) / 400
-
-
 @dataclass(frozen=True)
 class Glicko:
     """The defaults of the career rating."""
@@ -199,6 +197,9 @@ def careers(bouts: DataFrame, key: str, kind: str = "int", params: Glicko = Glic
     """Rating and deviation of each side at and after each bout, over all divisions (R05). A no-result moves no rating but counts as activity for those
     already rated. `places`: also each side's place by rating before the bout. Columns besides the bouts': division, dominance (0 to 1), start_winner, start_loser (null: unknown, see `Glicko.unknown`)."""
     schema = f"key long, day int, kind int, bout_id long, participant {kind}, won boolean, rating_at double, rd_at double, rating double, rd double, moved boolean, bouts_before long, place_at int, division string"
+    if not places:
+        rows = levels.replayed(levels.dealt(bouts, key, kind), [params], levels.side_rows, kind, schema, sides_too=True)
+        return rows.withColumnRenamed("key", key).withColumn("day", F.date_from_unix_date("day"))
     columns = ["day", "kind", "bout_id", "winner", "loser", "division", "dominance", "start_winner", "start_loser"]
     return ordered_replay(bouts, key, ["day", "kind", "bout_id"], columns, Careers, partial(_career_step, params, places), schema)
 
