@@ -309,5 +309,6 @@ def resumed(history: DataFrame, bouts: DataFrame, fresh: DataFrame, key: str, ki
 def refreshed(history: DataFrame, bouts: DataFrame, fresh: DataFrame, key: str, replay: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """A replay's history after `fresh` bouts came in (T06): only the keys that they touch are replayed, over all their `bouts` (fresh ones included, in whatever
     order they come); the history of the other keys stays. With the opponent graph's component as key, a result costs its component."""
-    touched = fresh.select(key).distinct()
+    # The hashed side is the keys alone: a merge join would sort the whole history, two rows a bout.
+    touched = fresh.select(key).distinct().hint("shuffle_hash")
     return history.join(touched, key, "left_anti").unionByName(replay(bouts.join(touched, key, "left_semi")))
