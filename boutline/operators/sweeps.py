@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field
 from functools import partial
 
 import numpy as np
@@ -20,87 +20,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boutline.operators import levels
 from boutline.operators.durable import checkpointed
-from boutline.operators.replay import Q, Glicko, PointFlow, months, ordered_replay
+from boutline.operators.levels import stacked
+from boutline.operators.replay import Glicko, PointFlow, months, ordered_replay
 
 #: Gaps that a task holds at once while it sums.
 HELD = 1_000_000
 GAPS = "key long, day int, bout_id long, winner {kind}, loser {kind}, mover boolean, gaps array<double>"
 
 
-def stacked(sets: list) -> dict[str, np.ndarray]:
-    """Each field of the parameter sets as an array over the sets."""
-    return {f.name: np.array([getattr(s, f.name) for s in sets]) for f in fields(sets[0])}
-
-
-@dataclass
-class Career:
-    rating: np.ndarray
-    rd: np.ndarray
-    day: int | None = None
-    division: str | None = None
-    fought_in: set = field(default_factory=set)
-
-
-@dataclass
-class Pool:
-    of: dict = field(default_factory=dict)
-    known: float | np.ndarray = 0.0
-    n_known: int = 0
-
-
-def _start(p: dict[str, np.ndarray], pool: Pool, given) -> np.ndarray:
-    """The first rating under each set: the given start (one number, or one a set), else the base or the mean of the known starts."""
-    if given is not None and not np.isnan(given).any():
-        pool.known, pool.n_known = pool.known + np.asarray(given), pool.n_known + 1
-        return p["rating"] * 0.0 + given
-    mean = pool.known / pool.n_known if pool.n_known else p["rating"]
-    return np.where(p["unknown"] == "average", mean, p["rating"])
-
-
-def _arrive(p: dict[str, np.ndarray], s: Career, division: str, day: int) -> None:
-    idle = months(s.day, day)
-    if idle > 0:
-        s.rd = np.minimum(p["rd"], np.sqrt(s.rd**2 + p["rd_month"] ** 2 * idle))
-    if s.division is not None and s.division != division:
-        s.rating, s.rd = p["rating"] + (s.rating - p["rating"]) * p["carry"], np.minimum(p["rd"], np.hypot(s.rd, p["rd_move"]))
-    s.day, s.division = day, division
-
-
-def _moved(p: dict[str, np.ndarray], own: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    g = 1 / np.sqrt(1 + 3 * (Q * other[1] / np.pi) ** 2)
-    e = 1 / (1 + 10 ** (-g * (own[0] - other[0]) / 400))
-    variance = 1 / (own[1] ** -2 + Q * Q * g * g * e * (1 - e))
-    return own[0] + Q * variance * g * (score - e), np.maximum(p["least_rd"], np.sqrt(variance))
-
-
-def _career_step(p: dict[str, np.ndarray], pool: Pool, row) -> list[tuple]:
-    sides = ((row.winner, row.start_winner), (row.loser, row.start_loser))
-    if row.kind == 0:
-        for who, given in sides:
-            if who not in pool.of:
-                pool.of[who] = Career(_start(p, pool, given), p["rd"] * 1.0)
-    rated = [pool.of[who] for who, _ in sides if who in pool.of]
-    for s in rated:
-        _arrive(p, s, row.division, row.day)
-    if row.kind:
-        return []
-    w, x = rated
-    own, other = (w.rating, w.rd), (x.rating, x.rd)
-    mover = any(s.fought_in - {row.division} for s in rated)
-    score = p["win_floor"] + (1 - p["win_floor"]) * min(1.0, max(0.0, row.dominance))
-    (w.rating, w.rd), (x.rating, x.rd) = _moved(p, own, other, score), _moved(p, other, own, 1 - score)
-    for s in rated:
-        s.fought_in.add(row.division)
-    return [(row.key, row.day, row.bout_id, row.winner, row.loser, mover, own[0] - other[0])]
-
-
 def career_gaps(bouts: DataFrame, key: str, sets: list[Glicko], kind: str = "int") -> DataFrame:
     """key, day, bout_id, winner, loser, mover, gaps: for each decided bout the winner's rating less the loser's before it, under each set; mover: one of them has
     fought in another division.  The bouts of `replay.careers`; a start may also be an array with a number a set.  Rows without a key, day, winner or
     loser are left out; no bouts give no rows."""
-    columns = ["day", "kind", "bout_id", "winner", "loser", "division", "dominance", "start_winner", "start_loser"]
-    return ordered_replay(bouts, key, ["day", "kind", "bout_id"], columns, Pool, partial(_career_step, stacked(sets)), GAPS.format(kind=kind))
+    return dealt_gaps(levels.dealt(bouts, key, kind), key, sets, kind)
+
+
+def dealt_gaps(rows: DataFrame, key: str, sets: list[Glicko], kind: str = "int") -> DataFrame:
+    """`career_gaps` of bouts that `levels.dealt` has put in order."""
+    gaps = levels.replayed(rows, sets, levels.gap_rows, kind, GAPS.format(kind=kind))
+    return gaps.withColumnRenamed("key", key).withColumn("day", F.date_from_unix_date("day"))
 
 
 @dataclass
