@@ -209,7 +209,7 @@ def window_losses(gaps: DataFrame, windows: list[tuple[str, str]], n_sets: int)
 
 def sweep(bouts: DataFrame, key: str, sets: list, windows: list[tuple[str, str]], collect: Callable = career_gaps, kind: str = "int") -> DataFrame:
     """The losses of a grid of parameter sets by window (M13, M14): one replay of the bouts for all sets, then `window_losses`."""
-    return window_losses(checkpointed(collect(bouts, key, sets, kind)), windows, len(sets))
+    return window_losses(checkpointed(collect(bouts, key, sets, kind).select("day", "gaps")), windows, len(sets))
 
 
 def picked(losses: DataFrame) -> DataFrame:
@@ -221,7 +221,12 @@ def picked(losses: DataFrame) -> DataFrame:
 
 def training_losses(bouts: DataFrame, key: str, make: Callable[[dict[str, float]], object], until: str, collect: Callable = career_gaps, kind: str = "int") -> Callable[[list[dict[str, float]]], list[float]]:
     """An objective for `models.pattern_search(..., many=True)`: the training losses of several parameter choices, from one replay of all of them (M11).  `make` turns a
-    choice into a parameter set; training rows are those before `until`."""
+    choice into a parameter set; training rows are those before `until`.
+
+    No gap depends on later bouts, so those from `until` on are left out of the replays.  For careers the rest is dealt and sorted once, for all calls."""
+    bouts = bouts.where(F.col("day") < F.lit(until).cast("date"))
+    if collect is career_gaps:
+        bouts, collect = checkpointed(levels.dealt(bouts, key, kind)), dealt_gaps
 
     def losses(choices: list[dict[str, float]]) -> list[float]:
         found = sweep(bouts, key, [make(c) for c in choices], [(until, until)], collect, kind).where("part = 'train'")
