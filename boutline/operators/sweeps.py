@@ -170,10 +170,10 @@ def _add(total: np.ndarray, x: np.ndarray, scale: np.ndarray) -> None:
     total[:, 5] += (x > 0).sum(0) + 0.5 * (x == 0).sum(0)
 
 
-def fit_scales(gaps: DataFrame, windows: list[tuple[str, str]], n_sets: int, most: float = 50.0, rounds: int = 100) -> np.ndarray:
+def fit_scales(gaps: DataFrame, windows: list[tuple[str, str]], n_sets: int, most: float = 50.0, rounds: int = 100, begin: float = 1.0) -> np.ndarray:
     """By window and set the k in 0 to `most` under which sigmoid(k x gap) explains the training rows best; 0 without a signal (M10).  One aggregation a
     round, for all of them; a pair that has come to rest keeps its k."""
-    k = np.ones((len(windows), n_sets))
+    k = np.full((len(windows), n_sets), begin)
     moving = np.ones_like(k, bool)
     for at in range(rounds):
         sums = {c: v[:, 0] for c, v in _sums(gaps, windows, k).items()}
@@ -192,10 +192,10 @@ def fit_scales(gaps: DataFrame, windows: list[tuple[str, str]], n_sets: int, mos
     return k
 
 
-def window_losses(gaps: DataFrame, windows: list[tuple[str, str]], n_sets: int) -> DataFrame:
+def window_losses(gaps: DataFrame, windows: list[tuple[str, str]], n_sets: int, begin: float = 1.0) -> DataFrame:
     """window, set, part (train or test), scale, log_loss, accuracy, n: each set's scale is fitted on the window's training rows, and both parts are scored with it (M09,
     M13).  Loss and accuracy are null for a part without rows.  `gaps` is read once for each Newton round: pass it `checkpointed`."""
-    scales = fit_scales(gaps, windows, n_sets)
+    scales = fit_scales(gaps, windows, n_sets, begin=begin)
     sums = _sums(gaps, windows, scales)
     rows = []
     for w in range(len(windows)):
@@ -207,9 +207,9 @@ def window_losses(gaps: DataFrame, windows: list[tuple[str, str]], n_sets: int)
     return gaps.sparkSession.createDataFrame(rows, "window int, set int, part string, scale double, log_loss double, accuracy double, n long")
 
 
-def sweep(bouts: DataFrame, key: str, sets: list, windows: list[tuple[str, str]], collect: Callable = career_gaps, kind: str = "int") -> DataFrame:
+def sweep(bouts: DataFrame, key: str, sets: list, windows: list[tuple[str, str]], collect: Callable = career_gaps, kind: str = "int", begin: float = 1.0) -> DataFrame:
     """The losses of a grid of parameter sets by window (M13, M14): one replay of the bouts for all sets, then `window_losses`."""
-    return window_losses(checkpointed(collect(bouts, key, sets, kind).select("day", "gaps")), windows, len(sets))
+    return window_losses(checkpointed(collect(bouts, key, sets, kind).select("day", "gaps")), windows, len(sets), begin)
 
 
 def picked(losses: DataFrame) -> DataFrame:
@@ -228,9 +228,13 @@ def training_losses(bouts: DataFrame, key: str, make: Callable[[dict[str, float]
     if collect is career_gaps:
         bouts, collect = checkpointed(levels.dealt(bouts, key, kind)), dealt_gaps
 
+    begin = 1.0
+
     def losses(choices: list[dict[str, float]]) -> list[float]:
-        found = sweep(bouts, key, [make(c) for c in choices], [(until, until)], collect, kind).where("part = 'train'")
-        by_set = {r["set"]: r["log_loss"] for r in found.collect()}  # a number a choice
+        nonlocal begin
+        found = sweep(bouts, key, [make(c) for c in choices], [(until, until)], collect, kind, begin).where("part = 'train'").collect()  # a row a choice
+        by_set = {r["set"]: r["log_loss"] for r in found}
+        begin = next((r["scale"] for r in found if 0 < r["scale"] < 50), begin)  # the next choices' scales are near: fewer rounds
         return [float("inf") if by_set[k] is None else by_set[k] for k in range(len(choices))]
 
     return losses
