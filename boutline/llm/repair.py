@@ -13,10 +13,13 @@ import os
 import re
 import struct
 import zlib
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from boutline.llm.arrows import SLICE, cut_at
+from boutline.llm.bytebpe import byte_table
 from boutline.llm.scratch import Scratch
 
 END = 1
@@ -36,8 +40,8 @@ ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 #: The pattern of the tokenizers that cut texts at white space, keep runs of letters whole and lower-case first.
 WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-#: Punctuation that ends words: behind a letter or digit a run of it is a token of its own.
-TAIL = ".,;:!?"
+#: Punctuation that ends words: behind a letter or digit a run of it is a token of its own.  The apostrophe, which begins tokens of its own, isn't in it.
+TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: What lower-cases in one way only, letter by letter: ASCII and the Latin letters but the dotted capital I.
 PLAIN = re.compile("[\x00-\x7f\u00a1-\u00bf\u00c0-\u012f\u0131-\u017e]*")
 #: A character between words that are encoded together.
@@ -60,14 +64,14 @@ class WordEncoder:
     """Whole texts to id bytes.  With a tokenizer that never joins over white space each word is encoded once by the library and kept, in two generations
     of BOUND words; any other tokenizer gets whole texts."""
 
-    BOUND = 200_000
+    BOUND = 400_000
 
     def __init__(self, tokenizer: str):
         self.tok = Tokenizer.from_str(tokenizer)
         self.tok.no_truncation()
         self.tok.no_padding()
         self.by_word = joins_no_words(self.tok)
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
         if self.by_word:
             suffix = self.tok.model.end_of_word_suffix
@@ -77,16 +81,19 @@ class WordEncoder:
             self.mark = alone[0] if len(alone) == 1 else None
             # lower-case words of letters need no normaliser, and white space is all that cuts them; both tokenizers share one model
             self.bare = Tokenizer(self.tok.model)
-            self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            #: How bytes are spelt in the vocabulary; the space stays, as it only parts words here.
+            self.spelt = {b: c for b, c in enumerate(byte_table()) if b != 32}
+            #: What ends words, without what an added token holds, as those are found before texts are cut.
+            self.tail = "".join(c for c in TAIL if not any(c in t.content for t in self.tok.get_added_tokens_decoder().values()))
 
     @staticmethod
-    def split(text: str) -> list[str]:
-        """Words with the same ids as the text: lower-cased where that is safe."""
-        if ODD_SPACE.search(text):
-            return [w for w in SPACE.split(text) if w]
-        if text.isascii() or PLAIN.fullmatch(text):
-            text = text.lower()
-        return text.split()
+    def split(texts: list[str]) -> pa.ListArray:
+        """The words of each text, with the same ids as the text: lower-cased where that is safe.  There may be empty ones."""
+        lower = [t.lower() if t.isascii() or PLAIN.fullmatch(t) else t for t in texts]
+        if any(map(ODD_SPACE.search, lower)):
+            return pa.array([SPACE.split(t) for t in lower], pa.list_(pa.string()))
+        return pc.utf8_split_whitespace(pa.array(lower, pa.string()))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -101,37 +108,56 @@ class WordEncoder:
                 gc.enable()
 
     def _by_word(self, texts: list[str]) -> list[bytes]:
-        split = [self.split(t) for t in texts]
+        split = self.split(texts)
+        coded = split.flatten().dictionary_encode()
+        found = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.words) > self.BOUND:
-            self.old, self.words = self.words, {}
-        fresh = self._unknown(set().union(*split))
-        ends = []
-        for w in fresh:
-            if w[-1] in TAIL:
-                core = w.rstrip(TAIL)
-                if core and core[-1].isalnum():
+            self.old, self.words = self.words, {"": b""}
+        known = list(map(self.words.get, found))
+        new = [k for k, ids in enumerate(known) if ids is None]
+        if new:
+            self._learn([found[k] for k in new])
+            for k in new:
+                known[k] = self.words[found[k]]
+        # the words' ids one behind the other, and from there those of each place in the texts
+        pool = np.frombuffer(b"".join(known), "<u4")
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        at = coded.indices.to_numpy()
+        n = size[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        data = pool[np.arange(ends[-1]) + np.repeat((np.cumsum(size) - size)[at] - ends[:-1], n)].tobytes()
+        cut = (4 * ends[split.offsets.to_numpy()]).tolist()
+        return [data[a:b] for a, b in zip(cut, cut[1:])]
+
+    def _learn(self, found: list[str]) -> None:
+        """Keep the ids of these different words, none of which is in the new generation."""
+        words, tail = self.words, self.tail
+        ends: list[tuple[str, str, str]] = []
+        plain: list[str] = []
+        other: list[str] = []
+
+        def deal(some: Iterable[str]) -> None:
+            old = self.old.get
+            for w in some:
+                ids = old(w)
+                if ids is not None:
+                    words[w] = ids
+                elif w.isalpha() and w.islower() and (w.isascii() or PLAIN.fullmatch(w)):
+                    plain.append(w)
+                elif w[-1] in tail and (core := w.rstrip(tail)) and core[-1].isalnum():
                     ends.append((w, core, w[len(core) :]))
-        fresh.difference_update([w for w, _, _ in ends])
-        fresh |= self._unknown({x for _, *parts in ends for x in parts})
-        plain = [w for w in fresh if w.isalpha() and w.islower() and (w.isascii() or PLAIN.fullmatch(w))]
-        fresh.difference_update(plain)
-        self._others([*fresh, *self._letters(plain)])
-        words = self.words
-        words.update([(w, words[core] + words[tail]) for w, core, tail in ends])
-        return [b"".join(map(words.__getitem__, ws)) for ws in split]
-
-    def _unknown(self, words: set[str]) -> set[str]:
-        """Those of `words` that are new; words of the old generation come over."""
-        fresh = words.difference(self.words)
-        old = self.old
-        known = [w for w in fresh if w in old] if old else []
-        self.words.update([(w, old[w]) for w in known])
-        return fresh.difference(known)
+                else:
+                    other.append(w)
+
+        deal(found)
+        deal({x for _, *parts in ends for x in parts}.difference(words, plain, other))
+        self._others([*other, *self._letters(plain)])
+        words.update([(w, words[core] + words[end]) for w, core, end in ends])
 
     def _letters(self, fresh: list[str]) -> list[str]:
         """Encode lower-case words of letters, many in one text: a word's last id is one that ends words.  Returns those that could not be told apart."""
         runs, left = [fresh[at : at + 128] for at in range(0, len(fresh), 128)], []
-        for run, e in zip(runs, self.bare.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False)):
+        for run, e in zip(runs, self.bare.encode_batch_fast([self._spell(" ".join(r)) for r in runs], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
             cut = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(cut) != len(run):
@@ -141,6 +167,9 @@ class WordEncoder:
             self.words.update(zip(run, [data[4 * a : 4 * b] for a, b in zip([0, *cut], cut)]))
         return left
 
+    def _spell(self, text: str) -> str:
+        return text if text.isascii() else text.encode().decode("latin-1").translate(self.spelt)
+
     def _others(self, fresh: list[str]) -> None:
         """Encode any words, many in one text with a mark between them; a word that holds the mark goes alone."""
         alone = [w for w in fresh if self.mark is None or MARK in w]
@@ -210,7 +239,9 @@ def build_grammar(ids: np.ndarray, base: int, *, least: int = 16, share: int = 6
         stay = np.ones(len(s), bool)
         stay[at + 1] = False
         able[at] = able[np.maximum(at - 1, 0)] = True
-        s, able, free = s[stay], able[stay], free[stay]
+        stay = np.flatnonzero(stay)
+        s, able = s[stay], able[stay]
+        free = s != end
         able[-1] = False
         able[:-1] &= free[:-1] & free[1:]
         made = pair[chosen] if names is None else names[pair[chosen]]
@@ -226,12 +257,12 @@ def _terminals(base: int) -> list[bytes]:
     return [data[k : k + 4] for k in range(0, 4 * base, 4)]
 
 
-def expansions(rules: np.ndarray, base: int) -> list[bytes]:
-    """The ids of every symbol, little-endian unsigned 32-bit; a rule's two sides come before it."""
+def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of every symbol one behind the other, and where those of each begin, the end of the last included; a rule's two sides come before it."""
     table = _terminals(base).copy()
     for a, b in rules.tolist():
         table.append(table[a] + table[b])
-    return table
+    return np.frombuffer(b"".join(table), "<u4"), np.concatenate([[0], np.cumsum(np.fromiter(map(len, table), np.int64, len(table)))]) // 4
 
 
 def write_block(ids: list[bytes], base: int, end: int = END) -> bytes:
@@ -264,7 +295,7 @@ class Block:
         at += self.rules.nbytes
         self.rule_lengths = np.frombuffer(data, "<u4", n, at)
         at += self.rule_lengths.nbytes
-        self.table: list[bytes] | None = None
+        self.table: tuple[np.ndarray, np.ndarray] | None = None
         self.symbols = np.frombuffer(data, "<u4" if self.base + n > 65536 else "<u2", m, at)
 
     def lengths(self) -> np.ndarray:
@@ -281,12 +312,22 @@ class Block:
         return np.frombuffer(self.ids(k), "<u4")
 
     def ids(self, k: int) -> bytes:
+        return self._expanded(self.symbols[self.first[k] : self.first[k + 1]])[0].tobytes()
+
+    def _expanded(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these symbols, and where those of each begin, the end of the last included."""
         if self.table is None:
             self.table = expansions(self.rules, self.base)
-        return b"".join(map(self.table.__getitem__, self.symbols[self.first[k] : self.first[k + 1]].tolist()))
+        pool, begin = self.table
+        start = begin[symbols]
+        n = begin[1:][symbols] - start
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return pool[np.arange(ends[-1]) + np.repeat(start - ends[:-1], n)], ends
 
     def all(self) -> list[bytes]:
-        return [self.ids(k) for k in range(self.docs)]
+        ids, ends = self._expanded(self.symbols)
+        data, cut = ids.tobytes(), (4 * ends[self.first]).tolist()
+        return [data[a:b] for a, b in zip(cut, cut[1:])]
 
 
 BLOCK = "part int, seq int, n_docs long, n_ids long, ids array<long>, nulls array<boolean>, payload binary"
