@@ -2,8 +2,8 @@
 
 A bout is ready once both its participants' earlier bouts are done.  All bouts that are ready at once concern different people, so a wave is one join of the pending bouts
 with the states, column arithmetic, and two new states a bout.  There are as many waves as the longest chain of bouts that hang on each other, at least the longest
-career.  Waves grow small towards the end, so what is left below `fold_below` bouts goes on in `replay.careers` from the states reached, whose one task then holds a
-bounded number of bouts.  Every wave's tables are checkpointed.
+career.  Waves grow small towards the end, so what is left below `fold_below` bouts goes on in `replay.careers` from the states reached.  States are kept only of people
+who have bouts still to come, so the one task of that fold holds a bounded number of bouts and at most two states for each.  Every wave's tables are checkpointed.
 """
 
 from __future__ import annotations
@@ -18,6 +18,9 @@ from boutline.operators import replay
 from boutline.operators.durable import checkpointed
 from boutline.operators.replay import MONTH, Q, Glicko
 
+#: Bouts that one task folds at the end.
+FOLD_BELOW = 200_000
+
 STATE = ("done", "rating", "rd", "last", "of", "bouts")
 
 
@@ -42,23 +45,24 @@ def _updated(p: Glicko, own: Column, other: Column, score: Column) -> Column:
     return F.struct((own["rating"] + Q * variance * g * (score - e)).alias("rating"), F.greatest(F.lit(p.least_rd), F.sqrt(variance)).alias("rd"))
 
 
-def careers(bouts: DataFrame, kind: str = "int", params: Glicko = Glicko(), fold_below: int = 200_000) -> DataFrame:
+def careers(bouts: DataFrame, kind: str = "int", params: Glicko = Glicko(), fold_below: int = FOLD_BELOW) -> DataFrame:
     """The rows of `replay.careers` (without places) for all bouts as one pool: the columns of bouts but the key, and a column `key` that is 0 in the result.
 
     Rows without a day, winner or loser are left out; equal ids on one day are not told apart.  Only parameters that start unknown participants at the base: the mean
-    of the known starts so far hangs on all bouts before."""
+    of the known starts so far hangs on all bouts before.  A pool whose next wave is empty, as where someone meets themself, is folded from there."""
     if params.unknown != "base":
         raise ValueError("only parameters that start unknown participants at the base go in waves")
     given = bouts.select("bout_id", "day", "kind", "winner", "loser", "division", "dominance", *(F.col(c).cast("double").alias(c) for c in ("start_winner", "start_loser"))).dropna(subset=["day", "kind", "bout_id", "winner", "loser"])
     order = W.partitionBy("person").orderBy("day", "kind", "bout_id")
-    sides = given.select("bout_id", "day", "kind", F.posexplode(F.array("winner", "loser")).alias("side", "person")).withColumn("n", F.row_number().over(order) - 1)
-    turn = sides.groupBy("bout_id", "day", "kind").agg(F.max(F.when(F.col("side") == 0, F.col("n"))).alias("turn_w"), F.max(F.when(F.col("side") == 1, F.col("n"))).alias("turn_l"))
+    sides = given.select("bout_id", "day", "kind", F.posexplode(F.array("winner", "loser")).alias("side", "person")).withColumns({"n": F.row_number().over(order) - 1, "final": F.lead("bout_id").over(order).isNull()})
+    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    turn = sides.groupBy("bout_id", "day", "kind").agg(of(0, "n").alias("turn_w"), of(1, "n").alias("turn_l"), of(0, "final").alias("final_w"), of(1, "final").alias("final_l"))
     pending = checkpointed(given.join(turn, ["bout_id", "day", "kind"]))
     left = pending.count()
     states = pending.sparkSession.createDataFrame([], f"person {kind}, done int, rating double, rd double, last date, of string, bouts long")
     rows: list[DataFrame] = []
-    waves = 0
-    while left > fold_below:
+    before = None
+    while left > fold_below and left != before:
         side = lambda s: states.select(F.col("person").alias(s), F.struct(*STATE).alias(f"_{s}"))  # noqa: B023, E731
         joined = pending.join(side("winner"), "winner", "left").join(side("loser"), "loser", "left")
         done = lambda s: F.coalesce(F.col(f"_{s}.done"), F.lit(0))
@@ -76,16 +80,17 @@ def careers(bouts: DataFrame, kind: str = "int", params: Glicko = Glicko(), fold
             at, after = F.col(f"_{s}_at"), F.col(f"_{s}_after")
             return F.struct(
                 F.col(s).alias("participant"), F.when(decided, won).alias("won"), at["rating"].alias("rating_at"), at["rd"].alias("rd_at"), F.when(at.isNotNull(), after["rating"]).alias("rating"), F.when(at.isNotNull(), after["rd"]).alias("rd"),  # noqa: B023
-                at["moved"].alias("moved"), at["bouts"].alias("bouts_before"), (F.coalesce(F.col(f"_{s}.done"), F.lit(0)) + 1).alias("done"),
+                at["moved"].alias("moved"), at["bouts"].alias("bouts_before"), (F.coalesce(F.col(f"_{s}.done"), F.lit(0)) + 1).alias("done"), F.col(f"final_{s[0]}").alias("final"),
             )
 
         both = wave.select("day", "kind", "bout_id", "division", F.explode(F.array(line("winner", True), line("loser", False))).alias("s")).select("day", "kind", "bout_id", "division", "s.*")
         rated = F.col("rating").isNotNull()
-        rows.append(both.where(rated).drop("done"))
-        new = both.select(F.col("participant").alias("person"), F.col("done").cast("int").alias("done"), "rating", "rd", F.when(rated, F.col("day")).alias("last"), F.when(rated, F.col("division")).alias("of"), F.when(rated, F.col("bouts_before") + (F.col("kind") == 0).cast("long")).alias("bouts"))
-        states = checkpointed(states.join(new, "person", "left_anti").unionByName(new))
+        rows.append(both.where(rated).drop("done", "final"))
+        new = both.where("NOT final").select(F.col("participant").alias("person"), F.col("done").cast("int").alias("done"), "rating", "rd", F.when(rated, F.col("day")).alias("last"), F.when(rated, F.col("division")).alias("of"), F.when(rated, F.col("bouts_before") + (F.col("kind") == 0).cast("long")).alias("bouts"))
+        seen = both.select(F.col("participant").alias("person"))
+        states = checkpointed(states.join(seen, "person", "left_anti").unionByName(new))
         pending = checkpointed(pending.join(wave.select("bout_id", "day", "kind"), ["bout_id", "day", "kind"], "left_anti"))
-        left, waves = pending.count(), waves + 1
+        before, left = left, pending.count()
     if left:
         reached = states.where("rating IS NOT NULL").select(F.lit(0).cast("long").alias("key"), F.col("person").alias("participant"), "rating", "rd", F.col("last").alias("day"), F.col("of").alias("division"), "bouts")
         rest = pending.select(F.lit(0).cast("long").alias("key"), "day", "kind", "bout_id", "winner", "loser", "division", "dominance", "start_winner", "start_loser")

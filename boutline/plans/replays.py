@@ -100,7 +100,7 @@ def r05_pool(t):
 def r05_waves(t):
     """The same pool in waves: each applies all bouts whose participants' earlier ones are done, until few are left, which are folded."""
     b = bouts(t).withColumns({side: (C("o_custkey") * 10 + C(side)).cast("long") for side in ("winner", "loser")})
-    h = waves.careers(b.drop("o_custkey"), "long", fold_below=max(1000, t.orders.count() // 4))
+    h = waves.careers(b.drop("o_custkey"), "long", fold_below=max(1000, min(t.orders.count() // 4, waves.FOLD_BELOW)))
     return h.select("bout_id", "participant", "kind", "moved", *(F.round(c, 4).alias(c) for c in ("rating_at", "rd_at", "rating", "rd")))
 
 
